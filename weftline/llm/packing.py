@@ -58,10 +58,6 @@ class Ids(dict):
         self.parts: dict[str, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) > self.bound:
-            self.clear()
-        if len(self.parts) > self.bound:
-            self.parts.clear()
         split, odd, new = {}, [], set()
         for w in words:
             s = w.decode()
@@ -79,6 +75,10 @@ class Ids(dict):
             self[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        if len(self) > self.bound:
+            self.clear()
+        if len(self.parts) > self.bound:
+            self.parts.clear()
         split = [(t or "").encode().split() for t in texts]
         if new := {w for words in split for w in words if w not in self}:
             self.learn(new)
