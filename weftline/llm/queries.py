@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from weftline.llm.common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.secrets import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.mixing import weigh
+
+    got = weigh(table(spark, sf_dir, "documents"))
+    names = {"_source": "source", "_lang": "lang", "_topic": "topic", "_tokens": "n_tokens", "_weight": "weight", "_probability": "probability", "_taken": "taken"}
+    return got.select("doc_id", *[F.col(k).alias(v) for k, v in names.items()])
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.sharding import shard_documents
 
@@ -21,5 +35,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_sharding": op7_sharding, "op8_packing": op8_packing}
+QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op7_sharding": op7_sharding, "op8_packing": op8_packing}
 ORACLE: dict[str, str] = {}
