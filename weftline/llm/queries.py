@@ -22,6 +22,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[F.col(k).alias(v) for k, v in names.items()])
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.quality import COUNTS, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = score(docs, train(docs, table(spark, sf_dir, "labels")), carry=["doc_id"])
+    return got.select("doc_id", *[F.col(f"_{c}").alias(c) for c in COUNTS], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_p_good").alias("p_good"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.sharding import shard_documents
 
@@ -35,5 +43,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op7_sharding": op7_sharding, "op8_packing": op8_packing}
+QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op7_sharding": op7_sharding, "op8_packing": op8_packing}
 ORACLE: dict[str, str] = {}
