@@ -43,5 +43,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op7_sharding": op7_sharding, "op8_packing": op8_packing}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.toxicity import THRESHOLD, held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "distance")
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity}
 ORACLE: dict[str, str] = {}
