@@ -20,16 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder that the session names.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints that the session names; where it is unset (tests, a local
+    session) a folder of this machine is set."""
+    sc = spark.sparkContext
+    now = sc._jsc.sc().getCheckpointDir()
+    if now.isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
+        now = sc._jsc.sc().getCheckpointDir()
+    return now.get()
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a local session) a folder of this
-    machine is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
+
+def durable(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cuts the lineage with a checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
 
 
