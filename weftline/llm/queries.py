@@ -69,5 +69,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "distance")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op6_embeddings": op6_embeddings, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.pseudolikelihood import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op6_embeddings": op6_embeddings, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
 ORACLE: dict[str, str] = {}
