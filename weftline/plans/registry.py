@@ -1,11 +1,508 @@
-"""Named queries over the driver's tables and the same in DuckDB SQL."""
+"""Named queries over the driver's tables, and the same in DuckDB SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions import code, paths
+from weftline.operators import clusters, graph, registers, tasks
+from weftline.sources import readers, views
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+V = {k: f"{k} AS ({v})" for k, v in views.SQL.items()}
+
+
+def query(sql: str | None = None, *uses: str) -> Callable[[Query], Query]:
+    """Registers a query under its function's name; ``uses`` names the views that its SQL begins with."""
+
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            parts = [V[u] for u in uses]
+            recursive = "RECURSIVE " if "WITH RECURSIVE" in sql else ""
+            body = sql.strip()
+            if recursive:
+                body = body.replace("WITH RECURSIVE", "WITH", 1)
+            if parts and body.startswith("WITH "):
+                body = ", ".join(parts) + ", " + body[5:]
+            elif parts:
+                body = ", ".join(parts) + " " + body
+            else:
+                body = body.removeprefix("WITH ")
+            needs = parts or sql.strip().startswith("WITH")
+            _sql[f.__name__] = f"WITH {recursive}{body}" if needs else body
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+# ---- files ------------------------------------------------------------------------------------
+
+BASE = "regexp_extract(path, '([^/]*)$', 1)"
+DIR = "regexp_extract(path, '^(.*)/[^/]*$', 1)"
+EXT = rf"regexp_extract({BASE}, '^.+(\.[^.]*)$', 1)"
+DEGREE = "deg AS (SELECT dst AS doc_id, count(*) AS n_dep FROM edges GROUP BY dst)"
+PRIORITY = rf"""CASE WHEN {EXT} IN ('.css','.scss','.less','.sass','.styl') THEN 'P4'
+    WHEN regexp_matches(path, '{code.TEST}') OR regexp_matches(path, '{code.STORY}') THEN 'P3'
+    WHEN regexp_matches({BASE}, '{code.ENTRY}') OR n_dep >= 10 THEN 'P0'
+    WHEN regexp_matches(substr(content, 1, 8192), '{code.LOOSE_JSX}') OR regexp_matches(substr(content, 1, 8192), '{code.HOOK_CALL}') OR n_dep >= 5 THEN 'P1' ELSE 'P2' END"""
+TOKENS = rf"""greatest(1, CAST(round(length(content) / (CASE WHEN {BASE} LIKE '%.d.ts' THEN 5.5::DOUBLE WHEN {EXT} IN ('.tsx','.jsx') AND regexp_matches(substr(content, 1, 8192), '{code.LOOSE_JSX}') THEN 3.8::DOUBLE WHEN {EXT} = '.css' THEN 5.0::DOUBLE ELSE 4.5::DOUBLE END)) AS BIGINT))"""
+RANKED = f"{DEGREE}, ranked AS (SELECT f.doc_id, path, content, coalesce(n_dep, 0) AS n_dep, {PRIORITY.replace('n_dep', 'coalesce(n_dep, 0)')} AS priority, {TOKENS} AS tokens FROM files f LEFT JOIN deg USING (doc_id))"
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.files(spark, sf_dir)
+    n = graph.dependents(views.edges(spark, sf_dir)).select(F.col("source").alias("doc_id"), F.col("n_dependents").alias("n_dep"))
+    rows = f.join(n, "doc_id", "left").withColumn("n_dep", F.coalesce("n_dep", F.lit(0)))
+    p, c = F.col("path"), F.col("content")
+    rows = rows.withColumn("priority", code.priority(p, F.col("n_dep"), c))
+    return rows.withColumn("tokens", code.estimated_tokens(p, F.length(c), code.head(c).rlike(code.LOOSE_JSX)))
+
+
+@query(f"WITH {RANKED} SELECT path, priority, n_dep AS dependents, tokens, CAST(len(string_split(content, chr(10))) AS BIGINT) AS lines FROM ranked", "files", "edges")
+def file_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _ranked(spark, sf_dir)
+    return r.select("path", "priority", F.col("n_dep").alias("dependents"), "tokens", code.line_count(F.col("content")).alias("lines"))
+
+
+@query(
+    rf"""WITH {RANKED}, said AS (SELECT path, priority, concat_ws(' + ',
+    CASE WHEN regexp_matches({BASE}, '{code.ENTRY}') THEN 'entry file (naming pattern)' END, CASE WHEN regexp_matches(path, '{code.TEST}') THEN 'test file' END,
+    CASE WHEN regexp_matches(path, '{code.STORY}') THEN 'story file' END, CASE WHEN {EXT} = '.css' THEN 'pure style file' END,
+    CASE WHEN n_dep >= 10 THEN 'highly depended (' || n_dep || ')' WHEN n_dep >= 5 THEN 'depended (' || n_dep || ')' END,
+    CASE WHEN priority = 'P1' AND regexp_matches(substr(content, 1, 8192), '{code.LOOSE_JSX}') THEN 'contains JSX' END,
+    CASE WHEN priority = 'P1' AND regexp_matches(substr(content, 1, 8192), '{code.HOOK_CALL}') THEN 'contains hooks' END) AS r FROM ranked)
+    SELECT path, CASE WHEN r = '' THEN 'default (' || priority || ')' ELSE r END AS reason FROM said""",
+    "files", "edges",
+)
+def priority_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _ranked(spark, sf_dir)
+    return r.select("path", code.reason(F.col("path"), F.col("priority"), F.col("n_dep"), F.col("content")).alias("reason"))
+
+
+@query(
+    f"WITH {RANKED} SELECT {DIR} AS folder, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS n_files, string_agg(path, ',' ORDER BY priority, n_dep DESC, path) AS files FROM ranked GROUP BY 1", "files", "edges"
+)
+def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ranked(spark, sf_dir).groupBy(paths.dirname(F.col("path")).alias("folder"))
+    return rows.agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_files"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("priority", (-F.col("n_dep")).alias("d"), "path"))), lambda x: x["path"]), ",").alias("files"))
+
+
+@query(f"WITH {RANKED} SELECT priority, count(*) AS n FROM ranked GROUP BY 1", "files", "edges")
+def priority_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir).groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT {EXT} AS ext, count(*) AS n FROM files GROUP BY 1", "files")
+def count_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.by_extension(views.files(spark, sf_dir))
+
+
+@query(f"SELECT path FROM files WHERE {EXT} IN ('.ts','.tsx','.js','.jsx','.vue','.svelte','.mjs','.cjs','.mts')", "files")
+def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.source_files(views.files(spark, sf_dir)).select("path")
+
+
+@query(f"SELECT path, 'styling module' AS reason FROM files WHERE (contains(lower({BASE}), '.styled.') OR contains(lower({BASE}), '.styles.')) AND NOT contains(lower({BASE}), '.spec.') AND NOT contains(lower({BASE}), '.test.')", "files")
+def style_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.style_split(views.files(spark, sf_dir))[1].select("path", "reason")
+
+
+@query("SELECT path, sha256(content) AS sha256 FROM files", "files")
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.hashes(views.files(spark, sf_dir))
+
+
+@query(
+    f"""WITH {RANKED}, x AS (SELECT path, priority, tokens, lower({BASE}) AS b, lower({DIR}) AS d FROM ranked) SELECT path, CASE WHEN b LIKE 'app%' OR b LIKE 'main%' OR b LIKE 'index%' THEN 'entry'
+    WHEN b LIKE 'use%' OR contains(d, 'hook') THEN 'hooks' WHEN contains(d, 'type') OR contains(b, '.d.ts') OR contains(b, 'interface') OR contains(b, 'enum') THEN 'types'
+    WHEN contains(d, 'components') OR contains(d, 'ui') OR contains(d, 'common') THEN 'ui-components' WHEN contains(d, 'pages') OR contains(d, 'features') OR contains(d, 'modules') THEN 'business-components'
+    WHEN contains(d, 'util') OR contains(d, 'helpers') OR contains(d, 'lib') THEN 'utils' WHEN priority = 'P0' THEN 'entry' WHEN priority = 'P1' THEN 'business-components' ELSE 'utils' END AS role FROM x""",
+    "files", "edges",
+)
+def file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir).select("path", code.role(F.col("path"), F.col("priority")).alias("role"))
+
+
+@query(
+    rf"""SELECT path, CAST(len(string_split(content, chr(10))) AS BIGINT) AS lines, array_to_string(list_distinct(regexp_extract_all(substr(content,1,8192), '\b(use[A-Z]\w+)\s*\(', 1)), ',') AS hooks,
+    regexp_matches(substr(content,1,8192), '{code.STRICT_JSX}') AS has_jsx, contains({DIR} || '/', '/pages/') AS business, lower({BASE}) LIKE 'index.%' AS entry_stem
+    FROM files WHERE {EXT} <> '.css' AND NOT regexp_matches(path, '{code.TEST}')""",
+    "files",
+)
+def file_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, h = F.col("path"), code.head(F.col("content"))
+    rows = views.files(spark, sf_dir).filter(~code.is_style(p) & ~code.is_test(p))
+    return rows.select("path", code.line_count(F.col("content")).alias("lines"), F.array_join(code.hooks(h), ",").alias("hooks"), h.rlike(code.STRICT_JSX).alias("has_jsx"), code.is_business(p).alias("business"), F.lower(paths.basename(p)).startswith("index.").alias("entry_stem"))
+
+
+@query(rf"SELECT path, coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(path, '[^a-zA-Z0-9_-]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')), ''), 'root') AS id FROM files", "files")
+def path_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.files(spark, sf_dir).select("path", paths.path_id(F.col("path")).alias("id"))
+
+
+@query("""SELECT count(DISTINCT a) AS n_folders, count(DISTINCT path) AS n_files FROM (SELECT path, unnest(list_transform(range(1, len(string_split(path,'/'))), lambda k: array_to_string(list_slice(string_split(path,'/'), 1, k), '/'))) AS a FROM files)""", "files")
+def project_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.files(spark, sf_dir).select("path", F.explode(paths.ancestors(F.col("path"))).alias("a"))
+    return rows.agg(F.count_distinct("a").alias("n_folders"), F.count_distinct("path").alias("n_files"))
+
+
+@query(
+    f"""WITH {RANKED}, t AS (SELECT sum(tokens) AS t FROM ranked) SELECT CAST(least(300000, greatest(20000, round(t * 0.05::DOUBLE))) AS BIGINT) AS split, CAST(least(150000, greatest(10000, round(t * 0.025::DOUBLE))) AS BIGINT) AS no_split, CAST(least(15000, greatest(3000, round(t * 0.003::DOUBLE))) AS BIGINT) AS merge_min,
+    CAST(least(300000, greatest(1000, round(t * 0.25::DOUBLE))) AS BIGINT) AS max_tokens, CAST(least(15000, greatest(50, round(t * 0.05::DOUBLE))) AS BIGINT) AS min_tokens FROM t""",
+    "files", "edges",
+)
+def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _ranked(spark, sf_dir).agg(F.sum("tokens").alias("t"))
+    return t.select(*[c.alias(k) for k, c in (code.split_thresholds(F.col("t")) | code.cluster_thresholds(F.col("t"))).items()])
+
+
+# ---- change sets ------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id AS path, CASE WHEN b.text IS NULL THEN 'added' WHEN a.text IS NULL THEN 'deleted' ELSE 'modified' END AS status FROM documents b FULL JOIN after a USING (doc_id) WHERE b.text IS DISTINCT FROM a.text""", "after")
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = lambda d: readers.hashes(d.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
+    return readers.snapshot_changes(h(views.table(spark, sf_dir, "documents")), h(views.after(spark, sf_dir)))
+
+
+CLOSURE = "WITH RECURSIVE r(node) AS (SELECT doc_id FROM documents WHERE doc_id % 97 = 5 UNION SELECT e.src FROM edges e JOIN r ON e.dst = r.node)"
+
+
+@query(f"{CLOSURE} SELECT node FROM r", "edges")
+def affected_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = views.table(spark, sf_dir, "documents").filter("doc_id % 97 = 5").select(F.col("doc_id").alias("node"))
+    return graph.affected(seeds, views.edges(spark, sf_dir)).select("node")
+
+
+@query(f"{CLOSURE} SELECT node AS path, CASE WHEN node % 97 = 5 THEN 'Directly modified' ELSE 'Depends on changed file' END AS reason FROM r", "edges")
+def affected_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = views.table(spark, sf_dir, "documents").filter("doc_id % 97 = 5").select(F.col("doc_id").alias("path"), F.lit("modified").alias("status"))
+    return graph.affected_with_reason(changes, views.edges(spark, sf_dir))
+
+
+@query(f"{CLOSURE} SELECT {DIR} AS folder, count(*) AS n_affected FROM r JOIN files f ON f.doc_id = r.node GROUP BY 1", "edges", "files")
+def affected_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.files(spark, sf_dir)
+    return f.join(affected_nodes(spark, sf_dir), F.col("doc_id") == F.col("node")).groupBy(paths.dirname(F.col("path")).alias("folder")).agg(F.count(F.lit(1)).alias("n_affected"))
+
+
+@query(f"{CLOSURE} SELECT id, CASE WHEN r.node IS NOT NULL AND status <> 'in_progress' THEN 'pending' ELSE status END AS status FROM tasks t LEFT JOIN r ON t.folder = r.node", "edges", "tasks")
+def reset_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = views.tasks(spark, sf_dir).join(affected_nodes(spark, sf_dir), F.col("folder") == F.col("node"), "left")
+    return t.select("id", F.when(F.col("node").isNotNull() & (F.col("status") != "in_progress"), "pending").otherwise(F.col("status")).alias("status"))
+
+
+# ---- graphs -----------------------------------------------------------------------------------
+
+
+@query("SELECT dst AS source, count(*) AS n_dependents FROM edges GROUP BY 1", "edges")
+def dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dependents(views.edges(spark, sf_dir))
+
+
+@query("SELECT dst AS source, count(*) AS n_dependents FROM edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "edges")
+def most_dependent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.top(graph.dependents(views.edges(spark, sf_dir)), "n_dependents")
+
+
+@query("SELECT src AS source, count(*) AS n_dependencies FROM edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "edges")
+def most_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.top(graph.out_degree(views.edges(spark, sf_dir)), "n_dependencies")
+
+
+@query("SELECT x.src AS a, x.dst AS b FROM edges x JOIN edges y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst", "edges")
+def mutual_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.mutual(views.edges(spark, sf_dir))
+
+
+@query(
+    """WITH seeds AS (SELECT doc_id AS seed FROM documents WHERE doc_id % 29 = 3), one AS (SELECT seed, dst AS node FROM seeds JOIN edges ON src = seed WHERE dst % 31 <> 0),
+    two AS (SELECT seed, dst AS node FROM one JOIN edges ON src = node WHERE dst % 31 <> 0), r AS (SELECT DISTINCT seed, node FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE seed <> node)
+    SELECT node, count(DISTINCT seed) AS n_seeds FROM r GROUP BY 1 HAVING count(DISTINCT seed) >= 3""",
+    "edges",
+)
+def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"))
+    return graph.hubs(graph.reach_two(d.filter("node % 29 = 3"), views.edges(spark, sf_dir), d.filter("node % 31 = 0")))
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT node FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges)), i AS (SELECT node FROM n WHERE node % 10 = 3)
+    SELECT 'internal' AS kind, node FROM i UNION SELECT 'external_dependency', dst FROM edges WHERE src % 10 = 3 AND dst % 10 <> 3 UNION SELECT 'external_dependent', src FROM edges WHERE dst % 10 = 3 AND src % 10 <> 3""",
+    "edges",
+)
+def folder_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.subgraph(views.edges(spark, sf_dir), F.col("node") % 10 == 3)
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT o_custkey AS a, o_custkey % 17 AS b FROM orders UNION SELECT o_custkey % 17, o_custkey FROM orders), r(node, c) AS (SELECT a, a FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1"""
+)
+def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") % 17).alias("dst")).distinct()
+    return graph.components(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), e)
+
+
+@query()
+def seed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-dependent claims: no SQL form; tests hold it against a plain loop."""
+    r = _ranked(spark, sf_dir)
+    f = r.select(F.col("doc_id").alias("path"), "tokens", (F.col("doc_id") % 11 == 4).alias("is_seed"), (F.col("doc_id") % 53 == 0).alias("is_barrel"))
+    return clusters.greedy(f, views.edges(spark, sf_dir).filter("dst >= 40"))
+
+
+@query(
+    """WITH cf AS (SELECT DISTINCT l_suppkey AS cluster, l_partkey % 200 AS path FROM lineitem WHERE l_suppkey <= 60), s AS (SELECT cluster, count(*) AS n FROM cf GROUP BY 1), p AS (SELECT x.cluster AS a, y.cluster AS b, count(*) AS shared FROM cf x JOIN cf y ON x.path = y.path AND x.cluster < y.cluster GROUP BY 1, 2)
+    SELECT a, b, shared, shared::DOUBLE / least(sa.n, sb.n) AS ratio FROM p JOIN s sa ON sa.cluster = a JOIN s sb ON sb.cluster = b WHERE shared::DOUBLE / least(sa.n, sb.n) >= 0.3"""
+)
+def cluster_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cf = views.table(spark, sf_dir, "lineitem").filter("l_suppkey <= 60").select(F.col("l_suppkey").alias("cluster"), (F.col("l_partkey") % 200).alias("path"))
+    return clusters.overlaps(cf)
+
+
+# ---- packing and tasks ------------------------------------------------------------------------
+
+
+@query(
+    """WITH RECURSIVE x AS (SELECT l_orderkey, l_quantity AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS k FROM lineitem),
+    r(l_orderkey, k, chunk, n, total) AS (SELECT l_orderkey, k, CAST(0 AS BIGINT), CAST(1 AS BIGINT), w FROM x WHERE k = 1 UNION ALL SELECT x.l_orderkey, x.k, CASE WHEN total + w > 60 THEN chunk + 1 ELSE chunk END, CASE WHEN total + w > 60 THEN 1 ELSE n + 1 END, CASE WHEN total + w > 60 THEN w ELSE total + w END FROM r JOIN x ON x.l_orderkey = r.l_orderkey AND x.k = r.k + 1)
+    SELECT l_orderkey, chunk, max(n) AS n, max(total) AS total FROM r GROUP BY 1, 2"""
+)
+def next_fit_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "lineitem")
+    return tasks.next_fit(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"], "l_quantity", 60)
+
+
+BUDGET = "CAST(least(300000, greatest(15000, round(CASE WHEN tokens <= 10000 THEN tokens * 2.5::DOUBLE + 8000 WHEN tokens <= 50000 THEN tokens * 2.0::DOUBLE + 10000 ELSE tokens * 1.5::DOUBLE + 15000 END))) AS BIGINT)"
+
+
+@query(f"SELECT id, {BUDGET} AS budget FROM tasks", "tasks")
+def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.tasks(spark, sf_dir).select("id", code.token_budget(F.col("tokens")).alias("budget"))
+
+
+@query(
+    f"""WITH a AS (SELECT id, tokens, CASE status WHEN 'completed' THEN 'skip' WHEN 'pending' THEN 'run' ELSE 'retry' END AS action FROM tasks)
+    SELECT id, action, {BUDGET} AS budget, CASE WHEN action <> 'skip' THEN 1 + 10 * (row_number() OVER (PARTITION BY action <> 'skip' ORDER BY id) - 1) END AS issue_from FROM a""",
+    "tasks",
+)
+def task_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = views.tasks(spark, sf_dir)
+    return tasks.schedule(t.select("id", "tokens", F.col("id").alias("ord")), t.select("id", "status", F.lit(0).alias("ord"))).select("id", "action", "budget", "issue_from")
+
+
+@query("""WITH f AS (SELECT id, tokens FROM tasks WHERE status = 'pending' ORDER BY id LIMIT 50) SELECT id, tokens, running FROM (SELECT id, tokens, CAST(sum(tokens) OVER (ORDER BY id) AS BIGINT) AS running FROM f) WHERE running <= 3000000""", "tasks")
+def task_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.batch(views.tasks(spark, sf_dir).filter("status = 'pending'").select("id", "tokens"), 50, 3_000_000, ["id"])
+
+
+@query(
+    """SELECT folder, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'in_progress') AS in_progress, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'failed') AS failed,
+    CAST(round(100 * count(*) FILTER (status = 'completed')::DOUBLE / count(*)) AS BIGINT) AS percent, CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (status = 'in_progress') > 0 THEN 'in_progress' WHEN count(*) FILTER (status = 'pending') > 0 THEN 'pending' ELSE 'completed' END AS status FROM tasks GROUP BY folder""",
+    "tasks",
+)
+def folder_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.status_counts(views.tasks(spark, sf_dir), ["folder"])
+
+
+@query("""SELECT id, CASE WHEN status = 'completed' AND id % 5 = 0 THEN CASE WHEN folder % 5 >= 3 THEN 'failed' ELSE 'pending' END ELSE status END AS status, CASE WHEN status = 'completed' AND id % 5 = 0 AND folder % 5 < 3 THEN folder % 5 + 1 ELSE folder % 5 END AS retry_count FROM tasks""", "tasks")
+def retry_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = views.tasks(spark, sf_dir).withColumn("retry_count", F.col("folder") % 5)
+    return tasks.retried(t, t.filter("id % 5 = 0")).select("id", "status", "retry_count")
+
+
+@query("SELECT id, status FROM tasks WHERE id % 3 <> 0 UNION ALL SELECT id, 'pending' FROM tasks WHERE id % 3 = 0", "tasks")
+def task_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = views.tasks(spark, sf_dir)
+    return tasks.upsert_new(t.filter("id % 3 <> 0"), t)
+
+
+@query("SELECT l_partkey AS path, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS tasks FROM lineitem GROUP BY 1")
+def file_task_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cf = views.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_suppkey").cast("string").alias("task"))
+    return tasks.file_task_index(cf)[0].select("path", F.array_join("tasks", ",").alias("tasks"))
+
+
+@query(
+    """WITH x AS (SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+    SELECT l_orderkey, l_partkey, l_suppkey, CAST(floor(k / greatest(5, ceil(n / 3.0))) AS BIGINT) AS chunk FROM x"""
+)
+def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")]
+    return tasks.chunked(views.table(spark, sf_dir, "lineitem"), ["l_orderkey"], order).select("l_orderkey", "l_partkey", "l_suppkey", "chunk")
+
+
+# ---- registers --------------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT id, first_value(id) OVER (PARTITION BY type, source_file ORDER BY detected_at, id) AS final_keeper FROM issues) SELECT id, id <> final_keeper AS is_duplicate, final_keeper FROM w""", "issues")
+def issue_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers.dedup(views.issues(spark, sf_dir), ["type", "source_file"]).select("id", "is_duplicate", "final_keeper")
+
+
+@query(
+    """SELECT 'status' AS dimension, status AS value, count(*) AS n, count(*) FILTER (status = 'pending') AS pending FROM issues GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*), count(*) FILTER (status = 'pending') FROM issues GROUP BY 2
+    UNION ALL SELECT 'type', type, count(*), count(*) FILTER (status = 'pending') FROM issues GROUP BY 2 UNION ALL SELECT 'confidence', coalesce(confidence, 'unknown'), count(*), count(*) FILTER (status = 'pending') FROM issues GROUP BY 2""",
+    "issues",
+)
+def issue_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers.dashboard(views.issues(spark, sf_dir).withColumn("is_pending", F.col("status") == "pending"))
+
+
+@query(
+    """SELECT id, severity, detected_at FROM issues WHERE status = 'pending' AND severity IN ('critical','high') UNION ALL SELECT * FROM (SELECT id, severity, detected_at FROM issues WHERE status = 'pending' AND severity = 'medium' ORDER BY detected_at DESC, id LIMIT 10)""", "issues"
+)
+def pending_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers.pending_list(views.issues(spark, sf_dir)).select("id", "severity", "detected_at")
+
+
+@query("""SELECT source_file, count(*) AS n, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, string_agg(id::VARCHAR, ',' ORDER BY id) AS issues FROM issues GROUP BY 1""", "issues")
+def file_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers.by_file(views.issues(spark, sf_dir)).withColumn("issues", F.array_join(F.transform("issues", lambda x: x.cast("string")), ","))
+
+
+@query("""SELECT type, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) AS total FROM issues GROUP BY 1""", "issues")
+def issue_cross_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers.cross_tab(views.issues(spark, sf_dir))
+
+
+@query("SELECT id, 'type' AS field, type AS value FROM issues WHERE type NOT IN ('bug','security','typescript','performance','dead_code','complexity','maintainability','ux')", "issues")
+def issue_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers.violations(views.issues(spark, sf_dir))
+
+
+@query("SELECT count(*) AS total, count(*) AS violations, count(DISTINCT id) AS failed, count(*) - count(DISTINCT id) AS passed FROM issues", "issues")
+def violation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = views.issues(spark, sf_dir)
+    return registers.validator_summary(i, registers.violations(i))
+
+
+@query(
+    """WITH x AS (SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'bugs' WHEN 1 THEN 'type-safety' WHEN 2 THEN 'Dead-Code' WHEN 3 THEN 'naming' WHEN 4 THEN 'ux' ELSE 'other' END AS type, CASE o_orderkey % 2 WHEN 0 THEN 'ch-01-bugs' ELSE 'ch-03-typescript' END AS chapter FROM orders), y AS (SELECT id, chapter AS from_chapter, CASE id % 6 WHEN 0 THEN 'ch-01-bugs' WHEN 1 THEN 'ch-03-typescript' WHEN 2 THEN 'ch-05-dead-code' WHEN 3 THEN 'ch-03-typescript' WHEN 4 THEN 'ch-08-ux' ELSE 'ch-99-archived' END AS to_chapter FROM x)
+    SELECT id, from_chapter, to_chapter FROM y WHERE from_chapter <> to_chapter"""
+)
+def chapter_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    t = F.when(k % 6 == 0, "bugs").when(k % 6 == 1, "type-safety").when(k % 6 == 2, "Dead-Code").when(k % 6 == 3, "naming").when(k % 6 == 4, "ux").otherwise("other")
+    rows = views.table(spark, sf_dir, "orders").select(k.alias("id"), t.alias("type"), F.when(k % 2 == 0, "ch-01-bugs").otherwise("ch-03-typescript").alias("chapter"))
+    return registers.chapter_moves(rows)
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT id, source_file AS path FROM issues), a AS (SELECT id, count(*) FILTER (CAST(path AS BIGINT) % 3 = 0) AS n_affected, count(*) FILTER (CAST(path AS BIGINT) % 6 = 0) AS n_deleted FROM f GROUP BY 1)
+    SELECT id, n_affected, n_deleted, CASE WHEN n_affected > 0 AND n_deleted > 0 THEN 'stale' WHEN n_affected > 0 THEN 'recheck' ELSE 'unchanged' END AS action FROM a""",
+    "issues",
+)
+def issue_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.issues(spark, sf_dir).select("id", F.col("source_file").alias("path"))
+    p = f.select("path").distinct()
+    return registers.recheck(f, p.filter("cast(path as bigint) % 3 = 0"), p.filter("cast(path as bigint) % 6 = 0"))
+
+
+@query("""SELECT category, count(*) AS n, count(DISTINCT key) AS merged FROM (SELECT category, substr(lower(regexp_replace(title, '[^\\p{L}\\p{N}]', '', 'g')), 1, 60) AS key FROM patterns) GROUP BY 1""".replace("\\\\", "\\"), "patterns")
+def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = registers.merge_patterns(views.patterns(spark, sf_dir))
+    return m.groupBy("category").agg(F.sum("n_merged").alias("n"), F.count(F.lit(1)).alias("merged"))
+
+
+@query(
+    r"""WITH k AS (SELECT *, substr(lower(regexp_replace(title, '[^\p{L}\p{N}]', '', 'g')), 1, 60) AS key FROM patterns), g AS (SELECT category, key, count(*) AS n_merged, min(id) AS first_id, string_agg(DISTINCT cluster, ',' ORDER BY cluster) AS clusters, count(DISTINCT cluster) AS nc FROM k GROUP BY 1, 2), t AS (SELECT category, key, title FROM k QUALIFY row_number() OVER (PARTITION BY category, key ORDER BY length(title) DESC, id) = 1)
+    SELECT category, key, title, clusters, n_merged, first_id, CASE WHEN nc >= 2 THEN 'promoted' ELSE 'candidate' END AS status FROM g JOIN t USING (category, key)""",
+    "patterns",
+)
+def pattern_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers.merge_patterns(views.patterns(spark, sf_dir)).withColumn("clusters", F.array_join("clusters", ","))
+
+
+@query(
+    """WITH pc AS (SELECT DISTINCT p_type AS id, p_brand AS cluster FROM part), b AS (SELECT DISTINCT p_brand AS cluster, CAST(right(p_brand, 1) AS INT) AS k FROM part), a AS (SELECT id, count(*) FILTER (k % 2 = 0) AS matched, count(*) FILTER (k % 2 <> 0 AND k <> 3) AS remaining FROM pc JOIN b USING (cluster) GROUP BY 1)
+    SELECT id, matched, remaining, CASE WHEN matched = 0 THEN 'unchanged' WHEN remaining < 2 THEN 'orphaned' ELSE 'stale' END AS state FROM a"""
+)
+def pattern_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pc = views.table(spark, sf_dir, "part").select(F.col("p_type").alias("id"), F.col("p_brand").alias("cluster")).distinct()
+    b = pc.select("cluster").distinct().withColumn("k", F.substring("cluster", -1, 1).cast("int"))
+    return registers.pattern_states(pc, b.filter("k % 2 = 0"), b.filter("k <> 3"))
+
+
+@query(
+    r"""WITH n AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS name FROM pages) SELECT DISTINCT page_id AS page, regexp_replace(href, '^/', '') AS target FROM links WHERE regexp_replace(href, '^/', '') NOT IN (SELECT name FROM n)""", "links"
+)
+def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = views.table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://[^/]*/([a-z]+)/", 1).alias("relpath"))
+    got = views.links(spark, sf_dir).select(F.col("page_id").alias("page"), F.regexp_replace("href", "^/", "").alias("target")).filter(~F.col("target").contains("|"))
+    return registers.broken_links(got, names)
+
+
+@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<h1>')) AS n_h1 FROM pages")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<h1>")).cast("long").alias("n_h1"))
+
+
+@query("SELECT token AS name, min(page_id) AS page FROM (SELECT page_id, unnest(string_split(regexp_extract(html, '<h1>([^<]*)</h1>', 1), ' ')) AS token FROM pages) GROUP BY 1")
+def symbol_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.posexplode(F.split(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), " ")).alias("pos", "name"))
+    return registers.first_definitions(rows).select("name", "page")
+
+
+@query("SELECT host, count(DISTINCT page_id) AS n_pages, count(*) AS n_links, count(DISTINCT href) AS n_targets FROM links GROUP BY 1", "links")
+def book_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.links(spark, sf_dir).groupBy("host").agg(F.count_distinct("page_id").alias("n_pages"), F.count(F.lit(1)).alias("n_links"), F.count_distinct("href").alias("n_targets"))
+
+
+@query(
+    """WITH d AS (SELECT dst AS source, count(*) AS n FROM edges GROUP BY 1), m AS (SELECT DISTINCT node FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges)), refs AS (SELECT DISTINCT o_orderkey AS page, o_custkey AS path FROM orders), c AS (SELECT DISTINCT x.src AS node FROM edges x JOIN edges y ON x.src = y.dst AND x.dst = y.src)
+    SELECT page, path, 'missing' AS "check" FROM refs WHERE path NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT page, path, 'not_in_graph' FROM refs WHERE path NOT IN (SELECT node FROM m) UNION ALL SELECT page, path, 'circular' FROM refs WHERE path IN (SELECT node FROM c) UNION ALL SELECT page, path, 'hot' FROM refs JOIN d ON d.source = path WHERE n >= 10""",
+    "edges",
+)
+def code_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.edges(spark, sf_dir)
+    cyc = graph.mutual(e).select(F.explode(F.array("a", "b")).alias("source")).distinct().withColumn("has_circular", F.lit(True))
+    modules = e.select(F.explode(F.array("src", "dst")).alias("source")).distinct().join(cyc, "source", "left")
+    refs = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.col("o_custkey").alias("path")).distinct()
+    docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"))
+    return registers.code_references(refs, docs, modules, graph.dependents(e))
+
+
+@query(
+    """WITH i AS (SELECT DISTINCT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'complexity' WHEN 1 THEN 'bug' ELSE 'dead_code' END AS type, o_custkey AS path FROM orders), f AS (SELECT doc_id AS path, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines FROM documents), d AS (SELECT dst AS path, count(*) AS n FROM edges GROUP BY 1),
+    c AS (SELECT id, 'exists' AS k, CAST((lines IS NOT NULL) AS BIGINT) AS actual, lines IS NOT NULL AS ok FROM i LEFT JOIN f USING (path) UNION ALL SELECT id, 'large_file', lines, coalesce(lines > 200, false) FROM i LEFT JOIN f USING (path) WHERE type = 'complexity' UNION ALL SELECT id, 'deep_nesting', CASE WHEN lines IS NULL THEN NULL ELSE 0 END, false FROM i LEFT JOIN f USING (path) WHERE type = 'complexity' UNION ALL SELECT id, 'unreferenced', coalesce(n, 0), coalesce(n, 0) = 0 FROM i LEFT JOIN d USING (path) WHERE type = 'dead_code')
+    SELECT id, k AS "check", actual, ok AS passed FROM c""",
+    "edges",
+)
+def content_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    i = views.table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 == 0, "complexity").when(k % 3 == 1, "bug").otherwise("dead_code").alias("type"), F.col("o_custkey").alias("path")).distinct()
+    f = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), code.line_count(F.col("text")).alias("lines"), F.regexp_count("text", F.lit(r": any\b|\bas any\b")).cast("long").alias("any_count"), F.lit(0).cast("long").alias("depth"))
+    return registers.content_checks(i, f, graph.dependents(views.edges(spark, sf_dir)))
+
+
+MD = "md AS (SELECT o_orderkey AS id, '---' || chr(10) || 'id: IS-' || o_orderkey || chr(10) || 'type: ' || (CASE o_orderkey % 2 WHEN 0 THEN 'bug' ELSE 'ux' END) || chr(10) || 'source_files: [a' || o_custkey || '.ts, b.ts]' || chr(10) || '---' || chr(10) || 'text' AS raw FROM orders)"
+
+
+@query("SELECT o_orderkey AS k, 'IS-' || o_orderkey AS id, CASE o_orderkey % 2 WHEN 0 THEN 'bug' ELSE 'ux' END AS type, 'a' || o_custkey || '.ts,b.ts' AS source_files FROM orders")
+def frontmatter_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    raw = F.concat(F.lit("---\nid: IS-"), k.cast("string"), F.lit("\ntype: "), F.when(k % 2 == 0, "bug").otherwise("ux"), F.lit("\nsource_files: [a"), F.col("o_custkey").cast("string"), F.lit(".ts, b.ts]\n---\ntext"))
+    rows = views.table(spark, sf_dir, "orders").select(k.alias("k"), readers.parse_issue(raw).alias("i"))
+    return rows.select("k", "i.id", "i.type", F.array_join("i.source_files", ",").alias("source_files"))
+
+
+@query("SELECT max(event_id) + 1 AS next FROM (SELECT event_id % 99000 AS event_id FROM events WHERE event_id % 99000 BETWEEN 100 AND 99999)")
+def next_issue_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("event_id") % 99000).cast("string")
+    rows = views.table(spark, sf_dir, "events").filter("event_id % 99000 between 100 and 99999").select(F.concat(F.lit("IS-"), n, F.lit("-HIGH.md")).alias("name"))
+    return registers.next_issue_number(rows).select(F.col("next").cast("long").alias("next"))
