@@ -28,14 +28,21 @@ def greedy(files: DataFrame, edges: DataFrame) -> DataFrame:
     barrels = files.filter("is_barrel").select(F.col("path").alias("node"))
     reached = durable(reach_two(seeds, edges, barrels))
     hub = hubs(reached).select("node")
-    shut = hub.unionAll(barrels).distinct().join(seeds, "node", "left_anti")
+    closed = durable(hub.unionAll(barrels).distinct())  # may be seeds, but are never claimed
+    shut = closed.join(seeds, "node", "left_anti")
     inner = edges.join(shut.select(F.col("node").alias("src")), "src", "left_anti").join(shut.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
     comp = components(files.select(F.col("path").alias("node")), inner)
-    first = files.filter("is_seed").orderBy(F.desc("tokens"), "path").limit(1).select("path")
-    first = [r["path"] for r in first.collect()]
-    claims = reached.join(hub, "node", "left_anti").join(barrels, "node", "left_anti").select(F.col("seed"), F.col("node").alias("path"))
-    uses = edges.join(seeds.select(F.col("node").alias("dst")), "dst").join(hub.unionAll(barrels).distinct().select(F.col("node").alias("src")), "src", "left_anti").select(F.col("dst").alias("seed"), F.col("src").alias("path"))
-    wanted = claims.unionAll(uses).unionAll(seeds.select(F.col("node").alias("seed"), F.col("node").alias("path"))).distinct()
+    first = [r["path"] for r in files.filter("is_seed").orderBy(F.desc("tokens"), "path").limit(1).select("path").collect()]
+    # what a seed may claim: a dependency, a dependency of one (``via``), a dependent
+    open_ = edges.select("src", "dst").distinct().join(closed.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    one = seeds.join(open_, F.col("node") == F.col("src")).select(F.col("node").alias("seed"), F.col("dst").alias("path"))
+    two = one.withColumnRenamed("path", "via").join(open_, F.col("via") == F.col("src")).select("seed", F.col("dst").alias("path"), "via")
+    uses = edges.join(seeds, F.col("dst") == F.col("node")).join(closed.select(F.col("node").alias("src")), "src", "left_anti").select(F.col("dst").alias("seed"), F.col("src").alias("path"))
+    seed, way = F.col("seed"), lambda n: F.lit(n).alias("way")
+    wanted = (
+        seeds.select(F.col("node").alias("seed"), F.col("node").alias("path"), F.col("node").alias("via"), way(0))
+        .unionAll(one.select("seed", "path", seed.alias("via"), way(1))).unionAll(two.select("seed", "path", "via", way(2))).unionAll(uses.select("seed", "path", seed.alias("via"), way(3))).distinct()
+    )
     size = files.select("path", "tokens")
     rows = wanted.join(size, "path").join(size.select(F.col("path").alias("seed"), F.col("tokens").alias("seed_tokens")), "seed").join(comp.select(F.col("node").alias("seed"), "component"), "seed")
 
@@ -45,11 +52,16 @@ def greedy(files: DataFrame, edges: DataFrame) -> DataFrame:
         for seed, part in sorted(pdf.groupby("seed"), key=lambda x: (-x[1]["seed_tokens"].iloc[0], x[0])):
             if seed in taken:
                 continue
-            own = [(p, t) for p, t in zip(part["path"], part["tokens"]) if p not in taken]
-            if sum(t for _, t in own) < least and seed not in first:
+            own, near = {}, {seed}
+            for way, path, via, n in sorted(zip(part["way"], part["path"], part["via"], part["tokens"])):
+                if path not in taken and (way != 2 or via in near):
+                    own.setdefault(path, n)
+                    if way == 1:
+                        near.add(path)
+            if sum(own.values()) < least and seed not in first:
                 continue
-            taken.update(p for p, _ in own)
-            out += [(seed, p, t) for p, t in own]
+            taken.update(own)
+            out += [(seed, p, n) for p, n in own.items()]
         return pd.DataFrame(out, columns=["cluster", "path", "tokens"]).astype({"tokens": "int64"})
 
     kind = files.schema["path"].dataType.simpleString()
