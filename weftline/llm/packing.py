@@ -43,7 +43,7 @@ class Ids(dict):
     tokenizer; any other word goes to it whole.
     """
 
-    def __init__(self, name: str, bound: int = 400_000):
+    def __init__(self, name: str, bound: int = 900_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         if not os.path.isabs(name):
@@ -80,10 +80,10 @@ class Ids(dict):
         if len(self.parts) > self.bound:
             self.parts.clear()
         split = [(t or "").encode().split() for t in texts]
-        if new := {w for words in split for w in words if w not in self}:
+        if new := set().union(*split).difference(self):
             self.learn(new)
         for words in split:
-            yield b"".join([self[w] for w in words])
+            yield b"".join(map(self.__getitem__, words))
 
 
 _ids: dict[str, Ids] = {}
@@ -96,7 +96,7 @@ def cut(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids = _ids.get(tokenizer) or _ids.setdefault(tokenizer, Ids(tokenizer))
-        for batch in chunks(batches):
+        for batch in chunks(batches, 8_000_000):
             out: list[tuple] = []
             for doc, got in zip(batch.column(0).to_pylist(), ids.encode(batch.column(1).to_pylist())):
                 got += end
