@@ -37,6 +37,17 @@ def durable(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns named c0, c1, ..., so that no name of an operator clashes, and the new names."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Back to the columns that ``numbered`` got."""
+    return rows.select(*names.values()).toDF(*names)
+
+
 def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 

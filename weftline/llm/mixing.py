@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import durable, unit_interval
+from weftline.llm.common import durable, numbered, renamed, unit_interval
 
 DIMENSIONS = ("_source", "_lang", "_topic")
 
@@ -115,6 +115,8 @@ def weigh(
     return out.withColumn("_taken", unit_interval(F.col(id_col), F.lit(seed)) < F.col("_probability"))
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, source_col: str = "source", lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
     """The sampled rows with the columns they came with."""
-    return weigh(docs, **how).filter("_taken").select(*docs.columns)
+    rows, names = numbered(docs)
+    got = weigh(rows, source_col=names[source_col], lang_col=names[lang_col], text_col=names[text_col], id_col=names[id_col], **how)
+    return renamed(got.filter("_taken"), names)

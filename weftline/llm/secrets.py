@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.common import numbered, renamed
+
 # The base patterns and the least lengths of what they find.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -165,11 +167,12 @@ def find(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text
 
 def redact(docs: DataFrame, mark: str = "[secret]", model: str | None = None, text_col: str = "text") -> DataFrame:
     """The same rows and columns with every span of the text replaced by ``mark``; overlapping spans become one."""
-    columns = docs.columns
-    rows = with_spans(docs, model, text_col, "_found")
+    rows, names = numbered(docs)
+    text_col = names[text_col]
+    rows = with_spans(rows, model, text_col, "_found")
     step = lambda acc, x: F.when(
         x["start"] >= acc["at"],
         F.struct(F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)).alias("out"), x["end"].alias("at")),
     ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at")))
     folded = F.aggregate("_found", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    return rows.withColumn(text_col, F.when(F.size("_found") > 0, folded).otherwise(F.col(text_col))).select(*columns)
+    return renamed(rows.withColumn(text_col, F.when(F.size("_found") > 0, folded).otherwise(F.col(text_col))), names)
