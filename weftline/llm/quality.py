@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import WordHashes, chunks, mixed
+from weftline.llm.common import WordHashes, chunks, mixed, numbered, renamed
 
 SAMPLE = 3000
 BITS = 16
@@ -190,12 +190,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
                 [batch.column(0), batch.column(1), pa.array([x[0].tobytes() for x in got], pa.binary()), pa.array([x[1].tobytes() for x in got], pa.binary())], names=["id", "label", "slots", "values"]
             )
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = sorted(r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
+        # a fixed shuffle, so that the part kept out of the fit does not follow the ids
+        parts = [parts[k] for k in np.random.default_rng(1).permutation(len(parts))]
+        weights, *rest = fit([(y, np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for _, y, s, v in parts])
+        yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()]), *[pa.array([float(x)]) for x in rest]], names=["weights", "bias", "slope", "intercept"])
+
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id").select("_id", "_label", "_text")
-    got = rows.mapInArrow(work, "id long, label int, slots binary, values binary").toArrow().to_pydict()
-    parts = sorted(zip(got["id"], got["label"], got["slots"], got["values"]))
-    # a fixed shuffle, so that the part kept out of the fit does not follow the ids
-    parts = [parts[k] for k in np.random.default_rng(1).permutation(len(parts))]
-    return fit([(y, np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for _, y, s, v in parts])
+    sparse = rows.mapInArrow(work, "id long, label int, slots binary, values binary")
+    # one task fits the bounded sample; the driver gets the weights alone
+    got = sparse.repartition(1).mapInArrow(learn, "weights binary, bias double, slope double, intercept double").first()
+    return np.frombuffer(got["weights"], np.float32), got["bias"], got["slope"], got["intercept"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float, float], keep: float = KEEP, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -221,6 +227,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float, float], keep:
     return scored.withColumn("_base_failed", failed).withColumn("_kept", ~failed & (F.col("_p_good") >= keep))
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
+def filter_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with the columns they came with."""
-    return score(docs, train(docs, labels), keep).filter("_kept").select(*docs.columns)
+    model = train(docs, labels, id_col=id_col, text_col=text_col)
+    rows, names = numbered(docs)
+    return renamed(score(rows, model, keep, names[text_col]).filter("_kept"), names)
