@@ -25,6 +25,7 @@ columns are kept by ``keep_one``.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +34,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHashes, chunks, components, durable, mixed
+from weftline.llm.common import WordHashes, chunks, components, durable, mixed, numbered, renamed
 
 SHINGLE = 5
 #: The least similarity as a fraction of whole numbers.
 NUM, DEN = 80, 100
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 WIDE = 16
 PIVOTS = 4
 BLOCK = 2048
+#: Rows of ids or pairs of ids (8 or 16 bytes each) that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 class Shingles:
@@ -87,20 +90,20 @@ def sketch(docs: DataFrame, text_col: str = "text", bits: int = SKETCH_BITS) ->
             if got:
                 total += np.bincount((np.concatenate(got) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
         rows = total.reshape(-1, part)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["k", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())], names=["k", "c"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.uint32).astype(np.uint64) for c in pdf["c"])
+        total = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64) for c in pdf["c"])
         return pd.DataFrame({"k": pdf["k"].iloc[:1], "c": [np.round(2 * np.log2(1.0 + total)).astype(np.uint8).tobytes()]})
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
             for k, c in zip(pdf["k"], pdf["c"]):
-                x = np.frombuffer(c, np.uint32).astype(np.uint64)
+                x = np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64)
                 sums[k] = sums[k] + x if k in sums else x
         if sums:
-            yield pd.DataFrame({"k": list(sums), "c": [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()]})
+            yield pd.DataFrame({"k": list(sums), "c": [zlib.compress(np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes(), 1) for x in sums.values()]})
 
     parts = docs.select(F.col(text_col)).mapInArrow(count, "k int, c binary")
     summed = parts.repartition(F.col("k")).mapInPandas(fold, "k int, c binary").groupBy("k").applyInPandas(add, "k int, c binary")
@@ -152,6 +155,12 @@ def _linked(common: int, n: int, m: int) -> bool:
     return DEN * common >= NUM * (n + m - common)
 
 
+def few(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Ids or pairs of ids, to be broadcast if they are ``most`` rows at most; beyond that an ordinary join stays."""
+    ids = durable(ids)
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s{side}"))
@@ -164,7 +173,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(_linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = sets.join(few(ends), "doc_id", "left_semi")
+    both = few(pairs).join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(work, "a long, b long")
 
 
@@ -224,22 +235,24 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     some = base.filter("n > 0")
     classes = some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     doubled = classes.filter("copies > 1").select("key", "rep")
-    reps = some.join(doubled, "key", "left").filter("rep is null or rep = doc_id").select("doc_id", "n", "prefix").dropDuplicates(["doc_id"])
-    members = base.join(doubled, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    # whole prefixes stay where they are: what goes by id or key is small, and broadcast if it is few
+    lost = some.select("doc_id", "key").join(doubled, "key").filter("doc_id <> rep").select("doc_id").distinct()
+    reps = some.join(few(lost), "doc_id", "left_anti").select("doc_id", "n", "prefix")
+    members = base.select("doc_id", "n", "key").join(doubled, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
 
     # classes with one prefix and size are one group, known by its smallest member
-    grouped = durable(reps.withColumn("p", F.xxhash64("prefix")).select("doc_id", "n", "p", "prefix"))
-    groups = grouped.groupBy("n", "p").agg(F.min("doc_id").alias("g"), F.count(F.lit(1)).alias("many"))
+    grouped = reps.withColumn("p", F.xxhash64("prefix")).select("doc_id", "n", "p", "prefix")
+    groups = grouped.select("doc_id", "n", "p").groupBy("n", "p").agg(F.min("doc_id").alias("g"), F.count(F.lit(1)).alias("many"))
     # only groups of several classes need their members listed
     listed = durable(grouped.select("doc_id", "n", "p").join(groups.filter("many > 1"), ["n", "p"]).select("g", "doc_id"))
-    heads = grouped.join(listed.filter("g <> doc_id").select("doc_id"), "doc_id", "left_anti")
+    heads = grouped.join(few(listed.filter("g <> doc_id").select("doc_id")), "doc_id", "left_anti")
     tokens = heads.select(F.col("doc_id").alias("g"), "n", F.explode("prefix").alias("t"))
     counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
     shared = durable(tokens.join(counts, "t").select("t", "g", "n", "f"))
 
-    few = shared.filter(F.col("f") <= WIDE)
+    narrow = shared.filter(F.col("f") <= WIDE)
     # lists are short here; equal lists give equal pairs and are taken once
-    lists = few.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("g", "n"))).alias("l")).select("l").distinct()
+    lists = narrow.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("g", "n"))).alias("l")).select("l").distinct()
     pairs = lists.select(F.explode(F.expr(
         f"flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, {WIDE}), y -> {DEN} * least(x.n, y.n) >= {NUM} * greatest(x.n, y.n)), y -> struct(x.g as a, y.g as b))))"
     )).alias("p")).select("p.a", "p.b")
@@ -261,7 +274,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     bags = durable(grown.unionAll(own).unionAll(outer))
     candidates = durable(candidates.unionAll(inner).distinct())
     open_ids = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).unionAll(bags.select("doc_id")).distinct()
-    sets = durable(whole_sets(docs, open_ids, id_col, text_col).dropDuplicates(["doc_id"]))
+    sets = durable(whole_sets(docs, few(open_ids), id_col, text_col))
     edges = durable(verified(candidates, sets))
 
     more = settle(bags, edges, sets)
@@ -309,6 +322,9 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that of its smallest id; rows without an id stay; the columns they came with."""
     lost = resolve(docs, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("_lost"))
-    left = docs.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
+    rows, names = numbered(docs)
+    id_col, text_col = names[id_col], names[text_col]
+    left = rows.join(lost.distinct(), F.col(id_col) == F.col("_lost"), "left_anti")
     first = Window.partitionBy(id_col).orderBy(text_col)
-    return left.withColumn("_r", F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(first))).filter("_r = 1").select(*docs.columns)
+    kept = left.withColumn("_r", F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(first))).filter("_r = 1")
+    return renamed(kept, names)
