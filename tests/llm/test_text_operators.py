@@ -86,6 +86,28 @@ def test_mixing_reaches_the_marginals(spark, docs):
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_probabilities_reach_what_the_targets_allow(spark):
+    """Expected and taken tokens, with a source of a third of all rows and a topic too rare for its target."""
+    rng = random.Random(8)
+    rows = [(k, "big" if k % 3 == 0 else f"s{k % 7}", rng.choice(["en", "en", "en", "fr"]), ("12345 " if k % 25 == 0 else "word ") * rng.choice([20, 150, 1500])) for k in range(6000)]
+    w = mixing.weigh(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")).toPandas()
+    total = w["_tokens"].sum()
+    assert math.isclose((w["_tokens"] * w["_probability"]).sum(), 0.5 * total, rel_tol=1e-6) and w["_probability"].max() <= 1
+    short = 0
+    for d in mixing.DIMENSIONS:
+        have = w["_tokens"].groupby(w[d]).sum()
+        goal = (have / total) ** 0.5
+        low, high = 0.0, 1e3 * total
+        for _ in range(200):  # the level at which values, none above all it has, make half of the tokens
+            level = (low + high) / 2
+            low, high = (level, high) if np.minimum(have, level * goal).sum() < 0.5 * total else (low, level)
+        reach = np.minimum(have, level * goal)
+        short += (reach == have).sum()
+        assert np.allclose((w["_tokens"] * w["_probability"]).groupby(w[d]).sum() / reach, 1, atol=0.005)
+        assert np.allclose((w["_tokens"] * w["_taken"]).groupby(w[d]).sum() / total, reach / total, atol=0.02)
+    assert short >= 1
+
+
 def test_quality_counts_against_plain_python(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = quality.train(docs, labels)

@@ -2,9 +2,11 @@
 
 Tokens (words of the text) are summed for each cell of source, language and topic.  Raking
 multiplies the cells of each source, language and topic in turn until their weighted tokens have
-the target marginals; a document's probability is its cell's weight times one scale, 1 at most,
-where the scale makes the expected number of sampled tokens the wanted one.  A document is taken
-if a hash of its id, a uniform number, lies below its probability.  Only DataFrame functions.
+the target marginals: the weights.  Probabilities are raked under their bound: each factor makes
+the expected tokens of a value, with cells at 1 at most, what it can reach.  That is its target's
+share of the wanted tokens, but all it has where that is less; the others of its dimension then
+share the rest by their targets.  A document is taken if a hash of its id, a uniform number, lies
+below its probability.  Only DataFrame functions.
 
 Targets default to shares raised to ``flatten`` and normalised, so that rare sources gain.  Cells
 number sources x languages x topics, not documents; they stay distributed, in ordinary joins.
@@ -16,12 +18,14 @@ one document; an empty table gives no rows; other columns are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import durable, numbered, renamed, unit_interval
 
 DIMENSIONS = ("_source", "_lang", "_topic")
+#: Sweeps between two checkpoints.
+AT_ONCE = 4
 
 
 def words(text: Column) -> Column:
@@ -43,6 +47,18 @@ def topic(text: Column, n: Column) -> Column:
     )
 
 
+def _bounded(rows: DataFrame, by: str, goal: str, whole: str, tie: list[str]) -> DataFrame:
+    """_w times the factor f of each value of ``by`` for which the sum of n * min(1, _w * f) is its goal.
+
+    With the rows of largest _w at 1 the sum is a line in f; the sum itself is the least of these
+    lines, so that f is the largest of the places where they reach the goal.
+    """
+    rest = Window.partitionBy(by).orderBy("_w", *tie).rowsBetween(Window.unboundedPreceding, 0)
+    line = F.try_divide(F.col(goal) - F.col(whole) + F.sum("n").over(rest), F.sum(F.col("n") * F.col("_w")).over(rest))
+    most = F.coalesce(F.max("_line").over(Window.partitionBy(by)), F.lit(1.0))
+    return rows.withColumn("_line", line).withColumn("_w", F.least(F.col("_w") * most, F.lit(1e12))).drop("_line")
+
+
 def weigh(
     docs: DataFrame,
     fraction: float = 0.5,
@@ -73,43 +89,40 @@ def weigh(
     if total is None:  # no tokens: nothing to weigh
         return rows.withColumns({"_weight": F.lit(1.0), "_probability": F.lit(float(fraction))}).withColumn("_taken", unit_interval(F.col(id_col), F.lit(seed)) < fraction)
 
-    goals = {}
+    wanted = min(1.0, fraction) * total
+    # each cell carries, for its three values, the tokens they have, their goals, and what of them can be reached
     for d, name in zip(DIMENSIONS, ("source", "lang", "topic")):
-        goal = cells.groupBy(d).agg(F.pow(F.sum("n") / total, F.lit(flatten)).alias("g"))
+        goal = cells.groupBy(d).agg(F.sum("n").alias("n"), F.pow(F.sum("n") / total, F.lit(flatten)).alias("g"))
         if named := (targets or {}).get(name):
-            goal = goal.join(F.broadcast(spark.createDataFrame(list(named.items()), f"{d} string, own double")), d, "left").select(d, F.coalesce("own", "g").alias("g"))
-        goals[d] = durable(goal.crossJoin(F.broadcast(goal.agg(F.sum("g").alias("all")))).select(d, (F.col("g") / F.col("all") * total).alias("goal")).coalesce(1))
+            goal = goal.join(F.broadcast(spark.createDataFrame(list(named.items()), f"{d} string, own double")), d, "left").select(d, "n", F.coalesce("own", "g").alias("g"))
+        goal = goal.withColumns({"_one": F.lit(0), "_w": F.col("g") / F.col("n"), "_goal": F.lit(wanted), "_all": F.lit(total), "g": F.col("g") / F.sum("g").over(Window.partitionBy(F.lit(0))) * total})
+        goal = _bounded(goal, "_one", "_goal", "_all", [d])
+        cells = cells.join(durable(goal.select(d, F.col("n").alias(f"all{d}"), F.col("g").alias(f"goal{d}"), (F.col("n") * F.least(F.lit(1.0), "_w")).alias(f"reach{d}")).coalesce(1)), d)
+
+    def sweep(c: DataFrame) -> DataFrame:
+        for d in DIMENSIONS:
+            now = F.sum(F.col("n") * F.col("_w")).over(Window.partitionBy(d))
+            c = c.withColumn("_w", F.col("_w") * F.coalesce(F.try_divide(F.col(f"goal{d}"), now), F.lit(1.0)))
+        return c
 
-    fitted = cells.withColumn("w", F.lit(1.0))
-    for _ in range(sweeps):
-        off = []
+    def bounded_sweep(c: DataFrame) -> DataFrame:
         for d in DIMENSIONS:
-            now = fitted.groupBy(d).agg(F.sum(F.col("n") * F.col("w")).alias("now"))
-            factor = now.join(goals[d], d).select(d, (F.col("goal") / F.col("now")).alias("f"))
-            fitted = fitted.join(factor, d).withColumn("w", F.col("w") * F.col("f"))
-            off.append(d)
-            fitted = fitted.withColumnRenamed("f", f"f{d}")
-        fitted = durable(fitted)
-        worst = fitted.agg(*[F.max(F.abs(F.ln(f"f{d}"))) for d in off]).first()
-        fitted = fitted.drop(*[f"f{d}" for d in off])
-        if max(worst) < tolerance:
-            break
-
-    # the scale: cells reach probability 1 in order of weight; between them the expectation is linear
-    wanted = fraction * total
-    scale, full, part = 0.0, 0.0, total
-    for _ in range(60):
-        r = fitted.agg(
-            F.sum(F.when(F.col("w") * scale >= 1, F.col("n")).otherwise(0.0)).alias("full"),
-            F.sum(F.when(F.col("w") * scale < 1, F.col("n") * F.col("w")).otherwise(0.0)).alias("part"),
-        ).first()
-        full, part = r["full"], r["part"]
-        new = (wanted - full) / part if part > 0 else float("inf")
-        if new <= scale * (1 + 1e-12):
-            break
-        scale = new
-    scale = min(scale, 1e300)
-    weights = fitted.select(*DIMENSIONS, F.col("w").alias("_weight"), F.least(F.lit(1.0), F.col("w") * scale).alias("_probability"))
+            c = _bounded(c, d, f"reach{d}", f"all{d}", DIMENSIONS)
+        return c
+
+    def settled(c: DataFrame, step, value: Column, most: int) -> DataFrame:
+        """After the sweep that changes ``value`` by less than the tolerance, or the last."""
+        for at in range(0, most, AT_ONCE):
+            for _ in range(min(AT_ONCE, most - at)):
+                c = step(c.withColumn("_was", value))
+            c = durable(c)
+            if c.agg(F.max(F.abs(value - F.col("_was")))).first()[0] < tolerance:
+                break
+        return c
+
+    fitted = settled(cells.withColumn("_w", F.lit(1.0)), sweep, F.col("_w"), sweeps).withColumn("_weight", F.col("_w"))
+    fitted = settled(fitted.withColumn("_w", F.col("_w") * fraction), bounded_sweep, F.least(F.lit(1.0), "_w"), 2 * sweeps)
+    weights = fitted.select(*DIMENSIONS, "_weight", F.least(F.lit(1.0), "_w").alias("_probability"))
     # cells without tokens (empty texts) keep weight 1
     out = rows.join(weights, list(DIMENSIONS), "left").withColumns({"_weight": F.coalesce("_weight", F.lit(1.0)), "_probability": F.coalesce("_probability", F.lit(float(fraction)))})
     return out.withColumn("_taken", unit_interval(F.col(id_col), F.lit(seed)) < F.col("_probability"))
