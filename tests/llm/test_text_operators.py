@@ -147,6 +147,18 @@ def test_sharding_law_and_groups(spark, docs):
     assert sharding.shard_documents(docs.limit(0)).count() == 0 and sharding.shard_documents(docs.limit(3)).count() == 3
 
 
+def test_sharding_keeps_groups_whole_in_many_buckets(spark, monkeypatch):
+    """One text in a third of the rows beside many small groups, with quotas split over buckets."""
+    monkeypatch.setattr(sharding, "RANK_ROWS", 60)
+    i = F.col("id")
+    rows = spark.range(6000).select(i.alias("doc_id"), F.when(i < 2000, "hot").when(i < 3800, F.concat(F.lit("t"), (i % 600).cast("string"))).otherwise(i.cast("string")).alias("text"))
+    got = sharding.shard_documents(rows, 4).join(rows, "doc_id").withColumn("part", F.when(F.col("text") == "hot", F.pmod(F.xxhash64("doc_id"), F.lit(6))).otherwise(0))
+    groups = got.groupBy("text", "part").agg(F.count_distinct("shard").alias("s"), F.count("*").alias("n")).filter("n > 1").toPandas()
+    small, hot = groups[groups["text"] != "hot"], groups[groups["text"] == "hot"]
+    assert len(small) == 600 and (small["s"] == 1).all() and (hot["s"] == 1).sum() >= 4
+    assert sorted(r["count"] for r in got.groupBy("shard").count().collect()) == [1500] * 4
+
+
 def test_packing_round_trip(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer

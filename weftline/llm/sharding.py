@@ -3,7 +3,9 @@
 Documents with equal texts are linked (a star around the text).  Every linked document starts in
 a shard given by its id.  In each round a group looks at the shards of its members, prefers the
 one that holds most of them and still has room, and moves there as a whole while that shard's
-quota lasts; quotas of a round are split over buckets, so that acceptance is decided in parallel.
+quota lasts, those that need least first; quotas of a round are split over buckets, so that
+acceptance is decided in parallel, and what the buckets leave goes to the least of those refused
+there, whatever their size.  Rounds end when no group moves.
 Groups larger than a quarter of a shard are split by a hash of the document id first, so that no
 task ever meets one whole hot group.  Documents without links then fill what is left, which makes
 row counts differ by one at most.  Everything is DataFrame code.
@@ -15,6 +17,7 @@ looked at.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -26,8 +29,11 @@ from weftline.llm.common import durable, exact_rank, utf8
 RANK_ROWS = 50_000
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot, group_size: row counts of shards are at most one apart."""
+def shard_documents(docs: DataFrame, shards: int = 24, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot, group_size: row counts of shards are at most one apart.
+
+    rounds: at most so many; without it, until no group moves (a group moves once).
+    """
     text = utf8(F.col(text_col))
     base = durable(docs.select(
         F.col(id_col).alias("doc_id"),
@@ -55,7 +61,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 3, id_col:
     spark = docs.sparkSession
     every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
     placed = None
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         free = every.join(state.groupBy("shard").agg(F.sum("n").alias("used")), "shard", "left").select(
             "shard", (quota - F.coalesce("used", F.lit(0))).alias("free")
         )  # one row a shard
@@ -68,20 +74,25 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 3, id_col:
             F.max_by("n", F.struct((F.col("free") >= F.col("all") - F.col("n")).cast("int"), "n", -F.col("shard"))).alias("there"),
         )
         want = want.withColumn("need", F.col("all") - F.col("there")).filter("need > 0")
-        turn = Window.partitionBy("to", "b").orderBy(F.desc("all"), *key).rowsBetween(Window.unboundedPreceding, 0)
-        moves = (
+        least = [F.col("need"), *map(F.col, key)]
+        turn = Window.partitionBy("to", "b").orderBy(*least)
+        upto = turn.rowsBetween(Window.unboundedPreceding, 0)
+        want = durable(
             want.withColumn("b", F.pmod(F.xxhash64(*key), F.lit(buckets)))
-            .withColumn("sum", F.sum("need").over(turn))
+            .withColumn("sum", F.sum("need").over(upto))
             .join(F.broadcast(free.withColumnRenamed("shard", "to")), "to")
-            .filter(F.col("sum") <= F.floor(F.col("free") / buckets))
-            .select(*key, "to")
+            .withColumn("goes", F.col("sum") <= F.floor(F.col("free") / buckets))
         )
-        moves = durable(moves)
+        # what is left goes to the least of those refused, of which each bucket shows an equal part
+        left = want.groupBy("to").agg((F.first("free") - F.sum(F.when(F.col("goes"), F.col("need")).otherwise(0))).alias("left"))
+        shown = want.filter("not goes").withColumn("k", F.row_number().over(turn)).filter(F.col("k") <= max(1, RANK_ROWS // buckets))
+        late = shown.withColumn("sum", F.sum("need").over(Window.partitionBy("to").orderBy(*least).rowsBetween(Window.unboundedPreceding, 0)))
+        late = late.join(F.broadcast(left), "to").filter(F.col("sum") <= F.col("left"))
+        moves = durable(want.filter("goes").select(*key, "to").unionAll(late.select(*key, "to")))
         if moves.isEmpty():
             break
         state = durable(state.join(moves, key, "left").groupBy(*key, F.coalesce("to", "shard").alias("shard")).agg(F.sum("n").alias("n")))
-        later = moves.withColumnRenamed("to", "later")
-        placed = moves if placed is None else durable(placed.join(later, key, "full").select(*key, F.coalesce("later", "to").alias("to")))
+        placed = moves if placed is None else placed.unionAll(moves)
     out = linked
     if placed is not None:
         out = linked.join(placed, key, "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
