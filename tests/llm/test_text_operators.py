@@ -249,3 +249,20 @@ def test_pseudo_likelihood_against_a_plain_loop(spark, docs):
     assert trained > pseudolikelihood.score(docs, (words, pseudolikelihood.start(counts))).agg(F.sum("log_prob")).first()[0]
     empty = docs.limit(0)
     assert pseudolikelihood.score(empty, pseudolikelihood.train(empty)).count() == 0
+
+
+def test_pseudo_likelihood_learns_from_every_place(spark):
+    """What texts of 32 words tell at their fifth and sixth places alone."""
+    rng = random.Random(6)
+    pairs = [("beta", "alpha"), ("delta", "gamma")]
+
+    def text(pair):
+        w = [f"f{rng.randrange(8)}" for _ in range(32)]
+        w[4:6] = pair
+        return " ".join(w)
+
+    rows = [(k, text(rng.choice(pairs))) for k in range(3000)]
+    model = pseudolikelihood.train(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    swapped = [(k, t.replace("alpha", "x").replace("gamma", "alpha").replace("x", "gamma")) for k, t in rows[:200]]
+    mean = lambda r: pseudolikelihood.score(spark.createDataFrame(r, "doc_id long, text string"), model).agg(F.avg("log_prob")).first()[0]
+    assert mean(rows[:200]) > mean(swapped) + 2

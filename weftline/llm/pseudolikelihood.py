@@ -4,7 +4,8 @@ Words of all documents are counted; the commonest ``VOCAB - HASHED`` get a numbe
 share ``HASHED`` numbers by a hash.  A network sees the two words before and the two behind a place
 (never the word itself), and predicts it in two steps, the class of its number and the number in
 the class.  Training is data-parallel: in each round every task trains on every ``STRIDE``-th place
-of its share of all documents, starting from the same parameters, and the results are averaged by
+of its share of all documents, the rounds on different ones, so that after the last every place has
+been a target once; tasks start a round from the same parameters, and the results are averaged by
 the places they saw, so that what is gathered follows the input while the parameters keep their
 size.  A document's score is the sum of its words' conditional log-probabilities.
 
@@ -30,7 +31,8 @@ CLASSES, SIZE = 32, 32
 VOCAB = CLASSES * SIZE
 HASHED = 64
 DIM, HIDDEN, SIDE = 16, 32, 2
-STRIDE, ROUNDS, BATCH = 32, 2, 512
+#: As many rounds as a stride has phases: every word place is a training target, once.
+STRIDE, ROUNDS, BATCH = 2, 2, 512
 SHAPES = {"e": (VOCAB + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "i": (CLASSES, HIDDEN, SIZE), "ib": (CLASSES, SIZE)}
 Params = dict[str, np.ndarray]
 
@@ -119,25 +121,27 @@ def log_probs(p: Params, ids: np.ndarray, at: np.ndarray, wide: int = 32_768) ->
 
 def step(p: Params, seen: Params, ids: np.ndarray, at: np.ndarray, rate: float = 0.1) -> None:
     """One Adagrad step on the places ``at``."""
+    at = at[np.argsort(ids[at], kind="stable")]  # words of one class together
     n, context, target = len(at), _context(ids, at), ids[at]
     x = p["e"][context].reshape(n, -1)
     h = np.tanh(x @ p["w"] + p["b"])
     cls, pos, rows = target // SIZE, target % SIZE, np.arange(n)
     dc = np.exp(_log_softmax(h @ p["c"] + p["cb"]))
     dc[rows, cls] -= 1
-    di = np.exp(_log_softmax(np.einsum("nh,nhs->ns", h, p["i"][cls]) + p["ib"][cls]))
-    di[rows, pos] -= 1
-    dh = dc @ p["c"].T + np.einsum("ns,nhs->nh", di, p["i"][cls])
-    dz = dh * (1 - h * h)
-    g = {"c": h.T @ dc, "cb": dc.sum(0), "w": x.T @ dz, "b": dz.sum(0), "i": np.zeros_like(p["i"]), "ib": np.zeros_like(p["ib"]), "e": np.zeros_like(p["e"])}
-    np.add.at(g["ib"], cls, di)
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    dh = dc @ p["c"].T
+    g = {"c": h.T @ dc, "cb": dc.sum(0), "i": np.zeros_like(p["i"]), "ib": np.zeros_like(p["ib"])}
+    cut = np.searchsorted(cls, np.arange(CLASSES + 1))
     for c in range(CLASSES):
-        part = order[cut[c] : cut[c + 1]]
-        if len(part):
-            g["i"][c] = h[part].T @ di[part]
-    np.add.at(g["e"], context.ravel(), (dz @ p["w"].T).reshape(-1, DIM))
+        part = slice(cut[c], cut[c + 1])
+        if cut[c] < cut[c + 1]:
+            di = np.exp(_log_softmax(h[part] @ p["i"][c] + p["ib"][c]))
+            di[np.arange(len(di)), pos[part]] -= 1
+            dh[part] += di @ p["i"][c].T
+            g["i"][c], g["ib"][c] = h[part].T @ di, di.sum(0)
+    dz = dh * (1 - h * h)
+    g |= {"w": x.T @ dz, "b": dz.sum(0)}
+    to = (context.ravel()[:, None] * DIM + np.arange(DIM)).ravel()
+    g["e"] = np.bincount(to, (dz @ p["w"].T).ravel(), p["e"].size).astype(np.float32).reshape(p["e"].shape)
     for k, d in g.items():
         d /= n
         seen[k] += d * d
