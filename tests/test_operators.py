@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import code, paths
 from weftline.operators import clusters, graph, registers, render, tasks
-from weftline.sources import readers
+from weftline.plans import registry
+from weftline.sources import readers, views
 
 
 def one(df):
@@ -142,6 +143,31 @@ def test_greedy_clusters(spark):
     assert {(r.cluster, r.path) for r in clusters.merged(cf).collect()} == {("p", "1"), ("p", "2"), ("p", "3"), ("r", "9")}
 
 
+def test_seed_clusters_over_all_edges_against_a_plain_loop(spark):
+    sf = "/root/testdata/sf0.001"
+    tokens = {r.doc_id: 30 * r.tokens for r in registry._ranked(spark, sf).select("doc_id", "tokens").collect()}
+    out, back = {}, {}
+    for r in views.edges(spark, sf).collect():
+        out.setdefault(r.src, set()).add(r.dst), back.setdefault(r.dst, set()).add(r.src)
+    seeds, barrels = {d for d in tokens if d % 11 == 4}, {d for d in tokens if d % 53 == 0}
+    near = lambda x, shut: out.get(x, set()) - shut
+    reached = {s: (near(s, barrels) | {y for x in near(s, barrels) for y in near(x, barrels)}) - {s} for s in seeds}
+    shut = barrels | {d for d in tokens if sum(d in x for x in reached.values()) >= 3}
+    total = spark.createDataFrame([(sum(tokens.values()),)], "t long")
+    least = total.select(code.cluster_thresholds(F.col("t"))["min_tokens"]).first()[0]
+    taken, want = set(), set()
+    order = sorted(seeds, key=lambda s: (-tokens[s], s))
+    for s in order:
+        if s not in taken:
+            one = near(s, shut) - taken
+            own = {s} | one | {y for x in one | {s} for y in near(x, shut)} | (back.get(s, set()) - shut)
+            own = {x for x in own - taken if x in tokens}
+            if sum(tokens[x] for x in own) >= least or s == order[0]:
+                taken |= own
+                want |= {(s, x, tokens[x]) for x in own}
+    assert {tuple(r) for r in registry.queries()["seed_clusters"](spark, sf).collect()} == want and any(d < 40 for d in taken - seeds)
+
+
 def test_patterns_links_and_gates(spark):
     pc = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (3, "z")], "id int, cluster string")
     c = lambda *x: spark.createDataFrame([(k,) for k in x], "cluster string")

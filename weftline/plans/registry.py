@@ -262,7 +262,7 @@ def seed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-dependent claims: no SQL form; tests hold it against a plain loop."""
     r = _ranked(spark, sf_dir)
     f = r.select(F.col("doc_id").alias("path"), (30 * F.col("tokens")).alias("tokens"), (F.col("doc_id") % 11 == 4).alias("is_seed"), (F.col("doc_id") % 53 == 0).alias("is_barrel"))
-    return clusters.greedy(f, views.edges(spark, sf_dir).filter("dst >= 40"))
+    return clusters.greedy(f, views.edges(spark, sf_dir))
 
 
 @query(
