@@ -70,20 +70,43 @@ def test_secrets_train_from_given_samples_and_redact(spark, docs):
     assert secrets.find(empty).count() == 0 and secrets.redact(empty).count() == 0
 
 
-def test_mixing_reaches_the_marginals(spark, docs):
-    w = mixing.weigh(docs, fraction=0.4).toPandas()
-    w = w[w["_tokens"] > 0]
-    total = w["_tokens"].sum()
-    for d in mixing.DIMENSIONS:
-        share = (w["_tokens"].groupby(w[d]).sum() / total) ** 0.5
-        goal = share / share.sum()
-        now = (w["_tokens"] * w["_weight"]).groupby(w[d]).sum() / total
-        assert np.allclose(now.loc[goal.index], goal, atol=0.02)
-    assert math.isclose((w["_tokens"] * w["_probability"]).sum(), 0.4 * total, rel_tol=1e-6)
-    assert ((w["_probability"] > 0) & (w["_probability"] <= 1)).all()
-    named = mixing.weigh(docs, targets={"lang": {"en": 0.9}}).filter("_tokens > 0").groupBy("_lang").agg(F.sum(F.col("_tokens") * F.col("_weight")).alias("n")).toPandas()
-    assert named.loc[named["_lang"] == "en", "n"].iloc[0] / named["n"].sum() > 0.4
-    assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs.limit(0)).count() == 0
+def test_mixing_odd_rows(spark, docs):
+    got = mixing.mix(docs, targets={"lang": {"en": 0.9}})
+    assert got.columns == docs.columns and mixing.mix(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.weigh(docs, carry=("doc_id", "_taken"))
+
+
+def plain_raking(w, fraction, sweeps=2000):
+    """Weights and probabilities of the cells by loops: raking, then raking under the bound by bisection."""
+    cells = w.groupby(list(mixing.DIMENSIONS))["_tokens"].sum().reset_index()
+    n, total = cells["_tokens"].to_numpy(float), float(cells["_tokens"].sum())
+    codes = [cells[d].factorize()[0] for d in mixing.DIMENSIONS]
+    goals, reaches = [], []
+    for c in codes:
+        have = np.bincount(c, n)
+        goal = np.sqrt(have / total)
+        goals.append(goal / goal.sum() * total)
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if np.minimum(have, level * goal).sum() < fraction * total else (low, level)
+        reaches.append(np.minimum(have, level * goal))
+    weight = np.ones(len(n))
+    for _ in range(sweeps):
+        for c, goal in zip(codes, goals):
+            weight = weight * (goal / np.bincount(c, n * weight))[c]
+    p = weight * fraction
+    for _ in range(sweeps // 10):
+        for c, reach in zip(codes, reaches):
+            for v in range(len(reach)):
+                at = c == v
+                low, high = 1e-30, 1e30
+                for _ in range(100):
+                    f = math.sqrt(low * high)
+                    low, high = (f, high) if (n[at] * np.minimum(1, p[at] * f)).sum() < reach[v] * (1 - 1e-12) else (low, f)
+                p[at] = np.minimum(p[at] * high, 1e12)
+    return cells.assign(weight=weight, probability=np.minimum(p, 1))
 
 
 def test_mixing_probabilities_reach_what_the_targets_allow(spark):
@@ -91,6 +114,10 @@ def test_mixing_probabilities_reach_what_the_targets_allow(spark):
     rng = random.Random(8)
     rows = [(k, "big" if k % 3 == 0 else f"s{k % 7}", rng.choice(["en", "en", "en", "fr"]), ("12345 " if k % 25 == 0 else "word ") * rng.choice([20, 150, 1500])) for k in range(6000)]
     w = mixing.weigh(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")).toPandas()
+    text = {r[0]: r[3] for r in rows}
+    assert all(n == len(text[d].split()) for d, n in zip(w["doc_id"], w["_tokens"]))
+    plain = w.merge(plain_raking(w, 0.5), on=list(mixing.DIMENSIONS))
+    assert np.abs(plain["_weight"] - plain["weight"]).max() < 2e-3 and np.abs(plain["_probability"] - plain["probability"]).max() < 2e-3
     total = w["_tokens"].sum()
     assert math.isclose((w["_tokens"] * w["_probability"]).sum(), 0.5 * total, rel_tol=1e-6) and w["_probability"].max() <= 1
     short = 0

@@ -8,16 +8,22 @@ share of the wanted tokens, but all it has where that is less; the others of its
 share the rest by their targets.  A document is taken if a hash of its id, a uniform number, lies
 below its probability.  Only DataFrame functions.
 
-Targets default to shares raised to ``flatten`` and normalised, so that rare sources gain.  Cells
-number sources x languages x topics, not documents; they stay distributed, in ordinary joins.
+Targets default to shares raised to ``flatten`` and normalised, so that rare sources gain.  Texts
+are read once: what a document adds to its cell is written down in the shared folder, with the
+columns asked for.  Cells number sources x languages x topics, not documents; up to ``CELLS`` of
+them are raked in one partition, so that a sweep is sorts without a shuffle, more stay distributed.
+The arithmetic is the same.  Raking that has not settled after its sweeps says so in a warning.
 
 Cases: null source or language is a category of its own (the empty string); a null text has no
 tokens, topic "empty" and is never counted but can be sampled; repeated rows have one fate, being
-one document; an empty table gives no rows; other columns are kept.
+one document; an empty table gives no rows; columns named like the operator's are no matter, as the
+rows are numbered by position inside.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +31,9 @@ from weftline.llm.common import durable, numbered, renamed, unit_interval
 
 DIMENSIONS = ("_source", "_lang", "_topic")
 #: Sweeps between two checkpoints.
-AT_ONCE = 4
+AT_ONCE = 3
+#: Cells, of some hundred bytes, that one partition rakes.
+CELLS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -34,7 +42,7 @@ def words(text: Column) -> Column:
 
 
 def topic(text: Column, n: Column) -> Column:
-    """A coarse topic from the make-up of the text, by fixed rules in this order."""
+    """The form of a text, which stands for its topic where no column names one; fixed rules in this order."""
     share = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / F.greatest(F.length(text), F.lit(1))
     return (
         F.when((n == 0) | text.isNull(), "empty")
@@ -71,23 +79,34 @@ def weigh(
     lang_col: str = "lang",
     text_col: str = "text",
     id_col: str = "doc_id",
+    topic_col: str | None = None,
+    carry: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """The rows with _source, _lang, _topic, _tokens, _weight, _probability, _taken.
+    """The columns ``carry`` of the rows (the id alone unless given) with _source, _lang, _topic,
+    _tokens, _weight, _probability, _taken.
 
     targets: for any of source, lang, topic the wanted share of each value; values not named keep
-    their default share; all are normalised.
+    their default share; all are normalised.  ``topic_col``: a column that names each row's topic;
+    without one it is the text's form (see ``topic``).  ``carry`` may not hold the names added here.
     """
+    carry = (id_col,) if carry is None else carry
+    if clash := {*DIMENSIONS, "_tokens", "_weight", "_probability", "_taken", "_drawn"}.intersection(carry):
+        raise ValueError(f"columns {sorted(clash)} are added here")
     spark = docs.sparkSession
-    n = words(F.col(text_col))
-    rows = docs.withColumn("_tokens", n).withColumns({
-        "_source": F.coalesce(F.col(source_col), F.lit("")),
-        "_lang": F.coalesce(F.col(lang_col), F.lit("")),
-        "_topic": topic(F.col(text_col), F.col("_tokens")),
-    })
-    cells = durable(rows.groupBy(*DIMENSIONS).agg(F.sum("_tokens").cast("double").alias("n")).filter("n > 0").coalesce(8))
-    total = cells.agg(F.sum("n")).first()[0]
+    text = F.col(text_col)
+    drawn = unit_interval(F.col(id_col), F.lit(seed))
+    rows = docs.withColumn("_tokens", words(text)).select(
+        *carry, F.coalesce(F.col(source_col), F.lit("")).alias("_source"), F.coalesce(F.col(lang_col), F.lit("")).alias("_lang"),
+        (F.coalesce(F.col(topic_col), F.lit("")) if topic_col else topic(text, F.col("_tokens"))).alias("_topic"), "_tokens", drawn.alias("_drawn"),
+    )
+    rows = durable(rows)
+    cells = durable(rows.groupBy(*DIMENSIONS).agg(F.sum("_tokens").cast("double").alias("n")).filter("n > 0"))
+    whole = cells.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")).first()
+    total = whole["t"]
     if total is None:  # no tokens: nothing to weigh
-        return rows.withColumns({"_weight": F.lit(1.0), "_probability": F.lit(float(fraction))}).withColumn("_taken", unit_interval(F.col(id_col), F.lit(seed)) < fraction)
+        return rows.withColumns({"_weight": F.lit(1.0), "_probability": F.lit(float(fraction)), "_taken": F.col("_drawn") < fraction}).drop("_drawn")
+    together = (lambda c: c.coalesce(1)) if whole["c"] <= CELLS else (lambda c: c)
+    cells = together(cells)
 
     wanted = min(1.0, fraction) * total
     # each cell carries, for its three values, the tokens they have, their goals, and what of them can be reached
@@ -97,7 +116,8 @@ def weigh(
             goal = goal.join(F.broadcast(spark.createDataFrame(list(named.items()), f"{d} string, own double")), d, "left").select(d, "n", F.coalesce("own", "g").alias("g"))
         goal = goal.withColumns({"_one": F.lit(0), "_w": F.col("g") / F.col("n"), "_goal": F.lit(wanted), "_all": F.lit(total), "g": F.col("g") / F.sum("g").over(Window.partitionBy(F.lit(0))) * total})
         goal = _bounded(goal, "_one", "_goal", "_all", [d])
-        cells = cells.join(durable(goal.select(d, F.col("n").alias(f"all{d}"), F.col("g").alias(f"goal{d}"), (F.col("n") * F.least(F.lit(1.0), "_w")).alias(f"reach{d}")).coalesce(1)), d)
+        goal = durable(goal.select(d, F.col("n").alias(f"all{d}"), F.col("g").alias(f"goal{d}"), (F.col("n") * F.least(F.lit(1.0), "_w")).alias(f"reach{d}")).coalesce(1))
+        cells = together(durable(cells.join(goal, d)))
 
     def sweep(c: DataFrame) -> DataFrame:
         for d in DIMENSIONS:
@@ -110,26 +130,30 @@ def weigh(
             c = _bounded(c, d, f"reach{d}", f"all{d}", DIMENSIONS)
         return c
 
-    def settled(c: DataFrame, step, value: Column, most: int) -> DataFrame:
+    def settled(c: DataFrame, step, value: Column, most: int, what: str) -> DataFrame:
         """After the sweep that changes ``value`` by less than the tolerance, or the last."""
+        left = 0.0
         for at in range(0, most, AT_ONCE):
             for _ in range(min(AT_ONCE, most - at)):
                 c = step(c.withColumn("_was", value))
-            c = durable(c)
-            if c.agg(F.max(F.abs(value - F.col("_was")))).first()[0] < tolerance:
-                break
+            c = together(durable(c))
+            left = c.agg(F.max(F.abs(value - F.col("_was")))).first()[0]
+            if left < tolerance:
+                return c
+        warnings.warn(f"raking of {what} ends at {most} sweeps with a last change of {left:.2g}", stacklevel=3)
         return c
 
-    fitted = settled(cells.withColumn("_w", F.lit(1.0)), sweep, F.col("_w"), sweeps).withColumn("_weight", F.col("_w"))
-    fitted = settled(fitted.withColumn("_w", F.col("_w") * fraction), bounded_sweep, F.least(F.lit(1.0), "_w"), 2 * sweeps)
+    fitted = settled(cells.withColumn("_w", F.lit(1.0)), sweep, F.col("_w"), sweeps, "weights").withColumn("_weight", F.col("_w"))
+    fitted = settled(fitted.withColumn("_w", F.col("_w") * fraction), bounded_sweep, F.least(F.lit(1.0), "_w"), 2 * sweeps, "probabilities")
     weights = fitted.select(*DIMENSIONS, "_weight", F.least(F.lit(1.0), "_w").alias("_probability"))
+    weights = F.broadcast(weights) if whole["c"] <= CELLS else weights
     # cells without tokens (empty texts) keep weight 1
     out = rows.join(weights, list(DIMENSIONS), "left").withColumns({"_weight": F.coalesce("_weight", F.lit(1.0)), "_probability": F.coalesce("_probability", F.lit(float(fraction)))})
-    return out.withColumn("_taken", unit_interval(F.col(id_col), F.lit(seed)) < F.col("_probability"))
+    return out.withColumn("_taken", F.col("_drawn") < F.col("_probability")).drop("_drawn").select(*carry, *DIMENSIONS, "_tokens", "_weight", "_probability", "_taken")
 
 
-def mix(docs: DataFrame, source_col: str = "source", lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
+def mix(docs: DataFrame, source_col: str = "source", lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", topic_col: str | None = None, **how) -> DataFrame:
     """The sampled rows with the columns they came with."""
     rows, names = numbered(docs)
-    got = weigh(rows, source_col=names[source_col], lang_col=names[lang_col], text_col=names[text_col], id_col=names[id_col], **how)
+    got = weigh(rows, source_col=names[source_col], lang_col=names[lang_col], text_col=names[text_col], id_col=names[id_col], topic_col=topic_col and names[topic_col], carry=tuple(rows.columns), **how)
     return renamed(got.filter("_taken"), names)
