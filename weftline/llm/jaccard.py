@@ -8,8 +8,9 @@ collapsed into one group.  Groups that share a prefix shingle become candidate p
 filtered by size, expanded to their members and verified on whole sets.
 
 Any fixed order is exact; rare first keeps the prefixes free of passages that many documents
-share.  Frequencies come from all documents: a sketch of ``2 ** SKETCH_BITS`` counters, of fixed
-size, whose logarithms travel to the workers.
+share.  Frequencies come from all documents: a sketch of counters whose logarithms travel to the
+workers.  It grows with the bytes of the texts, from ``2 ** SKETCH_BITS`` counters for half a GB up to
+``2 ** SKETCH_MOST``, a bound on the workers' memory, beyond which more shingles share a counter.
 
 A prefix shingle of more than ``WIDE`` groups does not give all pairs.  Its groups are compared
 with four pivots first, which is linear.  Only if the links found so far leave its groups in
@@ -39,7 +40,8 @@ from weftline.llm.common import WordHashes, chunks, components, durable, mixed,
 SHINGLE = 5
 #: The least similarity as a fraction of whole numbers.
 NUM, DEN = 80, 100
-SKETCH_BITS = 22
+SKETCH_BITS, SKETCH_LEAST, SKETCH_MOST = 22, 16, 24
+SKETCH_BYTES = 1 << 29
 WIDE = 16
 PIVOTS = 4
 BLOCK = 2048
@@ -75,6 +77,11 @@ def prefix_length(n: int) -> int:
     return n - math.ceil(NUM * n / DEN) + 1
 
 
+def sketch_bits(docs: DataFrame, text_col: str = "text") -> int:
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 1
+    return min(SKETCH_MOST, max(SKETCH_LEAST, SKETCH_BITS + round(math.log2(size / SKETCH_BYTES))))
+
+
 def sketch(docs: DataFrame, text_col: str = "text", bits: int = SKETCH_BITS) -> np.ndarray:
     """Of each of 2 ** bits counters the rounded double logarithm to base 2 of the shingles counted there, in one byte each.
 
@@ -231,10 +238,10 @@ def connect_block(left: pd.DataFrame, right: pd.DataFrame | None) -> list[tuple[
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members, edges): members doc_id, n, rep (class representative); edges a, b between
     representatives, which all link and connect whatever links connect."""
-    base = durable(signatures(docs, sketch(docs, text_col), id_col, text_col))
+    base = durable(signatures(docs, sketch(docs, text_col, sketch_bits(docs, text_col)), id_col, text_col))
     some = base.filter("n > 0")
     classes = some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    doubled = classes.filter("copies > 1").select("key", "rep")
+    doubled = few(classes.filter("copies > 1").select("key", "rep"))
     # whole prefixes stay where they are: what goes by id or key is small, and broadcast if it is few
     lost = some.select("doc_id", "key").join(doubled, "key").filter("doc_id <> rep").select("doc_id").distinct()
     reps = some.join(few(lost), "doc_id", "left_anti").select("doc_id", "n", "prefix")
@@ -320,11 +327,20 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, that of its smallest id; rows without an id stay; the columns they came with."""
-    lost = resolve(docs, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("_lost"))
+    """One row of each component, that of its smallest id; of rows with one id that of the smallest text; rows
+    without an id stay; the columns they came with.
+
+    Only ids travel: texts move where more rows go, or more ids are repeated, than may be broadcast.
+    """
+    lost = resolve(docs, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("_lost")).distinct()
     rows, names = numbered(docs)
     id_col, text_col = names[id_col], names[text_col]
-    left = rows.join(lost.distinct(), F.col(id_col) == F.col("_lost"), "left_anti")
+    left = rows.join(few(lost), F.col(id_col) == F.col("_lost"), "left_anti")
+    again = few(docs_ids(rows, id_col).groupBy("_id").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_id"))
     first = Window.partitionBy(id_col).orderBy(text_col)
-    kept = left.withColumn("_r", F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(first))).filter("_r = 1")
-    return renamed(kept, names)
+    one = left.join(again, F.col(id_col) == F.col("_id"), "left_semi").withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    return renamed(left.join(again, F.col(id_col) == F.col("_id"), "left_anti").unionByName(one), names)
+
+
+def docs_ids(rows: DataFrame, id_col: str) -> DataFrame:
+    return rows.select(F.col(id_col).alias("_id")).filter("_id is not null")
