@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -40,10 +41,10 @@ class Ids(dict):
 
     The tokenizer drops white space and never joins across it, so that a text's ids are those of
     its words.  Plain Latin words are split into pre-tokens here and only new pre-tokens go to the
-    tokenizer; any other word goes to it whole.
+    tokenizer; any other word goes to it whole.  Both are kept up to ``bound`` entries.
     """
 
-    def __init__(self, name: str, bound: int = 900_000):
+    def __init__(self, name: str, bound: int = 500_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         if not os.path.isabs(name):
@@ -57,33 +58,31 @@ class Ids(dict):
         self.plain, self.split, self.bound = regex.compile(r"[\x21-\x7e¡-ÿ]+"), regex.compile(PRETOKEN), bound
         self.parts: dict[str, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        split, odd, new = {}, [], set()
-        for w in words:
-            s = w.decode()
-            if self.plain.fullmatch(s):
-                split[w] = found = self.split.findall(s.lower())
-                new.update(found)
-            else:
-                odd.append(w)
-        fresh = [x for x in new if x not in self.parts]
-        for x, e in zip(fresh, self.bare.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.parts[x] = np.array(e.ids, "<u4").tobytes()
-        for w, found in split.items():
-            self[w] = b"".join([self.parts[x] for x in found])
-        for w, e in zip(odd, self.whole.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self) > self.bound:
+    def part(self, x: str) -> bytes:
+        got = self.parts.get(x)
+        if got is None:
+            if len(self.parts) >= self.bound:
+                self.parts.clear()
+            got = self.parts[x] = array("I", self.bare.encode(x, add_special_tokens=False).ids).tobytes()
+        return got
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.bound:
             self.clear()
-        if len(self.parts) > self.bound:
-            self.parts.clear()
-        split = [(t or "").encode().split() for t in texts]
-        if new := set().union(*split).difference(self):
-            self.learn(new)
-        for words in split:
-            yield b"".join(map(self.__getitem__, words))
+        s = word.decode()
+        if s.isascii() and s.isalpha():
+            got = self.part(s.lower())
+        elif self.plain.fullmatch(s):
+            got = b"".join(map(self.part, self.split.findall(s.lower())))
+        else:
+            got = array("I", self.whole.encode(s, add_special_tokens=False).ids).tobytes()
+        self[word] = got
+        return got
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """The ids of UTF-8 texts."""
+        for t in texts:
+            yield b"".join(map(self.__getitem__, (t or b"").split()))
 
 
 _ids: dict[str, Ids] = {}
@@ -109,7 +108,7 @@ def cut(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str =
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, PIECES)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(work, PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int, bins: int) -> tuple[list[int], list[int]]:
