@@ -1,19 +1,19 @@
 """HTML extraction: nearest-URL page differencing.
 
 A page becomes lines of text, one for each block.  Pages of one host are put next to those whose
-URL path is nearest: a host's pages are parted by the longest path beginning that at most
-``NEIGHBOURS`` pages share, and sorted by path there.  A page is aligned with the page before and
-the page behind it by the longest common subsequence of their lines, and the lines shared are
-deleted as the host's furniture.  What mark-up says outright is not left to chance: menus, headers,
-footers, asides, forms, adverts, notices, scripts, styles and reader comments never count as text,
-and the lines of an explicit article (``article``, ``main``, or such a role) are its own even where
-a neighbour tells the same.
-
-Parting depends on counts only, and no step holds more than ``NEIGHBOURS`` pages of a host.
+URL path is nearest: the different outlines (sequences of lines) of a host are sorted by path, in
+ranges of bounded size that reach one row into their neighbours, so that every outline meets the one
+before and the one behind it, whatever the size of the host.  It is aligned with both by the longest
+common subsequence of their lines, and the lines shared are deleted as the host's furniture.  What
+mark-up says outright is not left to chance: menus, headers, footers, asides, forms, adverts, notices,
+scripts, styles and reader comments never count as text, and the lines of an explicit article
+(``article``, ``main``, or such a role) are its own even where a neighbour tells the same, as an
+article may be printed twice; differencing decides for pages without one.
 
 Cases: null or empty html gives the empty text; a null URL is a host of its own without
-differencing; repeated pages are kept each; unclosed and crossing tags are read leniently; pages of
-any length are read whole; an empty table gives no rows; other columns are not looked at.
+differencing; repeated pages are kept each; an outline that a neighbour holds whole keeps its lines,
+being a copy; unclosed and crossing tags are read leniently; pages of any length are read whole; an
+empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 import bisect
 import html as entities
 import re
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,11 +32,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import chunks, durable
 
-NEIGHBOURS = 256
 #: Pages with deletions, a few hundred bytes each, that may be broadcast.
 BROADCAST_ROWS = 20_000
-#: Lengths of path beginnings that part a large host.
-LEVELS = (0, 4, 5, 6, 7, 8, 12, 16, 24, 40)
 
 # HTML elements by what they are to a reader.
 RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "select"}
@@ -183,58 +181,96 @@ def _url(u: Column, group: int) -> Column:
     return F.coalesce(F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)", group), F.lit(""))
 
 
+def outline(page: list[tuple[str, bool]]) -> tuple[bytes, list[int]]:
+    """A page's lines as hashes, and one hash of them all."""
+    lines = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x, _ in page]
+    return xxhash.xxh3_128_digest(array("q", lines).tobytes()), lines
+
+
 def outlines(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, has_main, hashes (of the lines): small rows that stand for pages."""
+    """page_id, url, host, path, has_main, key (of the outline), hashes (of its lines): small rows that stand for pages."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             got = [blocks(x) for x in batch.column(2).to_pylist()]
+            keys, lines = zip(*map(outline, got)) if got else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array([any(m for _, m in p) for p in got], pa.bool_()),
-                    pa.array([[xxhash.xxh3_64_intdigest(x) - (1 << 63) for x, _ in p] for p in got], pa.list_(pa.int64())),
+                    pa.array(keys, pa.binary()),
+                    pa.array(lines, pa.list_(pa.int64())),
                 ],
-                names=["page_id", "url", "has_main", "hashes"],
+                names=["page_id", "url", "has_main", "key", "hashes"],
             )
 
-    rows = pages.mapInArrow(work, "page_id long, url string, has_main boolean, hashes array<long>")
+    rows = pages.mapInArrow(work, "page_id long, url string, has_main boolean, key binary, hashes array<long>")
     return rows.withColumns({"host": F.lower(_url(F.col("url"), 1)), "path": _url(F.col("url"), 2)})
 
 
-def parted(rows: DataFrame, most: int) -> DataFrame:
-    """Adds part: pages of a host with the shortest common path beginning that at most ``most`` pages
-    share; pages of one very common path are dealt by a hash."""
-    paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("c"))
-    levels = F.array(*[F.struct(F.lit(n).alias("n"), F.substring("path", 1, n).alias("begin")) for n in LEVELS])
-    begun = paths.select("host", "path", "c", F.explode(levels).alias("l")).select("host", "path", "c", "l.*")
-    small = begun.groupBy("host", "n", "begin").agg(F.sum("c").alias("m")).filter(F.col("m") <= most).select("host", "n", "begin")
-    level = begun.join(small, ["host", "n", "begin"]).groupBy("host", "path").agg(F.min("n").alias("n"))
-    known = paths.join(level, ["host", "path"], "left")
-    known = known.select("host", "path", F.coalesce("n", F.lit(-1)).alias("n"), F.when(F.col("n").isNull(), F.ceil(F.col("c") / most)).otherwise(1).alias("deal"))
-    begin = F.when(F.col("n") < 0, F.col("path")).otherwise(F.expr("substring(path, 1, n)"))
-    return rows.join(known, ["host", "path"]).withColumn("part", F.xxhash64("host", "n", begin, F.pmod(F.xxhash64("url", "page_id"), F.col("deal"))))
+ROW = "host string, path string, key binary, open boolean, hashes array<long>"
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", neighbours: int = NEIGHBOURS) -> DataFrame:
+def neighboured(rows: DataFrame) -> DataFrame:
+    """rows: host, path, key, open, hashes, one row an outline.  (host, key, drop) of the open ones, whose lines
+    a neighbour shares.
+
+    Rows are sorted by host and path over ranges; the last row of a range goes to the range behind
+    it as well, the first to the range before, and each range is read in order, three rows at a time.
+    """
+    dealt = durable(rows.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key").withColumn("p", F.spark_partition_id()))
+    used = sorted(r["p"] for r in dealt.select("p").distinct().collect())  # numbers of ranges
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if last is None and used.index(pdf["p"].iloc[0]):
+                yield pdf.iloc[:1].assign(p=used[used.index(pdf["p"].iloc[0]) - 1])
+            last = pdf.iloc[-1:]
+        if last is not None and last["p"].iloc[0] != used[-1]:
+            yield last.assign(p=used[used.index(last["p"].iloc[0]) + 1])
+
+    more = dealt.mapInPandas(ends, f"{ROW}, p int").withColumn("own", F.lit(False))
+    whole = dealt.withColumn("own", F.lit(True)).unionByName(more)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        two: list = []  # the rows before, at most two
+        out: list[tuple] = []
+
+        def settle(before, at, behind) -> None:
+            if at.own and at.open:
+                near = [list(x.hashes) for x in (before, behind) if x is not None and x.host == at.host and x.p == at.p]
+                if found := furniture(list(at.hashes), near):
+                    out.append((at.host, at.key, found))
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if two:
+                    settle(two[0] if len(two) > 1 else None, two[-1], row)
+                two = [*two[-1:], row]
+            yield pd.DataFrame(out, columns=["host", "key", "drop"])
+            out.clear()
+        if two:
+            settle(two[0] if len(two) > 1 else None, two[-1], None)
+        yield pd.DataFrame(out, columns=["host", "key", "drop"])
+
+    return whole.repartition("p").sortWithinPartitions("p", "host", "path", "key").mapInPandas(compare, "host string, key binary, drop array<int>")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = parted(durable(outlines(pages).filter("url is not null")), neighbours)
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["path", "url", "page_id"], kind="stable").reset_index(drop=True)
-        hashes = [list(h) for h in pdf["hashes"]]
-        out = []
-        for k, whole in enumerate(pdf["has_main"]):
-            if not whole:
-                near = [hashes[j] for j in (k - 1, k + 1) if 0 <= j < len(pdf) and hashes[j] != hashes[k]]
-                if found := furniture(hashes[k], near):
-                    out.append((pdf["page_id"][k], pdf["url"][k], found))
-        return pd.DataFrame(out, columns=["page_id", "url", "drop"])
-
-    drops = rows.select("page_id", "url", "path", "has_main", "hashes", "part").groupBy("part").applyInPandas(compare, "page_id long, url string, drop array<int>")
-    drops = durable(drops.dropDuplicates(["page_id", "url"]))
+    rows = durable(outlines(pages).filter("url is not null"))
+    # pages of one outline and host are one row, at their first path; hosts without a page to difference stay out
+    wanted = rows.filter("not has_main").select("host").distinct()
+    distinct = rows.join(wanted, "host", "left_semi").groupBy("host", "key").agg(F.min("path").alias("path"), F.bool_or(~F.col("has_main")).alias("open"), F.first("hashes").alias("hashes"))
+    drops = neighboured(distinct.select("host", "path", "key", "open", "hashes"))
+    drops = rows.filter("not has_main").select("page_id", "url", "host", "key").join(drops, ["host", "key"])
+    # of pages of one id and URL each outline has its own
+    drops = durable(drops.groupBy("page_id", "url").agg(F.collect_set(F.struct("key", "drop")).alias("drops")))
     # mostly there are few: then they go to the pages; beyond a bound the pages are shuffled to them
     few = drops.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     drops = F.broadcast(drops) if few else drops
@@ -242,11 +278,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             text = []
-            for page, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                got, drop = blocks(page), set(drop or ())
+            for page, drops in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                got, drop = blocks(page), ()
                 whole = any(m for _, m in got)
+                if drops and not whole:
+                    drop = set(next((x["drop"] for x in drops if x["key"] == outline(got)[0]), ()))
                 text.append(" ".join(x for k, (x, m) in enumerate(got) if (m if whole else k not in drop)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = pages.join(drops, pages["page_id"].eqNullSafe(drops["page_id"]) & (pages["url"] == drops["url"]), "left").select(pages["page_id"], pages["url"], "html", "drop")
+    joined = pages.join(drops, pages["page_id"].eqNullSafe(drops["page_id"]) & (pages["url"] == drops["url"]), "left").select(pages["page_id"], pages["url"], "html", "drops")
     return joined.mapInArrow(work, "page_id long, url string, text string, n_chars long")
