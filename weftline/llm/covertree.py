@@ -1,14 +1,15 @@
 """Embedding near-dedup: dual traversal of cover trees, exact pairs of cosine 0.93 or more within a label.
 
 On unit vectors a cosine of c is a distance of sqrt(2 - 2c), so pairs are found by distance.  Equal
-vectors of a label are one class with a weight.  The top level of the tree is distributed: up to
-``PIVOTS`` vectors of each label, by a hash, are centres; every vector goes to its nearest one, and
-two cells meet only if their centres are no farther apart than their covering radii and the
-distance allow; a vector enters only those meetings that its own distance to the other centre
-allows.  Large cells are dealt into blocks of ``BLOCK`` at most, so that a task has two blocks.  A
-task builds a cover tree of each, nested levels with radii halving from 1, and goes down both at
-once, level by level, dropping node pairs whose centres are too far apart for their covering
-radii.  What is left at the leaves is compared by cosine in double precision.
+vectors of a label are one class with a weight.  The upper levels of the tree are distributed: a cell
+(at first a label) of more than ``BLOCK`` classes is split by ``PIVOTS`` of its vectors as centres,
+every vector going to its nearest one, and again until cells are small enough.  A vector also visits
+the cells whose centre is no farther than their covering radius and the distance allow, of two cells
+that of the lower number is visited.  What no centres split any more is dealt into blocks, and so
+are visitors, so that a task has at most two blocks.  A task builds a cover tree of each, nested
+levels with radii halving from 1, and goes down both at once, level by level, dropping node pairs
+whose centres are too far apart for their covering radii.  What is left at the leaves is compared by
+cosine in double precision.
 
 A task does not emit pairs: it gives each class the summed weight of those it links with, and one
 link that connects it within the task.  Components come from these.
@@ -33,6 +34,7 @@ from weftline.llm.common import components, durable
 from weftline.llm.jaccard import Merged
 
 COSINE = 0.93
+#: Centres that split a cell.
 PIVOTS = 16
 BLOCK = 2048
 RADII = (1.0, 0.5, 0.25, 0.125)
@@ -149,6 +151,52 @@ def block_links(left: pd.DataFrame, right: pd.DataFrame | None, least: float) ->
     return [(int(ids[k]), int(links[k]), int(ids[merged.root(int(k))])) for k in np.flatnonzero(links)]
 
 
+PLACED = "rep long, label string, cell string, own boolean, w long, v array<double>, i int, d array<double>"
+
+
+def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each row the nearest of its cell's centres and the distances to all."""
+    for pdf in batches:
+        near, far = [], []
+        for v, cs in zip(pdf["v"], pdf["cs"]):
+            v = np.asarray(v, float)
+            d = np.sqrt(np.maximum(((np.stack(cs) - v / np.sqrt(v @ v)) ** 2).sum(1), 0))
+            near.append(int(d.argmin())), far.append(d.tolist())
+        yield pdf[["rep", "label", "cell", "own", "w", "v"]].assign(i=near, d=far)
+
+
+def split(rows: DataFrame, within: float, level: int, block: int) -> tuple[DataFrame | None, DataFrame]:
+    """rows: rep, label, cell, own, w, v.  (rows of the children of large cells, or none if nothing is large;
+    rows of the others).
+
+    Own rows go to their nearest centre's cell; they visit children of a lower number than theirs,
+    visitors of the whole cell any, where their distance to the centre is no more than the child's
+    radius and ``within``.  A cell whose rows all have one nearest centre is not split.
+    """
+    key = ["label", "cell"]
+    sizes = rows.filter("own").groupBy(*key).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > block).select(*key)
+    large = durable(sizes)  # fewer than classes / block
+    if large.isEmpty():
+        return None, rows
+    unit = F.expr("transform(v, x -> x / sqrt(aggregate(v, 0D, (t, y) -> t + y * y)))")
+    here = rows.join(large, key)
+    h = F.xxhash64("rep", F.lit(level))
+    centres = here.filter("own").groupBy(*key, F.pmod(h, F.lit(PIVOTS)).alias("k")).agg(F.min_by(unit, F.struct(h, "rep")).alias("c"))
+    centres = centres.groupBy(*key).agg(F.collect_list("c").alias("cs"))  # at most PIVOTS a cell
+    placed = durable(here.join(centres, key).select("rep", "label", "cell", "own", "w", "v", "cs").mapInPandas(assign, PLACED))
+    radii = placed.filter("own").groupBy(*key, "i").agg(F.max(F.element_at("d", F.col("i") + 1)).alias("r"))
+    radii = durable(radii.groupBy(*key).agg(F.collect_list(F.struct("i", "r")).alias("cells")).filter(F.size("cells") > 1))
+    children = placed.join(radii, key)
+    to = F.expr(f"""
+        concat(if(own, array(struct(i as i, true as own)), cast(array() as array<struct<i:int,own:boolean>>)),
+            transform(filter(cells, c -> (not own or c.i < i) and d[c.i] <= c.r + {within!r}), c -> struct(c.i as i, false as own)))
+    """)
+    down = children.select("rep", "label", "cell", "w", "v", F.explode(to).alias("t"))
+    down = down.select("rep", "label", F.concat("cell", F.lit("/"), F.col("t.i").cast("string")).alias("cell"), F.col("t.own").alias("own"), "w", "v")
+    stuck = here.join(radii.select(*key), key, "left_anti")
+    return durable(down), rows.join(large, key, "left_anti").unionByName(stuck)
+
+
 def near_duplicates(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -157,46 +205,35 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, id_col: str = "ve
     rows = rows.withColumn("v", F.when(fine & (norm > 0) & (norm < float("inf")), F.col("v")))
     # the number of components is part of the label, so that vectors of different length never meet
     valid = rows.filter("v is not null").withColumn("label", F.concat_ws("/", F.col("label").cast("string"), F.size("v").cast("string")))
-    classes = valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"))
-    classes = durable(classes)
-    unit = F.expr("transform(v, x -> x / sqrt(aggregate(v, 0D, (t, y) -> t + y * y)))")
-    # a label has a centre for each BLOCK of its classes, at most PIVOTS: the lowest hash of each hash bucket
-    many = classes.groupBy("label").agg(F.least(F.lit(PIVOTS), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("many"))
-    named = classes.join(many, "label").withColumn("h", F.xxhash64("rep"))
-    centres = named.groupBy("label", F.pmod("h", F.col("many")).alias("k")).agg(F.min_by(unit, F.struct("h", "rep")).alias("c"))
-    centres = centres.groupBy("label").agg(F.collect_list("c").alias("cs"))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cells, far = [], []
-            for v, cs in zip(pdf["v"], pdf["cs"]):
-                v = np.asarray(v, float)
-                d = np.sqrt(np.maximum(((np.stack(cs) - v / np.sqrt(v @ v)) ** 2).sum(1), 0))
-                cells.append(int(d.argmin())), far.append(d.tolist())
-            yield pd.DataFrame({"rep": pdf["rep"], "label": pdf["label"], "w": pdf["w"], "v": pdf["v"], "i": cells, "d": far})
-
-    placed = durable(classes.join(centres, "label").select("rep", "label", "w", "v", "cs").mapInPandas(assign, "rep long, label string, w long, v array<double>, i int, d array<double>"))
-    stats = placed.groupBy("label", "i").agg(F.max(F.element_at("d", F.col("i") + 1)).alias("r"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
-    stats = stats.groupBy("label").agg(F.collect_list(F.struct("i", "r", "k")).alias("cells"))  # at most PIVOTS a label
+    classes = durable(valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w")))
     within = math.sqrt(max(0.0, 2 - 2 * least)) + SLACK
-    met = placed.join(stats, "label").withColumn("own", F.expr("filter(cells, c -> c.i = i)[0]"))
-    met = met.withColumn("bi", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("own.k")).cast("int"))
-    meets = F.expr(f"""
-        flatten(transform(filter(cells, c -> c.i = i or d[c.i] <= c.r + {within!r}), c ->
-            transform(sequence(0, c.k - 1), b -> if(struct(i as i, bi as b) <= struct(c.i as i, b as b),
-                struct(i as i, bi as bi, c.i as j, b as bj, 0 as side), struct(c.i as i, b as bi, i as j, bi as bj, 1 as side)))))
+    down, leaves, level = classes.select("rep", "label", F.lit("").alias("cell"), F.lit(True).alias("own"), "w", "v"), None, 0
+    while down is not None:
+        down, done = split(down, within, level, BLOCK)
+        leaves = done if leaves is None else leaves.unionByName(done)
+        level += 1
+
+    # own rows of a cell and its visitors are dealt into blocks; own blocks meet each other and those of visitors
+    key = ["label", "cell"]
+    leaves = durable(leaves)
+    n = leaves.groupBy(*key).agg(F.ceil(F.count_if("own") / BLOCK).cast("int").alias("ko"), F.ceil(F.count_if(~F.col("own")) / BLOCK).cast("int").alias("kv"))
+    met = leaves.join(n, key).withColumn("b", F.pmod(F.xxhash64("rep", F.lit(5)), F.when(F.col("own"), F.col("ko")).otherwise(F.col("kv"))).cast("int"))
+    meets = F.expr("""
+        if(own, concat(transform(sequence(0, ko - 1), j -> struct(least(b, j) as lo, greatest(b, j) as hi, if(b <= j, 0, 1) as side)),
+                       if(kv > 0, transform(sequence(0, kv - 1), j -> struct(b as lo, -1 - j as hi, 0 as side)), cast(array() as array<struct<lo:int,hi:int,side:int>>))),
+           transform(sequence(0, ko - 1), j -> struct(j as lo, -1 - b as hi, 1 as side)))
     """)
-    dealt = met.select("label", "rep", "w", "v", F.explode(meets).alias("m")).select("label", "m.*", "rep", "w", "v")
+    dealt = met.select(*key, "rep", "w", "v", F.explode(meets).alias("m")).select(*key, "m.*", "rep", "w", "v")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
-        one = pdf["i"].iloc[0] == pdf["j"].iloc[0] and pdf["bi"].iloc[0] == pdf["bj"].iloc[0]
-        left = pdf if one else pdf[pdf["side"] == 0].reset_index(drop=True)
+        one = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+        left = pdf if one else pdf[pdf["side"] == 0]
         right = None if one else pdf[pdf["side"] == 1].reset_index(drop=True)
         found = [] if right is not None and not (len(left) and len(right)) else block_links(left.reset_index(drop=True), right, least)
         return pd.DataFrame(found, columns=["rep", "links", "to"]).astype("int64")
 
-    found = durable(dealt.groupBy("label", "i", "bi", "j", "bj").applyInPandas(work, "rep long, links long, to long"))
+    found = durable(dealt.groupBy(*key, "lo", "hi").applyInPandas(work, "rep long, links long, to long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(None, found.select(F.col("rep").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("rep"), "component")
     by_class = classes.join(links, "rep", "left").join(comp, "rep", "left").select("rep", "label", "v", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
