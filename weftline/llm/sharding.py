@@ -46,10 +46,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int | None = None
     most = max(1, total // shards // 4)
     group = ["g", "text_crc32", "size"]
 
-    # a group's count comes back to its members by a join that AQE may split, not by a window
-    sizes = base.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    # a group's count comes back to its members by a join; groups that fill a quarter of a shard, of
+    # which there are fewer than 4 * shards + 1, are broadcast, so that no key of the other join is larger
+    sizes = durable(base.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"))
+    hot, cold = F.broadcast(sizes.filter(F.col("group_size") > most)), sizes.filter(F.col("group_size") <= most)
+    rest = base.join(hot, group, "left_anti")
     linked = (
-        base.join(sizes, group, "inner")
+        base.join(hot, group).unionByName(rest.join(cold, group))
         .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("group_size") / most)).cast("int"))
         .withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int"))
     )
@@ -97,7 +100,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int | None = None
     if placed is not None:
         out = linked.join(placed, key, "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
     out = out.select("doc_id", "size", "text_crc32", "g", "part", "group_size", "shard")
-    alone = base.join(sizes.select(*group), group, "left_anti").select("doc_id", "size", "text_crc32", "g", F.lit(0).alias("part"), F.lit(1).cast("long").alias("group_size"), F.lit(None).cast("int").alias("shard"))
+    alone = rest.join(cold.select(*group), group, "left_anti").select("doc_id", "size", "text_crc32", "g", F.lit(0).alias("part"), F.lit(1).cast("long").alias("group_size"), F.lit(None).cast("int").alias("shard"))
 
     b = max(1, math.ceil(total / shards / RANK_ROWS))
     tie = [F.col("g"), F.col("part"), F.col("doc_id")]
