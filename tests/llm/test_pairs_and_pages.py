@@ -93,8 +93,10 @@ def vectors(rng):
     return rows
 
 
-def test_cover_tree_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(covertree, "BLOCK", 32)  # several cells and blocks
+@pytest.mark.parametrize("block, pivots", [(32, 3), (32, 16), (4, 16), (2048, 16)])
+def test_cover_tree_against_all_pairs(spark, monkeypatch, block, pivots):
+    monkeypatch.setattr(covertree, "BLOCK", block)  # several levels of cells, visitors and blocks
+    monkeypatch.setattr(covertree, "PIVOTS", pivots)
     rows = vectors(np.random.default_rng(4))
     fine = {k: np.array(v, float) for k, v, y in rows if v and y is not None and None not in v and np.isfinite(v).all() and np.any(v)}
     label = {k: y for k, _, y in rows}
@@ -159,7 +161,56 @@ def test_extraction(spark):
     assert all(got[k][0] == f"Own text {k} More of {k}" for k in range(6))
     assert got[10][0] == "Title & more First line second line Third with link." and got[11][0] == "Welcome Top stories Own text 11 More of 11 Imprint"
     assert got[12] == ("", 0) and got[13] == ("x", 1) and got[20][0] == got[21][0] == "same"
-    assert html.extract(df, neighbours=2).count() == len(rows) and html.extract(df.limit(0)).count() == 0
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_pages_of_a_large_host_are_differenced_whatever_their_paths(spark):
+    """300 pages whose paths share 47 characters, and one beside another host's: furniture goes, text stays."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(5000)}"
+    front = "/company/newsroom/press-releases/archive/2023/q"
+    rows, want = [], {}
+    for k in range(300):
+        own = [" ".join(word() for _ in range(8)) for _ in range(rng.randrange(2, 6))]
+        want[k] = " ".join(own)
+        rows.append((k, f"https://big.example{front}{k:03}", f"<div>Home Products</div><p>{'</p><p>'.join(own)}</p><div>All rights reserved</div><p>Subscribe to updates</p>"))
+    rows.append((900, "https://zz.example/a", "<p>Alone</p><div>All rights reserved</div>"))
+    want[900] = "Alone All rights reserved"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 7):
+        assert {r.page_id: r.text for r in html.extract(df.repartition(n)).collect()} == want
+
+
+def test_neighbours_over_ranges_against_a_plain_loop(spark):
+    rng = random.Random(11)
+    rows = [(f"h{k % 3}", f"/p{rng.randrange(500):03}", k.to_bytes(4, "big"), rng.random() < 0.8, [rng.randrange(40) for _ in range(rng.randrange(9))]) for k in range(200)]
+    order = sorted(rows, key=lambda r: r[:3])
+    want = {}
+    for k, r in enumerate(order):
+        near = [order[j][4] for j in (k - 1, k + 1) if 0 <= j < len(order) and order[j][0] == r[0]]
+        if r[3] and (drop := html.furniture(r[4], near)):
+            want[r[0], r[2]] = drop
+    df = spark.createDataFrame(rows, "host string, path string, key binary, open boolean, hashes array<long>")
+    assert {(r.host, bytes(r.key)): r.drop for r in html.neighboured(df).collect()} == want and len(want) > 50
+
+
+def test_differencing_on_pages_without_mark_up(spark):
+    """The articles of the table's pages put into sites whose furniture has no telling tag or name."""
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    rng = random.Random(12)
+    menu = {s: [" ".join(f"m{rng.randrange(900)}" for _ in range(3)) for _ in range(6)] for s in range(4)}
+    rows, want = [], {}
+    for k, r in enumerate(pages):
+        inside = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
+        s = k % 4
+        div = lambda xs: "".join(f"<div>{x}</div>" for x in xs)
+        rows.append((k, f"https://s{s}.example/{'news' if k % 3 else 'blog'}/{k}", f"<body>{div(menu[s][:3])}<div>{inside}</div>{div(menu[s][3:])}</body>"))
+        want[k] = [x for x, _ in html.blocks(f"<div>{inside}</div>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    exact = sum(got[k] == " ".join(want[k]) for k in want)
+    assert not any(m in got[k] for k in got for m in menu[k % 4]) and exact >= 0.95 * len(want)
 
 
 def test_pages_against_their_articles(spark):
@@ -190,3 +241,21 @@ def test_pipeline_stages(spark):
         seen = out
     got = pipeline.run(spark, sf)
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in seen.collect()} and len(pipeline.STAGES) == 5
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null, empty, repeated and long texts, columns named like the operators', and empty tables."""
+    import corpus_pipeline as pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    odd = docs.limit(5).withColumns({"doc_id": F.col("doc_id") + 90_000, "text": F.when(F.col("doc_id") % 2 == 0, None).otherwise("")})
+    long_ = docs.limit(1).withColumns({"doc_id": F.lit(99_000).cast("long"), "text": F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda k: F.concat(F.lit("word"), k.cast("string"))))})
+    rows = docs.unionAll(docs.limit(3)).unionAll(odd).unionAll(long_).withColumns({"_taken": F.lit(1), "_n": F.lit("x"), "c0": F.lit(2), "piece": F.lit(3), "lang": F.when(F.col("doc_id") % 9 == 0, None).otherwise(F.col("lang"))})
+    for name, d in (("some", rows), ("none", rows.limit(0))):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = pipeline.run(spark, f"{tmp_path}/some").collect()
+    ids = [r.doc_id for r in got if r.piece == 0]
+    assert len(ids) == len(set(ids)) and set(ids) <= {r.doc_id for r in rows.select("doc_id").collect()} and not any(90_000 <= d < 90_100 for d in ids)
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -208,29 +208,24 @@ def test_packing_round_trip(spark, docs):
 
 @pytest.mark.parametrize("bins", [1, 3, 64])
 def test_best_fit_against_a_plain_loop(bins):
+    """Every place of every piece; of bins with equal space the one used last."""
     rng = random.Random(bins)
-    lengths = [rng.randint(1, 100) for _ in range(400)]
-    open_, closed, where = {}, 0, []
-    for n in lengths:
-        fits = [(f, b) for b, f in open_.items() if f >= n]
-        if not fits and len(open_) >= bins and n < 100:
-            del open_[min(open_, key=lambda b: open_[b])]
+    lengths = [rng.randint(1, 100) for _ in range(600)]
+    open_, n_bins, where, offset = {}, 0, [], []  # bin -> (free, time of its last piece)
+    for time, n in enumerate(lengths):
+        fits = [(f, -t, b) for b, (f, t) in open_.items() if f >= n]
         if fits:
-            least = min(fits)[0]
-            b = [b for f, b in fits if f == least][-1]
+            b = min(fits)[2]
         else:
-            b, closed = closed, closed + 1
-            open_[b] = 100
-        open_[b] -= n
-        if not open_[b]:
+            if len(open_) >= bins and n < 100:
+                del open_[min((f, -t, b) for b, (f, t) in open_.items())[2]]
+            b, n_bins = n_bins, n_bins + 1
+            open_[b] = (100, time)
+        where.append(b), offset.append(100 - open_[b][0])
+        open_[b] = (open_[b][0] - n, time)
+        if not open_[b][0]:
             del open_[b]
-        where.append(b)
-    got, offset = packing.best_fit(lengths, 100, bins)
-    fill = Counter()
-    for b, o, n in zip(got, offset, lengths):
-        assert fill[b] == o
-        fill[b] += n
-    assert max(fill.values()) <= 100 and (len(fill) == len(set(where)) or bins == 3)
+    assert packing.best_fit(lengths, 100, bins) == (where, offset)
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -239,7 +234,32 @@ def test_toxicity_on_held_out_rows(spark):
     d = d.join(labels.select("doc_id"), "doc_id")
     got = toxicity.score(d, toxicity.train(d, labels)).join(labels, "doc_id").filter(toxicity.held_out(F.col("doc_id"))).toPandas()
     said = got["score"] >= toxicity.THRESHOLD
-    assert (got.loc[said, "toxic"] == 1).mean() > 0.9 and said[got["toxic"] == 1].mean() > 0.6
+    assert (got.loc[said, "toxic"] == 1).mean() > 0.9 and said[got["toxic"] == 1].mean() > 0.72
+    assert said[got["toxic"] == 0].mean() < 0.005
+
+
+def test_toxicity_against_plain_compression(spark):
+    """Distances of every window by compressing it alone, and the score by the curve."""
+    import zstandard
+
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    toxic, ordinary, curve = toxicity.train(d, labels)
+    assert len(toxic) == len(ordinary) and toxic
+
+    def size(window, content, match):
+        how = zstandard.ZstdCompressionParameters.from_level(1, min_match=match, strategy=3, hash_log=12, chain_log=12, window_log=16, write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        held = zstandard.ZstdCompressionDict(content + bytes(16), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress(window))
+
+    for r in toxicity.score(d.filter("doc_id < 40"), (toxic, ordinary, curve)).join(d, "doc_id").collect():
+        words = r.text.lower().encode().split()
+        x = [1.0]
+        for match in toxicity.MATCHES:
+            saved = [0, *[max(0, size(w, ordinary, match) - size(w, toxic, match)) for w in (b" " + b" ".join(words[k : k + 24]) + b" " for k in range(0, len(words), 24))]]
+            each = sum(saved) / max(1, len(words) / 24)
+            x += [math.log1p(sum(saved)), math.log1p(sum(v > 0 for v in saved)), each, math.log1p(each), math.log1p(max(saved)), sum(saved) > 0]
+        assert math.isclose(r.score, 1 / (1 + math.exp(-np.dot(x, curve))), rel_tol=1e-9)
 
 
 def test_toxicity_odd_rows(spark, docs):
@@ -252,30 +272,41 @@ def test_toxicity_odd_rows(spark, docs):
 
 
 def test_pseudo_likelihood_against_a_plain_loop(spark, docs):
-    words, p = pseudolikelihood.train(docs, stride=1, rounds=1)
-    number = pseudolikelihood.Numbers(words)
+    model = pseudolikelihood.train(docs, stride=1, rounds=1)
+    v, p = model
+    number = {w: k for k, w in enumerate(v.words)}
+    count, other = Counter(), Counter()
+    for r in rows_of(docs):
+        count.update((r.text or "").lower().encode().split())
+    for w, n in count.items():
+        if w not in number:
+            other[pseudolikelihood.ending(w)] += n
+    assert v.counts == [count[w] for w in v.words] and min(v.counts) >= max((n for w, n in count.items() if w not in number), default=0)
+    assert v.endings == [other[k] for k in range(pseudolikelihood.HASHED)]
     soft = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
 
     def plain(text):
-        ids = [number[w] for w in (text or "").lower().encode().split()]
+        words = (text or "").lower().encode().split()
+        ids = [number.get(w, pseudolikelihood.VOCAB - pseudolikelihood.HASHED + pseudolikelihood.ending(w)) for w in words]
         total = 0.0
-        for k, t in enumerate(ids):
+        for k, (t, w) in enumerate(zip(ids, words)):
             near = [ids[j] if 0 <= j < len(ids) else pseudolikelihood.VOCAB for j in (k - 2, k - 1, k + 1, k + 2)]
             h = np.tanh(np.concatenate([p["e"][j] for j in near]) @ p["w"] + p["b"])
             c, s = divmod(t, pseudolikelihood.SIZE)
             total += soft(h @ p["c"] + p["cb"])[c] + soft(h @ p["i"][c] + p["ib"][c])[s]
+            if w not in number:
+                total += math.log(count[w] / other[pseudolikelihood.ending(w)])
         return len(ids), total
 
     some = docs.filter("doc_id < 15 or doc_id > 9000 and doc_id <> 9005")
     text = {r.doc_id: r.text for r in rows_of(some)}
-    for r in pseudolikelihood.score(some, (words, p)).collect():
+    for r in pseudolikelihood.score(some, model).collect():
         n, total = plain(text[r.doc_id])
-        assert r.n_tokens == n and math.isclose(r.log_prob, total, rel_tol=1e-3, abs_tol=1e-3)
-    trained = pseudolikelihood.score(docs, (words, p)).agg(F.sum("log_prob")).first()[0]
-    counts = pseudolikelihood.vocabulary(docs)[1]
-    assert trained > pseudolikelihood.score(docs, (words, pseudolikelihood.start(counts))).agg(F.sum("log_prob")).first()[0]
-    empty = docs.limit(0)
-    assert pseudolikelihood.score(empty, pseudolikelihood.train(empty)).count() == 0
+        assert r.n_tokens == n and math.isclose(r.log_prob, total, rel_tol=0.04, abs_tol=0.1)  # counts share slots and are rounded
+    mean = lambda p: pseudolikelihood.score(docs, (v, p)).agg(F.sum("log_prob")).first()[0]
+    assert mean(p) > mean(pseudolikelihood.start(v))
+    whole = pseudolikelihood.train_and_score(docs)
+    assert whole.count() == docs.count() and pseudolikelihood.train_and_score(docs.limit(0)).count() == 0
 
 
 def test_pseudo_likelihood_learns_from_every_place(spark):
@@ -288,8 +319,18 @@ def test_pseudo_likelihood_learns_from_every_place(spark):
         w[4:6] = pair
         return " ".join(w)
 
-    rows = [(k, text(rng.choice(pairs))) for k in range(3000)]
+    rows = [(k, text(rng.choice(pairs))) for k in range(6000)]
     model = pseudolikelihood.train(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
     swapped = [(k, t.replace("alpha", "x").replace("gamma", "alpha").replace("x", "gamma")) for k, t in rows[:200]]
     mean = lambda r: pseudolikelihood.score(spark.createDataFrame(r, "doc_id long, text string"), model).agg(F.avg("log_prob")).first()[0]
     assert mean(rows[:200]) > mean(swapped) + 2
+
+
+def test_words_outside_the_numbers_have_their_own_probability(spark):
+    """Two texts of rare words in equal places: the one whose words occur ten times as often scores higher, by their counts."""
+    common = [f"c{k:04}" for k in range(pseudolikelihood.VOCAB - pseudolikelihood.HASHED)]
+    rows = [" ".join(common) for _ in range(40)] + ["often" for _ in range(20)] + ["seften" for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    model = pseudolikelihood.train(df)
+    got = {r.n_tokens * 100 + r.doc_id: r.log_prob for r in pseudolikelihood.score(spark.createDataFrame([(1, "often"), (2, "seften"), (3, "never seen")], "doc_id long, text string"), model).collect()}
+    assert math.isclose(got[101] - got[102], math.log(10), abs_tol=0.1)

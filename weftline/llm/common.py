@@ -21,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints that the session names; where it is unset (tests, a local
-    session) a folder of this machine is set."""
+    """The shared folder for checkpoints that the session names; only a local session may leave it
+    unset, and gets a folder of this machine."""
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
         now = sc._jsc.sc().getCheckpointDir()
     return now.get()
 

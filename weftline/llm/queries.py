@@ -70,11 +70,50 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftline.llm.pseudolikelihood import score, train
+    from weftline.llm.pseudolikelihood import train_and_score
 
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    return train_and_score(table(spark, sf_dir, "documents"))
+
+
+# What of the operators' results SQL can express: queries that take those columns of them.
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_sharding(spark, sf_dir).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last_slot"))
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_sharding(spark, sf_dir).select("doc_id", "size")
+
+
+def mixing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_mixing(spark, sf_dir).select("doc_id", "source", "lang", "n_tokens")
+
+
+def vectors_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_embeddings(spark, sf_dir).filter("n_links > 0").select("vec_id", "n_links")
 
 
 QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op6_embeddings": op6_embeddings, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
-ORACLE: dict[str, str] = {}
+QUERIES |= {"secret_counts": secret_counts, "quality_counts": quality_counts, "shard_rows": shard_rows, "shard_sizes": shard_sizes, "mixing_tokens": mixing_tokens, "linked_vectors": vectors_in_place}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+ORACLE: dict[str, str] = {
+    "secret_counts": r"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS BIGINT) AS n_assign,
+        CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS BIGINT) AS n_access, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_hex FROM documents""",
+    "quality_counts": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents), g AS (SELECT r, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS k FROM d)), f AS (SELECT r, k FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+        p AS (SELECT r, count(DISTINCT k + j) AS n FROM f, range(3) x(j) GROUP BY r), l AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(p.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN p USING (r) LEFT JOIN l USING (r)""",
+    "shard_rows": "WITH n AS (SELECT count(*) AS n FROM documents) SELECT CAST(k AS INT) AS shard, CAST(n // 24 + (CASE WHEN k < n % 24 THEN 1 ELSE 0 END) AS BIGINT) AS n, CAST(n // 24 + (CASE WHEN k < n % 24 THEN 1 ELSE 0 END) - 1 AS BIGINT) AS last_slot FROM n, range(24) x(k)",
+    "shard_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size FROM documents",
+    "mixing_tokens": rf"SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CAST(len({WORDS}) AS BIGINT) AS n_tokens FROM documents",
+    "linked_vectors": """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS s FROM v)
+        SELECT a.vec_id, count(*) AS n_links FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.s * b.s) >= 0.93 GROUP BY 1""",
+}
