@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.paths import basename, dirname, extname, stem
@@ -14,6 +14,7 @@ ASSET_DIRECTORY = r"(^|/)(assets|images|img|icons|fonts|static|media)/"
 ENTRY = r"^(index|main|app|root)\.(ts|tsx|js|jsx)$"
 TEST = r"\.test\.(ts|tsx|js|jsx)$|\.spec\.(ts|tsx|js|jsx)$|__tests__/"
 STORY = r"\.stories\.(ts|tsx|js|jsx)$|\.story\.(ts|tsx|js|jsx)$"
+NO_META = r"\.(test|spec|stories|story)\.(ts|tsx|js|jsx)$|/__tests__/"
 LOOSE_JSX = r"<\w+[^>]*>|</\w+>|React\.createElement"
 STRICT_JSX = r"<[A-Z]\w+\s*/?>|</[A-Z]\w+\s*>|<[a-z]+\s+(?:[^>]*/)?>"
 HOOK_CALL = r"\buse[A-Z]\w+\s*\("
@@ -75,17 +76,25 @@ def is_entry_stem(p: Column) -> Column:
     return F.lower(stem(p)).isin(*ENTRY_STEMS)
 
 
-def priority(p: Column, dependents: Column, content: Column) -> Column:
-    """P0 to P4, the first rule that holds; a file without content has neither markup nor hooks."""
+def marks(content: Column) -> tuple[Column, Column]:
+    """(markup, hooks) in the head of a file; a file without content has neither."""
     h = F.coalesce(head(content), F.lit(""))
+    return h.rlike(LOOSE_JSX), h.rlike(HOOK_CALL)
+
+
+def priority_of(p: Column, dependents: Column, jsx: Column, hook: Column) -> Column:
+    """P0 to P4, the first rule that holds."""
     return (
         F.when(is_style(p), "P4").when(is_test(p) | is_story(p), "P3").when(is_entry(p) | (dependents >= 10), "P0")
-        .when(h.rlike(LOOSE_JSX) | h.rlike(HOOK_CALL) | (dependents >= 5), "P1").otherwise("P2")
+        .when(jsx | hook | (dependents >= 5), "P1").otherwise("P2")
     )
 
 
-def reason(p: Column, prio: Column, dependents: Column, content: Column) -> Column:
-    h = F.coalesce(head(content), F.lit(""))
+def priority(p: Column, dependents: Column, content: Column) -> Column:
+    return priority_of(p, dependents, *marks(content))
+
+
+def reason_of(p: Column, prio: Column, dependents: Column, jsx: Column, hook: Column) -> Column:
     said = F.concat_ws(
         " + ",
         F.when(is_entry(p), "entry file (naming pattern)"),
@@ -93,12 +102,16 @@ def reason(p: Column, prio: Column, dependents: Column, content: Column) -> Colu
         F.when(is_story(p), "story file"),
         F.when(is_style(p), "pure style file"),
         F.when(dependents >= 10, F.concat(F.lit("highly depended ("), dependents.cast("string"), F.lit(")"))).when(dependents >= 5, F.concat(F.lit("depended ("), dependents.cast("string"), F.lit(")"))),
-        F.when((prio == "P1") & h.rlike(LOOSE_JSX), "contains JSX"),
-        F.when((prio == "P1") & h.rlike(HOOK_CALL), "contains hooks"),
+        F.when((prio == "P1") & jsx, "contains JSX"),
+        F.when((prio == "P1") & hook, "contains hooks"),
     )
     return F.coalesce(F.nullif(said, F.lit("")), F.concat(F.lit("default ("), prio, F.lit(")")))
 
 
+def reason(p: Column, prio: Column, dependents: Column, content: Column) -> Column:
+    return reason_of(p, prio, dependents, *marks(content))
+
+
 def estimated_tokens(p: Column, chars: Column, has_jsx: Column) -> Column:
     ext = extname(p)
     per = (
@@ -167,6 +180,17 @@ def nesting(content: Column) -> Column:
     return F.array_max(F.transform(F.split(content, "\n"), lambda x: F.floor(F.length(F.regexp_extract(x, "^( *)", 1)) / 2))).cast("long")
 
 
+def file_meta(files: DataFrame) -> DataFrame:
+    """files: path, content.  (path, lines, tokens, has_jsx, is_barrel, is_component, component, hooks, exports,
+    prop_types, functions) of files that are neither styles, tests nor stories and have content."""
+    p, c = F.col("path"), F.col("content")
+    rows = files.filter(~is_style(p) & ~p.rlike(NO_META) & c.isNotNull()).select(p, head(c).alias("head"), line_count(c).alias("lines"), F.length(c).alias("chars"))
+    h = F.col("head")
+    rows = rows.select(p, "lines", "chars", h.rlike(STRICT_JSX).alias("has_jsx"), is_barrel(h).alias("is_barrel"), hooks(h).alias("hooks"), exports(h).alias("exports"), prop_types(h).alias("prop_types"), top_level_functions(h).alias("functions"))
+    found, name = component(F.col("has_jsx"), F.col("exports"), F.col("functions"))
+    return rows.select("path", "lines", estimated_tokens(p, F.col("chars"), F.col("has_jsx")).alias("tokens"), "has_jsx", "is_barrel", found.alias("is_component"), name.alias("component"), "hooks", "exports", "prop_types", "functions")
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

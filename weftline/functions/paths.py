@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def normalized(p: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(p, r"\\\\", "/"), r"^\./", "")
+    return F.regexp_replace(F.regexp_replace(p, r"\\", "/"), r"^\./", "")
 
 
 def relative(p: Column, root: str) -> Column:
@@ -69,3 +69,36 @@ def subtask_id(folder: Column, role: Column, n: Column) -> Column:
 
 def chapter_path(folder: Column, role: Column, n: Column) -> Column:
     return F.concat(F.lit("ch-"), path_id(folder), F.lit("/sec-"), role_id(role), _suffix(n), F.lit(".md"))
+
+
+def node_id(p: Column) -> Column:
+    """A path as the name of a node in a drawing: path_id in its own case, and empty if nothing is left."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "[^a-zA-Z0-9_-]", "_"), "_+", "_"), "^_|_$", "")
+
+
+def folder_key(p: Column) -> Column:
+    return F.lower(node_id(p))
+
+
+def slug(t: Column, n: int = 40) -> Column:
+    """Letters, digits and - of a title, lower case; "pattern" if nothing is left."""
+    x = F.lower(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}\s-]", ""), r"\s+", "-"))
+    return F.coalesce(F.nullif(F.substring(x, 1, n), F.lit("")), F.lit("pattern"))
+
+
+def padded(n: Column, width: int) -> Column:
+    """A number with zeros in front up to ``width`` digits; longer ones stay whole."""
+    s = n.cast("string")
+    return F.lpad(s, F.greatest(F.length(s), F.lit(width)), "0")
+
+
+def short(p: Column, n: int = 40) -> Column:
+    """At most ``n`` characters: the end behind three dots."""
+    return F.when(F.length(p) > n, F.concat(F.lit("..."), F.substring(p, 3 - n, n - 3))).otherwise(p)
+
+
+def yaml_text(t: Column) -> Column:
+    """For use between double quotes."""
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return t

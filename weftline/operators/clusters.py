@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.code import cluster_thresholds
-from weftline.functions.paths import ancestors, common_directory, dirname, path_id
+from weftline.functions.paths import ancestors, common_directory, dirname, path_id, stem
 from weftline.operators.graph import components, durable, hubs, reach_two
 
 FALLBACK_TOKENS = 1000
 OVERLAP = 0.3
+MAJORITY = 0.3
 
 
 def greedy(files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -20,9 +25,10 @@ def greedy(files: DataFrame, edges: DataFrame) -> DataFrame:
     Seeds in order of tokens (ties by path) claim what they reach in two steps, unless it is a hub,
     a barrel or claimed, and their direct dependents.  A claim never crosses a hub or barrel that
     is no seed, so that claims interact within a component only, and one component is one group.
-    Clusters below the least size go, but not the largest seed's.
+    Clusters below the least size go, but not the largest seed's.  Files without a size count
+    ``FALLBACK_TOKENS``.
     """
-    total = files.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))
+    total = files.agg(F.coalesce(F.sum(F.coalesce("tokens", F.lit(FALLBACK_TOKENS))), F.lit(0)).alias("t"))
     least = total.select(cluster_thresholds(F.col("t"))["min_tokens"].alias("m")).first()["m"]
     seeds = files.filter("is_seed").select(F.col("path").alias("node"))
     barrels = files.filter("is_barrel").select(F.col("path").alias("node"))
@@ -32,7 +38,7 @@ def greedy(files: DataFrame, edges: DataFrame) -> DataFrame:
     shut = closed.join(seeds, "node", "left_anti")
     inner = edges.join(shut.select(F.col("node").alias("src")), "src", "left_anti").join(shut.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
     comp = components(files.select(F.col("path").alias("node")), inner)
-    first = [r["path"] for r in files.filter("is_seed").orderBy(F.desc("tokens"), "path").limit(1).select("path").collect()]
+    first = [r["path"] for r in files.filter("is_seed").orderBy(F.desc(F.coalesce("tokens", F.lit(FALLBACK_TOKENS))), "path").limit(1).select("path").collect()]
     # what a seed may claim: a dependency, a dependency of one (``via``), a dependent
     open_ = edges.select("src", "dst").distinct().join(closed.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
     one = seeds.join(open_, F.col("node") == F.col("src")).select(F.col("node").alias("seed"), F.col("dst").alias("path"))
@@ -43,7 +49,8 @@ def greedy(files: DataFrame, edges: DataFrame) -> DataFrame:
         seeds.select(F.col("node").alias("seed"), F.col("node").alias("path"), F.col("node").alias("via"), way(0))
         .unionAll(one.select("seed", "path", seed.alias("via"), way(1))).unionAll(two.select("seed", "path", "via", way(2))).unionAll(uses.select("seed", "path", seed.alias("via"), way(3))).distinct()
     )
-    size = files.select("path", "tokens")
+    known = F.coalesce("tokens", F.lit(FALLBACK_TOKENS)).cast("long")
+    size = files.select("path", known.alias("tokens"))
     rows = wanted.join(size, "path").join(size.select(F.col("path").alias("seed"), F.col("tokens").alias("seed_tokens")), "seed").join(comp.select(F.col("node").alias("seed"), "component"), "seed")
 
     def claim(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -82,43 +89,184 @@ def overlaps(cluster_files: DataFrame) -> DataFrame:
 
 
 def merged(cluster_files: DataFrame) -> DataFrame:
-    """(cluster, path): overlapping clusters joined, until none overlap."""
-    out = cluster_files.select("cluster", "path").distinct()
-    while True:
-        pairs = durable(overlaps(out).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        if pairs.isEmpty():
-            return out
-        comp = components(out.select(F.col("cluster").alias("node")).distinct(), pairs)
-        out = durable(out.join(comp, F.col("cluster") == F.col("node")).select(F.col("component").alias("cluster"), "path").distinct())
+    """cluster_files: cluster, path, ord (of the cluster).  (cluster, path, parts): overlapping clusters joined.
+
+    Of all pairs that overlap, the first by the order of clusters is joined, the later cluster to the
+    earlier one, then overlaps are looked at anew, until there are none.  Clusters that share no file,
+    even through others, never meet: each such component is one group, with files as numbers.
+    ``parts`` counts the clusters joined.
+    """
+    rows = cluster_files.select("cluster", "path", "ord").distinct()
+    first = rows.groupBy("path").agg(F.min("ord").alias("dst"))
+    star = rows.join(first, "path").select(F.col("ord").alias("src"), "dst").filter("src <> dst").distinct()
+    comp = components(rows.select(F.col("ord").alias("node")).distinct(), star)
+    rows = rows.join(comp.withColumnRenamed("node", "ord"), "ord").withColumn("file", F.xxhash64("path"))
+    kind = {f.name: f.dataType.simpleString() for f in cluster_files.schema}
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = pdf[["ord", "cluster"]].drop_duplicates().sort_values("ord")["cluster"].tolist()
+        at = {c: k for k, c in enumerate(names)}
+        sets: list[set] = [set() for _ in names]
+        holders: dict[int, set] = {}
+        for c, f in zip(pdf["cluster"], pdf["file"]):
+            sets[at[c]].add(f)
+            holders.setdefault(f, set()).add(at[c])
+        into, parts, shared = list(range(len(names))), [1] * len(names), Counter()
+        for held in holders.values():
+            shared.update(itertools.combinations(sorted(held), 2))
+        ready = [p for p, n in shared.items() if n / min(len(sets[p[0]]), len(sets[p[1]])) >= OVERLAP]
+        heapq.heapify(ready)
+        while ready:
+            a, b = heapq.heappop(ready)
+            if into[a] != a or into[b] != b or len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) < OVERLAP:
+                continue  # joined since, or no longer enough for the larger cluster
+            into[b] = a
+            parts[a] += parts[b]
+            for f in sets[b]:
+                held = holders[f]
+                held.discard(b)
+                held.add(a)
+            sets[a] |= sets[b]
+            sets[b] = set()
+            near = Counter(c for f in sets[a] for c in holders[f] if c != a)
+            for c, n in near.items():
+                if n / min(len(sets[a]), len(sets[c])) >= OVERLAP:
+                    heapq.heappush(ready, (min(a, c), max(a, c)))
+
+        def root(k: int) -> int:
+            while into[k] != k:
+                k = into[k]
+            return k
+
+        roots = [root(at[c]) for c in pdf["cluster"]]
+        return pd.DataFrame({"cluster": [names[k] for k in roots], "path": pdf["path"], "parts": [parts[k] for k in roots]}).drop_duplicates()
+
+    return rows.groupBy("component").applyInPandas(join, f"cluster {kind['cluster']}, path {kind['path']}, parts long")
+
+
+def orphans(left: DataFrame, cluster_files: DataFrame, least: int) -> DataFrame:
+    """left: path, tokens, ord (files in no cluster); cluster_files: cluster, path, ord (of the cluster).
+
+    (path, cluster): the files of a directory, directories as met, go to the cluster with most
+    directories equal to, above or below theirs (the first of equals) if they have fewer tokens than
+    ``least``, else or without such a cluster to one of their own, ``orphan:`` and the directory.
+    What a directory joins counts for later ones.  Only directories with the same first segment
+    meet, so that these are the groups.
+    """
+    d = F.when(dirname(F.col("path")) == "", ".").otherwise(dirname(F.col("path")))
+    l = left.select("path", "tokens", "ord", d.alias("dir"), F.lit(True).alias("new"), F.lit(None).cast("string").alias("cluster"))  # noqa: E741
+    held = cluster_files.select("cluster", "ord", d.alias("dir")).distinct()
+    c = held.select(F.lit("").alias("path"), F.lit(0).cast("long").alias("tokens"), "ord", "dir", F.lit(False).alias("new"), F.col("cluster").cast("string").alias("cluster"))
+    rows = l.select("path", F.col("tokens").cast("long").alias("tokens"), F.col("ord").cast("long").alias("ord"), "dir", "new", "cluster").unionByName(c.withColumn("ord", F.col("ord").cast("long"))).withColumn("top", F.split("dir", "/")[0])
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf[~pdf["new"]].sort_values("ord")
+        dirs: dict[str, set] = {}
+        for name, x in zip(known["cluster"], known["dir"]):
+            dirs.setdefault(name, set()).add(x)
+        out = []
+        groups = pdf[pdf["new"]].sort_values("ord", kind="stable").groupby("dir", sort=False)
+        for x, part in groups:
+            best, most = None, 0
+            if part["tokens"].sum() < least:
+                for name, have in dirs.items():
+                    n = sum(x == y or x.startswith(f"{y}/") or y.startswith(f"{x}/") for y in have)
+                    if n > most:
+                        best, most = name, n
+            best = best or f"orphan:{x}"
+            dirs.setdefault(best, set()).add(x)
+            out += [(p, best) for p in part["path"]]
+        return pd.DataFrame(out, columns=["path", "cluster"]).astype("object")
+
+    return rows.groupBy("top").applyInPandas(fold, "path string, cluster string")
+
+
+def split_large(cluster_files: DataFrame, most: int) -> DataFrame:
+    """cluster_files: cluster, path, pos, tokens, is_root.  Adds part: clusters above ``most`` tokens have their
+    roots as part 0 and the others in runs of max(5, a third) from 1; others stay whole (part null)."""
+    whole = Window.partitionBy("cluster")
+    large = F.sum("tokens").over(whole) > most
+    rest = Window.partitionBy("cluster", "is_root")
+    size = F.greatest(F.lit(5), F.ceil(F.count(F.lit(1)).over(rest) / 3))
+    run = F.floor((F.row_number().over(rest.orderBy("pos", "path")) - 1) / size) + 1
+    return cluster_files.withColumn("part", F.when(large, F.when(F.col("is_root"), 0).otherwise(run)).cast("int"))
+
+
+def in_order(clusters: DataFrame) -> DataFrame:
+    """Clusters by priority (high, medium, low), then most tokens."""
+    p = F.col("priority")
+    return clusters.orderBy(F.when(p == "high", 0).when(p == "medium", 1).otherwise(2), F.desc("tokens"), "cluster")
+
+
+def cluster_stats(clusters: DataFrame) -> DataFrame:
+    """clusters: cluster, n_files, tokens.  One row: n_clusters, n_files, tokens, mean (rounded)."""
+    out = clusters.agg(F.count(F.lit(1)).alias("n_clusters"), F.coalesce(F.sum("n_files"), F.lit(0)).alias("n_files"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    return out.withColumn("mean", F.when(F.col("n_clusters") > 0, F.round(F.col("tokens") / F.col("n_clusters"))).otherwise(0).cast("long"))
 
 
 def orphan_homes(orphans: DataFrame, cluster_dirs: DataFrame) -> DataFrame:
-    """orphans: dir; cluster_dirs: cluster, dir, n.  (dir, cluster, overlap): the cluster with most files in
-    the directory or below or above it; ancestors are listed and joined on equality."""
+    """orphans: dir; cluster_dirs: cluster, dir, ord.  (dir, cluster, overlap): the cluster with most of its
+    directories equal to, below or above the directory, the first of equals; ancestors are listed and
+    joined on equality."""
     up = lambda d: F.array_union(F.array(d), ancestors(d))
+    held = cluster_dirs.select("cluster", "ord", "dir").distinct()
     o = orphans.select("dir").distinct()
-    below = cluster_dirs.select("cluster", "n", F.explode(up(F.col("dir"))).alias("dir")).join(o, "dir")
-    above = o.select("dir", F.explode(ancestors(F.col("dir"))).alias("up")).join(cluster_dirs.withColumnRenamed("dir", "up"), "up").select("dir", "cluster", "n")
-    n = below.select("dir", "cluster", "n").unionAll(above).groupBy("dir", "cluster").agg(F.sum("n").alias("overlap"))
-    return n.groupBy("dir").agg(F.max_by(F.struct("cluster", "overlap"), F.struct("overlap", -F.xxhash64("cluster"))).alias("x")).select("dir", "x.cluster", "x.overlap")
+    below = held.select("cluster", "ord", F.col("dir").alias("own"), F.explode(up(F.col("dir"))).alias("dir")).join(o, "dir").select("dir", "cluster", "ord", "own")
+    above = o.select("dir", F.explode(ancestors(F.col("dir"))).alias("up")).join(held.withColumnRenamed("dir", "up"), "up").select("dir", "cluster", "ord", F.col("up").alias("own"))
+    n = below.unionAll(above).distinct().groupBy("dir", "cluster", "ord").agg(F.count(F.lit(1)).alias("overlap"))
+    return n.groupBy("dir").agg(F.max_by(F.struct("cluster", "overlap"), F.struct("overlap", -F.col("ord"))).alias("x")).select("dir", "x.cluster", "x.overlap")
+
 
+def cluster_id(name: Column) -> Column:
+    """A name as an id: path_id with single - for _ and no - at its ends."""
+    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(path_id(name), "_", "-"), "--+", "-"), "^-|-$", "")
+    return F.coalesce(F.nullif(x, F.lit("")), F.lit("cluster"))
 
-def named(cluster_files: DataFrame) -> DataFrame:
-    """(cluster, scope, id): the common directory as a name, with -N behind names used before."""
-    scope = cluster_files.groupBy("cluster").agg(common_directory(F.array_sort(F.collect_list("path"))).alias("scope"))
-    base = scope.withColumn("base", path_id(F.col("scope")))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("cluster"))
-    return base.withColumn("n", n).select("cluster", "scope", F.when(F.col("n") > 1, F.concat("base", F.lit("-"), F.col("n").cast("string"))).otherwise(F.col("base")).alias("id"))
+
+def best_segment(path: Column, excluded: list[str]) -> Column:
+    """The deepest directory of a path that says something, else the deepest; empty without a directory."""
+    parts = F.split(dirname(path), "/")
+    good = F.filter(parts, lambda x: ~x.isin(*excluded))
+    return F.when(dirname(path).isin(".", ""), "").otherwise(F.coalesce(F.try_element_at(good, F.lit(-1)), F.element_at(parts, -1)))
+
+
+def scope(files: Column, name: Column, excluded: list[str]) -> Column:
+    """The deepest segment of the files' common directory that is neither the name nor excluded; empty if none."""
+    common = F.split(common_directory(files), "/")
+    left = F.filter(common, lambda x: (x != "") & (x != ".") & (F.lower(F.regexp_replace(x, "^_", "")) != F.lower(name)) & ~x.isin(*excluded))
+    return F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit(""))
+
+
+def named(cluster_files: DataFrame, excluded: list[str]) -> DataFrame:
+    """cluster_files: cluster, path, ord (of the cluster), component (of the file, may be null), is_root.
+
+    (cluster, name, scope, id): the directory that most files are in (the first met of equals) if it
+    has 30 % of them, else the component found first there, else the root's component or name, else
+    the first file's directory; behind the scope, where there is one; -N for ids used before.
+    """
+    rows = cluster_files.withColumn("segment", best_segment(F.col("path"), excluded))
+    per = rows.filter((F.col("segment") != "") & ~F.col("segment").isin(*excluded)).groupBy("cluster", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"), F.min_by("component", F.when(F.col("component").isNotNull(), F.col("path"))).alias("component"))
+    best = per.groupBy("cluster").agg(F.min_by(F.struct("segment", "n", "component"), F.struct((-F.col("n")).alias("n"), "first")).alias("b"))
+    root = F.struct("component", F.lower(stem(F.col("path"))).alias("stem"))
+    whole = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("ord"), F.min_by(root, F.when(F.col("is_root"), F.col("path"))).alias("root"), F.min(dirname(F.col("path"))).alias("dir"), F.array_sort(F.collect_list("path")).alias("files"))
+    rows = whole.join(best, "cluster", "left")
+    enough = F.col("b.n") >= F.greatest(F.lit(1), F.round(F.col("size") * MAJORITY))
+    fallback = F.coalesce(F.lower(F.col("b.component")), F.lower(F.col("root.component")), F.col("root.stem"), F.when(F.col("dir") != ".", F.col("dir")), F.lit("cluster"))
+    rows = rows.withColumn("name", F.when(enough, F.col("b.segment")).otherwise(fallback))
+    rows = rows.withColumn("scope", scope(F.col("files"), F.col("name"), excluded))
+    n, s = cluster_id(F.col("name")), cluster_id(F.col("scope"))
+    rows = rows.withColumn("base", F.when((F.col("scope") == "") | (n == s), n).otherwise(F.concat(s, F.lit("-"), n)))
+    k = F.row_number().over(Window.partitionBy("base").orderBy("ord", "cluster"))
+    return rows.withColumn("k", k).select("cluster", "name", "scope", F.when(F.col("k") > 1, F.concat("base", F.lit("-"), F.col("k").cast("string"))).otherwise(F.col("base")).alias("id"))
 
 
 def majority_directory(cluster_files: DataFrame, excluded: list[str]) -> DataFrame:
-    """(cluster, segment, n): the commonest last directory segment worth a name, if 30 % of the files agree."""
-    seg = F.element_at(F.split(dirname(F.col("path")), "/"), -1)
-    rows = cluster_files.withColumn("segment", seg)
+    """(cluster, segment, n): the commonest directory segment that says something, if 30 % of the files agree."""
+    rows = cluster_files.withColumn("segment", best_segment(F.col("path"), excluded))
     size = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    best = rows.filter(~F.col("segment").isin(*excluded)).groupBy("cluster", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
-    best = best.withColumn("_r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "first"))).filter("_r = 1")
-    return best.join(size, "cluster").filter(F.col("n") >= F.greatest(F.lit(1), F.round(F.col("size") * 0.3))).select("cluster", "segment", "n")
+    best = rows.filter((F.col("segment") != "") & ~F.col("segment").isin(*excluded)).groupBy("cluster", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
+    best = best.groupBy("cluster").agg(F.min_by(F.struct("segment", "n"), F.struct((-F.col("n")).alias("d"), "first")).alias("b")).select("cluster", "b.*")
+    return best.join(size, "cluster").filter(F.col("n") >= F.greatest(F.lit(1), F.round(F.col("size") * MAJORITY))).select("cluster", "segment", "n")
 
 
 def priority_order(p: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder the session names; a local one only where it names none."""
+    """Cuts lineage in the shared folder the session names; only a local session may name none."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint()
 
 
@@ -31,8 +35,10 @@ def dependents(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("source")).agg(F.count(F.lit(1)).alias("n_dependents"))
 
 
-def out_degree(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(F.col("src").alias("source")).agg(F.count(F.lit(1)).alias("n_dependencies"))
+def out_degree(edges: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """(source, n_dependencies); with modules (source) also those without any, as 0."""
+    out = edges.groupBy(F.col("src").alias("source")).agg(F.count(F.lit(1)).alias("n_dependencies"))
+    return out if modules is None else modules.select("source").distinct().join(out, "source", "left").na.fill(0, ["n_dependencies"])
 
 
 def top(counts: DataFrame, n: str, k: int = 10, tie: str = "source") -> DataFrame:
@@ -40,17 +46,18 @@ def top(counts: DataFrame, n: str, k: int = 10, tie: str = "source") -> DataFram
     return counts.orderBy(F.desc(n), tie).limit(k)
 
 
-def affected(seeds: DataFrame, edges: DataFrame, every: int = 3, most: int | None = None) -> DataFrame:
+def affected(seeds: DataFrame, edges: DataFrame, every: int = 4, most: int | None = None) -> DataFrame:
     """(node, depth): all that reach a seed along dependencies, seeds at depth 0; cycles end by the anti join.
 
-    seeds: node.  Each round is one join of the frontier with the edges; the visited set is cut from
-    its lineage every few rounds.
+    seeds: node.  Edges are written once, dealt by what they lead to, so that a round shuffles its
+    frontier alone; the visited set is cut from its lineage every few rounds.
     """
+    back = durable(edges.select(F.col("dst").alias("node"), "src").repartition("node"))
     seen = durable(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while most is None or depth < most:
         depth += 1
-        step = frontier.select("node").join(edges, F.col("node") == F.col("dst")).select(F.col("src").alias("node")).distinct()
+        step = frontier.select("node").join(back, "node").select(F.col("src").alias("node")).distinct()
         frontier = durable(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
@@ -61,10 +68,67 @@ def affected(seeds: DataFrame, edges: DataFrame, every: int = 3, most: int | Non
 
 
 def affected_with_reason(changes: DataFrame, edges: DataFrame) -> DataFrame:
-    """changes: path, status.  (path, reason)."""
+    """changes: path, status (the smallest counts where a path has several).  (path, reason, depth)."""
     got = affected(changes.select(F.col("path").alias("node")), edges)
-    out = got.join(changes.groupBy("path").agg(F.first("status").alias("status")), F.col("node") == F.col("path"), "left")
-    return out.select(F.col("node").alias("path"), F.when(F.col("status").isNotNull(), F.concat(F.lit("Directly "), "status")).otherwise("Depends on changed file").alias("reason"))
+    out = got.join(changes.groupBy("path").agg(F.min("status").alias("status")), F.col("node") == F.col("path"), "left")
+    return out.select(F.col("node").alias("path"), F.when(F.col("status").isNotNull(), F.concat(F.lit("Directly "), "status")).otherwise("Depends on changed file").alias("reason"), "depth")
+
+
+def affected_folders(got: DataFrame, folder: Column) -> DataFrame:
+    """got: path, reason, depth.  (folder, n_files, reason): the reason of a folder's first file by depth, then path."""
+    return got.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n_files"), F.min_by("reason", F.struct("depth", "path")).alias("reason"))
+
+
+def analysis_scope(all_folders: DataFrame, hit: DataFrame) -> DataFrame:
+    """all_folders, hit: folder.  One row: total, affected, unaffected, reduction (percent)."""
+    n = all_folders.select("folder").distinct().join(hit.select("folder").distinct().withColumn("h", F.lit(1)), "folder", "full")
+    out = n.join(all_folders.select("folder").distinct().withColumn("a", F.lit(1)), "folder", "left").agg(F.count("a").alias("total"), F.count("h").alias("affected"), F.count_if(F.col("a").isNotNull() & F.col("h").isNull()).alias("unaffected"))
+    return out.withColumn("reduction", F.when(F.col("total") > 0, F.round((1 - F.col("affected") / F.col("total")) * 100)).otherwise(0).cast("long"))
+
+
+def violation_cycles(violations: DataFrame) -> DataFrame:
+    """violations: rule, from, to, cycle (array, may be null), severity.  (path, severity) of those of cycles between two files."""
+    rows = violations.filter("rule = 'no-circular' and from <> '' and to <> '' and from <> to")
+    return rows.select(F.when(F.size("cycle") > 0, F.col("cycle")).otherwise(F.array("from", "to", "from")).alias("path"), F.coalesce("severity", F.lit("error")).alias("severity"))
+
+
+def cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(node, cycle): nodes on cycles with the smallest node that they and it reach each other, by colours.
+
+    Nodes without a way in or out go first, over and over.  Then every node takes the smallest node
+    that reaches it as its colour; those of a colour that reach its namesake are one cycle and go;
+    until nothing is left (Orzan, 2004).  Loops of a node to itself are no cycles.
+    """
+    e = durable(edges.select("src", "dst").filter("src <> dst").distinct())
+    out = None
+    for _ in range(rounds):
+        while True:  # what cannot be on a cycle
+            n = e.count()
+            e = durable(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            if e.count() == n:
+                break
+        if n == 0:
+            break
+        colour = durable(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("c", F.col("node")))
+        while True:
+            into = e.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("c").alias("m"))
+            new = durable(colour.join(into, F.col("node") == F.col("dst"), "left").select("node", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")))
+            colour = new.select("node", "c")
+            if new.filter("moved").isEmpty():
+                break
+        same = durable(e.join(colour.withColumnRenamed("node", "src"), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("d")), "dst").filter("c = d").select("src", "dst", "c"))
+        roots = colour.filter("node = c").select("node")
+        found = affected(roots, same.select("src", "dst")).select("node").join(colour, "node")
+        out = found if out is None else out.unionAll(found)
+        e = durable(e.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    else:
+        raise RuntimeError("cycles did not settle")
+    empty = edges.select(F.col("src").alias("node"), F.col("src").alias("cycle")).limit(0)
+    if out is None:
+        return empty
+    out = out.select("node", F.col("c").alias("cycle"))
+    size = out.groupBy("cycle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return out.join(size.select("cycle"), "cycle", "left_semi").select("node", "cycle")
 
 
 def reach_two(seeds: DataFrame, edges: DataFrame, barred: DataFrame) -> DataFrame:
@@ -101,10 +165,28 @@ def subgraph(edges: DataFrame, inside: Column) -> DataFrame:
 
 def best_prefix(nodes: DataFrame, segment: str) -> DataFrame:
     """The commonest path beginning that ends in ``segment`` (ties: the smaller)."""
-    p = F.regexp_extract("node", rf"^((?:.*/)?{segment})/", 1)
+    p = F.regexp_extract("node", rf"^((?:.*/)?{re.escape(segment)})/", 1)
     return nodes.select(p.alias("prefix")).filter("prefix <> ''").groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "prefix").limit(1)
 
 
+def folder_graph(edges: DataFrame, folder: str) -> DataFrame:
+    """edges: src, dst (paths).  (kind, node) of a folder: files below it, or if there are none those below any
+    folder of its last segment; outside is what does not begin like the commonest of these."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    base = folder.rstrip("/")
+    inside, prefix = F.col("node").startswith(f"{base}/") | (F.col("node") == folder), f"{base}/"
+    if nodes.filter(inside).isEmpty():
+        last = base.split("/")[-1]
+        best = best_prefix(nodes, last).first()
+        inside = F.col("node").startswith(f"{last}/") | F.col("node").contains(f"/{last}/")
+        prefix = f"{best['prefix']}/" if best else prefix
+    within = nodes.filter(inside).select("node")
+    outer = lambda c: ~F.col(c).startswith(prefix) & (F.col(c) != folder)
+    deps = edges.filter(outer("dst")).join(within, F.col("src") == F.col("node"), "left_semi").select(F.lit("external_dependency").alias("kind"), F.col("dst").alias("node"))
+    used = edges.filter(outer("src")).join(within, F.col("dst") == F.col("node"), "left_semi").select(F.lit("external_dependent").alias("kind"), F.col("src").alias("node"))
+    return within.select(F.lit("internal").alias("kind"), "node").unionAll(deps).unionAll(used).distinct()
+
+
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node of the weakly connected component, by minimum label and pointer jumping."""
     both = durable(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionAll(edges.select(F.col("dst"), F.col("src"))).distinct())
@@ -117,13 +199,15 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFram
         if new.filter("component <> old").isEmpty():
             break
         label = new.drop("old")
+    else:
+        raise RuntimeError("components did not settle")
     return new.select("node", "component")
 
 
 def mermaid(edges: DataFrame, n: int = 50) -> str:
     """A graph of the first n local edges visited, each once."""
     rows = edges.filter("type = 'local'").orderBy("ord").limit(n).groupBy("src", "dst").agg(F.min("ord").alias("ord")).orderBy("ord").collect()
-    clean = lambda x: "".join(c if c.isalnum() or c == "_" else "_" for c in x)
+    clean = lambda x: re.sub("^_|_$", "", re.sub("_+", "_", re.sub("[^a-zA-Z0-9_-]", "_", x)))
     return "\n".join(["graph TD", *[f'  {clean(r["src"])}["{r["src"]}"] --> {clean(r["dst"])}["{r["dst"]}"]' for r in rows]])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.paths import basename, padded, slug, yaml_text
+
 # Issue types with tier and chapter, severities and states, and names that stand for them.
 TIER = {"bug": "P0", "security": "P0", "typescript": "P1", "performance": "P1", "dead_code": "P2", "complexity": "P2", "maintainability": "P2", "ux": "P2"}
 CHAPTER = {
@@ -13,8 +15,10 @@ CHAPTER = {
 }
 ARCHIVE = "ch-99-archived"
 SEVERITIES = ("critical", "high", "medium", "low")
-STATUSES = ("pending", "verified", "disputed", "fixed", "wontfix", "stale", "archived", "duplicate")
-CONFIDENCES = ("high", "medium", "low", "unknown")
+STATUSES = ("detected", "acknowledged", "verified", "fixing", "fixed", "verified_fixed", "archived", "false_positive", "stale", "disputed", "closed", "duplicate")
+PENDING = ("detected", "verified", "fixing")
+CONFIDENCES = ("high", "medium", "low")
+PRIORITY_NAMES = {"critical": "P0 - 致命", "p0": "P0 - 致命", "high": "P1 - 高", "p1": "P1 - 高", "major": "P1 - 高", "medium": "P2 - 中", "p2": "P2 - 中", "low": "P3 - 低", "p3": "P3 - 低", "minor": "P3 - 低", "info": "P3 - 低", "warning": "P3 - 低"}
 SEVERITY_NAMES = {"critical": "critical", "p0": "critical", "high": "high", "p1": "high", "major": "high", "medium": "medium", "p2": "medium", "low": "low", "p3": "low", "minor": "low", "info": "low", "warning": "low"}
 TYPE_NAMES = {
     **{t: t for t in TIER}, "bugs": "bug", "dead-code": "dead_code", "deadcode": "dead_code", "riskcontrol": "riskcontrol", "edge-case": "bug", "logic-error": "bug", "error-handling": "bug", "type-safety": "typescript",
@@ -37,19 +41,46 @@ def severity_name(raw: Column) -> Column:
     return F.coalesce(looked_up(SEVERITY_NAMES, F.lower(raw)), F.lit("unknown"))
 
 
-def type_name(raw: Column, chapter: Column | None = None) -> Column:
+def priority_name(severity: Column) -> Column:
+    """The priority that a severity stands for; unknown severities stay."""
+    return F.coalesce(looked_up(PRIORITY_NAMES, F.lower(severity)), severity)
+
+
+def severity_of(priority: Column) -> Column:
+    p = F.upper(priority)
+    out = F.lit("unknown")
+    for k, name in reversed(list(enumerate(SEVERITIES))):
+        out = F.when(p.startswith(f"P{k}") | (p == name.upper()), name).otherwise(out)
+    return out
+
+
+def type_name(raw: Column, chapter: Column | None = None, file: Column | None = None) -> Column:
+    """The known type of a name, else that of its chapter, else of its file's name, else the name itself."""
     t = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
-    known = looked_up(TYPE_NAMES, t)
-    if chapter is None:
-        return F.coalesce(known, F.nullif(t, F.lit("")), F.lit("unknown"))
-    own = F.regexp_replace(chapter, r"^ch-(\d+-)?", "")
-    return F.coalesce(known, looked_up(TYPE_NAMES, own), own, F.nullif(t, F.lit("")), F.lit("unknown"))
+    out = F.coalesce(F.nullif(t, F.lit("")), F.lit("unknown"))
+    if file is not None:
+        f = F.lower(file)
+        for k, v in reversed(list(TYPE_NAMES.items())):
+            out = F.when(f.contains(k.replace("_", "-")) | f.contains(k), v).otherwise(out)
+    if chapter is not None:
+        own = F.nullif(F.regexp_replace(chapter, r"^ch-(\d+-)?", ""), F.lit(""))
+        out = F.coalesce(looked_up(TYPE_NAMES, own), own, out)
+    return F.coalesce(looked_up(TYPE_NAMES, t), out)
+
+
+def tier_of(type_: Column) -> Column:
+    return looked_up(TIER, type_)
 
 
 def chapter_of(type_: Column) -> Column:
     return F.coalesce(looked_up(CHAPTER, type_), F.lit(ARCHIVE))
 
 
+def latest_first(issues: DataFrame) -> DataFrame:
+    """Issues by severity, then the latest (by the order of words where dates are equal in form), then id."""
+    return issues.orderBy(severity_order(F.col("severity")), F.desc("detected_at"), "id")
+
+
 def severity_order(s: Column) -> Column:
     return F.when(s == "critical", 0).when(s == "high", 1).when(s == "medium", 2).when(s == "low", 3).otherwise(4)
 
@@ -70,11 +101,16 @@ def dedup(issues: DataFrame, key: list[str], when: str = "detected_at", order: s
 
 
 def violations(issues: DataFrame) -> DataFrame:
-    """(id, field, value): fields that are not allowed; one row each."""
-    bad = lambda name, ok: F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(name).alias("field"), F.col(name).cast("string").alias("value")))
+    """issues: id, type, severity, status, confidence, chapter (or unknown).  (id, violation, value, level): one row
+    for each field that is not allowed; of these only a type must be given."""
+    out = lambda name, field, level: F.struct(F.lit(name).alias("violation"), F.col(field).alias("value"), F.lit(level).alias("level"))
+    odd = lambda field, known: (F.coalesce(F.col(field), F.lit("")) != "") & ~F.col(field).isin(*known)
+    typed = F.col("type").isin(*TIER)
     found = F.array(
-        bad("type", F.col("type").isin(*TIER)), bad("severity", F.col("severity").isin(*SEVERITIES)), bad("status", F.col("status").isin(*STATUSES)),
-        F.when(F.col("confidence").isNotNull() & ~F.col("confidence").isin(*CONFIDENCES), F.struct(F.lit("confidence").alias("field"), F.col("confidence").alias("value"))),
+        F.when(F.coalesce(F.col("type"), F.lit("")) == "", out("missing_type", "type", "error")).when(~typed, out("invalid_type", "type", "error")),
+        F.when(typed & (F.col("chapter") != chapter_of(F.col("type"))) & (F.col("chapter") != "unknown"), out("wrong_chapter", "chapter", "warning")),
+        F.when(odd("severity", SEVERITIES), out("invalid_severity", "severity", "warning")), F.when(odd("status", STATUSES), out("invalid_status", "status", "warning")),
+        F.when(odd("confidence", CONFIDENCES), out("invalid_confidence", "confidence", "warning")),
     )
     return issues.select("id", F.explode(F.array_compact(found)).alias("v")).select("id", "v.*")
 
@@ -83,7 +119,7 @@ def validator_summary(items: DataFrame, bad: DataFrame) -> DataFrame:
     """total, violations, failed, passed: passed counts items without any."""
     n = items.agg(F.count(F.lit(1)).alias("total"))
     b = bad.agg(F.count(F.lit(1)).alias("violations"), F.count_distinct("id").alias("failed"))
-    return n.crossJoin(b).withColumn("passed", F.col("total") - F.col("failed"))  # one row each
+    return n.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").drop("k").withColumn("passed", F.col("total") - F.col("failed"))  # one row each
 
 
 def chapter_moves(issues: DataFrame) -> DataFrame:
@@ -104,18 +140,66 @@ def dashboard(issues: DataFrame) -> DataFrame:
 
 def pending_list(issues: DataFrame, medium: int = 10) -> DataFrame:
     """Pending issues of high severities, and the ``medium`` latest of medium severity."""
-    rows = issues.filter("status = 'pending' and severity in ('critical', 'high', 'medium')")
+    rows = issues.filter(F.col("status").isin(*PENDING) & F.col("severity").isin("critical", "high", "medium"))
     top = rows.filter("severity = 'medium'").orderBy(F.desc("detected_at"), "id").limit(medium)
     return rows.filter("severity <> 'medium'").unionByName(top)
 
 
+def file_index(issues: DataFrame) -> DataFrame:
+    """issues: id, type, severity, status, source_files.  (path, id, type, severity, status), one row for each file
+    of an issue, archived ones left out by the caller."""
+    return issues.filter("id is not null and type is not null").select(F.explode("source_files").alias("path"), "id", "type", F.coalesce("severity", F.lit("medium")).alias("severity"), F.coalesce("status", F.lit("detected")).alias("status"))
+
+
 def by_file(issues: DataFrame) -> DataFrame:
-    """(source_file, n, issues sorted, critical, high)."""
+    """(source_file, n, critical, high, first_id, last_id): counts alone, as a file may have any number."""
     return issues.groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("issues"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
     )
 
 
+def export_rows(issues: DataFrame) -> DataFrame:
+    """issues: id, title, type, severity, status, detected_at, chapter, source, source_files, body, file.
+
+    The eleven columns of the detailed export, with normal names, the priority, the date and a summary.
+    """
+    severity = severity_name(F.col("severity"))
+    return issues.select(
+        "id", "title", type_name(F.col("type"), F.col("chapter"), F.col("file")).alias("type"), severity.alias("severity"), priority_name(severity).alias("priority"), "status",
+        F.substring("detected_at", 1, 10).alias("date"), "chapter", "source", F.array_join("source_files", "; ").alias("files"), summary(F.col("body")).alias("summary"),
+    )
+
+
+def export_summary(rows: DataFrame) -> DataFrame:
+    """(dimension, value, n) of the exported rows: type, severity, priority group, chapter, status, source."""
+    rows = rows.withColumn("priority", F.split("priority", " - ")[0])
+    dims = ("type", "severity", "priority", "chapter", "status", "source")
+    rows = rows.select(*[F.coalesce(d, F.lit("")).alias(d) for d in dims])
+    sets = rows.groupingSets([[F.col(d)] for d in dims], *[F.col(d) for d in dims]).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    all_, name = (1 << len(dims)) - 1, F.lit(None)
+    for k, d in enumerate(dims):
+        name = F.when(F.col("g") == all_ - (1 << (len(dims) - 1 - k)), d).otherwise(name)
+    return sets.select(name.alias("dimension"), F.coalesce(*dims).alias("value"), "n")
+
+
+def top_files(issues: DataFrame, k: int = 20) -> DataFrame:
+    """(path, n): files in most issues, ties by path."""
+    return issues.select(F.explode("source_files").alias("path")).filter("path <> '' and path <> '-'").groupBy("path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "path").limit(k)
+
+
+#: Sections whose beginning sums an issue up, the first that is there.
+SUMMARY_SECTIONS = ("问题描述", "检测依据")
+
+
+def summary(body: Column, most: int = 300) -> Column:
+    """The beginning of the section that describes an issue, else of the first line of text."""
+    of = lambda name: F.nullif(F.regexp_extract(body, rf"##\s*{name}\s*\n+([\s\S]*?)(?=\n##|\n---|$)", 1), F.lit(""))
+    lines = F.filter(F.split(body, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#") & ~F.trim(x).startswith("---"))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    text = F.coalesce(*[F.regexp_replace(bare(of(n)), "\n", " ") for n in SUMMARY_SECTIONS], bare(F.try_element_at(lines, F.lit(1))), F.lit(""))
+    return F.substring(text, 1, most)
+
+
 def cross_tab(issues: DataFrame) -> DataFrame:
     return issues.groupBy("type").pivot("severity", list(SEVERITIES)).count().na.fill(0).withColumn("total", F.expr(" + ".join(SEVERITIES)))
 
@@ -160,7 +244,7 @@ def broken_links(links: DataFrame, pages: DataFrame, whole_paths: bool = False)
     return links.select("page", F.split("target", r"\|")[0].alias("target")).distinct().join(names.distinct(), F.col("target") == F.col("name"), "left_anti")
 
 
-def code_references(refs: DataFrame, files: DataFrame, modules: DataFrame, degree: DataFrame) -> DataFrame:
+def code_references(refs: DataFrame, files: DataFrame, modules: DataFrame, degree: DataFrame, hot: int = HOT_DEPENDENTS) -> DataFrame:
     """refs: page, path.  (page, path, check): missing, not_in_graph, circular, hot."""
     rows = (
         refs.join(files.select("path").distinct().withColumn("f", F.lit(True)), "path", "left")
@@ -168,7 +252,7 @@ def code_references(refs: DataFrame, files: DataFrame, modules: DataFrame, degre
         .join(degree.select(F.col("source").alias("path"), "n_dependents"), "path", "left")
     )
     found = F.array_compact(F.array(
-        F.when(F.col("f").isNull(), "missing"), F.when(F.col("m").isNull(), "not_in_graph"), F.when(F.col("has_circular"), "circular"), F.when(F.col("n_dependents") >= HOT_DEPENDENTS, "hot"),
+        F.when(F.col("f").isNull(), "missing"), F.when(F.col("m").isNull(), "not_in_graph"), F.when(F.col("has_circular"), "circular"), F.when(F.col("n_dependents") >= hot, "hot"),
     ))
     return rows.select("page", "path", F.explode(found).alias("check"))
 
@@ -202,6 +286,39 @@ def merge_patterns(patterns: DataFrame) -> DataFrame:
     return merged.withColumn("status", F.when(F.size("clusters") >= 2, "promoted").otherwise("candidate"))
 
 
+def promote(candidates: DataFrame, taken: DataFrame) -> DataFrame:
+    """candidates: id, category, status, title, summary, tags, clusters, files, chapters, content, ord; taken: number.
+
+    (number, id, category, key, title, summary, tags, clusters, files, chapters, content, status, n_merged, slug):
+    candidates of a category with one normal title (else summary, else id) become one pattern.  Titles,
+    summaries and contents are the longest (the first met of equals), lists the sorted union, numbers the
+    lowest not taken, in the order met.  Two clusters make a pattern active.
+    """
+    rows = candidates.filter("status = 'candidate'").withColumn("key", normal_title(F.coalesce(F.nullif("title", F.lit("")), F.nullif("summary", F.lit("")), F.col("id"))))
+    longest = lambda c: F.max_by(c, F.struct(F.length(c), -F.col("ord")))
+    lists = ("tags", "clusters", "files", "chapters")
+    out = rows.groupBy("category", "key").agg(*[longest(c).alias(c) for c in ("title", "summary", "content")], F.count(F.lit(1)).alias("n_merged"), F.min("ord").alias("ord"))
+    for c in lists:
+        union = rows.select("category", "key", F.explode(c).alias("x")).distinct().groupBy("category", "key").agg(F.array_sort(F.collect_list("x")).alias(c))
+        out = out.join(union, ["category", "key"], "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    out = out.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ord")))  # merged patterns, not candidates
+    # the place-th number that is not taken: place plus the taken numbers below it
+    used = taken.select("number").distinct().withColumn("free", F.col("number") - F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("number")))
+    before = used.agg(F.array_sort(F.collect_list("free")).alias("frees"))  # of at most 999 numbers
+    out = out.withColumn("k", F.lit(1)).join(before.withColumn("k", F.lit(1)), "k").withColumn("number", F.col("place") + F.size(F.filter("frees", lambda f: f < F.col("place"))))
+    return out.select(
+        "number", F.concat(F.lit("EXP-"), padded(F.col("number"), 3)).alias("id"), "category", "key", "title", "summary", *lists, "content",
+        F.when(F.size("clusters") >= 2, "active").otherwise("candidate").alias("status"), "n_merged", slug(F.col("title")).alias("slug"),
+    )
+
+
+def pattern_counts(patterns: DataFrame) -> DataFrame:
+    """(category, active, stale, orphaned) of patterns that are shown: candidates are not."""
+    s = F.col("status")
+    shown = patterns.filter(s != "candidate").withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit("uncategorized")))
+    return shown.groupBy("category").agg(F.count_if(s == "active").alias("active"), F.count_if(s == "stale").alias("stale"), F.count_if(s.isin("orphaned", "deprecated")).alias("orphaned"))
+
+
 def pattern_states(pattern_clusters: DataFrame, affected: DataFrame, existing: DataFrame) -> DataFrame:
     """pattern_clusters: id, cluster.  (id, matched, remaining, state)."""
     rows = pattern_clusters.join(affected.select("cluster").distinct().withColumn("a", F.lit(1)), "cluster", "left").join(existing.select("cluster").distinct().withColumn("e", F.lit(1)), "cluster", "left")
@@ -216,28 +333,96 @@ def artifact_gate(artifacts: DataFrame) -> DataFrame:
     return artifacts.select("name", problem.alias("problem"))
 
 
-def output_folders(outputs: DataFrame, least: int = 500) -> DataFrame:
-    """outputs: folder, name, size, done (marker).  (folder, n_files, n_empty, state)."""
-    g = outputs.groupBy("folder").agg(F.count_if(F.col("name") != ".gen-done").alias("n_files"), F.count_if((F.col("size") == 0) & (F.col("name") != ".gen-done")).alias("n_empty"), F.bool_or(F.col("name") == ".gen-done").alias("marked"), F.max("size").alias("largest"))
-    return g.withColumn("state", F.when(F.col("n_files") == 0, "missing").when(F.col("n_empty") > 0, "empty").when(F.col("marked"), "done").when((F.col("n_files") == 1) & (F.col("largest") >= least), "done").otherwise("pending"))
+def output_checks(tasks: DataFrame, outputs: DataFrame, least: int = 500) -> DataFrame:
+    """tasks: id, status, chapter (a folder, or a file in one); outputs: folder, name, size, text (of markers).
+
+    (id, n_pages, is_empty, marked, passed, problem): a completed task needs its folder with pages, any
+    other a marker that says who ended and when as well.  Pages are empty, a marker says too little,
+    the only page of an open task is short, a marker is missing, the folder is: the first is named.
+    """
+    name, page = F.col("name"), F.col("name").endswith(".md") & ~F.col("name").startswith(".")
+    marker = name == ".gen-done"
+    full = F.col("text").rlike(r"(^|\n)subagent: completed") & F.col("text").rlike(r"(^|\n)generated_at:")
+    g = outputs.groupBy("folder").agg(
+        F.count_if(page).alias("n_pages"), F.count_if(page & (F.col("size") == 0)).alias("n_void"), F.max(F.when(page, F.col("size"))).alias("size"), F.bool_or(marker).alias("has"), F.bool_or(marker & F.coalesce(full, F.lit(False))).alias("marked")
+    )
+    folder = F.when(F.col("chapter").endswith(".md"), F.regexp_extract("chapter", "^(.*)/[^/]*$", 1)).otherwise(F.col("chapter"))
+    rows = tasks.filter("chapter is not null and chapter <> ''").withColumn("folder", folder).join(g.withColumn("there", F.lit(True)), "folder", "left")
+    done, there = F.col("status") == "completed", F.coalesce("there", F.lit(False))
+    empty = (F.coalesce("n_pages", F.lit(0)) == 0) | (F.col("n_void") > 0)
+    marked = F.coalesce("marked", F.lit(False))
+    found = (
+        F.when(~there, F.when(done, "missing")).when(F.col("n_void") > 0, "empty page").when(F.col("has") & ~marked, "marker incomplete")
+        .when(~done & (F.col("n_pages") == 1) & (F.col("size") < least), "short page").when(~done & ~marked & ~empty, "no marker")
+    )
+    rows = rows.withColumns({"is_empty": F.coalesce(empty, F.lit(True)), "marked": marked, "problem": found, "there": there, "done": done})
+    ok = (F.col("marked") & F.col("problem").isNull()) | (~F.col("is_empty") & (F.col("done") | F.col("marked")))
+    return rows.select("id", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "is_empty", "marked", (F.col("there") & ok).alias("passed"), "problem")
+
+
+# Characters and labels of drawings that must not be in names of files, and what they leak from.
+LEAK_SIGNS = {"mermaid_rect": "[", "mermaid_diamond": "{", "mermaid_other": "("}
+LEAK_LABELS = ("isSub=true", "isSub=false", "circular: true", "circular: false")
 
 
 def leaked_names(files: DataFrame) -> DataFrame:
-    """(path, leak): names with brackets or edge labels; a name may leak in several ways."""
-    leaks = {"bracket": r"[\[\]{}()]", "arrow": r"-->|==>|-\.->", "label": r"\|[^|]*\|"}
-    found = F.array_compact(F.array(*[F.when(F.col("path").rlike(p), k) for k, p in leaks.items()]))
-    return files.select("path", F.explode(found).alias("leak"))
+    """(path, leak, matched): a name may leak in several ways, of edge labels the first counts."""
+    name = basename(F.col("path"))
+    label = F.coalesce(*[F.when(name.contains(x), x) for x in LEAK_LABELS])
+    struct = lambda kind, what: F.struct(F.lit(kind).alias("leak"), what.alias("matched"))
+    found = F.array(*[F.when(name.contains(sign), struct(kind, F.col("path"))) for kind, sign in LEAK_SIGNS.items()], F.when(label.isNotNull(), struct("mermaid_edge", label)))
+    return files.select("path", F.explode(F.array_compact(found)).alias("v")).select("path", "v.*")
 
 
-PATH_RULES = {
-    "source_below_project": "source_root like concat(project_root, '/%') or source_root = project_root", "output_not_source": "wiki_root <> source_root", "output_not_in_source": "not wiki_root like concat(source_root, '/%')",
-    "absolute": "project_root like '/%'", "cache_below_project": "cache_root like concat(project_root, '/%')", "no_parent_steps": "not concat(source_root, '/', wiki_root, '/') like '%/../%'",
-}
+# Path rules with their weight.
+PATH_RULES = {"PATH-001": "CRITICAL", "PATH-002": "CRITICAL", "PATH-003": "CRITICAL", "PATH-004": "REQUIRED", "PATH-005": "CRITICAL", "PATH-006": "CRITICAL"}
 
 
-def path_violations(paths: DataFrame) -> DataFrame:
-    found = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(r), F.lit(False)), k) for k, r in PATH_RULES.items()]))
-    return paths.select("project_root", F.explode(found).alias("rule"))
+def path_checks(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """paths: project_root, tool_root, output_root, cache_root, source_root; files: root, path (names in a project's root).
+
+    (project_root, rule, level, passed), six rows a project: it is not the tool's own folder; the output is its
+    folder wiki; cache and source lie below it; it has a package.json or src; it is not the tool (agents.md and skills).
+    """
+    seen = files.groupBy(F.col("root").alias("project_root")).agg(*[F.bool_or(F.col("path") == n).alias(f"_{k}") for k, n in enumerate(("package.json", "src", "agents.md", "skills"))])
+    rows = paths.join(seen, "project_root", "left")
+    tidy = lambda c: F.regexp_replace(F.regexp_replace(c, r"/(\./)*\.?$", ""), "/(\\./|/)*", "/")
+    has = lambda k: F.coalesce(F.col(f"_{k}"), F.lit(False))
+    root, below = tidy(F.col("project_root")), lambda c: tidy(F.col(c)).startswith(F.concat(tidy(F.col("project_root")), F.lit("/")))
+    ok = {
+        "PATH-001": F.col("project_root") != F.col("tool_root"), "PATH-002": tidy(F.col("output_root")) == F.concat(root, F.lit("/wiki")), "PATH-003": below("cache_root"), "PATH-004": below("source_root"),
+        "PATH-005": has(0) | has(1), "PATH-006": ~(has(2) & has(3)),
+    }
+    each = F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(PATH_RULES[k]).alias("level"), F.coalesce(c, F.lit(False)).alias("passed")) for k, c in ok.items()])
+    return rows.select("project_root", F.explode(each).alias("r")).select("project_root", "r.*")
+
+
+def path_verdicts(checks: DataFrame) -> DataFrame:
+    """(project_root, passed, critical_failed, required_failed): a project passes without a critical failure."""
+    bad = ~F.col("passed")
+    out = checks.groupBy("project_root").agg(F.count_if(bad & (F.col("level") == "CRITICAL")).alias("critical_failed"), F.count_if(bad & (F.col("level") == "REQUIRED")).alias("required_failed"))
+    return out.withColumn("passed", F.col("critical_failed") == 0)
+
+
+def with_field(raw: Column, field: str, value: Column, after: str | None = None) -> Column:
+    """A Markdown text with a field of its frontmatter set: its line is replaced, else put in behind that of
+    ``after``, else at the beginning."""
+    line = F.concat(F.lit(f"{field}: "), value)
+    safe = F.regexp_replace(line, r"([\\$])", r"\\$1")
+    behind = F.regexp_replace(raw, rf"(?m)^({after}:.*\n)", F.concat(F.lit("$1"), safe, F.lit("\n"))) if after else raw
+    begun = F.regexp_replace(raw, r"\A---\n", F.concat(F.lit("---\n"), safe, F.lit("\n")))
+    return F.when(raw.rlike(rf"(?m)^{field}:"), F.regexp_replace(raw, rf"(?m)^{field}:.*$", safe)).otherwise(behind if after else begun)
+
+
+def rewritten(texts: DataFrame, changes: DataFrame, at: str) -> DataFrame:
+    """texts: id, text; changes: id, action, reason.  Texts of patterns with state, reason and time of changes that are no "unchanged"."""
+    quoted = lambda c: F.concat(F.lit('"'), yaml_text(c), F.lit('"'))
+    rows = texts.join(changes.filter("action <> 'unchanged'").select("id", "action", "reason"), "id", "left")
+    new = with_field(F.col("text"), "status", F.col("action"))
+    rows = rows.withColumn("new", new)
+    rows = rows.withColumn("new", with_field(F.col("new"), "staleReason", quoted(F.col("reason")), "status"))
+    rows = rows.withColumn("new", with_field(F.col("new"), "staleAt", quoted(F.lit(at)), "staleReason"))
+    return rows.select("id", F.when(F.col("action").isNotNull(), F.col("new")).otherwise(F.col("text")).alias("text"))
 
 
 def marked(issues: DataFrame, changes: DataFrame, now: str) -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.functions.paths import padded
 
 
 def table(df: DataFrame, columns: list[str] | None = None, limit: int = 1000) -> str:
@@ -21,26 +24,144 @@ def short(name: str, n: int = 40) -> str:
     return name if len(name) <= n else "..." + name[3 - n :]
 
 
-def report(title: str, sections: list[tuple[str, str]]) -> str:
-    return "\n\n".join([f"# {title}", *[f"## {h}\n\n{body}" for h, body in sections]]) + "\n"
+def percent(x: int, total: int) -> str:
+    """With one place behind the point, halves up; a dash of nothing."""
+    return "—" if not total else f"{int(x * 1000 / total + 0.5) / 10:g}%"
 
 
-def book(pages: DataFrame, stats: DataFrame) -> str:
-    """pages: chapter, title, relpath; stats: one row."""
-    return report("Book", [("Figures", table(stats)), ("Contents", table(pages.orderBy("chapter", "relpath"), ["chapter", "title", "relpath"]))])
+def report(title: str, sections: list[tuple[str, str]], front: dict[str, object] | None = None) -> str:
+    head = ["\n".join(["---", *[f"{k}: {v}" for k, v in front.items()], "---"])] if front else []
+    return "\n\n".join([*head, f"# {title}", *[f"## {h}\n\n{body}" for h, body in sections]]) + "\n"
 
 
-def glossary(symbols: DataFrame) -> str:
-    return report("Glossary", [("Names", table(symbols.orderBy("name")))])
+SEVERITY_MARKS = {"critical": "⛔", "high": "🔴", "medium": "🟡", "low": "🟢"}
+STATUS_MARKS = {"completed": "✅", "in_progress": "🔄", "pending": "⏳", "failed": "❌"}
+PATTERN_MARKS = {"stale": " ⚠️", "orphaned": " 🗑️", "deprecated": " ❌"}
 
 
-def issue_dashboard(counts: DataFrame, pending: DataFrame) -> str:
-    return report("Issues", [("Counts", table(counts.orderBy("dimension", "value"))), ("Pending", table(pending.orderBy("severity", "id")))])
+def book(pages: DataFrame, labels: DataFrame, figures: DataFrame, chapters: DataFrame, links: DataFrame | None = None) -> str:
+    """pages: chapter, section, title, n_files; labels: chapter, label; figures: one row (``book.book_figures``);
+    chapters: chapter, n_pages, n_files, n_issues; links: chapter, section, id, severity of issues."""
+    f = figures.first().asDict()
+    label = {r["chapter"]: r["label"] for r in labels.collect()}
+    of: dict[str, list] = {}
+    for r in pages.orderBy("chapter", "section").collect():
+        of.setdefault(r["chapter"], []).append(r)
+    issues: dict[tuple, list[str]] = {}
+    for r in links.orderBy("id").collect() if links is not None else []:
+        issues.setdefault((r["chapter"], r["section"]), []).append(f"{SEVERITY_MARKS.get(r['severity'], '⚪')} [[{r['id']}]]")
+    counted = {r["chapter"]: r for r in chapters.collect()}
+    contents, details = [], []
+    for c, rows in of.items():
+        contents += [f"### {label.get(c, c)}", "", *[f"- [{r['title'] or r['section']}](volume-1-code/{c}/{r['section']})" for r in rows], ""]
+        n = counted[c]
+        said = f"- **{n['n_pages']}** pages, **{n['n_files']}** files" + (f", **{n['n_issues']}** issues" if n["n_issues"] else "")
+        cells = ["page", "title", "files", *(["issues"] if links is not None else [])]
+        lines = [[f"[{r['section']}](volume-1-code/{c}/{r['section']})", r["title"] or "-", str(r["n_files"]), *([" ".join(issues.get((c, r["section"]), [])) or "-"] if links is not None else [])] for r in rows]
+        details += [f"### {label.get(c, c)}", "", said, "", "| " + " | ".join(cells) + " |", "|" + "---|" * len(cells), *["| " + " | ".join(x) + " |" for x in lines], ""]
+    front = {"chapters": f["n_chapters"], "pages": f["n_pages"], "symbols": f["n_symbols"]}
+    return report("Book", [("Contents", "\n".join(contents).strip()), ("Chapters", "\n".join(details).strip())], front)
 
 
-def progress(counts: DataFrame) -> str:
-    rows = counts.orderBy("status").collect()
-    return report("Progress", [(short(str(r[0])), f"{progress_bar(r['completed'], r['total'])} {r['percent']} %") for r in rows])
+def glossary(symbols: DataFrame) -> str:
+    """symbols: name, type, relpath: by type in a fixed order, names in order."""
+    order = {t: k for k, t in enumerate(("component", "hook", "function", "symbol"))}
+    of: dict[str, list] = {}
+    for r in symbols.orderBy("name", "relpath").collect():
+        of.setdefault(r["type"], []).append(r)
+    kinds = sorted(of, key=lambda t: (order.get(t, 99), t))
+    counts = "\n".join(["| type | n |", "|---|---|", *[f"| {t} | {len(of[t])} |" for t in kinds]])
+    body = [(t, "\n".join(["| name | page |", "|---|---|", *[f"| `{r['name']}` | [[{r['relpath'].removesuffix('.md')}]] |" for r in of[t]]])) for t in kinds]
+    return report("Glossary", [("Types", counts), *body], {"total_symbols": sum(map(len, of.values()))})
+
+
+def issue_dashboard(counts: DataFrame, pending: DataFrame) -> str:
+    """counts: dimension, value, n, pending; pending: id, severity, detected_at: most severe first, latest first."""
+    place = {s: k for k, s in enumerate(SEVERITY_MARKS)}
+    rows = counts.orderBy("dimension", "value").collect()
+    total = sum(r["n"] for r in rows if r["dimension"] == "status")
+    tables = [(d, "\n".join(["| value | n | pending |", "|---|---|---|", *[f"| {r['value']} | {r['n']} | {r['pending']} |" for r in rows if r["dimension"] == d], *([f"| **total** | **{total}** | |"] if d == "status" else [])])) for d in ("status", "severity", "type", "confidence")]
+    listed = sorted(pending.collect(), key=lambda r: str(r["id"]))
+    listed = sorted(sorted(listed, key=lambda r: r["detected_at"], reverse=True), key=lambda r: place.get(r["severity"], 99))
+    return report("Issues", [*tables, ("Pending", "\n".join(f"- {SEVERITY_MARKS.get(r['severity'], '⚪')} [[{r['id']}]] {r['detected_at']}" for r in listed))], {"total": total})
+
+
+def file_issues(index: DataFrame, by_severity: DataFrame) -> str:
+    """index: path, id, type, severity, title; by_severity: severity, n."""
+    n = {r["severity"]: r["n"] for r in by_severity.collect()}
+    of: dict[str, list] = {}
+    for r in index.orderBy("path", "id").collect():
+        of.setdefault(r["path"], []).append(r)
+    severe = "\n".join(["| severity | n |", "|---|---|", *[f"| {SEVERITY_MARKS[s]} {s} | {n[s]} |" for s in SEVERITY_MARKS if n.get(s)]])
+    body = "\n\n".join("\n".join([f"### `{p}`", "", *[f"- {SEVERITY_MARKS.get(r['severity'], '⚪')} [[{r['id']}]] — {r['title']} _( {r['type']} )_" for r in rows]]) for p, rows in of.items())
+    return report("Files and issues", [("Severity", severe), ("Files", body)], {"issues": sum(n.values()), "files": len(of)})
+
+
+def experience(patterns: DataFrame, counts: DataFrame, whole: bool = False) -> str:
+    """patterns: id, category, status, title, summary, clusters; counts: ``registers.pattern_counts``.
+    Candidates are counted, not shown; ``whole``: with the figures in front."""
+    rows = patterns.orderBy("category", "id").collect()
+    shown = [r for r in rows if r["status"] != "candidate"]
+    figures = {"total_patterns": len(shown), **{s: sum(r["status"] == s for r in shown) for s in ("active", "stale")}, "orphaned": sum(r["status"] in ("orphaned", "deprecated") for r in shown), "candidate": len(rows) - len(shown), "categories": len({r["category"] or "uncategorized" for r in rows})}
+    if not shown:
+        return report("Experience", [], figures) if whole else ""
+    of: dict[str, list[str]] = {}
+    for r in shown:
+        c = r["category"] or "uncategorized"
+        some = r["clusters"] or []
+        origin = f" | {', '.join(some[:3])}{'...' if len(some) > 3 else ''}" if some else ""
+        of.setdefault(c, []).append(f"- [{r['id']}](volume-3-experience/{c}/{r['id']}.md){PATTERN_MARKS.get(r['status'], '')} — {r['summary'] or r['title'] or r['id']}{origin}")
+    body = [("Categories", table(counts.orderBy("category"), ["category", "active", "stale", "orphaned"])), *[(c, "\n".join(x)) for c, x in of.items()]]
+    return report("Experience", body, figures if whole else None)
+
+
+def master_index(figures: dict[str, dict[str, object] | None]) -> str:
+    """figures: for each of book, issues, experience what to say of it, none if it is not there; from tables, not
+    from rendered text."""
+    rows = [f"| [[{k}]] | {' / '.join(f'{v} {n}' for n, v in f.items() if v) or '✓'} |" for k, f in figures.items() if f is not None]
+    missing = [f"- {k}: not built yet" for k, f in figures.items() if f is None]
+    links = [f"- [[{k}]]" for k, f in figures.items() if f is not None]
+    return report("Knowledge base", [("Overview", "\n".join(["| part | figures |", "|---|---|", *rows])), *([("Missing", "\n".join(missing))] if missing else []), ("Navigation", "\n".join(links))], {"type": "master_index"})
+
+
+def progress(rows: DataFrame, phase: str = "GEN") -> str:
+    """rows: folder, n_files, tokens, total, completed, status (``tasks.status_counts``): by state, failed first."""
+    got = rows.orderBy("folder").collect()
+    total, done = sum(r["total"] for r in got), sum(r["completed"] for r in got)
+    of = {s: [r for r in got if r["status"] == s] for s in ("failed", "in_progress", "pending", "completed")}
+    shares = "\n".join(["| state | n | share |", "|---|---|---|", *[f"| {STATUS_MARKS[s]} {s} | {sum(r[s] for r in got)} | {percent(sum(r[s] for r in got), total)} |" for s in STATUS_MARKS]])
+    line = lambda r: f"| `{short(str(r['folder']))}` | {r['n_files']} | {r['tokens']:,} | {r['total']} | {r['completed']} | {STATUS_MARKS[r['status']]} {progress_bar(r['completed'], r['total'], 10)} |"
+    tables = [(f"{STATUS_MARKS[s]} {s} ({len(x)})", "\n".join(["| folder | files | tokens | tasks | done | state |", "|---|---|---|---|---|---|", *map(line, x)])) for s, x in of.items() if x]
+    return report("Progress", [("Total", f"{shares}\n\n{progress_bar(done, total, 40)} {percent(done, total)}"), *tables], {"phase": phase})
+
+
+def prompt(task: dict, files: list[str], meta: str = "", feedback: str = "") -> str:
+    """A task for a writer: what to read, its budget, its range of issue numbers, and what is known of the files."""
+    sections = [("Files", "\n".join(f"- `{f}`" for f in files)), ("Budget", f"{task['budget']:,} tokens")]
+    if task.get("issue_from") is not None:
+        sections.append(("Issue numbers", f"IS-{task['issue_from']:04d} to IS-{task['issue_from'] + 9:04d}"))
+    sections += [("Output", task["chapter"])] if task.get("chapter") else []
+    sections += [("Known of the files", meta)] if meta else []
+    text = report(str(task["id"]), sections)
+    return inject(text, feedback) if feedback else text
+
+
+def prompts(schedule: DataFrame, files: DataFrame) -> DataFrame:
+    """schedule: id, action, budget, issue_from, chapter; files: id, path.  (id, text) of the tasks that run, without
+    bringing them to the driver; a task's files are bounded by its tokens."""
+    listed = files.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("path")), lambda p: F.concat(F.lit("- `"), p, F.lit("`"))), "\n").alias("files"))
+    number = lambda n: F.concat(F.lit("IS-"), padded(n, 4))
+    parts = [
+        F.concat(F.lit("# "), F.col("id").cast("string")), F.concat(F.lit("## Files\n\n"), F.coalesce("files", F.lit(""))), F.concat(F.lit("## Budget\n\n"), F.format_number("budget", 0), F.lit(" tokens")),
+        F.concat(F.lit("## Issue numbers\n\n"), number(F.col("issue_from")), F.lit(" to "), number(F.col("issue_from") + 9)), F.concat(F.lit("## Output\n\n"), F.col("chapter")),
+    ]
+    return schedule.filter(F.col("action") != "skip").join(listed, "id", "left").select("id", F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("text"))
+
+
+def kept_prompts(existing: DataFrame, schedule: DataFrame) -> DataFrame:
+    """existing: name (of a prompt's file).  Names that stay: those of tasks that are not done."""
+    done = schedule.filter("action = 'skip'").select(F.concat("id", F.lit(".md")).alias("name"))
+    return existing.join(done, "name", "left_anti")
 
 
 def inject(text: str, feedback: str, mark: str = "<!-- feedback -->") -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.code import token_budget
+from weftline.operators.graph import durable
 
 # Phases in their order, and the gap between ranges of issue numbers.
 PHASES = ("INIT", "SCAN", "DEPENDENCY", "GEN", "ASSEMBLE", "VALIDATE")
@@ -39,6 +40,20 @@ def chunked(df: DataFrame, key: list[str], order: list[Column], least: int = 5,
     return df.withColumn("chunk", F.floor((F.row_number().over(w.orderBy(*order)) - 1) / size).cast("long"))
 
 
+def ranked(df: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds the place (from 0) of a row in its key by ``order``, without bringing a key into one task.
+
+    Rows are dealt into ranges of (key, order); the place is that within the range plus the rows of
+    the key in ranges before it, which are one row for each range and key.
+    """
+    rows = durable(df.repartitionByRange(*key, *order).withColumn("_p", F.spark_partition_id()))
+    sizes = rows.groupBy(*key, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*key, "_p").orderBy(*order)) - 1
+    return rows.withColumn("_r", within).join(offsets, [*key, "_p"]).withColumn(name, F.col("_r") + F.col("_off")).drop("_p", "_r", "_off")
+
+
 def action(status: Column, seen_before: Column, resume: bool) -> Column:
     return (
         F.when(seen_before, "skip").when(status.isNull(), "run").when(status == "pending", "run" if resume else "skip")
@@ -55,10 +70,8 @@ def schedule(tasks: DataFrame, known: DataFrame, resume: bool = True, issue_base
     rows = tasks.join(last, "id", "left")
     again = F.row_number().over(Window.partitionBy("id").orderBy("ord")) > 1
     rows = rows.withColumn("action", action(F.col("status"), again, resume)).withColumn("budget", token_budget(F.col("tokens")))
-    go = F.col("action").isin("run", "retry")
-    rank = F.row_number().over(Window.partitionBy("_go").orderBy("ord"))
-    rows = rows.withColumn("_go", go).withColumn("issue_from", F.when(go, F.lit(issue_base) + ISSUE_GAP * (rank - 1)))
-    return rows.select("id", "action", "tokens", "budget", "ord", "issue_from")
+    rows = ranked(rows.withColumn("_go", F.col("action").isin("run", "retry")), ["_go"], ["ord"], "_rank")
+    return rows.select("id", "action", "tokens", "budget", "ord", F.when(F.col("_go"), F.lit(issue_base) + ISSUE_GAP * F.col("_rank")).alias("issue_from"))
 
 
 def action_order(a: Column) -> Column:
@@ -93,14 +106,35 @@ def upsert_new(known: DataFrame, scheduled: DataFrame) -> DataFrame:
     return known.select("id", "status").unionByName(new)
 
 
-def synced(tasks: DataFrame, written: DataFrame) -> DataFrame:
-    """Tasks whose output (chapter) is there are completed."""
-    there = written.select("chapter").distinct().withColumn("_w", F.lit(True))
-    return tasks.join(there, "chapter", "left").withColumn("status", F.when(F.col("_w"), "completed").otherwise(F.col("status"))).drop("_w")
+def synced(tasks: DataFrame, found: DataFrame, orphaned: DataFrame | None = None) -> DataFrame:
+    """tasks: id, status, chapter; found: id, found (``book.chapter_tasks``); orphaned: chapter, of pages that name
+    issues without a file.
+
+    Open tasks whose output is there are completed and know its chapter; with ``orphaned`` (strict)
+    those whose chapter is listed stay, and ``blocked`` says so.
+    """
+    rows = tasks.join(found.filter("found is not null").select("id", "found"), "id", "left")
+    shut = F.lit(False)
+    if orphaned is not None:
+        rows = rows.join(orphaned.select(F.col("chapter").alias("found")).distinct().withColumn("_o", F.lit(True)), "found", "left")
+        shut = F.col("_o").isNotNull()
+    open_ = F.col("found").isNotNull() & ~F.col("status").isin("completed", "failed")
+    rows = rows.withColumns({"status": F.when(open_ & ~shut, "completed").otherwise(F.col("status")), "chapter": F.when(open_ & ~shut, F.coalesce(F.nullif("chapter", F.lit("")), "found")).otherwise(F.col("chapter")), "blocked": open_ & shut})
+    return rows.drop("found", "_o")
+
+
+def normal_status(raw: Column) -> Column:
+    """A state of a task; what is not known is pending."""
+    return F.when(raw.isin("completed", "in_progress", "failed"), raw).otherwise("pending")
+
+
+def status_order(s: Column) -> Column:
+    return F.when(s == "failed", 0).when(s == "in_progress", 1).when(s == "pending", 2).otherwise(3)
 
 
 def status_counts(tasks: DataFrame, key: list[str]) -> DataFrame:
     n = F.count(F.lit(1))
+    tasks = tasks.withColumn("status", normal_status(F.col("status")))
     cols = {s: F.count_if(F.col("status") == s) for s in ("completed", "in_progress", "pending", "failed")}
     out = tasks.groupBy(*key).agg(n.alias("total"), *[c.alias(s) for s, c in cols.items()])
     return out.withColumn("percent", F.round(100 * F.col("completed") / F.col("total")).cast("long")).withColumn(
@@ -108,6 +142,23 @@ def status_counts(tasks: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def reset_by_file(tasks: DataFrame, file_tasks: DataFrame, affected: DataFrame) -> DataFrame:
+    """tasks: id, status; file_tasks: path, task; affected: path.  Tasks with an affected file are pending again,
+    unless in progress."""
+    hit = file_tasks.join(affected.select("path").distinct(), "path", "left_semi").select(F.col("task").alias("id")).distinct().withColumn("_a", F.lit(True))
+    again = F.col("_a").isNotNull() & (F.col("status") != "in_progress")
+    return tasks.join(hit, "id", "left").withColumn("status", F.when(again, "pending").otherwise(F.col("status"))).drop("_a")
+
+
+def file_tasks(clusters: DataFrame | None, subtasks: DataFrame | None) -> tuple[DataFrame, str]:
+    """(path, task) of clusters (cluster, path) if there are any, else of subtasks (id, path), and which; neither is an error."""
+    if clusters is not None and not clusters.isEmpty():
+        return clusters.select("path", F.col("cluster").alias("task")).distinct(), "clusters"
+    if subtasks is None:
+        raise ValueError("neither clusters nor subtasks are given")
+    return subtasks.select("path", F.col("id").alias("task")).distinct(), "folders"
+
+
 def file_task_index(cluster_files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file, tasks) and (task, files), sorted, each once."""
     rows = cluster_files.select("path", "task").distinct()

@@ -2,52 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import code, paths
 from weftline.operators import clusters, graph, registers, tasks
-from weftline.sources import readers, views
-
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-V = {k: f"{k} AS ({v})" for k, v in views.SQL.items()}
-
-
-def query(sql: str | None = None, *uses: str) -> Callable[[Query], Query]:
-    """Registers a query under its function's name; ``uses`` names the views that its SQL begins with."""
-
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            parts = [V[u] for u in uses]
-            recursive = "RECURSIVE " if "WITH RECURSIVE" in sql else ""
-            body = sql.strip()
-            if recursive:
-                body = body.replace("WITH RECURSIVE", "WITH", 1)
-            if parts and body.startswith("WITH "):
-                body = ", ".join(parts) + ", " + body[5:]
-            elif parts:
-                body = ", ".join(parts) + " " + body
-            else:
-                body = body.removeprefix("WITH ")
-            needs = parts or sql.strip().startswith("WITH")
-            _sql[f.__name__] = f"WITH {recursive}{body}" if needs else body
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+from weftline.plans import knowledge
+from weftline.plans.base import oracle_sql, queries, query
+from weftline.sources import projects, readers, views
 
+__all__ = ["knowledge", "oracle_sql", "queries", "query"]
 
 # ---- files ------------------------------------------------------------------------------------
 
@@ -64,18 +28,19 @@ RANKED = f"{DEGREE}, ranked AS (SELECT f.doc_id, path, content, coalesce(n_dep,
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = views.files(spark, sf_dir)
+    """doc_id, path, n_dep, priority, tokens, lines, jsx, hook: what the text tells is taken first, so that no join carries texts."""
+    p, c = F.col("path"), F.col("content")
+    jsx, hook = code.marks(c)
+    f = views.files(spark, sf_dir).select("doc_id", "path", jsx.alias("jsx"), hook.alias("hook"), F.length(c).alias("chars"), code.line_count(c).alias("lines"))
     n = graph.dependents(views.edges(spark, sf_dir)).select(F.col("source").alias("doc_id"), F.col("n_dependents").alias("n_dep"))
     rows = f.join(n, "doc_id", "left").withColumn("n_dep", F.coalesce("n_dep", F.lit(0)))
-    p, c = F.col("path"), F.col("content")
-    rows = rows.withColumn("priority", code.priority(p, F.col("n_dep"), c))
-    return rows.withColumn("tokens", code.estimated_tokens(p, F.length(c), code.head(c).rlike(code.LOOSE_JSX)))
+    rows = rows.withColumn("priority", code.priority_of(p, F.col("n_dep"), F.col("jsx"), F.col("hook")))
+    return rows.withColumn("tokens", code.estimated_tokens(p, F.col("chars"), F.col("jsx")))
 
 
 @query(f"WITH {RANKED} SELECT path, priority, n_dep AS dependents, tokens, CAST(len(string_split(content, chr(10))) AS BIGINT) AS lines FROM ranked", "files", "edges")
 def file_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _ranked(spark, sf_dir)
-    return r.select("path", "priority", F.col("n_dep").alias("dependents"), "tokens", code.line_count(F.col("content")).alias("lines"))
+    return _ranked(spark, sf_dir).select("path", "priority", F.col("n_dep").alias("dependents"), "tokens", "lines")
 
 
 @query(
@@ -90,15 +55,20 @@ def file_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def priority_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _ranked(spark, sf_dir)
-    return r.select("path", code.reason(F.col("path"), F.col("priority"), F.col("n_dep"), F.col("content")).alias("reason"))
+    return r.select("path", code.reason_of(F.col("path"), F.col("priority"), F.col("n_dep"), F.col("jsx"), F.col("hook")).alias("reason"))
 
 
-@query(
-    f"WITH {RANKED} SELECT {DIR} AS folder, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS n_files, string_agg(path, ',' ORDER BY priority, n_dep DESC, path) AS files FROM ranked GROUP BY 1", "files", "edges"
-)
+@query(f"WITH {RANKED} SELECT {DIR} AS folder, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS n_files, min(priority) AS priority FROM ranked GROUP BY 1", "files", "edges")
 def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ranked(spark, sf_dir).groupBy(paths.dirname(F.col("path")).alias("folder"))
-    return rows.agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_files"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("priority", (-F.col("n_dep")).alias("d"), "path"))), lambda x: x["path"]), ",").alias("files"))
+    return rows.agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_files"), F.min("priority").alias("priority"))
+
+
+@query(f"WITH {RANKED} SELECT {DIR} AS folder, path, row_number() OVER (PARTITION BY {DIR} ORDER BY priority, n_dep DESC, path, doc_id) - 1 AS place FROM ranked", "files", "edges")
+def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a folder in their order, without bringing a folder into one task."""
+    rows = _ranked(spark, sf_dir).select(paths.dirname(F.col("path")).alias("folder"), "path", "priority", (-F.col("n_dep")).alias("d"), "doc_id")
+    return tasks.ranked(rows, ["folder"], ["priority", "d", "path", "doc_id"], "place").select("folder", "path", "place")
 
 
 @query(f"WITH {RANKED} SELECT priority, count(*) AS n FROM ranked GROUP BY 1", "files", "edges")
@@ -137,16 +107,41 @@ def file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir).select("path", code.role(F.col("path"), F.col("priority")).alias("role"))
 
 
+HEAD = "substr(content, 1, 8192)"
+#: Texts with code in front, so that every pattern has something to find.
+CODE = """code AS (SELECT path, CASE doc_id % 6 WHEN 0 THEN 'export const Box' || (doc_id % 9) || ' = () => <Panel />' WHEN 1 THEN 'export type T = 1' || chr(10) || 'function helper() {}' || chr(10) || 'useData(1); useData(2); useMore (3)'
+    WHEN 2 THEN 'interface CardProps {}' || chr(10) || 'export { a, b }' || chr(10) || 'async function Run() {} </Card>' WHEN 3 THEN 'export * from "./a"' || chr(10) || '// x' ELSE '' END || CASE WHEN doc_id % 6 = 3 THEN '' ELSE chr(10) || content END AS content, doc_id FROM files)"""
+NAMES_FOUND = r"""list_distinct(list_filter(flatten([regexp_extract_all(h, 'export\s+(?:const|function|let|var|class)\s+(\w+)', 1), regexp_extract_all(h, 'export\s+default\s+(?:function|class)\s+(\w+)', 1), regexp_extract_all(h, 'export\s*\{\s*(\w+)', 1),
+    regexp_extract_all(h, 'export\s+default\s+(\w+)', 1), regexp_extract_all(h, 'export\s+(?:interface|type)\s+(\w+)', 1), regexp_extract_all(h, 'export\s+enum\s+(\w+)', 1)]), lambda x: x <> ''))"""
+
+
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 6
+    text = (
+        F.when(k == 0, F.concat(F.lit("export const Box"), (F.col("doc_id") % 9).cast("string"), F.lit(" = () => <Panel />"))).when(k == 1, "export type T = 1\nfunction helper() {}\nuseData(1); useData(2); useMore (3)")
+        .when(k == 2, "interface CardProps {}\nexport { a, b }\nasync function Run() {} </Card>").when(k == 3, 'export * from "./a"\n// x').otherwise("")
+    )
+    return views.files(spark, sf_dir).select("path", F.concat(text, F.when(k == 3, "").otherwise(F.concat(F.lit("\n"), "content"))).alias("content"))
+
+
 @query(
-    rf"""SELECT path, CAST(len(string_split(content, chr(10))) AS BIGINT) AS lines, array_to_string(list_distinct(regexp_extract_all(substr(content,1,8192), '\b(use[A-Z]\w+)\s*\(', 1)), ',') AS hooks,
-    regexp_matches(substr(content,1,8192), '{code.STRICT_JSX}') AS has_jsx, contains({DIR} || '/', '/pages/') AS business, lower({BASE}) LIKE 'index.%' AS entry_stem
-    FROM files WHERE {EXT} <> '.css' AND NOT regexp_matches(path, '{code.TEST}')""",
+    rf"""WITH {CODE}, h AS (SELECT path, content, {HEAD} AS h, doc_id FROM code WHERE {EXT} <> '.css' AND NOT regexp_matches(path, '\.(test|spec|stories|story)\.(ts|tsx|js|jsx)$|/__tests__/')), x AS (SELECT *, regexp_matches(h, '{code.STRICT_JSX}') AS j, {NAMES_FOUND} AS e FROM h)
+    SELECT path, CAST(len(string_split(content, chr(10))) AS BIGINT) AS lines, greatest(1, CAST(round(length(content) / (CASE WHEN {BASE} LIKE '%.d.ts' THEN 5.5::DOUBLE WHEN {EXT} IN ('.tsx','.jsx') AND j THEN 3.8::DOUBLE ELSE 4.5::DOUBLE END)) AS BIGINT)) AS tokens, j AS has_jsx, doc_id % 6 = 3 AS is_barrel,
+    j OR len(list_filter(e, lambda n: regexp_matches(n, '^[A-Z]'))) > 0 AS is_component, CASE doc_id % 6 WHEN 0 THEN 'Box' || (doc_id % 9) WHEN 1 THEN 'T' WHEN 2 THEN 'Run' END AS component, array_to_string(e, ',') AS exports,
+    CASE doc_id % 6 WHEN 1 THEN 'useData,useMore' ELSE '' END AS hooks, CASE doc_id % 6 WHEN 2 THEN 'CardProps' ELSE '' END AS prop_types, CASE doc_id % 6 WHEN 1 THEN 'helper' WHEN 2 THEN 'Run' ELSE '' END AS functions FROM x""",
     "files",
-)
+)
 def file_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, h = F.col("path"), code.head(F.col("content"))
-    rows = views.files(spark, sf_dir).filter(~code.is_style(p) & ~code.is_test(p))
-    return rows.select("path", code.line_count(F.col("content")).alias("lines"), F.array_join(code.hooks(h), ",").alias("hooks"), h.rlike(code.STRICT_JSX).alias("has_jsx"), code.is_business(p).alias("business"), F.lower(paths.basename(p)).startswith("index.").alias("entry_stem"))
+    rows = code.file_meta(_coded(spark, sf_dir))
+    for c in ("exports", "hooks", "prop_types", "functions"):
+        rows = rows.withColumn(c, F.array_join(c, ","))
+    return rows
+
+
+@query(f"SELECT path, contains('/' || lower({DIR}) || '/', '/pages/') AS business, lower({BASE}) IN ('index.ts', 'index.tsx', 'index.jsx', 'index.css') AS entry_stem FROM files", "files")
+def path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return views.files(spark, sf_dir).select("path", code.is_business(p).alias("business"), code.is_entry_stem(p).alias("entry_stem"))
 
 
 @query(rf"SELECT path, coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(path, '[^a-zA-Z0-9_-]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')), ''), 'root') AS id FROM files", "files")
@@ -154,10 +149,9 @@ def path_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.files(spark, sf_dir).select("path", paths.path_id(F.col("path")).alias("id"))
 
 
-@query("""SELECT count(DISTINCT a) AS n_folders, count(DISTINCT path) AS n_files FROM (SELECT path, unnest(list_transform(range(1, len(string_split(path,'/'))), lambda k: array_to_string(list_slice(string_split(path,'/'), 1, k), '/'))) AS a FROM files)""", "files")
+@query(f"""WITH s AS (SELECT path FROM files WHERE {EXT} IN ('.ts','.tsx','.js','.jsx','.vue','.svelte','.mjs','.cjs','.mts')) SELECT (SELECT count(DISTINCT path) FROM s) AS n_files, count(DISTINCT a) AS n_folders FROM (SELECT unnest(list_transform(range(1, len(string_split(path,'/'))), lambda k: array_to_string(list_slice(string_split(path,'/'), 1, k), '/'))) AS a FROM s)""", "files")
 def project_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.files(spark, sf_dir).select("path", F.explode(paths.ancestors(F.col("path"))).alias("a"))
-    return rows.agg(F.count_distinct("a").alias("n_folders"), F.count_distinct("path").alias("n_files"))
+    return projects.project_figures(views.files(spark, sf_dir))
 
 
 @query(
@@ -191,19 +185,36 @@ def affected_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{CLOSURE} SELECT node AS path, CASE WHEN node % 97 = 5 THEN 'Directly modified' ELSE 'Depends on changed file' END AS reason FROM r", "edges")
 def affected_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = views.table(spark, sf_dir, "documents").filter("doc_id % 97 = 5").select(F.col("doc_id").alias("path"), F.lit("modified").alias("status"))
-    return graph.affected_with_reason(changes, views.edges(spark, sf_dir))
+    return graph.affected_with_reason(changes, views.edges(spark, sf_dir)).select("path", "reason")
+
+
+DEPTHS = """WITH RECURSIVE r(node, depth) AS (SELECT doc_id, 0 FROM documents WHERE doc_id % 97 = 5 UNION SELECT e.src, depth + 1 FROM edges e JOIN r ON e.dst = r.node WHERE depth < 40), d AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1)"""
 
 
-@query(f"{CLOSURE} SELECT {DIR} AS folder, count(*) AS n_affected FROM r JOIN files f ON f.doc_id = r.node GROUP BY 1", "edges", "files")
+@query(f"{DEPTHS} SELECT {DIR} AS folder, count(*) AS n_files, arg_min(CASE WHEN depth = 0 THEN 'Directly modified' ELSE 'Depends on changed file' END, depth) AS reason FROM d JOIN files f ON f.doc_id = d.node GROUP BY 1", "edges", "files")
 def affected_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = views.files(spark, sf_dir)
-    return f.join(affected_nodes(spark, sf_dir), F.col("doc_id") == F.col("node")).groupBy(paths.dirname(F.col("path")).alias("folder")).agg(F.count(F.lit(1)).alias("n_affected"))
+    changes = views.table(spark, sf_dir, "documents").filter("doc_id % 97 = 5").select(F.col("doc_id").alias("path"), F.lit("modified").alias("status"))
+    got = graph.affected_with_reason(changes, views.edges(spark, sf_dir)).withColumnRenamed("path", "doc_id")
+    named = views.files(spark, sf_dir).select("doc_id", "path").join(got, "doc_id")
+    return graph.affected_folders(named, paths.dirname(F.col("path")))
+
+
+@query(
+    f"""{CLOSURE}, a AS (SELECT DISTINCT {DIR} AS folder FROM files), h AS (SELECT DISTINCT {DIR} AS folder FROM r JOIN files f ON f.doc_id = r.node)
+    SELECT (SELECT count(*) FROM a) AS total, (SELECT count(*) FROM h) AS affected, (SELECT count(*) FROM a WHERE folder NOT IN (SELECT folder FROM h)) AS unaffected, CAST(round((1 - (SELECT count(*) FROM h)::DOUBLE / (SELECT count(*) FROM a)) * 100) AS BIGINT) AS reduction""",
+    "edges", "files",
+)
+def analysis_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.files(spark, sf_dir).select("doc_id", paths.dirname(F.col("path")).alias("folder"))
+    return graph.analysis_scope(f, f.join(affected_nodes(spark, sf_dir), F.col("doc_id") == F.col("node"), "left_semi"))
 
 
-@query(f"{CLOSURE} SELECT id, CASE WHEN r.node IS NOT NULL AND status <> 'in_progress' THEN 'pending' ELSE status END AS status FROM tasks t LEFT JOIN r ON t.folder = r.node", "edges", "tasks")
+@query(f"{CLOSURE} SELECT id, CASE WHEN status <> 'in_progress' AND (folder IN (SELECT node FROM r) OR folder + 7 IN (SELECT node FROM r)) THEN 'pending' ELSE status END AS status FROM tasks t", "edges", "tasks")
 def reset_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = views.tasks(spark, sf_dir).join(affected_nodes(spark, sf_dir), F.col("folder") == F.col("node"), "left")
-    return t.select("id", F.when(F.col("node").isNotNull() & (F.col("status") != "in_progress"), "pending").otherwise(F.col("status")).alias("status"))
+    """Every task has two files, of the numbers of its folder and of the seventh behind it."""
+    t = views.tasks(spark, sf_dir)
+    of = t.select(F.col("id").alias("task"), F.explode(F.array(F.col("folder"), F.col("folder") + 7)).alias("path"))
+    return tasks.reset_by_file(t, of, affected_nodes(spark, sf_dir).withColumnRenamed("node", "path")).select("id", "status")
 
 
 # ---- graphs -----------------------------------------------------------------------------------
@@ -219,14 +230,29 @@ def most_dependent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.top(graph.dependents(views.edges(spark, sf_dir)), "n_dependents")
 
 
-@query("SELECT src AS source, count(*) AS n_dependencies FROM edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "edges")
+@query("SELECT doc_id AS source, count(src) AS n_dependencies FROM documents LEFT JOIN edges ON src = doc_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "edges")
 def most_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.top(graph.out_degree(views.edges(spark, sf_dir)), "n_dependencies")
+    modules = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"))
+    return graph.top(graph.out_degree(views.edges(spark, sf_dir), modules), "n_dependencies")
 
 
-@query("SELECT x.src AS a, x.dst AS b FROM edges x JOIN edges y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst", "edges")
+@query("SELECT x.src AS a, x.dst AS b FROM circles x JOIN circles y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst", "circles")
 def mutual_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.mutual(views.edges(spark, sf_dir))
+    return graph.mutual(views.circles(spark, sf_dir))
+
+
+REACH = "WITH RECURSIVE r(a, b) AS (SELECT src, dst FROM circles UNION SELECT r.a, e.dst FROM r JOIN circles e ON e.src = r.b)"
+
+
+@query(f"{REACH} SELECT x.a AS node, least(x.a, min(x.b)) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1", "circles")
+def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycles(views.circles(spark, sf_dir))
+
+
+@query("WITH RECURSIVE r(node) AS (SELECT doc_id FROM documents WHERE doc_id % 97 = 5 UNION SELECT e.src FROM circles e JOIN r ON e.dst = r.node) SELECT node FROM r", "circles")
+def affected_in_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = views.table(spark, sf_dir, "documents").filter("doc_id % 97 = 5").select(F.col("doc_id").alias("node"))
+    return graph.affected(seeds, views.circles(spark, sf_dir)).select("node")
 
 
 @query(
@@ -266,11 +292,11 @@ def seed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH cf AS (SELECT DISTINCT l_suppkey AS cluster, l_partkey % 200 AS path FROM lineitem WHERE l_suppkey <= 60), s AS (SELECT cluster, count(*) AS n FROM cf GROUP BY 1), p AS (SELECT x.cluster AS a, y.cluster AS b, count(*) AS shared FROM cf x JOIN cf y ON x.path = y.path AND x.cluster < y.cluster GROUP BY 1, 2)
+    """WITH cf AS (SELECT DISTINCT l_suppkey AS cluster, l_partkey AS path FROM lineitem), s AS (SELECT cluster, count(*) AS n FROM cf GROUP BY 1), p AS (SELECT x.cluster AS a, y.cluster AS b, count(*) AS shared FROM cf x JOIN cf y ON x.path = y.path AND x.cluster < y.cluster GROUP BY 1, 2)
     SELECT a, b, shared, shared::DOUBLE / least(sa.n, sb.n) AS ratio FROM p JOIN s sa ON sa.cluster = a JOIN s sb ON sb.cluster = b WHERE shared::DOUBLE / least(sa.n, sb.n) >= 0.3"""
 )
 def cluster_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cf = views.table(spark, sf_dir, "lineitem").filter("l_suppkey <= 60").select(F.col("l_suppkey").alias("cluster"), (F.col("l_partkey") % 200).alias("path"))
+    cf = views.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cluster"), F.col("l_partkey").alias("path"))
     return clusters.overlaps(cf)
 
 
@@ -349,30 +375,41 @@ def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- registers --------------------------------------------------------------------------------
 
 
-@query("""WITH w AS (SELECT id, first_value(id) OVER (PARTITION BY type, source_file ORDER BY detected_at, id) AS final_keeper FROM issues) SELECT id, id <> final_keeper AS is_duplicate, final_keeper FROM w""", "issues")
+@query(
+    """WITH w AS (SELECT id, detected_at, type, source_file, first_value(id) OVER (PARTITION BY type, source_file ORDER BY detected_at, id) AS final_keeper, min(detected_at || '/' || lpad(id::VARCHAR, 12, '0')) OVER (PARTITION BY type, source_file ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM issues),
+    x AS (SELECT *, p IS NULL OR detected_at || '/' || lpad(id::VARCHAR, 12, '0') < p AS record FROM w), y AS (SELECT *, min(CASE WHEN record THEN id END) OVER (PARTITION BY type, source_file ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM x)
+    SELECT id, id <> final_keeper AS is_duplicate, CASE WHEN id <> final_keeper THEN CASE WHEN record THEN after ELSE CAST(split_part(p, '/', 2) AS BIGINT) END END AS duplicate_of, final_keeper FROM y""",
+    "issues",
+)
 def issue_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registers.dedup(views.issues(spark, sf_dir), ["type", "source_file"]).select("id", "is_duplicate", "final_keeper")
+    return registers.dedup(views.issues(spark, sf_dir), ["type", "source_file"]).select("id", "is_duplicate", "duplicate_of", "final_keeper")
 
 
 @query(
-    """SELECT 'status' AS dimension, status AS value, count(*) AS n, count(*) FILTER (status = 'pending') AS pending FROM issues GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*), count(*) FILTER (status = 'pending') FROM issues GROUP BY 2
-    UNION ALL SELECT 'type', type, count(*), count(*) FILTER (status = 'pending') FROM issues GROUP BY 2 UNION ALL SELECT 'confidence', coalesce(confidence, 'unknown'), count(*), count(*) FILTER (status = 'pending') FROM issues GROUP BY 2""",
+    """SELECT 'status' AS dimension, status AS value, count(*) AS n, count(*) FILTER (status IN ('detected', 'verified', 'fixing')) AS pending FROM issues GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*), count(*) FILTER (status IN ('detected', 'verified', 'fixing')) FROM issues GROUP BY 2
+    UNION ALL SELECT 'type', type, count(*), count(*) FILTER (status IN ('detected', 'verified', 'fixing')) FROM issues GROUP BY 2 UNION ALL SELECT 'confidence', coalesce(confidence, 'unknown'), count(*), count(*) FILTER (status IN ('detected', 'verified', 'fixing')) FROM issues GROUP BY 2""",
     "issues",
 )
 def issue_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registers.dashboard(views.issues(spark, sf_dir).withColumn("is_pending", F.col("status") == "pending"))
+    return registers.dashboard(views.issues(spark, sf_dir).withColumn("is_pending", F.col("status").isin(*registers.PENDING)))
 
 
 @query(
-    """SELECT id, severity, detected_at FROM issues WHERE status = 'pending' AND severity IN ('critical','high') UNION ALL SELECT * FROM (SELECT id, severity, detected_at FROM issues WHERE status = 'pending' AND severity = 'medium' ORDER BY detected_at DESC, id LIMIT 10)""", "issues"
+    """SELECT id, severity, detected_at FROM issues WHERE status IN ('detected', 'verified', 'fixing') AND severity IN ('critical','high') UNION ALL SELECT * FROM (SELECT id, severity, detected_at FROM issues WHERE status IN ('detected', 'verified', 'fixing') AND severity = 'medium' ORDER BY detected_at DESC, id LIMIT 10)""", "issues"
 )
 def pending_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registers.pending_list(views.issues(spark, sf_dir)).select("id", "severity", "detected_at")
 
 
-@query("""SELECT source_file, count(*) AS n, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, string_agg(id::VARCHAR, ',' ORDER BY id) AS issues FROM issues GROUP BY 1""", "issues")
+@query("""SELECT source_file, count(*) AS n, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, min(id) AS first_id, max(id) AS last_id FROM issues GROUP BY 1""", "issues")
 def file_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registers.by_file(views.issues(spark, sf_dir)).withColumn("issues", F.array_join(F.transform("issues", lambda x: x.cast("string")), ","))
+    return registers.by_file(views.issues(spark, sf_dir))
+
+
+@query("SELECT f AS path, id, type, severity, status FROM (SELECT id, type, severity, status, unnest([source_file, 'all-' || (id % 5)]) AS f FROM issues WHERE type IS NOT NULL)", "issues")
+def file_issue_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = views.issues(spark, sf_dir).withColumn("source_files", F.array("source_file", F.concat(F.lit("all-"), (F.col("id") % 5).cast("string"))))
+    return registers.file_index(i)
 
 
 @query("""SELECT type, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) AS total FROM issues GROUP BY 1""", "issues")
@@ -380,12 +417,19 @@ def issue_cross_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registers.cross_tab(views.issues(spark, sf_dir))
 
 
-@query("SELECT id, 'type' AS field, type AS value FROM issues WHERE type NOT IN ('bug','security','typescript','performance','dead_code','complexity','maintainability','ux')", "issues")
+ALLOWED = "('bug','security','typescript','performance','dead_code','complexity','maintainability','ux')"
+BROKEN = f"""v AS (SELECT id, 'missing_type' AS violation, type AS value, 'error' AS level FROM issues WHERE coalesce(type, '') = '' UNION ALL SELECT id, 'invalid_type', type, 'error' FROM issues WHERE type <> '' AND type NOT IN {ALLOWED}
+    UNION ALL SELECT id, 'wrong_chapter', chapter, 'warning' FROM issues WHERE type IN {ALLOWED} AND chapter <> 'unknown' AND chapter <> CASE type WHEN 'bug' THEN 'ch-01-bugs' WHEN 'security' THEN 'ch-02-security' WHEN 'typescript' THEN 'ch-03-typescript' WHEN 'performance' THEN 'ch-04-performance' WHEN 'dead_code' THEN 'ch-05-dead-code' WHEN 'complexity' THEN 'ch-06-complexity' WHEN 'maintainability' THEN 'ch-07-maintainability' ELSE 'ch-08-ux' END
+    UNION ALL SELECT id, 'invalid_severity', severity, 'warning' FROM issues WHERE severity <> '' AND severity NOT IN ('critical','high','medium','low') UNION ALL SELECT id, 'invalid_confidence', confidence, 'warning' FROM issues WHERE confidence <> '' AND confidence NOT IN ('high','medium','low')
+    UNION ALL SELECT id, 'invalid_status', status, 'warning' FROM issues WHERE status <> '' AND status NOT IN ('detected','acknowledged','verified','fixing','fixed','verified_fixed','archived','false_positive','stale','disputed','closed'))"""
+
+
+@query(f"WITH {BROKEN} SELECT * FROM v", "issues")
 def issue_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registers.violations(views.issues(spark, sf_dir))
 
 
-@query("SELECT count(*) AS total, count(*) AS violations, count(DISTINCT id) AS failed, count(*) - count(DISTINCT id) AS passed FROM issues", "issues")
+@query(f"WITH {BROKEN} SELECT (SELECT count(*) FROM issues) AS total, count(*) AS violations, count(DISTINCT id) AS failed, (SELECT count(*) FROM issues) - count(DISTINCT id) AS passed FROM v", "issues")
 def violation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = views.issues(spark, sf_dir)
     return registers.validator_summary(i, registers.violations(i))
@@ -439,11 +483,11 @@ def pattern_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH n AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS name FROM pages) SELECT DISTINCT page_id AS page, regexp_replace(href, '^/', '') AS target FROM links WHERE regexp_replace(href, '^/', '') NOT IN (SELECT name FROM n)""", "links"
+    r"""WITH n AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS name FROM pages) SELECT DISTINCT page_id AS page, split_part(regexp_replace(href, '^/', ''), '|', 1) AS target FROM links WHERE split_part(regexp_replace(href, '^/', ''), '|', 1) NOT IN (SELECT name FROM n)""", "links"
 )
 def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = views.table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://[^/]*/([a-z]+)/", 1).alias("relpath"))
-    got = views.links(spark, sf_dir).select(F.col("page_id").alias("page"), F.regexp_replace("href", "^/", "").alias("target")).filter(~F.col("target").contains("|"))
+    got = views.links(spark, sf_dir).select(F.col("page_id").alias("page"), F.regexp_replace("href", "^/", "").alias("target"))
     return registers.broken_links(got, names)
 
 
@@ -464,29 +508,29 @@ def book_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT dst AS source, count(*) AS n FROM edges GROUP BY 1), m AS (SELECT DISTINCT node FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges)), refs AS (SELECT DISTINCT o_orderkey AS page, o_custkey AS path FROM orders), c AS (SELECT DISTINCT x.src AS node FROM edges x JOIN edges y ON x.src = y.dst AND x.dst = y.src)
-    SELECT page, path, 'missing' AS "check" FROM refs WHERE path NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT page, path, 'not_in_graph' FROM refs WHERE path NOT IN (SELECT node FROM m) UNION ALL SELECT page, path, 'circular' FROM refs WHERE path IN (SELECT node FROM c) UNION ALL SELECT page, path, 'hot' FROM refs JOIN d ON d.source = path WHERE n >= 10""",
-    "edges",
+    """WITH d AS (SELECT dst AS source, count(*) AS n FROM circles GROUP BY 1), m AS (SELECT DISTINCT node FROM (SELECT src AS node FROM circles UNION ALL SELECT dst FROM circles)), refs AS (SELECT DISTINCT o_orderkey AS page, o_custkey AS path FROM orders), c AS (SELECT DISTINCT x.src AS node FROM circles x JOIN circles y ON x.src = y.dst AND x.dst = y.src)
+    SELECT page, path, 'missing' AS "check" FROM refs WHERE path NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT page, path, 'not_in_graph' FROM refs WHERE path NOT IN (SELECT node FROM m) UNION ALL SELECT page, path, 'circular' FROM refs WHERE path IN (SELECT node FROM c) UNION ALL SELECT page, path, 'hot' FROM refs JOIN d ON d.source = path WHERE n >= 4""",
+    "circles",
 )
 def code_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = views.edges(spark, sf_dir)
+    e = views.circles(spark, sf_dir)
     cyc = graph.mutual(e).select(F.explode(F.array("a", "b")).alias("source")).distinct().withColumn("has_circular", F.lit(True))
     modules = e.select(F.explode(F.array("src", "dst")).alias("source")).distinct().join(cyc, "source", "left")
     refs = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.col("o_custkey").alias("path")).distinct()
     docs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"))
-    return registers.code_references(refs, docs, modules, graph.dependents(e))
+    return registers.code_references(refs, docs, modules, graph.dependents(e), 4)
 
 
 @query(
-    """WITH i AS (SELECT DISTINCT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'complexity' WHEN 1 THEN 'bug' ELSE 'dead_code' END AS type, o_custkey AS path FROM orders), f AS (SELECT doc_id AS path, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines FROM documents), d AS (SELECT dst AS path, count(*) AS n FROM edges GROUP BY 1),
-    c AS (SELECT id, 'exists' AS k, CAST((lines IS NOT NULL) AS BIGINT) AS actual, lines IS NOT NULL AS ok FROM i LEFT JOIN f USING (path) UNION ALL SELECT id, 'large_file', lines, coalesce(lines > 200, false) FROM i LEFT JOIN f USING (path) WHERE type = 'complexity' UNION ALL SELECT id, 'deep_nesting', CASE WHEN lines IS NULL THEN NULL ELSE 0 END, false FROM i LEFT JOIN f USING (path) WHERE type = 'complexity' UNION ALL SELECT id, 'unreferenced', coalesce(n, 0), coalesce(n, 0) = 0 FROM i LEFT JOIN d USING (path) WHERE type = 'dead_code')
+    """WITH i AS (SELECT DISTINCT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'complexity' WHEN 1 THEN 'bug' ELSE 'dead_code' END AS type, o_custkey AS path FROM orders), f AS (SELECT doc_id AS path, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, doc_id % 9 AS depth FROM documents), d AS (SELECT dst AS path, count(*) AS n FROM edges GROUP BY 1),
+    c AS (SELECT id, 'exists' AS k, CAST((lines IS NOT NULL) AS BIGINT) AS actual, lines IS NOT NULL AS ok FROM i LEFT JOIN f USING (path) UNION ALL SELECT id, 'large_file', lines, coalesce(lines > 200, false) FROM i LEFT JOIN f USING (path) WHERE type = 'complexity' UNION ALL SELECT id, 'deep_nesting', depth, coalesce(depth > 4, false) FROM i LEFT JOIN f USING (path) WHERE type = 'complexity' UNION ALL SELECT id, 'unreferenced', coalesce(n, 0), coalesce(n, 0) = 0 FROM i LEFT JOIN d USING (path) WHERE type = 'dead_code')
     SELECT id, k AS "check", actual, ok AS passed FROM c""",
     "edges",
 )
 def content_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     i = views.table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 == 0, "complexity").when(k % 3 == 1, "bug").otherwise("dead_code").alias("type"), F.col("o_custkey").alias("path")).distinct()
-    f = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), code.line_count(F.col("text")).alias("lines"), F.regexp_count("text", F.lit(r": any\b|\bas any\b")).cast("long").alias("any_count"), F.lit(0).cast("long").alias("depth"))
+    f = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), code.line_count(F.col("text")).alias("lines"), F.regexp_count("text", F.lit(r": any\b|\bas any\b")).cast("long").alias("any_count"), code.nesting(F.concat(F.col("text"), F.lit("\n"), F.repeat(F.lit("  "), (F.col("doc_id") % 9).cast("int")), F.lit("x"))).alias("depth"))
     return registers.content_checks(i, f, graph.dependents(views.edges(spark, sf_dir)))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import shutil
 import time
 from collections.abc import Callable
 
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.code import ASSET_DIRECTORY, SOURCE_EXTENSIONS, is_styled_module
-from weftline.functions.paths import extname, relative
+from weftline.functions.paths import extname, normalized, relative
 
 # Directories that a scan leaves out; keys with other names in issue files.
 IGNORED = r"(^|/)(node_modules|dist|build|coverage|\.git|\.next|\.nuxt|out|vendor)/"
@@ -20,11 +22,43 @@ TABLE_LABELS = ("ID", "Type", "Severity", "Status", "Confidence", "Detected", "S
 
 
 def scan_tree(spark: SparkSession, root: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(path, content binary, bytes) of source files below ``root``, sorted by path later where order counts."""
+    """(path, content binary, bytes) of source files below ``root``, sorted by path later where order counts.
+
+    What the root's own ``.gitignore`` names is left out (plain names, folders, * and **; no exceptions by !).
+    A folder that is not there is an error.
+    """
+    rules = ignored(spark, root)
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", "^[a-z]+:/+", "/")
     rows = rows.select(relative(path, "/" + root.split(":", 1)[-1].strip("/")).alias("path"), "content", F.col("length").alias("bytes"))
-    return source_files(rows, extra)
+    return source_files(rows.filter(~F.col("path").rlike(rules)) if rules else rows, extra)
+
+
+def ignore_pattern(lines: list[str]) -> str:
+    """One pattern for the paths that lines of an ignore file name; empty for none."""
+    out = []
+    for line in lines:
+        line = line.strip()
+        if not line or line[0] in "#!":
+            continue
+        body, folder = line.strip("/"), line.endswith("/")
+        text = "".join({"**/": "(.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x) or re.escape(x) for x in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", body))
+        out.append(("^" if "/" in line.rstrip("/") else "(^|/)") + text + ("/" if folder else "(/|$)"))
+    return "|".join(out)
+
+
+def ignored(spark: SparkSession, root: str) -> str:
+    """The pattern of the root's ``.gitignore``, which a scan itself would pass over as a hidden file."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root, ".gitignore")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return ""
+    stream = fs.open(path)
+    try:
+        return ignore_pattern(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines())
+    finally:
+        stream.close()
 
 
 def source_files(files: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -57,6 +91,18 @@ def import_edges(contents: DataFrame) -> DataFrame:
     return rows.select("src", spec.alias("specifier")).withColumn("type", dependency_type(F.col("specifier")))
 
 
+def dependency_target(resolved: Column, unresolved: Column, name: Column, specifier: Column) -> Column:
+    """struct<type, target> of a raw dependency: what is not resolved, or is a package, is external under its name;
+    else the path, normalised; without a path a relative specifier is local."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    first = lambda *cs: F.coalesce(*[F.nullif(text(c), F.lit("")) for c in cs], F.lit(""))
+    outside = (text(unresolved) != "") | text(resolved).contains("node_modules")
+    bare = (text(specifier) != "") & ~text(specifier).startswith(".")
+    kind = F.when(outside, "external").when(text(resolved) != "", "local").when(bare, "external").otherwise("local")
+    target = F.when(outside, first(name, specifier, unresolved, resolved)).when(text(resolved) != "", normalized(resolved)).when(bare, first(name, specifier)).otherwise(normalized(first(specifier, unresolved)))
+    return F.struct(kind.alias("type"), target.alias("target"))
+
+
 def dependency_type(specifier: Column) -> Column:
     return F.when(specifier.rlike(r"^(\.{1,2}/|/|@/|~/)"), "local").when(specifier.contains("node_modules"), "external").otherwise("external")
 
@@ -155,6 +201,14 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
+def write_export(df: DataFrame, path: str) -> None:
+    """One CSV file of a report, with a byte order mark; rows pass the driver one partition at a time."""
+    with open(path, "w", encoding="utf-8-sig", newline="") as f:
+        f.write(",".join(df.columns) + "\n")
+        for (line,) in df.select(F.concat_ws(",", *[csv_text(F.col(c)) for c in df.columns])).toLocalIterator():
+            f.write(line + "\n")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -187,14 +241,41 @@ def update_state(path: str, change: Callable[[dict], dict], timeout: float = 10.
         if state.get("schemaVersion", version) > version:
             raise ValueError("the state has a newer schema")
         state = change(state)
+        if os.path.exists(path):
+            shutil.copyfile(path, f"{path}.backup")
         with open(f"{path}.tmp", "w") as f:
             json.dump(state, f, indent=2)
-        os.replace(f"{path}.tmp", path)
+        os.replace(f"{path}.tmp", path)  # the old document stays whole until the new one is
         return state
     finally:
         release(lock)
 
 
+def state_errors(state: dict, version: int = 1) -> list[str]:
+    """What a state lacks; fields of a nested document by their path."""
+    out = [] if 1 <= (state.get("schemaVersion") or 0) <= version else ["schemaVersion"]
+    out += [k for k in ("id", "projectPath", "currentPhase", "checkpoint", "config") if not state.get(k)]
+    out += [] if isinstance(state.get("phaseHistory"), list) else ["phaseHistory"]
+    paths = (state.get("config") or {}).get("paths") or {}
+    if state.get("config") and not paths:
+        out.append("config.paths")
+    return out + [f"config.paths.{k}" for k in ("projectRoot", "wikiRoot", "cacheRoot") if paths and not paths.get(k)]
+
+
+def at_path(document: dict, path: str) -> object:
+    """The value at a dotted path, none if it is not there."""
+    for part in path.split("."):
+        document = document.get(part) if isinstance(document, dict) else None
+    return document
+
+
+def with_path(document: dict, path: str, value: object) -> dict:
+    """The document with a value at a dotted path; what is no document on the way is replaced."""
+    head, _, rest = path.partition(".")
+    inner = document.get(head)
+    return {**document, head: with_path(inner if isinstance(inner, dict) else {}, rest, value) if rest else value}
+
+
 def release(lock: str) -> None:
     for name in (f"{lock}/pid",):
         if os.path.exists(name):

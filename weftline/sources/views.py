@@ -13,9 +13,14 @@ SQL: dict[str, str] = {
         || (CASE WHEN doc_id % 17 = 0 THEN 'index' WHEN doc_id % 13 = 0 THEN 'doc_' || doc_id || '.test' WHEN doc_id % 11 = 0 THEN 'doc_' || doc_id || '.stories' WHEN doc_id % 23 = 0 THEN 'doc_' || doc_id || '.styles' WHEN doc_id % 9 = 0 THEN 'useDoc' || doc_id ELSE 'Doc' || doc_id END)
         || (CASE WHEN doc_id % 19 = 0 THEN '.css' ELSE CASE lang WHEN 'en' THEN '.ts' WHEN 'fr' THEN '.tsx' WHEN 'de' THEN '.jsx' ELSE '.d.ts' END END) AS path, text AS content FROM documents""",
     "edges": """SELECT DISTINCT src, dst FROM (SELECT doc_id AS src, doc_id // 3 AS dst FROM documents UNION ALL SELECT doc_id, doc_id % 40 FROM documents UNION ALL SELECT doc_id, doc_id // 7 FROM documents WHERE doc_id % 2 = 0) WHERE src <> dst""",
+    "circles": """SELECT DISTINCT src, dst FROM (SELECT doc_id AS src, doc_id // 3 AS dst FROM documents UNION ALL SELECT doc_id // 3, doc_id FROM documents WHERE doc_id % 7 = 3 UNION ALL SELECT doc_id, doc_id + 1 FROM documents WHERE doc_id % 40 < 12 UNION ALL SELECT doc_id, doc_id - 12 FROM documents WHERE doc_id % 40 = 12) WHERE src <> dst""",
+    "plan_files": """SELECT CASE WHEN doc_id % 3 = 0 THEN 'l/' || lang ELSE 's' || (CAST(substr(source, 4) AS INT) % 6) END AS folder, 'd' || doc_id || (CASE doc_id % 19 WHEN 0 THEN '.css' ELSE '.ts' END) AS path, CASE WHEN doc_id % 19 = 0 THEN 'P4' WHEN doc_id % 13 = 0 THEN 'P3' WHEN doc_id % 17 = 0 THEN 'P0' WHEN doc_id % 2 = 0 THEN 'P1' ELSE 'P2' END AS priority,
+        greatest(1, CAST(floor(length(text) / 4) AS BIGINT)) AS tokens, doc_id % 11 AS n_dep, CASE WHEN doc_id % 400 = 1 THEN 'other' WHEN doc_id % 17 = 0 THEN 'entry' WHEN doc_id % 5 = 0 THEN 'hooks' WHEN doc_id % 5 = 1 THEN 'utils' WHEN doc_id % 23 = 2 THEN 'types' WHEN doc_id % 5 = 2 THEN 'ui-components' ELSE 'business-components' END AS role, CAST(substr(source, 4) AS INT) % 6 < 3 AS is_barrel FROM documents""",
     "tasks": """SELECT o_orderkey AS id, o_custkey AS folder, CAST(round(o_totalprice) AS BIGINT) AS tokens, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' WHEN 'P' THEN 'in_progress' ELSE 'failed' END AS status, o_orderpriority AS priority FROM orders""",
-    "issues": """SELECT event_id AS id, event_type AS type, CASE WHEN value >= 40 THEN 'critical' WHEN value >= 20 THEN 'high' WHEN value >= 5 THEN 'medium' ELSE 'low' END AS severity, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS detected_at, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS source_file,
-        CASE WHEN event_id % 3 = 0 THEN 'pending' WHEN event_id % 3 = 1 THEN 'verified' ELSE 'fixed' END AS status, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'high' ELSE 'low' END AS confidence FROM events""",
+    "issues": """SELECT event_id AS id, CASE event_id % 10 WHEN 0 THEN 'bug' WHEN 1 THEN 'security' WHEN 2 THEN 'typescript' WHEN 3 THEN 'performance' WHEN 4 THEN 'dead_code' WHEN 5 THEN 'complexity' WHEN 6 THEN 'maintainability' WHEN 7 THEN 'ux' WHEN 8 THEN event_type END AS type,
+        CASE WHEN event_id % 6 = 0 THEN 'ch-01-bugs' WHEN event_id % 6 = 1 THEN 'unknown' ELSE 'ch-0' || (1 + event_id % 10) || '-x' END AS chapter,
+        CASE WHEN value >= 40 THEN 'critical' WHEN value >= 20 THEN 'high' WHEN value >= 5 THEN 'medium' ELSE 'low' END AS severity, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS detected_at, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS source_file,
+        CASE event_id % 7 WHEN 0 THEN 'detected' WHEN 1 THEN 'verified' WHEN 2 THEN 'fixing' WHEN 3 THEN 'open' ELSE 'fixed' END AS status, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'high' WHEN 2 THEN 'sure' ELSE 'low' END AS confidence FROM events""",
     "patterns": """SELECT p_partkey AS id, p_type AS category, p_name AS title, p_brand AS cluster, p_size AS size FROM part""",
     "links": r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""",
     "after": """SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN text || ' changed' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id + 100000000, text FROM documents WHERE doc_id % 50 = 7""",
@@ -45,6 +50,43 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("dst is not null and src <> dst").distinct()
 
 
+def circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with circles of two and of many nodes."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    up = F.expr("doc_id div 3")
+    pair = lambda a, b: F.struct(a.alias("src"), b.alias("dst"))
+    each = F.array_compact(F.array(pair(k, up), F.when(k % 7 == 3, pair(up, k)), F.when(k % 40 < 12, pair(k, k + 1)), F.when(k % 40 == 12, pair(k, k - 12))))
+    return d.select(F.explode(each).alias("e")).select("e.*").filter("src <> dst").distinct()
+
+
+def plan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in folders of which some are large, with roles by their number."""
+    k, n = F.col("doc_id"), F.substring("source", 4, 9).cast("int") % 6
+    return table(spark, sf_dir, "documents").select(
+        F.when(k % 3 == 0, F.concat(F.lit("l/"), "lang")).otherwise(F.concat(F.lit("s"), n.cast("string"))).alias("folder"), F.concat(F.lit("d"), k.cast("string"), F.when(k % 19 == 0, ".css").otherwise(".ts")).alias("path"),
+        F.when(k % 19 == 0, "P4").when(k % 13 == 0, "P3").when(k % 17 == 0, "P0").when(k % 2 == 0, "P1").otherwise("P2").alias("priority"), F.greatest(F.lit(1), F.floor(F.length("text") / 4)).cast("long").alias("tokens"), (k % 11).alias("n_dep"),
+        F.when(k % 400 == 1, "other").when(k % 17 == 0, "entry").when(k % 5 == 0, "hooks").when(k % 5 == 1, "utils").when(k % 23 == 2, "types").when(k % 5 == 2, "ui-components").otherwise("business-components").alias("role"), (n < 3).alias("is_barrel"),
+    )
+
+
+def md(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a writer leaves them: k, relpath, text; headings, a table, code, links, references and a section of issues."""
+    k = F.col("doc_id")
+    s = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    text = s(
+        "---\ntitle: Page ", k, "\ntags: [", F.when(k % 3 == 0, "hook").when(k % 3 == 1, "utils").otherwise("other"), ", x]\nsourceFiles: [f", k % 50, ".ts, f", k % 77, ".ts]\n---\n# Head ", k, "\n## useThing", k % 30,
+        "\n### `Widget", k % 40, "`\n| Row", k % 20, " | component | y |\n```ts\nexport function fn", k % 60, "() {}\n```\nSee IS-", 100 + k % 200, "-HIGH, IS-", 100 + k % 90, "-LOW-slug and [[", "doc_", k % 400, "|x]].\n",
+        F.when(k % 4 == 0, "## 已知问题\n\n- one\n\n## More\n").when(k % 4 == 1, "## 已知问题\n暂无\n").otherwise(""),
+    )
+    return table(spark, sf_dir, "documents").select(k.alias("k"), s("ch-", k % 12, "/doc_", k, ".md").alias("relpath"), text.alias("text"))
+
+
+def issue_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of issue files: those of 100 to 249 of severity HIGH."""
+    k = F.col("doc_id") % 150 + 100
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("IS-"), k.cast("string"), F.lit("-HIGH"), F.when(F.col("doc_id") % 2 == 0, "-slug").otherwise(""), F.lit(".md")).alias("name"))
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("o_orderstatus")
     return table(spark, sf_dir, "orders").select(
@@ -55,12 +97,14 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, e = F.col("value"), F.col("event_id")
+    types = F.array(*[F.lit(t) for t in ("bug", "security", "typescript", "performance", "dead_code", "complexity", "maintainability", "ux")])
     return table(spark, sf_dir, "events").select(
-        e.alias("id"), F.col("event_type").alias("type"),
+        e.alias("id"), F.when(e % 10 < 8, F.element_at(types, (e % 10 + 1).cast("int"))).when(e % 10 == 8, F.col("event_type")).alias("type"),
+        F.when(e % 6 == 0, "ch-01-bugs").when(e % 6 == 1, "unknown").otherwise(F.concat(F.lit("ch-0"), (1 + e % 10).cast("string"), F.lit("-x"))).alias("chapter"),
         F.when(v >= 40, "critical").when(v >= 20, "high").when(v >= 5, "medium").otherwise("low").alias("severity"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("detected_at"), F.get_json_object("props", "$.k").alias("source_file"),
-        F.when(e % 3 == 0, "pending").when(e % 3 == 1, "verified").otherwise("fixed").alias("status"),
-        F.when(e % 4 == 0, None).when(e % 4 == 1, "high").otherwise("low").alias("confidence"),
+        F.when(e % 7 == 0, "detected").when(e % 7 == 1, "verified").when(e % 7 == 2, "fixing").when(e % 7 == 3, "open").otherwise("fixed").alias("status"),
+        F.when(e % 4 == 0, None).when(e % 4 == 1, "high").when(e % 4 == 2, "sure").otherwise("low").alias("confidence"),
     )
 
 
