@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import paths
+from weftline.functions import code, paths
 from weftline.operators import book, clusters, graph, planner, registers, render, tasks
 from weftline.plans.base import query
 from weftline.sources import projects, readers, views
@@ -425,3 +425,144 @@ def folder_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda x: F.concat(F.when(x % 4 == 0, "a/lib/").otherwise("b/"), x.cast("string"))
     e = views.table(spark, sf_dir, "documents").select(name(k).alias("src"), name(F.expr("doc_id div 3")).alias("dst")).filter("src <> dst").distinct()
     return graph.folder_graph(e, "src/lib")
+
+
+# ---- more of sources, classes and checks ------------------------------------------------------
+
+
+@query(
+    """WITH f AS (SELECT 'src/a' || (doc_id % 7) || '/f' || doc_id || (CASE doc_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '/index.js' END) AS path, doc_id FROM documents), e AS (SELECT path AS src, doc_id FROM f WHERE doc_id % 3 < 2)
+    SELECT src, CASE doc_id % 4 WHEN 0 THEN '../a' || ((doc_id // 2) % 7) || '/f' || (doc_id // 2) WHEN 1 THEN '@/a' || ((doc_id // 3) % 7) || '/f' || (doc_id // 3) WHEN 2 THEN 'react' ELSE './none' || doc_id END AS specifier, d.path AS dst, CASE WHEN d.path IS NULL THEN 'external' ELSE 'local' END AS type
+    FROM e LEFT JOIN f d ON d.doc_id = CASE e.doc_id % 4 WHEN 0 THEN e.doc_id // 2 WHEN 1 THEN e.doc_id // 3 END""".replace("SELECT src, CASE doc_id % 4", "SELECT src, CASE e.doc_id % 4").replace("(doc_id // 2)", "(e.doc_id // 2)").replace("(doc_id // 3)", "(e.doc_id // 3)").replace("'./none' || doc_id", "'./none' || e.doc_id")
+)
+def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    s = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    files = views.table(spark, sf_dir, "documents").select("doc_id", F.concat(s("src/a", k % 7, "/f", k), F.when(k % 3 == 0, ".ts").when(k % 3 == 1, ".tsx").otherwise("/index.js")).alias("path"))
+    half, third = F.expr("doc_id div 2"), F.expr("doc_id div 3")
+    to = F.when(k % 4 == 0, s("../a", half % 7, "/f", half)).when(k % 4 == 1, s("@/a", third % 7, "/f", third)).when(k % 4 == 2, "react").otherwise(s("./none", k))
+    contents = files.filter("doc_id % 3 < 2").select("path", F.concat(F.lit("import x from '"), to, F.lit("'\nconst y = 1")).alias("content"))
+    edges = readers.import_edges(contents).select("src", "specifier")
+    return readers.resolved_imports(edges, files, {"@/": "src/"})
+
+
+@query("SELECT DISTINCT doc_id AS page, 's' || (doc_id % 9) AS path, 'name' || k AS symbol, doc_id % 9 < 5 AND k = doc_id % 9 AS found FROM documents, range(3) r(k)")
+def symbol_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files s0 to s4 hold the name of their number."""
+    d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.concat(F.lit("s"), (F.col("doc_id") % 9).cast("string")).alias("path"))
+    refs = d.select("page", "path", F.explode(F.array(*[F.lit(f"name{k}") for k in range(3)])).alias("symbol"))
+    contents = spark.range(5).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("path"), F.concat(F.lit("let name"), F.col("id").cast("string"), F.lit(" = xname1x")).alias("content"))
+    return registers.symbol_checks(refs, contents)
+
+
+@query("SELECT 'p' || doc_id AS relpath, f AS field, CASE f WHEN 'source' THEN 'error' ELSE 'warning' END AS severity FROM documents, (VALUES ('tags', 3), ('updated', 4), ('source', 5)) v(f, m) WHERE doc_id % m = 0")
+def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    pages = views.table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), k.cast("string")).alias("relpath"), F.when(k % 3 == 0, "").otherwise("x").alias("tags"), F.when(k % 4 != 0, "2024").alias("updated"), F.when(k % 5 != 0, "a.ts").alias("source"))
+    return registers.missing_fields(pages, {"tags": "warning", "updated": "warning", "source": "error"})
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN bool_and(l_quantity >= 10) THEN 'verified' ELSE 'disputed' END AS verdict FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
+def issue_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_quantity") >= 10).alias("passed"))
+    return registers.verdicts(checks.join(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id", "left_semi"))
+
+
+@query("WITH e AS (SELECT src, dst, src % 5 = 0 AS circular, CASE WHEN dst % 4 = 0 THEN 'external' ELSE 'local' END AS type FROM circles), m AS (SELECT src AS source FROM e UNION SELECT dst FROM e WHERE type = 'local'), c AS (SELECT src AS source FROM e WHERE circular UNION SELECT dst FROM e WHERE circular) SELECT source, source IN (SELECT source FROM c) AS has_circular FROM m", "circles")
+def module_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.circles(spark, sf_dir).select("src", "dst", F.when(F.col("dst") % 4 == 0, "external").otherwise("local").alias("type"), (F.col("src") % 5 == 0).alias("circular"), F.col("src").alias("ord"))
+    return graph.build(e)[0].select("source", "has_circular")
+
+
+@query("SELECT o_orderkey AS k, 'IS-' || o_orderkey AS id, CASE o_orderkey % 2 WHEN 0 THEN 'bug' ELSE 'ux' END AS type, CASE o_orderkey % 3 WHEN 0 THEN 'high' ELSE 'low' END AS severity, 'a' || o_custkey || '.ts' AS source_files FROM orders")
+def table_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues written as tables: back quotes, signs and case are not part of values."""
+    k = F.col("o_orderkey")
+    raw = F.concat(F.lit("# T\n\n| **ID** | IS-"), k.cast("string"), F.lit(" |\n| **Type** | `"), F.when(k % 2 == 0, "bug").otherwise("ux"), F.lit("` |\n| **Severity** | 🔴 "), F.when(k % 3 == 0, "HIGH").otherwise("Low"), F.lit(" |\n| **Source** | a"), F.col("o_custkey").cast("string"), F.lit(".ts |\n"))
+    rows = views.table(spark, sf_dir, "orders").select(k.alias("k"), readers.parse_issue(raw).alias("i"))
+    return rows.select("k", "i.id", "i.type", "i.severity", F.array_join("i.source_files", ",").alias("source_files"))
+
+
+@query("SELECT o_orderkey AS name, CASE o_orderkey % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'invalid' WHEN 2 THEN 'ghost' END AS problem FROM orders")
+def artifact_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 5
+    long_ = F.concat(F.lit('"'), F.repeat(F.lit("x"), 220), F.lit('"'))
+    text = F.when(k == 0, "").when(k == 1, "{").when(k == 2, F.concat(F.lit("["), F.array_join(F.array(long_, long_, long_), ","), F.lit("]"))).when(k == 3, F.concat(F.lit("["), long_, F.lit("]"))).otherwise('{"a": 1}')
+    return registers.artifact_gate(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"), text.alias("text")))
+
+
+@query(
+    """SELECT o_orderkey AS id, CASE m WHEN 0 THEN 0 WHEN 5 THEN 2 ELSE 1 END AS n_pages, m IN (0, 3) AS is_empty, m IN (2, 3, 4) AS marked, CASE m WHEN 0 THEN FALSE WHEN 1 THEN done WHEN 2 THEN TRUE WHEN 3 THEN FALSE WHEN 4 THEN TRUE ELSE done END AS passed,
+    CASE m WHEN 0 THEN CASE WHEN done THEN 'missing' END WHEN 1 THEN CASE WHEN NOT done THEN 'no marker' END WHEN 3 THEN 'empty page' WHEN 4 THEN CASE WHEN NOT done THEN 'short page' END WHEN 5 THEN 'marker incomplete' END AS problem FROM (SELECT o_orderkey, o_orderkey % 6 AS m, o_orderstatus = 'F' AS done FROM orders)"""
+)
+def output_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, m = views.table(spark, sf_dir, "orders"), F.col("o_orderkey") % 6
+    folder = F.concat(F.lit("ch-"), F.col("o_orderkey").cast("string"))
+    t = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("pending").alias("status"), F.when(m == 2, F.concat(folder, F.lit("/sec.md"))).otherwise(folder).alias("chapter"))
+    file = lambda when, name, size, text: F.when(when, F.struct(F.lit(name).alias("name"), F.lit(size).alias("size"), F.lit(text).alias("text")))
+    full = "subagent: completed\ngenerated_at: 2024\n"
+    names = F.array_compact(F.array(file(m.isin(1, 2, 5), "sec.md", 900, None), file(m == 3, "sec.md", 0, None), file(m == 4, "sec.md", 9, None), file(m == 5, "two.md", 900, None), file(m.isin(2, 3, 4), ".gen-done", 9, full), file(m == 5, ".gen-done", 9, "subagent: completed")))
+    out = o.select(folder.alias("folder"), F.explode(names).alias("f")).select("folder", "f.*")
+    return registers.output_checks(t, out)
+
+
+@query("SELECT doc_id, doc_id % 4 <> 3 AND doc_id % 4 <> 1 AS wide, doc_id % 4 = 0 AS narrow FROM documents")
+def barrel_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two readings of a file of re-exports: the wide one takes lines of comments that begin with a star."""
+    k = F.col("doc_id") % 4
+    base = "export * from './a'\n\n// x\nexport { a } from './b'\nexport type { T } from './c'\n'use client'"
+    text = F.when(k == 0, base).when(k == 1, base + "\nconst x = 1").when(k == 2, base + "\n/*\n * y").otherwise(F.concat(F.lit(base), F.lit("\n"), F.repeat(F.lit("// z\n"), 1500), F.lit("x()")))
+    text = F.when(k == 3, F.concat(F.lit(base + "\nx()\n"), F.repeat(F.lit("// z\n"), 9))).otherwise(text)
+    return views.table(spark, sf_dir, "documents").select("doc_id", code.is_barrel(text).alias("wide"), code.is_barrel(text, 4096, False).alias("narrow"))
+
+
+@query("SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'typescript' WHEN 1 THEN 'dead_code' WHEN 2 THEN 'bug' WHEN 3 THEN 'zz' WHEN 4 THEN 'typescript' ELSE 'unknown' END AS type, CASE event_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'low' WHEN 2 THEN 'high' ELSE 'unknown' END AS severity, CASE event_id % 4 WHEN 0 THEN 'P0 - 致命' WHEN 1 THEN 'P3 - 低' WHEN 2 THEN 'P1 - 高' ELSE 'odd' END AS priority, CASE event_id % 6 WHEN 1 THEN 'P2' WHEN 2 THEN 'P0' WHEN 3 THEN NULL WHEN 5 THEN NULL ELSE 'P1' END AS tier FROM events")
+def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the name, the chapter, the file, or the name as it is."""
+    k = F.col("event_id")
+    t = registers.type_name(
+        F.when(k % 6 == 0, "Type-Safety ").when(k % 6 == 3, "ZZ").when(k % 6 == 5, None).otherwise("odd"), F.when(k % 6 == 1, "ch-05-dead-code"), F.when(k % 6 == 2, "IS-1-logic-error.md").when(k % 6 == 4, "is-naming-2.md").otherwise("x.md"),
+    )
+    raw = F.when(k % 4 == 0, "P0").when(k % 4 == 1, "Info").when(k % 4 == 2, "major").otherwise("odd")
+    rows = views.table(spark, sf_dir, "events").select(k.alias("id"), t.alias("type"), registers.severity_name(raw).alias("severity"), registers.priority_name(raw).alias("priority"))
+    return rows.withColumn("tier", registers.tier_of(F.col("type")))
+
+
+@query("SELECT doc_id AS k, CASE WHEN doc_id % 5 IN (0, 4) THEN 'local' ELSE 'external' END AS type, CASE doc_id % 5 WHEN 0 THEN 'src/f' || doc_id || '.ts' WHEN 1 THEN 'react' WHEN 2 THEN 'gone' WHEN 3 THEN 'bare' ELSE 'q' END AS target FROM documents")
+def dependency_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    target = readers.dependency_target(
+        F.when(k % 5 == 0, F.concat(F.lit("src\\f"), k.cast("string"), F.lit(".ts"))).when(k % 5 == 1, "node_modules/react/index.js"), F.when(k % 5 == 2, "gone"), F.when(k % 5 == 1, "react"), F.when(k % 5 == 3, "bare").when(k % 5 == 4, "./q"),
+    )
+    return views.table(spark, sf_dir, "documents").select(k.alias("k"), target.alias("t")).select("k", "t.type", "t.target")
+
+
+@query(
+    """WITH x AS (SELECT l_suppkey AS cluster, CASE l_partkey % 7 WHEN 0 THEN 'lib' ELSE 'd' || (l_partkey % 3) END AS seg, l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)), s AS (SELECT cluster, count(*) AS size FROM x GROUP BY 1), n AS (SELECT cluster, seg AS segment, count(*) AS n, min('src/' || seg || '/' || l_partkey) AS f FROM x WHERE seg <> 'lib' GROUP BY 1, 2),
+    b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, f) = 1) SELECT cluster, segment, n FROM b JOIN s USING (cluster) WHERE n >= greatest(1, round(size * 0.3::DOUBLE))"""
+)
+def majority_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_partkey")
+    path = F.concat(F.lit("src/"), F.when(k % 7 == 0, "lib").otherwise(F.concat(F.lit("d"), (k % 3).cast("string"))), F.lit("/"), k.cast("string"))
+    return clusters.majority_directory(views.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cluster"), path.alias("path")).distinct(), ["src", "lib"])
+
+
+@query(
+    """WITH h AS (SELECT DISTINCT l_suppkey AS cluster, 'd' || (l_partkey % 9) || '/e' || (l_partkey % 4) AS dir FROM lineitem WHERE l_partkey % 5 = 1), o AS (SELECT 'd' || k AS dir FROM range(9) r(k) UNION ALL SELECT 'd' || k || '/e1/x' FROM range(9) r(k) UNION ALL SELECT 'none'),
+    p AS (SELECT o.dir, cluster, count(*) AS overlap FROM o JOIN h ON o.dir = h.dir OR starts_with(o.dir, h.dir || '/') OR starts_with(h.dir, o.dir || '/') GROUP BY 1, 2) SELECT dir, cluster, overlap FROM p QUALIFY row_number() OVER (PARTITION BY dir ORDER BY overlap DESC, cluster) = 1"""
+)
+def orphan_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_partkey")
+    held = views.table(spark, sf_dir, "lineitem").filter("l_partkey % 5 = 1").select(F.col("l_suppkey").alias("cluster"), F.col("l_suppkey").alias("ord"), F.concat(F.lit("d"), (k % 9).cast("string"), F.lit("/e"), (k % 4).cast("string")).alias("dir"))
+    d = spark.range(9).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("dir"))
+    return clusters.orphan_homes(d.unionAll(d.select(F.concat("dir", F.lit("/e1/x")))).unionAll(spark.createDataFrame([("none",)], "dir string")), held)
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'F' AND o_custkey % 3 = 0 AND o_custkey % 2 = 0 THEN 'completed' ELSE CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'pending' END END AS status, o_orderstatus <> 'F' AND o_custkey % 3 = 0 AND o_custkey % 2 = 1 AS blocked FROM orders")
+def synced_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of every third number are there; of these the odd ones name issues without a file."""
+    o = views.table(spark, sf_dir, "orders")
+    c = F.concat(F.lit("ch-"), F.col("o_custkey").cast("string"))
+    t = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("pending").alias("status"), c.alias("chapter"))
+    found = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 3 == 0, c).alias("found"))
+    return tasks.synced(t, found, o.filter("o_custkey % 2 = 1").select(c.alias("chapter"))).select("id", "status", "blocked")

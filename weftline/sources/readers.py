@@ -91,6 +91,28 @@ def import_edges(contents: DataFrame) -> DataFrame:
     return rows.select("src", spec.alias("specifier")).withColumn("type", dependency_type(F.col("specifier")))
 
 
+def resolved_imports(edges: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """edges: src, specifier; files: path.  (src, specifier, dst, type): the file that a specifier stands for, with an
+    extension or an index file put behind it where it has none; without one it is external.
+
+    aliases: beginnings that stand for folders, such as @/ for src/.  Every way to read a specifier is a
+    row of a join on equality; the first that is a file counts.
+    """
+    s = F.col("specifier")
+    for start, folder in (aliases or {}).items():
+        s = F.when(F.col("specifier").startswith(start), F.concat(F.lit(f"/{folder}"), F.substring("specifier", len(start) + 1, 1 << 16))).otherwise(s)
+    own = F.when(F.col("src").contains("/"), F.regexp_extract("src", "^(.*)/[^/]*$", 1)).otherwise("")
+    joined = F.when(s.startswith("."), F.concat(own, F.lit("/"), s)).when(s.startswith("/"), s)
+    parts = F.filter(F.split(joined, "/"), lambda x: (x != "") & (x != "."))
+    up = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)))
+    base = F.array_join(up, "/")
+    ways = ["", *[f".{e}" for e in SOURCE_EXTENSIONS], *[f"/index.{e}" for e in SOURCE_EXTENSIONS]]
+    rows = edges.select("src", "specifier", F.posexplode_outer(F.when(base.isNotNull(), F.array(*[F.concat(base, F.lit(w)) for w in ways]))).alias("way", "path"))
+    found = rows.join(files.select("path").distinct().withColumn("there", F.lit(True)), "path", "left")
+    out = found.groupBy("src", "specifier").agg(F.min_by("path", F.when(F.col("there"), F.col("way"))).alias("dst"))
+    return out.withColumn("type", F.when(F.col("dst").isNotNull(), "local").otherwise("external"))
+
+
 def dependency_target(resolved: Column, unresolved: Column, name: Column, specifier: Column) -> Column:
     """struct<type, target> of a raw dependency: what is not resolved, or is a package, is external under its name;
     else the path, normalised; without a path a relative specifier is local."""
