@@ -98,12 +98,8 @@ def mixing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_mixing(spark, sf_dir).select("doc_id", "source", "lang", "n_tokens")
 
 
-def vectors_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op6_embeddings(spark, sf_dir).filter("n_links > 0").select("vec_id", "n_links")
-
-
 QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op6_embeddings": op6_embeddings, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
-QUERIES |= {"secret_counts": secret_counts, "quality_counts": quality_counts, "shard_rows": shard_rows, "shard_sizes": shard_sizes, "mixing_tokens": mixing_tokens, "linked_vectors": vectors_in_place}
+QUERIES |= {"secret_counts": secret_counts, "quality_counts": quality_counts, "shard_rows": shard_rows, "shard_sizes": shard_sizes, "mixing_tokens": mixing_tokens}
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ORACLE: dict[str, str] = {
     "secret_counts": r"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS BIGINT) AS n_assign,
@@ -114,6 +110,4 @@ ORACLE: dict[str, str] = {
     "shard_rows": "WITH n AS (SELECT count(*) AS n FROM documents) SELECT CAST(k AS INT) AS shard, CAST(n // 24 + (CASE WHEN k < n % 24 THEN 1 ELSE 0 END) AS BIGINT) AS n, CAST(n // 24 + (CASE WHEN k < n % 24 THEN 1 ELSE 0 END) - 1 AS BIGINT) AS last_slot FROM n, range(24) x(k)",
     "shard_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size FROM documents",
     "mixing_tokens": rf"SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CAST(len({WORDS}) AS BIGINT) AS n_tokens FROM documents",
-    "linked_vectors": """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS s FROM v)
-        SELECT a.vec_id, count(*) AS n_links FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.s * b.s) >= 0.93 GROUP BY 1""",
 }
