@@ -312,3 +312,22 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in book.remaining(spark.createDataFrame([("c", "a"), ("c", "b")], "cluster string, path string"), spark.createDataFrame([("c", "a")], "cluster string, path string")).collect()] == [("c", "b")]
     order = registers.latest_first(spark.createDataFrame([(1, "low", "2"), (2, "critical", "1"), (3, "critical", "2")], "id int, severity string, detected_at string"))
     assert [r.id for r in order.collect()] == [3, 2, 1]
+
+
+def test_source_files_and_frontmatter_variants(spark):
+    names = ["src/a.ts", "assets/b.ts", "assets/c.md", "src/d.md", "node_modules/e.ts", "x/dist/f.ts", "g.txt", "img/h.md"]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    assert {r.path for r in readers.source_files(files, ("md",)).collect()} == {"src/a.ts", "assets/b.ts", "src/d.md"}
+    assert {r.path for r in readers.source_files(files).collect()} == {"src/a.ts", "assets/b.ts"}
+    raw = spark.createDataFrame([("---\nissueId: 'x'\nsource_files:\n  - a\n  - b\n---",)], "t string")
+    one = lambda **how: raw.select(readers.frontmatter(F.col("t"), **how)).first()[0]
+    assert one() == {"id": "x", "source_files": "a\nb"}
+    assert one(aliases=False) == {"issueId": "x", "source_files": "a\nb"}
+    assert one(strip_quotes=False)["id"] == "'x'" and one(block_lists=False)["source_files"] == ""
+
+
+def test_marked_issues_keep_a_history(spark):
+    i = spark.createDataFrame([(1, "detected", None), (2, "fixed", None), (3, "stale", None)], "id int, status string, history array<struct<at:string,from:string,to:string>>")
+    c = spark.createDataFrame([(1, "stale"), (3, "stale")], "id int, new_status string")
+    got = {r.id: (r.status, [tuple(h) for h in r.history]) for r in registers.marked(i, c, "now").collect()}
+    assert got == {1: ("stale", [("now", "detected", "stale")]), 2: ("fixed", []), 3: ("stale", [])}
