@@ -186,6 +186,56 @@ def test_sharding_keeps_groups_whole_in_many_buckets(spark, monkeypatch):
     assert sorted(r["count"] for r in got.groupBy("shard").count().collect()) == [1500] * 4
 
 
+def test_sharding_against_a_plain_propagation(spark):
+    """Rounds of label propagation by loops, with the same hashes: where every linked document ends."""
+    i, shards = F.col("id"), 5
+    rows = spark.range(1500).select(i.alias("doc_id"), F.when(i < 300, "hot").when(i < 1100, F.concat(F.lit("t"), (i * i % 211).cast("string"))).otherwise(i.cast("string")).alias("text"))
+    n, most = 1500, max(1, 1500 // shards // 4)
+    quota = [n // shards + (k < n % shards) for k in range(shards)]
+    sizes = Counter(r.text for r in rows.collect())
+    hashed = rows.select("doc_id", "text", F.xxhash64(F.col("text").cast("binary")).alias("g"), F.xxhash64("doc_id").alias("a"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard")).collect()
+    member, state = {}, {}
+    for r in hashed:
+        if sizes[r.text] > 1:
+            key = (r.g, zlib.crc32(r.text.encode()), len(r.text) + 8, r.a % math.ceil(sizes[r.text] / most))
+            member[r.doc_id] = key
+            state.setdefault(key, Counter())[r.shard] += 1
+    start, moved = {r.doc_id: r.shard for r in hashed}, {}
+    while True:
+        used = Counter()
+        for c in state.values():
+            used.update(c)
+        free = [quota[k] - used[k] for k in range(shards)]
+        want = {}
+        for key, c in state.items():
+            whole = sum(c.values())
+            to = max(c, key=lambda k: (free[k] >= whole - c[k], c[k], -k))
+            if whole > c[to]:
+                want.setdefault(to, []).append((whole - c[to], key))
+        moves = {}
+        for to, xs in want.items():
+            taken, refused, total = 0, [], 0
+            for need, key in sorted(xs):
+                total += need
+                if total <= free[to]:
+                    moves[key], taken = to, taken + need
+                else:
+                    refused.append((need, key))
+            total = 0
+            for need, key in refused:
+                total += need
+                if total <= free[to] - taken:
+                    moves[key] = to
+        if not moves:
+            break
+        for key, to in moves.items():
+            state[key], moved[key] = Counter({to: sum(state[key].values())}), to
+    plain = {d: moved.get(key, start[d]) for d, key in member.items()}
+    over = sum(max(0, c - quota[k]) for k, c in Counter(plain.values()).items())
+    got = {r.doc_id: r.shard for r in sharding.shard_documents(rows, shards).collect()}
+    assert len(moved) > 100 and sum(got[d] != k for d, k in plain.items()) <= over
+
+
 def test_packing_round_trip(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
