@@ -59,6 +59,22 @@ def test_secrets_against_regexes(spark, docs):
     assert score("getCustomerAccountBalanceService") < 0 < score("ya29a0AfH6SMBx7Jk2QpLmN9vR")
 
 
+def test_secrets_told_from_names_not_trained_on(spark):
+    """Random strings of other makes, and names of words that the samples do not hold."""
+    rng = random.Random(13)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "apple orange river mountain winter summer yellow purple guitar violin doctor lawyer engine rocket planet galaxy forest desert island harbor castle bridge market garden kitchen bottle carpet window mirror pencil paper bread cheese butter sugar coffee".split()
+    secret = ["".join(rng.choice(x) for _ in range(rng.randrange(24, 44))) for x in [chars] * 200 + [chars + "+/"] * 100 + [chars + "_-"] * 100 + [chars[:26] + chars[52:]] * 100]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    plain = ["_".join(some(5)) for _ in range(150)] + ["".join(w.title() for w in some(5)) for _ in range(150)] + ["/".join(some(5)) for _ in range(100)] + ["-".join(some(4)).upper() for _ in range(100)]
+    plain = [x for x in plain if len(x) >= 20]
+    rows = [(k, x) for k, x in enumerate(secret + plain)]
+    got = {r.doc_id: r.n_markov for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught, wrong = sum(got[k] > 0 for k in range(len(secret))), sum(got[k] > 0 for k in range(len(secret), len(rows)))
+    print("caught", caught, "of", len(secret), "wrong", wrong, "of", len(plain))
+    assert caught >= 0.95 * len(secret) and wrong <= 0.02 * len(plain)
+
+
 def test_secrets_train_from_given_samples_and_redact(spark, docs):
     given = spark.createDataFrame([(1, "9f8e7d6c5b4a39281706"), (0, "ordinary_identifier_name"), (None, "x"), (1, None)], "label int, value string")
     assert len(secrets.train(given).split(",")) == (len(secrets.ALPHABET) + 1) ** 2
@@ -151,6 +167,35 @@ def test_quality_counts_against_plain_python(spark, docs):
     assert quality.score(docs, quality.train(docs, none)).filter("_kept = _base_failed").count() == 0
 
 
+def test_quality_margins_against_plain_loops(spark, docs):
+    """Probabilities from hashed words, markers, pairs and four characters, one by one."""
+    import xxhash
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    weights, bias, slope, intercept = quality.train(docs, labels)
+    most, size = 2**64, 1 << quality.BITS
+    slot = lambda h: h >> (64 - quality.BITS)
+
+    def mix(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % most
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB % most
+        return h ^ (h >> 31)
+
+    def plain(t):
+        words = t.encode().split()
+        h = [xxhash.xxh3_64_intdigest(w) for w in words]
+        windows = Counter(zip(words, words[1:], words[2:]))
+        marked = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        total = sum(weights[slot(x)] for x in h) + len(marked) * weights[slot(mix(0x5EED))] + sum(weights[size + slot(mix((3 * a + b) % most))] for a, b in zip(h, h[1:]))
+        p = [ord(c) for c in t]
+        four = sum(weights[2 * size + slot((((p[k] * 1_000_003 + p[k + 1]) * 1_000_003 + p[k + 2]) * 1_000_003 + p[k + 3]) * 0x9E3779B97F4A7C15 % most)] for k in range(len(p) - 3))
+        return bias + total / max(1, len(words)) + four / max(1, len(p) - 3)
+
+    some = docs.filter("doc_id < 25 or doc_id > 9000 and doc_id <> 9005")
+    for r in quality.score(some, (weights, bias, slope, intercept)).collect():
+        assert math.isclose(r._p_good, 1 / (1 + math.exp(-(slope * plain(r.text or "") + intercept))), rel_tol=1e-3, abs_tol=1e-5)
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
