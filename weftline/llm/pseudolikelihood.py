@@ -74,8 +74,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     counts = durable(found.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
     top = counts.orderBy(F.desc("n"), "w").limit(VOCAB - HASHED).collect()
     last = F.expr(f"pmod(crc32(substring(cast(w as binary), -2, 2)), {HASHED})")
-    least = min((r["n"] for r in top), default=0)  # no word without a number has more
-    rows = counts.groupBy(last.alias("k")).agg(F.sum("n").alias("n"), F.count_if((F.col("n") > 1) & (F.col("n") <= least)).alias("m")).collect()  # one row an ending
+    rows = counts.groupBy(last.alias("k")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("m")).collect()  # one row an ending
     words, sums = [r["w"].encode() for r in top], dict.fromkeys(range(HASHED), 0) | {r["k"]: r["n"] for r in rows}
     for w, r in zip(words, top):
         sums[ending(w)] -= r["n"]
@@ -96,7 +95,8 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
             yield pd.DataFrame({"k": [at], "c": [zlib.compress(np.round(8 * np.log2(np.maximum(held, 1))).astype(np.uint8).tobytes(), 1)]})
 
     slot = F.shiftrightunsigned(F.xxhash64(F.col("w").cast("binary")), 64 - bits)
-    slots = counts.filter((F.col("n") > 1) & (F.col("n") <= least)).select(F.floor(slot / PART).cast("int").alias("k"), (slot % PART).cast("int").alias("s"), "n")
+    numbered = docs.sparkSession.createDataFrame([(r["w"],) for r in top], "w string")  # these are not looked up
+    slots = counts.filter("n > 1").join(F.broadcast(numbered), "w", "left_anti").select(F.floor(slot / PART).cast("int").alias("k"), (slot % PART).cast("int").alias("s"), "n")
     for r in slots.repartition("k").sortWithinPartitions("k").mapInPandas(pack, "k int, c binary").toLocalIterator():  # the table, in parts
         table[r["k"] * PART : (r["k"] + 1) * PART] = np.frombuffer(zlib.decompress(r["c"]), np.uint8)
     return Vocabulary(words, [r["n"] for r in top], [sums[k] for k in range(HASHED)], bits, table)
