@@ -50,7 +50,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int | None = None
     # which there are fewer than 4 * shards + 1, are broadcast, so that no key of the other join is larger
     sizes = durable(base.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"))
     hot, cold = F.broadcast(sizes.filter(F.col("group_size") > most)), sizes.filter(F.col("group_size") <= most)
-    rest = base.join(hot, group, "left_anti")
+    rest = durable(base.join(hot, group, "left_anti"))  # read several times below
     linked = (
         base.join(hot, group).unionByName(rest.join(cold, group))
         .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("group_size") / most)).cast("int"))
