@@ -75,6 +75,12 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"))
+
+
 # What of the operators' results SQL can express: queries that take those columns of them.
 
 
@@ -99,6 +105,7 @@ def mixing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op6_embeddings": op6_embeddings, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
+QUERIES |= {"op13_alignment": op13_alignment}
 QUERIES |= {"secret_counts": secret_counts, "quality_counts": quality_counts, "shard_rows": shard_rows, "shard_sizes": shard_sizes, "mixing_tokens": mixing_tokens}
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ORACLE: dict[str, str] = {
