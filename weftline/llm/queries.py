@@ -75,6 +75,12 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.decontamination import scan
+
+    return scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.alignment import align
 
@@ -105,9 +111,10 @@ def mixing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op6_embeddings": op6_embeddings, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
-QUERIES |= {"op13_alignment": op13_alignment}
+QUERIES |= {"op12_decontamination": op12_decontamination, "op13_alignment": op13_alignment}
 QUERIES |= {"secret_counts": secret_counts, "quality_counts": quality_counts, "shard_rows": shard_rows, "shard_sizes": shard_sizes, "mixing_tokens": mixing_tokens}
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE: dict[str, str] = {
     "secret_counts": r"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS BIGINT) AS n_assign,
         CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS BIGINT) AS n_access, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_hex FROM documents""",
@@ -117,4 +124,8 @@ ORACLE: dict[str, str] = {
     "shard_rows": "WITH n AS (SELECT count(*) AS n FROM documents) SELECT CAST(k AS INT) AS shard, CAST(n // 24 + (CASE WHEN k < n % 24 THEN 1 ELSE 0 END) AS BIGINT) AS n, CAST(n // 24 + (CASE WHEN k < n % 24 THEN 1 ELSE 0 END) - 1 AS BIGINT) AS last_slot FROM n, range(24) x(k)",
     "shard_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size FROM documents",
     "mixing_tokens": rf"SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CAST(len({WORDS}) AS BIGINT) AS n_tokens FROM documents",
+    "op12_decontamination": rf"""WITH n AS (SELECT item_id, w, least(len(w), 10) AS k FROM (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0), win AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM n)),
+        d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents), g AS (SELECT r, p, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM win))), m AS (SELECT r, p, k, item_id FROM g JOIN win USING (k, g)),
+        h AS (SELECT r, count(DISTINCT p + j) AS n FROM (SELECT DISTINCT r, p, k FROM m), range(10) x(j) WHERE j < k GROUP BY r), t AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
 }
