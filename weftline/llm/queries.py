@@ -75,6 +75,12 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.conversations import repair_damaged
+
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.decontamination import scan
 
@@ -111,7 +117,7 @@ def mixing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_html": op5_html, "op6_embeddings": op6_embeddings, "op7_sharding": op7_sharding, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_lm": op10_lm}
-QUERIES |= {"op12_decontamination": op12_decontamination, "op13_alignment": op13_alignment}
+QUERIES |= {"op11_conversations": op11_conversations, "op12_decontamination": op12_decontamination, "op13_alignment": op13_alignment}
 QUERIES |= {"secret_counts": secret_counts, "quality_counts": quality_counts, "shard_rows": shard_rows, "shard_sizes": shard_sizes, "mixing_tokens": mixing_tokens}
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -129,3 +135,30 @@ ORACLE: dict[str, str] = {
         h AS (SELECT r, count(DISTINCT p + j) AS n FROM (SELECT DISTINCT r, p, k FROM m), range(10) x(j) WHERE j < k GROUP BY r), t AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY r)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
 }
+
+
+def _repair_sql() -> str:
+    """Layers of four states as strings, cost in nine digits and then the audit: the least string is the least (cost, audit)."""
+    more = lambda v, cost, letters: f"(lpad(CAST(CAST({v}[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || {v}[10:] || '{letters}')"
+    when = lambda test, v: f"CASE WHEN {test} THEN {v} END"
+    keep = "(CASE WHEN fault = 't' THEN 1 ELSE 0 END)"
+    c2, c3 = f"least(v2, {more('v0', 2, 'I')}, {more('v1', 2, 'I')}, {more('v3', 2, 'I')})", f"least(v3, {more('v2', 2, 'I')}, {more('v0', 4, 'II')}, {more('v1', 4, 'II')})"
+    may = "fault NOT IN ('b', 'd')"
+    to_user = [x for v in ("v0", "v1", "c3") for x in (when(f"{may} AND i = 'u'", more(v, keep, "K")), when(may, more(v, f"(2 + {keep})", "R")))]
+    new = (more("v0", 3, "D"), f"least({more('v1', 3, 'D')}, {when(may + " AND i = 's'", more('v0', keep, 'K'))})", f"least({more('c2', 3, 'D')}, {', '.join(to_user)})", f"least({more('c3', 3, 'D')}, {when(may + " AND i = 'a'", more('c2', keep, 'K'))}, {when(may, more('c2', f'(2 + {keep})', 'R'))})")
+    return rf"""WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295) % 20 AS x FROM conversations, t),
+        r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM (SELECT conv_id, turn, CASE WHEN x = 4 THEN 'user' ELSE role END AS role, CASE x WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN x = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE x <> 0)),
+        f AS (SELECT *, role[1:1] AS i, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1:1] AS two, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE 'o' END AS fault FROM r),
+        g AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, '000000000' AS v0, CAST(NULL AS VARCHAR) AS v1, CAST(NULL AS VARCHAR) AS v2, CAST(NULL AS VARCHAR) AS v3 FROM conversations
+            UNION ALL SELECT conv_id, n, {new[0]}, {new[1]}, {new[2]}, {new[3]} FROM (SELECT g.conv_id, f.n, f.i, f.fault, v0, v1, {c2} AS c2, {c3} AS c3 FROM g JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.n = g.n + 1)),
+        e AS (SELECT conv_id, CAST(v[1:9] AS BIGINT) AS cost, v[10:] AS audit FROM (SELECT conv_id, least(v0, v3, {more('v2', 2, 'I')}, {more('v1', 4, 'II')}) AS v FROM g QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1)),
+        z AS (SELECT e.conv_id, p, audit[p] AS l, role, i, text FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS p FROM e) e LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.n = len(replace(audit[1:p], 'I', '')) AND audit[p] <> 'I' WHERE audit[p] <> 'D'),
+        o AS (SELECT conv_id, p, l, role, text, row_number() OVER w - first_value(CASE WHEN l = 'K' AND i = 's' THEN 1 ELSE 0 END) OVER w AS c FROM z WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+        h AS (SELECT conv_id, string_agg(CASE WHEN l = 'K' THEN role WHEN c % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS s FROM o GROUP BY conv_id),
+        q AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+        SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(s, '')) AS repaired_sha256
+        FROM e LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+ORACLE["op11_conversations"] = _repair_sql()
