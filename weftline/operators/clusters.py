@@ -19,26 +19,48 @@ OVERLAP = 0.3
 MAJORITY = 0.3
 
 
+def claims(wants: DataFrame, least: int, first: list) -> DataFrame:
+    """wants: seed, path, via, way (0 itself, 1 a dependency, 2 a dependency of ``via``, 3 a dependent), tokens, k (place
+    of the seed).  (cluster, path, tokens): what seeds get that claim one after the other, in rounds.
+
+    A seed is settled once no earlier unsettled seed wants a path that it wants: seeds of one round
+    share no path, so that none of them could change what another gets.  What they take goes from
+    the wants of the rest, and a seed that is taken goes as a whole, so that a path wanted by many
+    is in the way of others for one claim only.
+    """
+    left, out = durable(wants), None
+    while not left.isEmpty():
+        earliest = left.groupBy("path").agg(F.min("k").alias("_f"))
+        late = left.join(earliest, "path").filter("_f < k").select("seed", F.lit(True).alias("_late")).distinct()
+        now = durable(left.join(late, "seed", "left"))
+        ready, left = now.filter("_late is null").drop("_late"), now.filter("_late").drop("_late")
+        near = ready.filter("way < 2").select("seed", F.col("path").alias("via")).distinct()
+        own = ready.filter("way <> 2").unionByName(ready.filter("way = 2").join(near, ["seed", "via"], "left_semi")).select("seed", "path", "tokens").distinct()
+        enough = own.groupBy("seed").agg(F.sum("tokens").alias("_t")).filter((F.col("_t") >= least) | F.col("seed").isin(first))
+        got = durable(own.join(enough, "seed", "left_semi"))
+        taken = got.select("path").distinct()
+        gone = left.filter("way = 0").join(taken, "path", "left_semi").select("seed")
+        left = durable(left.join(taken, "path", "left_anti").join(gone, "seed", "left_anti"))
+        out = got if out is None else out.unionAll(got)
+    empty = wants.select("seed", "path", "tokens").limit(0)
+    return (empty if out is None else out).withColumnRenamed("seed", "cluster")
+
+
 def greedy(files: DataFrame, edges: DataFrame) -> DataFrame:
     """files: path, tokens, is_seed, is_barrel; edges: src, dst.  (cluster, path, tokens): claims of seeds.
 
     Seeds in order of tokens (ties by path) claim what they reach in two steps, unless it is a hub,
-    a barrel or claimed, and their direct dependents.  A claim never crosses a hub or barrel that
-    is no seed, so that claims interact within a component only, and one component is one group.
-    Clusters below the least size go, but not the largest seed's.  Files without a size count
-    ``FALLBACK_TOKENS``.
+    a barrel or claimed, and their direct dependents (see ``claims``).  Clusters below the least size
+    go, but not the largest seed's.  Files without a size count ``FALLBACK_TOKENS``.
     """
-    total = files.agg(F.coalesce(F.sum(F.coalesce("tokens", F.lit(FALLBACK_TOKENS))), F.lit(0)).alias("t"))
+    known = F.coalesce("tokens", F.lit(FALLBACK_TOKENS)).cast("long")
+    size = durable(files.select("path", known.alias("tokens"), "is_seed", "is_barrel"))
+    total = size.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))
     least = total.select(cluster_thresholds(F.col("t"))["min_tokens"].alias("m")).first()["m"]
-    seeds = files.filter("is_seed").select(F.col("path").alias("node"))
-    barrels = files.filter("is_barrel").select(F.col("path").alias("node"))
-    reached = durable(reach_two(seeds, edges, barrels))
-    hub = hubs(reached).select("node")
-    closed = durable(hub.unionAll(barrels).distinct())  # may be seeds, but are never claimed
-    shut = closed.join(seeds, "node", "left_anti")
-    inner = edges.join(shut.select(F.col("node").alias("src")), "src", "left_anti").join(shut.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
-    comp = components(files.select(F.col("path").alias("node")), inner)
-    first = [r["path"] for r in files.filter("is_seed").orderBy(F.desc(F.coalesce("tokens", F.lit(FALLBACK_TOKENS))), "path").limit(1).select("path").collect()]
+    seeds = size.filter("is_seed").select(F.col("path").alias("node"))
+    barrels = size.filter("is_barrel").select(F.col("path").alias("node"))
+    closed = durable(hub_files(size, edges).unionAll(barrels).distinct())  # may be seeds, but are never claimed
+    first = [r["path"] for r in size.filter("is_seed").orderBy(F.desc("tokens"), "path").limit(1).select("path").collect()]
     # what a seed may claim: a dependency, a dependency of one (``via``), a dependent
     open_ = edges.select("src", "dst").distinct().join(closed.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
     one = seeds.join(open_, F.col("node") == F.col("src")).select(F.col("node").alias("seed"), F.col("dst").alias("path"))
@@ -49,30 +71,20 @@ def greedy(files: DataFrame, edges: DataFrame) -> DataFrame:
         seeds.select(F.col("node").alias("seed"), F.col("node").alias("path"), F.col("node").alias("via"), way(0))
         .unionAll(one.select("seed", "path", seed.alias("via"), way(1))).unionAll(two.select("seed", "path", "via", way(2))).unionAll(uses.select("seed", "path", seed.alias("via"), way(3))).distinct()
     )
-    known = F.coalesce("tokens", F.lit(FALLBACK_TOKENS)).cast("long")
-    size = files.select("path", known.alias("tokens"))
-    rows = wanted.join(size, "path").join(size.select(F.col("path").alias("seed"), F.col("tokens").alias("seed_tokens")), "seed").join(comp.select(F.col("node").alias("seed"), "component"), "seed")
+    place = size.select(F.col("path").alias("seed"), F.struct((-F.col("tokens")).alias("t"), F.col("path").alias("p")).alias("k"))
+    return claims(wanted.join(size.select("path", "tokens"), "path").join(place, "seed"), least, first)
 
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        out = []
-        for seed, part in sorted(pdf.groupby("seed"), key=lambda x: (-x[1]["seed_tokens"].iloc[0], x[0])):
-            if seed in taken:
-                continue
-            own, near = {}, {seed}
-            for way, path, via, n in sorted(zip(part["way"], part["path"], part["via"], part["tokens"])):
-                if path not in taken and (way != 2 or via in near):
-                    own.setdefault(path, n)
-                    if way == 1:
-                        near.add(path)
-            if sum(own.values()) < least and seed not in first:
-                continue
-            taken.update(own)
-            out += [(seed, p, n) for p, n in own.items()]
-        return pd.DataFrame(out, columns=["cluster", "path", "tokens"]).astype({"tokens": "int64"})
-
-    kind = files.schema["path"].dataType.simpleString()
-    return rows.groupBy("component").applyInPandas(claim, f"cluster {kind}, path {kind}, tokens long")
+
+def hub_files(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """files: path, is_seed, is_barrel.  (node): reached by three seeds or more."""
+    named = lambda flag: files.filter(flag).select(F.col("path").alias("node"))
+    return hubs(reach_two(named("is_seed"), edges, named("is_barrel"))).select("node")
+
+
+def shared(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cluster, path, tokens): hubs that are known files and no barrels, as one cluster ``shared-utilities``."""
+    rows = files.filter(~F.col("is_barrel")).join(hub_files(files, edges), F.col("path") == F.col("node"), "left_semi")
+    return rows.select(F.lit("shared-utilities").alias("cluster"), "path", F.coalesce("tokens", F.lit(FALLBACK_TOKENS)).cast("long").alias("tokens"))
 
 
 def overlaps(cluster_files: DataFrame) -> DataFrame:

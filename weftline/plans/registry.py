@@ -283,12 +283,31 @@ def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), e)
 
 
-@query()
-def seed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent claims: no SQL form; tests hold it against a plain loop."""
+#: Files as seeds and barrels, and the hubs among them.
+SEEDS = f"""{RANKED}, f AS (SELECT doc_id AS p, CAST(30 * tokens AS BIGINT) AS t, doc_id % 11 = 4 AS seed, doc_id % 53 = 0 AS barrel FROM ranked), clear AS (SELECT src, dst FROM edges WHERE dst NOT IN (SELECT p FROM f WHERE barrel)),
+    r1 AS (SELECT p AS seed, dst AS node FROM f JOIN clear ON src = p WHERE seed), reached AS (SELECT * FROM r1 UNION SELECT r1.seed, dst FROM r1 JOIN clear ON src = node), hub AS (SELECT node FROM reached WHERE seed <> node GROUP BY 1 HAVING count(*) >= 3)"""
+#: Seeds settled one after the other: k, the paths taken so far, the seed and what it gets.
+SEED_FOLD = f"""{SEEDS}, shut AS (SELECT node FROM hub UNION SELECT p FROM f WHERE barrel), open AS (SELECT src, dst FROM edges WHERE dst NOT IN (SELECT node FROM shut)), th AS (SELECT CAST(least(15000, greatest(50, round(sum(t) * 0.05::DOUBLE))) AS BIGINT) AS least, map(list(p ORDER BY p), list(t ORDER BY p)) AS m FROM f),
+    w1 AS (SELECT src AS seed, list(dst) AS one FROM open GROUP BY 1), w2 AS (SELECT a.src AS seed, list({{'path': b.dst, 'via': b.src}}) AS two FROM open a JOIN open b ON a.dst = b.src GROUP BY 1), w3 AS (SELECT dst AS seed, list(src) AS uses FROM edges WHERE src NOT IN (SELECT node FROM shut) GROUP BY 1),
+    z AS (SELECT row_number() OVER (ORDER BY t DESC, p) AS k, p AS seed, coalesce(one, []) AS one, coalesce(two, []) AS two, coalesce(uses, []) AS uses FROM f LEFT JOIN w1 ON w1.seed = p LEFT JOIN w2 ON w2.seed = p LEFT JOIN w3 ON w3.seed = p WHERE f.seed),
+    s(k, taken, seed, own) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT k, list_concat(taken, kept), seed, kept FROM (SELECT k, taken, seed, CASE WHEN NOT list_contains(taken, seed) AND (k = 1 OR list_sum(list_transform(o, lambda x: m[x])) >= least) THEN o ELSE [] END AS kept FROM th,
+        (SELECT k, taken, seed, list_distinct(list_concat(list_concat([seed], n1), list_concat(list_transform(list_filter(two, lambda x: NOT list_contains(taken, x.path) AND list_contains(list_concat([seed], n1), x.via)), lambda x: x.path), list_filter(uses, lambda x: NOT list_contains(taken, x))))) AS o FROM (SELECT z.k, taken, z.seed, two, uses, list_filter(one, lambda x: NOT list_contains(taken, x)) AS n1 FROM s JOIN z ON z.k = s.k + 1))))"""
+
+
+def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _ranked(spark, sf_dir)
-    f = r.select(F.col("doc_id").alias("path"), (30 * F.col("tokens")).alias("tokens"), (F.col("doc_id") % 11 == 4).alias("is_seed"), (F.col("doc_id") % 53 == 0).alias("is_barrel"))
-    return clusters.greedy(f, views.edges(spark, sf_dir))
+    return r.select(F.col("doc_id").alias("path"), (30 * F.col("tokens")).alias("tokens"), (F.col("doc_id") % 11 == 4).alias("is_seed"), (F.col("doc_id") % 53 == 0).alias("is_barrel"))
+
+
+@query(f"WITH RECURSIVE {SEED_FOLD} SELECT seed AS cluster, unnest(own) AS path, m[unnest(own)] AS tokens FROM s, th", "files", "edges")
+def seed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.greedy(_seeded(spark, sf_dir), views.edges(spark, sf_dir))
+
+
+@query(f"WITH {SEEDS} SELECT 'shared-utilities' AS cluster, p AS path, t AS tokens FROM f JOIN hub ON node = p WHERE NOT barrel", "files", "edges")
+def shared_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hubs that many seeds reach, as one cluster."""
+    return clusters.shared(_seeded(spark, sf_dir), views.edges(spark, sf_dir))
 
 
 @query(
