@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-import itertools
-from collections import Counter
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,60 +96,71 @@ def overlaps(cluster_files: DataFrame) -> DataFrame:
     return out.select("a", "b", "shared", (F.col("shared") / F.least("na", "nb")).alias("ratio")).filter(F.col("ratio") >= OVERLAP)
 
 
+def _common(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(a, b, shared): files that two clusters (c, path) share, a before b."""
+    both = x.select(F.col("c").alias("_x"), "path").join(y.select(F.col("c").alias("_y"), "path"), "path").filter("_x <> _y")
+    return both.groupBy(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).agg(F.count_distinct("path").alias("shared"))
+
+
+def _enough(n: Column, x: Column, y: Column) -> Column:
+    return n / F.least(x, y) >= OVERLAP
+
+
 def merged(cluster_files: DataFrame) -> DataFrame:
     """cluster_files: cluster, path, ord (of the cluster).  (cluster, path, parts): overlapping clusters joined.
 
     Of all pairs that overlap, the first by the order of clusters is joined, the later cluster to the
-    earlier one, then overlaps are looked at anew, until there are none.  Clusters that share no file,
-    even through others, never meet: each such component is one group, with files as numbers.
-    ``parts`` counts the clusters joined.
+    earlier one, then overlaps are looked at anew, until there are none.  ``parts`` counts the clusters joined.
+
+    Clusters that share no file, even through others, never meet, so that every component joins its
+    own first pair (i, j) in the same round.  With it goes all that i would take next: clusters behind
+    i, not larger than i and j together, that overlap with what is gathered.  Such a cluster's overlap
+    never falls as more is gathered, so that their order does not matter, unless an earlier or a larger
+    cluster could overlap on the way; then the pair alone is joined.  Counts of shared files are kept,
+    and only those of joined clusters are made anew.
     """
-    rows = cluster_files.select("cluster", "path", "ord").distinct()
-    first = rows.groupBy("path").agg(F.min("ord").alias("dst"))
-    star = rows.join(first, "path").select(F.col("ord").alias("src"), "dst").filter("src <> dst").distinct()
-    comp = components(rows.select(F.col("ord").alias("node")).distinct(), star)
-    rows = rows.join(comp.withColumnRenamed("node", "ord"), "ord").withColumn("file", F.xxhash64("path"))
-    kind = {f.name: f.dataType.simpleString() for f in cluster_files.schema}
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = pdf[["ord", "cluster"]].drop_duplicates().sort_values("ord")["cluster"].tolist()
-        at = {c: k for k, c in enumerate(names)}
-        sets: list[set] = [set() for _ in names]
-        holders: dict[int, set] = {}
-        for c, f in zip(pdf["cluster"], pdf["file"]):
-            sets[at[c]].add(f)
-            holders.setdefault(f, set()).add(at[c])
-        into, parts, shared = list(range(len(names))), [1] * len(names), Counter()
-        for held in holders.values():
-            shared.update(itertools.combinations(sorted(held), 2))
-        ready = [p for p, n in shared.items() if n / min(len(sets[p[0]]), len(sets[p[1]])) >= OVERLAP]
-        heapq.heapify(ready)
-        while ready:
-            a, b = heapq.heappop(ready)
-            if into[a] != a or into[b] != b or len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) < OVERLAP:
-                continue  # joined since, or no longer enough for the larger cluster
-            into[b] = a
-            parts[a] += parts[b]
-            for f in sets[b]:
-                held = holders[f]
-                held.discard(b)
-                held.add(a)
-            sets[a] |= sets[b]
-            sets[b] = set()
-            near = Counter(c for f in sets[a] for c in holders[f] if c != a)
-            for c, n in near.items():
-                if n / min(len(sets[a]), len(sets[c])) >= OVERLAP:
-                    heapq.heappush(ready, (min(a, c), max(a, c)))
-
-        def root(k: int) -> int:
-            while into[k] != k:
-                k = into[k]
-            return k
-
-        roots = [root(at[c]) for c in pdf["cluster"]]
-        return pd.DataFrame({"cluster": [names[k] for k in roots], "path": pdf["path"], "parts": [parts[k] for k in roots]}).drop_duplicates()
-
-    return rows.groupBy("component").applyInPandas(join, f"cluster {kind['cluster']}, path {kind['path']}, parts long")
+    rows = durable(cluster_files.select("cluster", "path", "ord").distinct())
+    roots = rows.select(F.col("ord").alias("member"), F.col("ord").alias("root")).distinct()
+    held = rows.select(F.col("ord").alias("c"), "path")
+    size = durable(held.groupBy("c").agg(F.count(F.lit(1)).alias("size")))
+    share = durable(_common(held, held))
+    group: DataFrame | None = None
+    of = lambda name, size_name: size.select(F.col("c").alias(name), F.col("size").alias(size_name))
+    while True:
+        pairs = durable(share.join(of("a", "na"), "a").join(of("b", "nb"), "b").filter(_enough(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b"))
+        if pairs.isEmpty():
+            break
+        if group is None:  # only components with a pair take part
+            least = rows.groupBy("path").agg(F.min("ord").alias("dst"))
+            star = rows.join(least, "path").select(F.col("ord").alias("src"), "dst").filter("src <> dst").distinct()
+            group = durable(components(size.select(F.col("c").alias("node")), star).select(F.col("node").alias("c"), F.col("component").alias("g")))
+            live = group.join(pairs.select(F.col("a").alias("c")).join(group, "c").select("g").distinct(), "g", "left_semi")
+            held, size = durable(held.join(live, "c", "left_semi")), durable(size.join(live, "c", "left_semi"))
+        first = durable(pairs.join(group.withColumnRenamed("c", "a"), "a").groupBy("g").agg(F.min(F.struct("a", "b")).alias("x")).select("g", F.col("x.a").alias("i"), F.col("x.b").alias("j")))
+        two = first.select("g", "i", F.explode(F.array("i", "j")).alias("c"))
+        taken, base = durable(two), None
+        while True:
+            files = held.join(taken, "c").select("g", "i", "path").distinct()
+            count = durable(files.groupBy("g").agg(F.count(F.lit(1)).alias("all")))
+            base = count.withColumnRenamed("all", "base") if base is None else base
+            near = files.join(held, "path").groupBy("g", "i", "c").agg(F.count(F.lit(1)).alias("n")).join(taken, ["g", "c"], "left_anti")
+            near = durable(near.join(size, "c").join(count, "g").join(base, "g"))
+            more = near.filter((F.col("c") > F.col("i")) & (F.col("size") <= F.col("base")) & _enough(F.col("n"), F.col("all"), F.col("size"))).select("g", "i", "c")
+            if more.isEmpty():
+                break
+            taken = durable(taken.unionByName(more))
+        danger = ((F.col("c") < F.col("i")) | (F.col("size") > F.col("base"))) & _enough(F.col("n"), F.col("base"), F.col("size"))
+        unsafe = near.filter(danger).select("g").distinct()
+        move = durable(taken.join(unsafe, "g", "left_anti").unionByName(two.join(unsafe, "g", "left_semi")).select("c", "i"))
+        held = durable(held.join(move, "c", "left").select(F.coalesce("i", "c").alias("c"), "path").distinct())
+        roots = durable(roots.join(move, F.col("root") == F.col("c"), "left").select("member", F.coalesce("i", "root").alias("root")))
+        changed = held.join(move.select(F.col("i").alias("c")).distinct(), "c", "left_semi")
+        size = durable(size.join(move, "c", "left_anti").unionByName(changed.groupBy("c").agg(F.count(F.lit(1)).alias("size"))))
+        kept = share.join(move.select(F.col("c").alias("a")), "a", "left_anti").join(move.select(F.col("c").alias("b")), "b", "left_anti")
+        share = durable(kept.unionByName(_common(changed, held)))
+    name = rows.select("ord", F.col("cluster").alias("_name")).distinct()
+    parts = roots.groupBy("root").agg(F.count(F.lit(1)).alias("parts")).join(name, F.col("root") == F.col("ord")).select("root", F.col("_name").alias("cluster"), "parts")
+    return rows.select("path", "ord").join(roots, F.col("ord") == F.col("member")).select("root", "path").distinct().join(parts, "root").select("cluster", "path", "parts")
 
 
 def orphans(left: DataFrame, cluster_files: DataFrame, least: int) -> DataFrame:

@@ -92,6 +92,19 @@ def joined_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.merged(cf).groupBy("cluster").agg(F.count(F.lit(1)).alias("n_files"), F.max("parts").alias("parts"))
 
 
+@query(
+    """WITH RECURSIVE r(k, s) AS (SELECT 0, list({'c': c, 'f': f, 'n': CAST(1 AS BIGINT)} ORDER BY c) FROM (SELECT c_nationkey AS c, list(DISTINCT (c_nationkey // 3) || '/' || (c_custkey // 8)) AS f FROM customer GROUP BY 1)
+        UNION ALL SELECT k + 1, list_transform(list_filter(range(1, len(s) + 1), lambda x: x <> p.j), lambda x: CASE WHEN x = p.i THEN {'c': s[x].c, 'f': list_distinct(list_concat(s[x].f, s[p.j].f)), 'n': s[x].n + s[p.j].n} ELSE s[x] END)
+        FROM (SELECT k, s, list_filter(flatten(list_transform(range(1, len(s) + 1), lambda i: list_transform(range(i + 1, len(s) + 1), lambda j: {'i': i, 'j': j}))), lambda x: len(list_intersect(s[x.i].f, s[x.j].f)) / least(len(s[x.i].f), len(s[x.j].f)) >= 0.3)[1] AS p FROM r) WHERE p IS NOT NULL)
+    SELECT u.c AS cluster, unnest(u.f) AS path, u.n AS parts FROM (SELECT unnest(s) AS u FROM r WHERE k = (SELECT max(k) FROM r))"""
+)
+def joined_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as clusters; three neighbours share a file for each eight customers."""
+    n = F.col("c_nationkey")
+    path = F.concat_ws("/", F.floor(n / 3).cast("string"), F.floor(F.col("c_custkey") / 8).cast("string"))
+    return clusters.merged(views.table(spark, sf_dir, "customer").select(n.alias("cluster"), path.alias("path"), n.alias("ord")))
+
+
 @query(
     """WITH x AS (SELECT l_suppkey AS cluster, l_orderkey AS path, l_quantity, l_linenumber = 1 AS is_root, row_number() OVER (PARTITION BY l_suppkey, l_linenumber = 1 ORDER BY l_orderkey, l_partkey, l_shipdate, l_linenumber) - 1 AS k, count(*) OVER (PARTITION BY l_suppkey, l_linenumber = 1) AS n, sum(l_quantity) OVER (PARTITION BY l_suppkey) AS total FROM lineitem)
     SELECT cluster, CASE WHEN total > 15000 THEN CASE WHEN is_root THEN 0 ELSE CAST(floor(k / greatest(5, ceil(n / 3.0))) AS INT) + 1 END END AS part, count(*) AS n FROM x GROUP BY 1, 2"""
