@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,35 +168,39 @@ def orphans(left: DataFrame, cluster_files: DataFrame, least: int) -> DataFrame:
     (path, cluster): the files of a directory, directories as met, go to the cluster with most
     directories equal to, above or below theirs (the first of equals) if they have fewer tokens than
     ``least``, else or without such a cluster to one of their own, ``orphan:`` and the directory.
-    What a directory joins counts for later ones.  Only directories with the same first segment
-    meet, so that these are the groups.
+    What a directory joins counts for later ones.
+
+    Directories are decided in rounds: one waits only for earlier ones above or below it, so that
+    there are no more rounds than about twice the depth of the tree.  Votes (directory, cluster)
+    are counted once for the given clusters; each decision adds one for those that waited for it.
     """
     d = F.when(dirname(F.col("path")) == "", ".").otherwise(dirname(F.col("path")))
-    l = left.select("path", "tokens", "ord", d.alias("dir"), F.lit(True).alias("new"), F.lit(None).cast("string").alias("cluster"))  # noqa: E741
-    held = cluster_files.select("cluster", "ord", d.alias("dir")).distinct()
-    c = held.select(F.lit("").alias("path"), F.lit(0).cast("long").alias("tokens"), "ord", "dir", F.lit(False).alias("new"), F.col("cluster").cast("string").alias("cluster"))
-    rows = l.select("path", F.col("tokens").cast("long").alias("tokens"), F.col("ord").cast("long").alias("ord"), "dir", "new", "cluster").unionByName(c.withColumn("ord", F.col("ord").cast("long"))).withColumn("top", F.split("dir", "/")[0])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf[~pdf["new"]].sort_values("ord")
-        dirs: dict[str, set] = {}
-        for name, x in zip(known["cluster"], known["dir"]):
-            dirs.setdefault(name, set()).add(x)
-        out = []
-        groups = pdf[pdf["new"]].sort_values("ord", kind="stable").groupby("dir", sort=False)
-        for x, part in groups:
-            best, most = None, 0
-            if part["tokens"].sum() < least:
-                for name, have in dirs.items():
-                    n = sum(x == y or x.startswith(f"{y}/") or y.startswith(f"{x}/") for y in have)
-                    if n > most:
-                        best, most = name, n
-            best = best or f"orphan:{x}"
-            dirs.setdefault(best, set()).add(x)
-            out += [(p, best) for p in part["path"]]
-        return pd.DataFrame(out, columns=["path", "cluster"]).astype("object")
-
-    return rows.groupBy("top").applyInPandas(fold, "path string, cluster string")
+    rows = left.select("path", F.col("tokens").cast("long").alias("tokens"), F.col("ord").cast("long").alias("ord"), d.alias("dir"))
+    dirs = durable(rows.groupBy("dir").agg(F.sum("tokens").alias("tokens"), F.min("ord").alias("ord")))
+    held = durable(cluster_files.select(F.col("cluster").cast("string").alias("cluster"), F.col("ord").cast("long").alias("ord"), d.alias("own")).distinct())
+    o, above = dirs.select("dir"), lambda c: F.explode(ancestors(F.col(c)))
+    meets = held.select("cluster", "ord", "own", F.explode(F.array_union(F.array("own"), ancestors(F.col("own")))).alias("dir")).join(o, "dir").select("dir", "cluster", "ord", "own")
+    meets = meets.unionByName(o.select("dir", above("dir").alias("own")).join(held, "own").select("dir", "cluster", "ord", "own")).distinct()
+    votes = durable(meets.groupBy("dir", "cluster", F.struct(F.lit(0).alias("k"), F.col("ord").alias("o"), F.lit("").alias("d")).alias("place")).agg(F.count(F.lit(1)).alias("n")))
+    up = dirs.select("dir", F.col("ord").alias("o"), above("dir").alias("up")).join(dirs.select(F.col("dir").alias("up"), F.col("ord").alias("p")), "up")
+    later = F.struct("p", "up") < F.struct("o", "dir")
+    waits = durable(up.select(F.when(later, F.col("dir")).otherwise(F.col("up")).alias("dir"), F.when(later, F.col("up")).otherwise(F.col("dir")).alias("on")))
+    todo, open_, out = dirs, waits, None
+    while not todo.isEmpty():
+        ready = todo.join(open_.select("dir").distinct(), "dir", "left_anti")
+        best = votes.join(ready.select("dir"), "dir", "left_semi").groupBy("dir", "cluster", "place").agg(F.sum("n").alias("n"))
+        best = best.groupBy("dir").agg(F.min_by(F.struct("cluster", "place"), F.struct((-F.col("n")).alias("n"), "place")).alias("b"))
+        joins = (F.col("tokens") < least) & F.col("b").isNotNull()
+        own = F.struct(F.concat(F.lit("orphan:"), "dir").alias("cluster"), F.struct(F.lit(1).alias("k"), F.col("ord").alias("o"), F.col("dir").alias("d")).alias("place"))
+        got = durable(ready.join(best, "dir", "left").select("dir", F.when(joins, F.col("b")).otherwise(own).alias("x")).select("dir", "x.cluster", "x.place"))
+        new = waits.join(got.withColumnRenamed("dir", "on"), "on").join(held.select("cluster", F.col("own").alias("on")), ["cluster", "on"], "left_anti")
+        votes = durable(votes.unionByName(new.select("dir", "cluster", "place", F.lit(1).cast("long").alias("n"))))
+        open_ = durable(open_.join(got.select(F.col("dir").alias("on")), "on", "left_anti").select("dir", "on"))
+        todo = durable(todo.join(got, "dir", "left_anti"))
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        return rows.select(F.col("path").cast("string").alias("path"), F.lit(None).cast("string").alias("cluster")).limit(0)
+    return rows.join(out, "dir").select("path", "cluster")
 
 
 def split_large(cluster_files: DataFrame, most: int) -> DataFrame:

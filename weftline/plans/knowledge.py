@@ -105,6 +105,27 @@ def joined_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.merged(views.table(spark, sf_dir, "customer").select(n.alias("cluster"), path.alias("path"), n.alias("ord")))
 
 
+TREE = """d AS (SELECT doc_id AS k, CASE doc_id % 3 WHEN 0 THEN 'a' || (doc_id % 2) WHEN 1 THEN 'a' || (doc_id % 2) || '/b' || (doc_id % 5) ELSE 'a' || (doc_id % 2) || '/b' || (doc_id % 5) || '/c' || (doc_id // 20) END AS dir, CAST(coalesce(length(text), 0) // 4 AS BIGINT) AS tokens FROM documents)"""
+
+
+@query(
+    f"""WITH RECURSIVE {TREE}, o AS (SELECT *, row_number() OVER (ORDER BY ord) AS n FROM (SELECT dir, sum(tokens) AS tokens, min(k) AS ord FROM d WHERE k % 4 <> 0 GROUP BY 1)),
+    s(n, h, dir, best) AS (SELECT CAST(0 AS BIGINT), list({{'c': c, 'o': o, 'd': dir}}), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM (SELECT DISTINCT 'k' || (k % 13) AS c, CAST(k % 13 AS BIGINT) AS o, dir FROM d WHERE k % 4 = 0)
+        UNION ALL SELECT n, CASE WHEN list_contains(list_transform(list_filter(h, lambda x: x.c = best), lambda x: x.d), dir) THEN h ELSE list_append(h, {{'c': best, 'o': coalesce(list_filter(h, lambda x: x.c = best)[1].o, 1000 + n), 'd': dir}}) END, dir, best
+        FROM (SELECT n, h, dir, CASE WHEN tokens < 3000 AND len(votes) > 0 THEN list_sort(list_transform(list_distinct(list_transform(votes, lambda x: {{'o': x.o, 'c': x.c}})), lambda y: {{'n': -len(list_filter(votes, lambda x: x.o = y.o)), 'o': y.o, 'c': y.c}}))[1].c ELSE 'orphan:' || dir END AS best
+            FROM (SELECT o.n, h, o.dir, o.tokens, list_filter(h, lambda x: x.d = o.dir OR starts_with(x.d, o.dir || '/') OR starts_with(o.dir, x.d || '/')) AS votes FROM s JOIN o ON o.n = s.n + 1)))
+    SELECT d.dir || '/f' || k AS path, best AS cluster FROM d JOIN s USING (dir) WHERE k % 4 <> 0""",
+)
+def orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of no cluster in a tree of three levels, where what a directory joins decides for those above and below it."""
+    k, name = F.col("doc_id"), lambda a, x: F.concat(F.lit(a), x.cast("string"))
+    one, two, three = name("a", k % 2), name("b", k % 5), name("c", F.floor(k / 20))
+    folder = F.when(k % 3 == 0, one).when(k % 3 == 1, F.concat_ws("/", one, two)).otherwise(F.concat_ws("/", one, two, three))
+    rows = views.table(spark, sf_dir, "documents").select(k.alias("ord"), F.concat_ws("/", folder, name("f", k)).alias("path"), F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4).alias("tokens"))
+    held = rows.filter("ord % 4 = 0").select(name("k", F.col("ord") % 13).alias("cluster"), "path", (F.col("ord") % 13).alias("ord"))
+    return clusters.orphans(rows.filter("ord % 4 <> 0"), held, 3000)
+
+
 @query(
     """WITH x AS (SELECT l_suppkey AS cluster, l_orderkey AS path, l_quantity, l_linenumber = 1 AS is_root, row_number() OVER (PARTITION BY l_suppkey, l_linenumber = 1 ORDER BY l_orderkey, l_partkey, l_shipdate, l_linenumber) - 1 AS k, count(*) OVER (PARTITION BY l_suppkey, l_linenumber = 1) AS n, sum(l_quantity) OVER (PARTITION BY l_suppkey) AS total FROM lineitem)
     SELECT cluster, CASE WHEN total > 15000 THEN CASE WHEN is_root THEN 0 ELSE CAST(floor(k / greatest(5, ceil(n / 3.0))) AS INT) + 1 END END AS part, count(*) AS n FROM x GROUP BY 1, 2"""
