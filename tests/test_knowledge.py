@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import paths
-from weftline.operators import book, clusters, graph, planner, registers, render, tasks
+from weftline.operators import book, clusters, graph, planner, registers, render, runs, tasks
 from weftline.sources import projects, readers
 from weftline.streaming import changes
 
@@ -139,17 +139,53 @@ def test_planner_against_a_plain_loop(spark):
     assert [r.folder for r in planner.in_order(some).collect()] == ["a", "b"]
 
 
-def test_next_fit_rows_of_one_long_key(spark):
-    rows = spark.range(3000).select(F.lit("k").alias("key"), F.col("id"), (F.col("id") % 7 + 1).cast("double").alias("w"))
-    got = sorted((r.id, r.chunk) for r in planner.next_fit_rows(rows, ["key"], ["id"], "w", 20).collect())
-    chunk, total, want = 0, 0, []
-    for k in range(3000):
-        w = k % 7 + 1
-        if total and total + w > 20:
-            chunk, total = chunk + 1, 0
-        total += w
-        want.append((k, chunk))
-    assert got == want
+def next_fit_loop(rows, most):
+    """rows: (key, id, w) in any order; {(key, id): chunk}."""
+    out, last, chunk, total = {}, None, 0, None
+    for k, n, w in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        if k != last or total is None:
+            last, chunk, total = k, 0, None
+        if total is not None and total + w > most:
+            chunk, total = chunk + 1, None
+        total = w if total is None else total + w
+        out[k, n] = chunk
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_next_fit_against_a_loop(spark, parts):
+    rng = random.Random(parts)
+    rows = [(k, n, rng.choice([0, 1, 2, 3, 9, 25])) for k, m in (("hot", 4000), ("b", 1), ("c", 700), (None, 30), ("d", 300)) for n in range(m)] + [(f"s{n}", 0, 30) for n in range(40)]
+    rows += [("zero", n, 0) for n in range(200)] + [("big", n, 50) for n in range(60)]
+    df = spark.createDataFrame(rows, "key string, id long, w long").withColumn("more", F.col("id") % 2 == 0).repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for x, most in ((df, 20), (df.withColumn("w", F.col("w") / 4), 5.0)):
+            got = runs.next_fit_rows(x, ["key"], ["id"], "w", most)
+            assert got.columns == ["key", "id", "w", "more", "chunk"]
+            assert {(r.key, r.id): r.chunk for r in got.collect()} == next_fit_loop(rows, 20)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_running_folds_against_a_loop(spark):
+    rng = random.Random(4)
+    rows = [(k, n, rng.choice([None, *range(50)])) for k, m in (("hot", 900), (None, 50), ("b", 1), ("c", 200)) for n in range(m)]
+    df = spark.createDataFrame(rows, "key string, id long, v long").repartition(3)
+    folds = {"low": ("min", F.col("v")), "high": ("max", F.struct("v", "id")), "total": ("sum", F.col("v"))}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        for behind in (False, True):
+            got = {(r.key, r.id): (r.low, tuple(r.high) if r.high else None, r.total) for r in runs.running(df, ["key"], ["id"], folds, behind).collect()}
+            for k, n, _ in rows:
+                other = [(v, m) for x, m, v in rows if x == k and (m > n if behind else m < n)]
+                known = [v for v, _ in other if v is not None]
+                high = max(other, key=lambda x: (x[0] is not None, x[0] or 0, x[1]), default=None)
+                assert got[k, n] == (min(known, default=None), high, sum(known) if known else None)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_ranks_without_one_task_for_a_key(spark):

@@ -6,14 +6,12 @@ taken by priority, most dependents, path.  Sizes come from the tokens of all fol
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.code import is_entry_stem, split_thresholds
 from weftline.functions.paths import chapter_path, subtask_id
+from weftline.operators.runs import next_fit_rows
 
 # Roles in the order in which a folder's subtasks are numbered.
 ROLES = ("entry", "ui-components", "business-components", "hooks", "utils", "types", "other")
@@ -28,30 +26,6 @@ def place(names: tuple[str, ...], c: Column) -> Column:
     return out
 
 
-def next_fit_rows(df: DataFrame, key: list[str], order: list[str], weight: str, most: float) -> DataFrame:
-    """Adds chunk (from 0): a chunk ends when the next row would pass ``most``.
-
-    Rows of a key come sorted to one task and stream through it; only the running sum is held, so a
-    key of any length needs no memory.
-    """
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, chunk, total, n = None, 0, 0.0, 0
-        for pdf in batches:
-            out = []
-            for k, w in zip(zip(*[pdf[c].tolist() for c in key]), pdf[weight].tolist()):
-                if k != at:
-                    at, chunk, total, n = k, 0, 0.0, 0
-                elif n and total + w > most:
-                    chunk, total, n = chunk + 1, 0.0, 0
-                total, n = total + w, n + 1
-                out.append(chunk)
-            yield pdf.assign(chunk=pd.Series(out, index=pdf.index, dtype="int64"))
-
-    rows = df.repartition(*key).sortWithinPartitions(*key, *order)
-    return rows.mapInPandas(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "chunk long"]))
-
-
 def limits(files: DataFrame) -> dict[str, int]:
     """The thresholds of a project: one row on the driver."""
     total = files.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))

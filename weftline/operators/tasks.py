@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.code import token_budget
 from weftline.operators.graph import durable
+from weftline.operators.runs import next_fit_rows
 
 # Phases in their order, and the gap between ranges of issue numbers.
 PHASES = ("INIT", "SCAN", "DEPENDENCY", "GEN", "ASSEMBLE", "VALIDATE")
@@ -15,22 +16,9 @@ RETRIES = 3
 
 
 def next_fit(df: DataFrame, key: list[str], order: list[str], weight: str, most: float) -> DataFrame:
-    """key, chunk (from 0), n, total: a chunk ends when the next item would pass ``most``.
-
-    The fold runs over the sorted array of one key; keys are small by contract (files of a folder,
-    lines of an order), and the fold keeps only the chunks.
-    """
-    sorted_ = F.array_sort(F.collect_list(F.struct(*order, F.col(weight).cast("double").alias("_w"))))
-    rows = df.groupBy(*key).agg(sorted_.alias("_xs"))
-    zero = F.expr("named_struct('done', cast(array() as array<struct<n:bigint,total:double>>), 'n', 0L, 'total', 0D)")
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["n"] > 0) & (acc["total"] + x["_w"] > most)
-        done = F.when(over, F.concat(acc["done"], F.array(F.struct(acc["n"].alias("n"), acc["total"].alias("total"))))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(over, F.lit(1).cast("long")).otherwise(acc["n"] + 1).alias("n"), F.when(over, x["_w"]).otherwise(acc["total"] + x["_w"]).alias("total"))
-
-    chunks = F.aggregate("_xs", zero, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["n"].alias("n"), acc["total"].alias("total")))))
-    return rows.select(*key, F.posexplode(chunks).alias("chunk", "c")).select(*key, F.col("chunk").cast("long").alias("chunk"), "c.n", "c.total")
+    """key, chunk (from 0), n, total: a chunk ends when the next item would pass ``most``; keys may have any length."""
+    rows = next_fit_rows(df.select(*key, *order, F.col(weight).alias("_weight")), key, order, "_weight", most)
+    return rows.groupBy(*key, "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_weight").cast("double")).alias("total"))
 
 
 def chunked(df: DataFrame, key: list[str], order: list[Column], least: int = 5, parts: int = 3) -> DataFrame:
