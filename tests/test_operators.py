@@ -179,5 +179,11 @@ def test_patterns_links_and_gates(spark):
     refs = spark.createDataFrame([("p", "a.ts", "foo"), ("p", "a.ts", "oo"), ("p", "b.ts", "foo")], "page string, path string, symbol string")
     got = registers.symbol_checks(refs, spark.createDataFrame([("a.ts", "let foo = 1")], "path string, content string"))
     assert {(r.path, r.symbol): r.found for r in got.collect()} == {("a.ts", "foo"): True, ("a.ts", "oo"): False, ("b.ts", "foo"): False}
-    art = spark.createDataFrame([("a", ""), ("b", "{"), ("c", '{"x": 1}'), ("d", "[" + ",".join(['"' + "x" * 200 + '"'] * 3) + "]")], "name string, text string")
-    assert {r.name: r.problem for r in registers.artifact_gate(art).collect()} == {"a": "empty", "b": "invalid", "c": None, "d": "ghost"}
+    more = spark.createDataFrame([("p", "f.ts", "$x"), ("p", "f.ts", "a.b"), ("p", "f.ts", "é"), ("p", "f.ts", "b;"), ("p", "f.ts", "a.b;c"), ("p", "f.ts", "c\nd"), ("p", "f.ts", "(")], "page string, path string, symbol string")
+    got = registers.symbol_checks(more, spark.createDataFrame([("f.ts", "y$x a.b;c\nd caf\u00e9s (x) \u00e9")], "path string, content string"))
+    assert {r.symbol: r.found for r in got.collect()} == {"$x": True, "a.b": True, "é": True, "b;": True, "a.b;c": True, "c\nd": True, "(": False}
+    long_ = "[" + ",".join(['"' + "x" * 200 + '"'] * 3) + "]"
+    art = spark.createDataFrame([("a.json", "", True), ("b.json", "{", False), ("c.json", '{"x": 1}', False), ("d.json", long_, True), ("state.json", long_, True), ("notes.md", "{", True), ("e.json", None, False)], "name string, text string, critical boolean")
+    assert {r.name: (r.problem, r.severity) for r in registers.artifact_gate(art).collect()} == {"a.json": ("empty", "error"), "b.json": ("invalid", "error"), "c.json": (None, None), "d.json": ("ghost", "warning"), "state.json": (None, None), "notes.md": (None, None), "e.json": ("missing", "warning")}
+    bars = spark.createDataFrame([("p", "A | b"), ("p", " gone|x")], "page string, target string")
+    assert {r.target for r in registers.broken_links(bars, pages).collect()} == {"gone"}

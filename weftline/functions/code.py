@@ -176,8 +176,13 @@ def component(jsx: Column, exported: Column, functions: Column) -> tuple[Column,
 
 
 def nesting(content: Column) -> Column:
-    """The deepest indentation in steps of two blanks."""
-    return F.array_max(F.transform(F.split(content, "\n"), lambda x: F.floor(F.length(F.regexp_extract(x, "^( *)", 1)) / 2))).cast("long")
+    """The deepest indentation in steps of two white spaces, of lines that are not blank."""
+    lines = F.filter(F.split(content, "\n"), lambda x: x.rlike(r"\S"))
+    return F.coalesce(F.array_max(F.transform(lines, lambda x: F.floor(F.length(F.regexp_extract(x, r"^(\s*)", 1)) / 2))).cast("long"), F.lit(0))
+
+
+def any_count(content: Column) -> Column:
+    return F.regexp_count(content, F.lit(r":\s*any|as\s+any")).cast("long")
 
 
 def file_meta(files: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.paths import basename, padded, slug, yaml_text
+from weftline.operators.runs import running
+from weftline.operators.tasks import ranked
 
 # Issue types with tier and chapter, severities and states, and names that stand for them.
 TIER = {"bug": "P0", "security": "P0", "typescript": "P1", "performance": "P1", "dead_code": "P2", "complexity": "P2", "maintainability": "P2", "ux": "P2"}
@@ -24,12 +26,15 @@ TYPE_NAMES = {
     **{t: t for t in TIER}, "bugs": "bug", "dead-code": "dead_code", "deadcode": "dead_code", "riskcontrol": "riskcontrol", "edge-case": "bug", "logic-error": "bug", "error-handling": "bug", "type-safety": "typescript",
     "naming": "typescript", "i18n": "maintainability", "constants": "maintainability", "refactor": "complexity", "defensive-programming": "security", "magic-number": "maintainability",
 }
-#: Which checks apply to a type, and their limits.
-CHECKS = {"large_file": 200, "any_usage": 3, "deep_nesting": 4}
+# Checks of the types that claim something measurable (older names too), and the limits of checks.
+CHECKS = {"line_count": 200, "any_count": 3, "nesting_depth": 4}
 CHECKS_OF = {
-    "complexity": ("exists", "large_file", "deep_nesting"), "typescript": ("exists", "any_usage"), "dead_code": ("exists", "unreferenced"), "maintainability": ("exists", "large_file"),
-    "bug": ("exists",), "security": ("exists",), "performance": ("exists", "large_file"), "ux": ("exists",),
+    "bug": ("file_exists", "circular_in_graph"), "typescript": ("file_exists", "any_count"), "complexity": ("file_exists", "line_count", "nesting_depth"), "dead_code": ("file_exists", "export_references"),
+    "complex_logic": ("file_exists", "line_count", "nesting_depth"), "missing_types": ("file_exists", "any_count"), "circular_dependency": ("file_exists", "circular_in_graph"), "potential_bug": ("file_exists",), "inconsistent_api": ("file_exists",),
 }
+# Pages that are not asked for fields.
+ISSUE_PAGES = "volume-2-issues/"
+PIPELINE_PAGES = ("PROGRESS.md", "book.md", "glossary.md", "issues.md")
 HOT_DEPENDENTS = 10
 
 
@@ -88,16 +93,23 @@ def severity_order(s: Column) -> Column:
 def dedup(issues: DataFrame, key: list[str], when: str = "detected_at", order: str = "id") -> DataFrame:
     """Adds is_duplicate, duplicate_of (the keeper when the row was met in ``order``), final_keeper.
 
-    The earliest of a key is kept, of equals the first met.
+    The earliest of a key is kept, of equals the first met; no date is the earliest.  Rows without
+    an id or a type are left out; arrays of the key count as sets of names in order, and what is
+    missing as empty.  All three are running minima, so that a key may have any number of rows.
     """
-    w = Window.partitionBy(*key)
-    own = F.struct(when, order)
-    so_far = F.min(own).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    rows = issues.withColumns({"final_keeper": F.first(order).over(w.orderBy(when, order)), "_p": so_far})
+    text = lambda c: F.array_join(F.array_sort(c), ",") if issues.schema[c].dataType.typeName() == "array" else F.col(c).cast("string")
+    names = [f"_k{k}" for k in range(len(key))]
+    given = [F.col(c).isNotNull() & (F.col(c).cast("string") != "") for c in (order, "type") if c in issues.columns]
+    rows = issues
+    for g in given:
+        rows = rows.filter(g)
+    own = F.struct(F.coalesce(F.col(when), F.lit("")).alias("w"), F.col(order).alias("o"))
+    rows = rows.withColumns({n: F.coalesce(text(c), F.lit("")) for n, c in zip(names, key)})
+    rows = running(rows, names, [order], {"_p": ("min", own)})
     record = F.col("_p").isNull() | (own < F.col("_p"))  # it was the keeper when met
-    after = F.first(F.when(record, F.col(order)), True).over(w.orderBy(order).rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumns({"is_duplicate": F.col(order) != F.col("final_keeper"), "_after": after})
-    return rows.withColumn("duplicate_of", F.when(F.col("is_duplicate"), F.when(record, F.col("_after")).otherwise(F.col(f"_p.{order}")))).drop("_p", "_after")
+    rows = running(rows, names, [order], {"_next": ("min", F.when(record, F.col(order))), "_later": ("min", own)}, behind=True)
+    rows = rows.withColumn("final_keeper", F.least(own, "_p", "_later")["o"]).withColumn("is_duplicate", F.col(order) != F.col("final_keeper"))
+    return rows.withColumn("duplicate_of", F.when(F.col("is_duplicate"), F.when(record, F.col("_next")).otherwise(F.col("_p.o")))).drop("_p", "_next", "_later", *names)
 
 
 def violations(issues: DataFrame) -> DataFrame:
@@ -211,19 +223,33 @@ def recheck(issue_files: DataFrame, affected: DataFrame, deleted: DataFrame) ->
     return out.withColumn("action", F.when((F.col("n_affected") > 0) & (F.col("n_deleted") > 0), "stale").when(F.col("n_affected") > 0, "recheck").otherwise("unchanged"))
 
 
-def content_checks(issues: DataFrame, files: DataFrame, in_degree: DataFrame) -> DataFrame:
-    """issues: id, type, path; files: path, lines, any_count, depth.  (id, check, actual, passed): the issue's claim holds."""
+def content_checks(issues: DataFrame, files: DataFrame, in_degree: DataFrame, in_cycles: DataFrame) -> DataFrame:
+    """issues: id, type, paths; files: path, lines, any_count, depth; in_degree: source, n_dependents of all modules;
+    in_cycles: path.  (id, path, check, actual, passed): a row for each file and check of an issue whose type claims
+    something measurable.
+
+    A file that is missing, or no module of the graph, fails with no actual value.  A circle is found
+    if any of the issue's files is in one; actual counts these.
+    """
     applies = F.create_map(*[x for t, cs in CHECKS_OF.items() for x in (F.lit(t), F.array(*map(F.lit, cs)))])
-    rows = issues.withColumn("check", F.explode(applies[F.col("type")])).join(files, "path", "left").join(in_degree.select(F.col("source").alias("path"), "n_dependents"), "path", "left")
-    actual = (
-        F.when(F.col("check") == "large_file", F.col("lines")).when(F.col("check") == "any_usage", F.col("any_count")).when(F.col("check") == "deep_nesting", F.col("depth"))
-        .when(F.col("check") == "unreferenced", F.coalesce("n_dependents", F.lit(0))).otherwise(F.col("lines").isNotNull().cast("long")).cast("long")
-    )
-    ok = (
-        F.when(F.col("check") == "large_file", actual > CHECKS["large_file"]).when(F.col("check") == "any_usage", actual >= CHECKS["any_usage"])
-        .when(F.col("check") == "deep_nesting", actual > CHECKS["deep_nesting"]).when(F.col("check") == "unreferenced", actual == 0).otherwise(actual == 1)
-    )
-    return rows.select("id", "check", actual.alias("actual"), F.coalesce(ok, F.lit(False)).alias("passed"))
+    each = issues.select("id", "type", F.posexplode("paths").alias("pos", "path"))
+    circles = each.join(in_cycles.select("path").distinct(), "path", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("_circles"))
+    rows = each.join(files.withColumn("_f", F.lit(True)), "path", "left").join(in_degree.select(F.col("source").alias("path"), "n_dependents"), "path", "left").join(circles, "id", "left")
+    rows = rows.withColumn("check", F.explode(applies[F.col("type")]))
+    value = {"file_exists": F.coalesce("_f", F.lit(False)).cast("long"), "line_count": F.col("lines"), "any_count": F.col("any_count"), "nesting_depth": F.col("depth"), "export_references": F.col("n_dependents"), "circular_in_graph": F.coalesce("_circles", F.lit(0))}
+    actual = F.coalesce(*[F.when(F.col("check") == k, v.cast("long")) for k, v in value.items()])
+    ok = F.when(F.col("check") == "line_count", actual > CHECKS["line_count"]).when(F.col("check") == "any_count", actual >= CHECKS["any_count"]).when(F.col("check") == "nesting_depth", actual > CHECKS["nesting_depth"])
+    ok = ok.when(F.col("check") == "export_references", actual == 0).otherwise(actual > 0)
+    return rows.select("id", "path", "check", actual.alias("actual"), F.coalesce(ok, F.lit(False)).alias("passed"))
+
+
+def issue_place(text: Column) -> tuple[Column, Column]:
+    """(file or symbol, line) that an issue's text names: its line of the place, else the first source with a line."""
+    first = lambda pattern, group: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    mark = r"\*\*位置\*\*：`"  # fixed value: how issues name the place
+    where = F.coalesce(first(mark + r"([^`]+)`\s*[—–-]\s*`([^`]+)`", 1), first(mark + r"([^`]+)`", 1), first(r"`([^`]+\.[jt]sx?):(\d+)`", 1), F.lit(""))
+    line = F.coalesce(first(r"`[^`]*\.([jt]sx?):(\d+)`", 2), first(mark + r"[^`]*?:(\d+)`", 1))
+    return F.trim(where), line.try_cast("int")
 
 
 def verdicts(checks: DataFrame) -> DataFrame:
@@ -235,13 +261,25 @@ def next_issue_number(names: DataFrame, col: str = "name") -> DataFrame:
     return names.agg((F.coalesce(n, F.lit(0)) + 1).alias("next"))
 
 
+def link_target(raw: Column) -> Column:
+    """What a link in double brackets leads to: the part before a bar, without white space around."""
+    return F.regexp_replace(F.split(raw, r"\|")[0], r"^\s+|\s+$", "")
+
+
+def wiki_links(pages: DataFrame) -> DataFrame:
+    """pages: relpath, text.  (page, target) of the links in their bodies, once each; frontmatter has none."""
+    body = F.regexp_replace("text", r"\A---\r?\n[\s\S]*?\n---[ \t]*(\r?\n|\z)", "")
+    found = F.regexp_extract_all(body, F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))
+    return pages.select(F.col("relpath").alias("page"), F.explode(found).alias("raw")).select("page", link_target(F.col("raw")).alias("target")).distinct()
+
+
 def broken_links(links: DataFrame, pages: DataFrame, whole_paths: bool = False) -> DataFrame:
     """links: page, target; pages: relpath.  (page, target) once for each target that is no page's name."""
     base = F.regexp_replace(F.element_at(F.split("relpath", "/"), -1), r"\.md$", "")
     names = pages.select(base.alias("name"))
     if whole_paths:
         names = names.unionAll(pages.select(F.regexp_replace("relpath", r"\.md$", "").alias("name")))
-    return links.select("page", F.split("target", r"\|")[0].alias("target")).distinct().join(names.distinct(), F.col("target") == F.col("name"), "left_anti")
+    return links.select("page", link_target(F.col("target")).alias("target")).distinct().join(names.distinct(), F.col("target") == F.col("name"), "left_anti")
 
 
 def code_references(refs: DataFrame, files: DataFrame, modules: DataFrame, degree: DataFrame, hot: int = HOT_DEPENDENTS) -> DataFrame:
@@ -257,16 +295,50 @@ def code_references(refs: DataFrame, files: DataFrame, modules: DataFrame, degre
     return rows.select("page", "path", F.explode(found).alias("check"))
 
 
+TOKEN = "[A-Za-z0-9_]+|[^A-Za-z0-9_]"
+
+
+def symbol_places(contents: DataFrame, sizes: list[int]) -> DataFrame:
+    """contents: path, content.  (path, symbol): what stands between word boundaries, as runs of word characters
+    and single other characters, in each of the sizes (numbers of these) asked for."""
+    is_word = lambda x: x.rlike("^[A-Za-z0-9_]")
+    tokens = F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))
+    out = None
+    for n in sizes:
+        if n == 1:
+            got = F.regexp_extract_all("content", F.lit("[A-Za-z0-9_]+"), F.lit(0))
+            out = contents.select("path", F.explode(F.array_distinct(got)).alias("symbol"))
+        at = F.sequence(F.lit(1), F.size("t") - n + 1)
+        edge = lambda i, inner, outer: is_word(F.element_at("t", i + inner)) | F.coalesce(is_word(F.try_element_at("t", F.nullif(i + outer, F.lit(0)))), F.lit(False))
+        here = F.filter(at, lambda i: edge(i, 0, -1) & edge(i, n - 1, n))  # noqa: B023
+        grams = contents.select("path", tokens.alias("t")).filter(F.size("t") >= n).select("path", F.explode(F.array_distinct(F.transform(here, lambda i: F.concat_ws("", F.slice("t", i, n))))).alias("symbol"))  # noqa: B023
+        grams = grams.filter(~is_word(F.col("symbol"))) if n == 1 else grams
+        out = grams if out is None else out.unionAll(grams)
+    return out
+
+
 def symbol_checks(refs: DataFrame, contents: DataFrame) -> DataFrame:
-    """refs: page, path, symbol.  (page, path, symbol, found): the word stands in the file."""
-    hit = F.expr(r"content rlike concat('\\b', regexp_replace(symbol, '([^A-Za-z0-9_])', '\\\\$1'), '\\b')")
-    return refs.join(contents, "path", "left").select("page", "path", "symbol", F.coalesce(hit, F.lit(False)).alias("found"))
+    """refs: page, path, symbol.  (page, path, symbol, found): the symbol stands in the file between word boundaries
+    (of A-Z, a-z, 0-9 and _).
+
+    Files become an index of (path, symbol) once, for the sizes that symbols have, and references are
+    joined with it by equality: texts are neither multiplied by symbols nor sent through the join.
+    """
+    size = F.size(F.regexp_extract_all("symbol", F.lit(TOKEN), F.lit(0)))
+    sizes = sorted(r.n for r in refs.select(size.alias("n")).distinct().collect() if r.n)  # numbers up to the longest symbol
+    if not sizes:
+        return refs.select("page", "path", "symbol", F.lit(False).alias("found"))
+    wanted = refs.select("symbol").distinct()
+    index = symbol_places(contents, sizes).join(wanted, "symbol", "left_semi").distinct().withColumn("found", F.lit(True))
+    return refs.join(index, ["path", "symbol"], "left").select("page", "path", "symbol", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def missing_fields(pages: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """fields: column -> severity.  (relpath, field, severity) of those null or empty."""
+    """fields: column -> severity.  (relpath, field, severity) of those null or empty; issues' pages and those that
+    the pipeline writes are not asked."""
+    own = ~F.col("relpath").startswith(ISSUE_PAGES) & ~basename(F.col("relpath")).isin(*PIPELINE_PAGES)
     miss = [F.when(F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) == 0, F.struct(F.lit(c).alias("field"), F.lit(s).alias("severity"))) for c, s in fields.items()]
-    return pages.select("relpath", F.explode(F.array_compact(F.array(*miss))).alias("v")).select("relpath", "v.*")
+    return pages.filter(own).select("relpath", F.explode(F.array_compact(F.array(*miss))).alias("v")).select("relpath", "v.*")
 
 
 def first_definitions(symbols: DataFrame) -> DataFrame:
@@ -301,7 +373,7 @@ def promote(candidates: DataFrame, taken: DataFrame) -> DataFrame:
     for c in lists:
         union = rows.select("category", "key", F.explode(c).alias("x")).distinct().groupBy("category", "key").agg(F.array_sort(F.collect_list("x")).alias(c))
         out = out.join(union, ["category", "key"], "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
-    out = out.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ord")))  # merged patterns, not candidates
+    out = ranked(out, [], ["ord"], "place").withColumn("place", F.col("place") + 1)
     # the place-th number that is not taken: place plus the taken numbers below it
     used = taken.select("number").distinct().withColumn("free", F.col("number") - F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("number")))
     before = used.agg(F.array_sort(F.collect_list("free")).alias("frees"))  # of at most 999 numbers
@@ -327,10 +399,18 @@ def pattern_states(pattern_clusters: DataFrame, affected: DataFrame, existing: D
 
 
 def artifact_gate(artifacts: DataFrame) -> DataFrame:
-    """artifacts: name, text.  (name, problem): empty, invalid, ghost (three long strings or more), or none (null)."""
+    """artifacts: name, text (null: not there), critical.  (name, problem, severity): missing, empty, invalid, ghost
+    (three long strings or more), or none (null).
+
+    Only names in .json are read as JSON, and states are no ghosts.  Invalid is an error, a ghost a
+    warning; what is missing or empty is an error if the artifact is critical.
+    """
+    json, state = F.col("name").endswith(".json"), F.col("name").contains("state.json")
     ghost = F.regexp_count("text", F.lit('"[^"]{200,}"')) > 2
-    problem = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "empty").when(F.get_json_object("text", "$").isNull(), "invalid").when(ghost, "ghost")
-    return artifacts.select("name", problem.alias("problem"))
+    blank = F.col("text").rlike(r"\A\s*\z")
+    problem = F.when(F.col("text").isNull(), "missing").when(F.length("text") == 0, "empty").when(json & ~blank & F.try_parse_json("text").isNull(), "invalid").when(json & ~state & ghost, "ghost")
+    lighter = F.when(F.col("critical"), "error").otherwise("warning")
+    return artifacts.withColumn("problem", problem).select("name", "problem", F.when(F.col("problem") == "invalid", "error").when(F.col("problem") == "ghost", "warning").when(F.col("problem").isNotNull(), lighter).alias("severity"))
 
 
 def output_checks(tasks: DataFrame, outputs: DataFrame, least: int = 500) -> DataFrame:

@@ -37,18 +37,18 @@ def running(df: DataFrame, key: list[str], order: list[str], folds: dict[str, tu
     what is carried has at most a row for each partition, and is broadcast.
     """
     way = F.desc if behind else F.asc
-    values = {f"_v{k}": c for k, (_, c) in enumerate(folds.values())}
-    rows = ranged(df.withColumns(values), key, order).withColumn("_part", F.shiftright("_at", PART_BITS))
+    values = {f"_run_v{k}": c for k, (_, c) in enumerate(folds.values())}
+    rows = ranged(df.withColumns(values), key, order).withColumn("_run_part", F.shiftright("_at", PART_BITS))
     fold = [getattr(F, f) for f, _ in folds.values()]
-    sums = rows.groupBy(*key, "_part").agg(*[f(v).alias(v) for f, v in zip(fold, values)])
-    along = Window.partitionBy(*key).orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(key)], F.col("_part").alias("_p"), *[f(v).over(along).alias(f"_c{v}") for f, v in zip(fold, values)])
+    sums = rows.groupBy(*key, "_run_part").agg(*[f(v).alias(v) for f, v in zip(fold, values)])
+    along = Window.partitionBy(*key).orderBy(way("_run_part")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*[F.col(c).alias(f"_run_k{k}") for k, c in enumerate(key)], F.col("_run_part").alias("_run_p"), *[f(v).over(along).alias(f"_c{v}") for f, v in zip(fold, values)])
     carried = carried.filter(" or ".join(f"_c{v} is not null" for v in values))
-    within = Window.partitionBy(*key, "_part").orderBy(way("_at")).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*key, "_run_part").orderBy(way("_at")).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({f"_l{v}": f(v).over(within) for f, v in zip(fold, values)})
-    same = F.col("_part") == F.col("_p")
+    same = F.col("_run_part") == F.col("_run_p")
     for k, c in enumerate(key):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{k}"))
+        same = same & F.col(c).eqNullSafe(F.col(f"_run_k{k}"))
     rows = rows.join(F.broadcast(carried), same, "left")
     out = []
     for (name, (f, _)), v in zip(folds.items(), values):
@@ -113,9 +113,9 @@ def next_fit_rows(df: DataFrame, key: list[str], order: list[str], weight: str,
         for k in sorted({0, len(at) - 2}):
             total, sums, breaks, rest = _head(w[at[k] : at[k + 1]], limit)
             lists = [pa.array([x], pa.list_(pa.int64())) for x in (sums, breaks, rest)]
-            yield pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks().slice(at[k], 1) for c in key], pa.array([part]), pa.array([total], pa.int64()), *lists], names=[*key, "_part", "total", "sums", "breaks", "rest"])
+            yield pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks().slice(at[k], 1) for c in key], pa.array([part]), pa.array([total], pa.int64()), *lists], names=[*key, "_run_part", "total", "sums", "breaks", "rest"])
 
-    told = rows.select(*key, "_w", "_at").mapInArrow(ends, f"{kinds}, _part long, total long, sums array<long>, breaks array<long>, rest array<long>")
+    told = rows.select(*key, "_w", "_at").mapInArrow(ends, f"{kinds}, _run_part long, total long, sums array<long>, breaks array<long>, rest array<long>")
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, chunk, held, out = None, 0, 0, []
@@ -129,7 +129,7 @@ def next_fit_rows(df: DataFrame, key: list[str], order: list[str], weight: str,
                 chunk, held = (chunk, held + total) if k == len(sums) else (chunk + 1 + breaks[k], rest[k])
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out)) or [()] * 3)], names=["part", "chunk", "held"])
 
-    came = told.repartition(*key).sortWithinPartitions(*key, "_part").mapInArrow(carry, "part long, chunk long, held long")
+    came = told.repartition(*key).sortWithinPartitions(*key, "_run_part").mapInArrow(carry, "part long, chunk long, held long")
     enters = {r.part: (r.chunk, r.held) for r in came.collect()}  # one a partition at most
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

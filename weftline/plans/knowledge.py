@@ -480,22 +480,47 @@ def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.resolved_imports(edges, files, {"@/": "src/"})
 
 
-@query("SELECT DISTINCT doc_id AS page, 's' || (doc_id % 9) AS path, 'name' || k AS symbol, doc_id % 9 < 5 AND k = doc_id % 9 AS found FROM documents, range(3) r(k)")
+@query(
+    r"""WITH r AS (SELECT DISTINCT doc_id AS page, doc_id + d AS path, unnest([string_split(text, ' ')[3], substr(string_split(text, ' ')[5], 1, 4), string_split(text, ' ')[7][:-2] || ' ' || string_split(text, ' ')[8], 'the']) AS symbol FROM documents, range(2) x(d))
+    SELECT page, path, symbol, coalesce(regexp_matches(text, '\b' || regexp_replace(symbol, '([\]\[.*+?^$(){}|\\])', '\\\1', 'g') || '\b'), false) AS found FROM r LEFT JOIN documents ON doc_id = path WHERE symbol <> ''"""
+)
 def symbol_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files s0 to s4 hold the name of their number."""
-    d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.concat(F.lit("s"), (F.col("doc_id") % 9).cast("string")).alias("path"))
-    refs = d.select("page", "path", F.explode(F.array(*[F.lit(f"name{k}") for k in range(3)])).alias("symbol"))
-    contents = spark.range(5).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("path"), F.concat(F.lit("let name"), F.col("id").cast("string"), F.lit(" = xname1x")).alias("content"))
-    return registers.symbol_checks(refs, contents)
+    """Words, parts of words and runs of two from a text, looked for in that text and in the next."""
+    w = lambda n: F.try_element_at(F.split("text", " "), F.lit(n))
+    symbols = F.array(w(3), F.substring(w(5), 1, 4), F.concat(F.expr("left(try_element_at(split(text, ' '), 7), greatest(0, length(try_element_at(split(text, ' '), 7)) - 1))"), F.lit(" "), w(8)), F.lit("the"))
+    d = views.table(spark, sf_dir, "documents")
+    refs = d.select(F.col("doc_id").alias("page"), F.explode(symbols).alias("symbol")).select("page", F.explode(F.array("page", F.col("page") + 1)).alias("path"), "symbol")
+    return registers.symbol_checks(refs.filter("symbol <> ''").distinct(), d.select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
 
 
-@query("SELECT 'p' || doc_id AS relpath, f AS field, CASE f WHEN 'source' THEN 'error' ELSE 'warning' END AS severity FROM documents, (VALUES ('tags', 3), ('updated', 4), ('source', 5)) v(f, m) WHERE doc_id % m = 0")
+@query("SELECT relpath, f AS field, CASE f WHEN 'source' THEN 'error' ELSE 'warning' END AS severity FROM (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'volume-2-issues/p' || doc_id || '.md' WHEN 1 THEN 'ch-' || doc_id || '/glossary.md' ELSE 'ch/p' || doc_id || '.md' END AS relpath FROM documents WHERE doc_id % 8 > 1), (VALUES ('tags', 3), ('updated', 4), ('source', 5)) v(f, m) WHERE doc_id % m = 0")
 def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    pages = views.table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), k.cast("string")).alias("relpath"), F.when(k % 3 == 0, "").otherwise("x").alias("tags"), F.when(k % 4 != 0, "2024").alias("updated"), F.when(k % 5 != 0, "a.ts").alias("source"))
+    s = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    relpath = F.when(k % 8 == 0, s("volume-2-issues/p", k, ".md")).when(k % 8 == 1, s("ch-", k, "/glossary.md")).otherwise(s("ch/p", k, ".md"))
+    pages = views.table(spark, sf_dir, "documents").select(relpath.alias("relpath"), F.when(k % 3 == 0, "").otherwise("x").alias("tags"), F.when(k % 4 != 0, "2024").alias("updated"), F.when(k % 5 != 0, "a.ts").alias("source"))
     return registers.missing_fields(pages, {"tags": "warning", "updated": "warning", "source": "error"})
 
 
+@query("SELECT DISTINCT page, target FROM (SELECT 'ch-' || (doc_id % 12) || '/doc_' || doc_id || '.md' AS page, unnest(['doc_' || (doc_id % 400), 'doc_' || (doc_id * 3), 'Z ' || (doc_id % 5)]) AS target FROM documents) WHERE target NOT IN (SELECT 'doc_' || doc_id FROM documents)")
+def broken_wiki_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of page bodies, with names to show and white space around."""
+    k = F.col("k").cast("string")
+    more = F.concat(F.col("text"), F.lit("[[ doc_"), (F.col("k") * 3).cast("string"), F.lit(" | shown]] [[\tZ "), (F.col("k") % 5).cast("string"), F.lit(" ]] [[Z "), (F.col("k") % 5).cast("string"), F.lit("|"), k, F.lit("]]"))
+    pages = views.md(spark, sf_dir).select("relpath", F.regexp_replace(more, "\\nsourceFiles", "\nlink: '[[front]]'\nsourceFiles").alias("text"))
+    return registers.broken_links(registers.wiki_links(pages), pages)
+
+
+@query("SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'src/b' || event_id || '.ts:' || (event_id % 90) WHEN 1 THEN 'src/c.tsx:7' WHEN 2 THEN 'src/d' || event_id || '.js' ELSE '' END AS place, CAST(CASE event_id % 4 WHEN 0 THEN event_id % 90 WHEN 1 THEN 7 WHEN 2 THEN event_id % 90 END AS INT) AS line FROM events")
+def issue_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    n, m = k.cast("string"), (k % 90).cast("string")
+    s = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    text = F.when(k % 4 == 0, s("## 检测依据\n- **位置**：`src/b", n, ".ts:", m, "` — `Button`\n")).when(k % 4 == 1, s("- **位置**：`src/c.tsx:7`\nand `e.ts:9`")).when(k % 4 == 2, s("see `src/d", n, ".js:", m, "` there")).otherwise(s("none ", n))
+    place, line = registers.issue_place(text)
+    return views.table(spark, sf_dir, "events").select(k.alias("id"), place.alias("place"), line.alias("line"))
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN bool_and(l_quantity >= 10) THEN 'verified' ELSE 'disputed' END AS verdict FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
 def issue_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_quantity") >= 10).alias("passed"))
@@ -517,12 +542,18 @@ def table_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "i.id", "i.type", "i.severity", F.array_join("i.source_files", ",").alias("source_files"))
 
 
-@query("SELECT o_orderkey AS name, CASE o_orderkey % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'invalid' WHEN 2 THEN 'ghost' END AS problem FROM orders")
+@query(
+    """WITH a AS (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'a' || o_orderkey || '.json' WHEN 1 THEN 'b' || o_orderkey || '.md' ELSE 'c' || o_orderkey || '/state.json' END AS name, o_orderkey % 6 AS m FROM orders), p AS (SELECT name, o_custkey % 2 = 0 AS critical, CASE WHEN m2 = 0 THEN 'empty' WHEN m2 = 1 AND name LIKE '%.json' THEN 'invalid' WHEN m2 = 2 AND name LIKE 'a%' THEN 'ghost' WHEN m2 = 5 THEN 'missing' END AS problem FROM (SELECT *, o_custkey % 7 AS m2 FROM a))
+    SELECT name, problem, CASE problem WHEN 'invalid' THEN 'error' WHEN 'ghost' THEN 'warning' WHEN 'empty' THEN CASE WHEN critical THEN 'error' ELSE 'warning' END WHEN 'missing' THEN CASE WHEN critical THEN 'error' ELSE 'warning' END END AS severity FROM p"""
+)
 def artifact_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey") % 5
+    k, m = F.col("o_orderkey"), F.col("o_custkey") % 7
+    n = k.cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lit("a"), n, F.lit(".json"))).when(k % 3 == 1, F.concat(F.lit("b"), n, F.lit(".md"))).otherwise(F.concat(F.lit("c"), n, F.lit("/state.json")))
     long_ = F.concat(F.lit('"'), F.repeat(F.lit("x"), 220), F.lit('"'))
-    text = F.when(k == 0, "").when(k == 1, "{").when(k == 2, F.concat(F.lit("["), F.array_join(F.array(long_, long_, long_), ","), F.lit("]"))).when(k == 3, F.concat(F.lit("["), long_, F.lit("]"))).otherwise('{"a": 1}')
-    return registers.artifact_gate(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"), text.alias("text")))
+    some = lambda n: F.concat(F.lit("["), F.array_join(F.array(*[long_] * n), ","), F.lit("]"))
+    text = F.when(m == 0, "").when(m == 1, "{").when(m == 2, some(3)).when(m == 3, some(1)).when(m == 4, " \n").when(m == 5, None).otherwise("null")
+    return registers.artifact_gate(views.table(spark, sf_dir, "orders").select(name.alias("name"), text.alias("text"), (F.col("o_custkey") % 2 == 0).alias("critical")))
 
 
 @query(

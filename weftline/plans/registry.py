@@ -395,13 +395,16 @@ def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT id, detected_at, type, source_file, first_value(id) OVER (PARTITION BY type, source_file ORDER BY detected_at, id) AS final_keeper, min(detected_at || '/' || lpad(id::VARCHAR, 12, '0')) OVER (PARTITION BY type, source_file ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM issues),
-    x AS (SELECT *, p IS NULL OR detected_at || '/' || lpad(id::VARCHAR, 12, '0') < p AS record FROM w), y AS (SELECT *, min(CASE WHEN record THEN id END) OVER (PARTITION BY type, source_file ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM x)
+    """WITH i AS (SELECT id, detected_at, type || '::' || array_to_string(list_sort([coalesce(source_file, ''), 'g' || (id % 3)]), ',') AS k FROM issues WHERE type <> ''), w AS (SELECT *, first_value(id) OVER (PARTITION BY k ORDER BY detected_at, id) AS final_keeper, min(detected_at || '/' || lpad(id::VARCHAR, 12, '0')) OVER (PARTITION BY k ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM i),
+    x AS (SELECT *, p IS NULL OR detected_at || '/' || lpad(id::VARCHAR, 12, '0') < p AS record FROM w), y AS (SELECT *, min(CASE WHEN record THEN id END) OVER (PARTITION BY k ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM x)
     SELECT id, id <> final_keeper AS is_duplicate, CASE WHEN id <> final_keeper THEN CASE WHEN record THEN after ELSE CAST(split_part(p, '/', 2) AS BIGINT) END END AS duplicate_of, final_keeper FROM y""",
     "issues",
 )
 def issue_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registers.dedup(views.issues(spark, sf_dir), ["type", "source_file"]).select("id", "is_duplicate", "duplicate_of", "final_keeper")
+    """Issues of two files each, named in either order."""
+    one, two = F.coalesce("source_file", F.lit("")), F.concat(F.lit("g"), (F.col("id") % 3).cast("string"))
+    i = views.issues(spark, sf_dir).withColumn("source_files", F.when(F.col("id") % 2 == 0, F.array(one, two)).otherwise(F.array(two, one)))
+    return registers.dedup(i, ["type", "source_files"]).select("id", "is_duplicate", "duplicate_of", "final_keeper")
 
 
 @query(
@@ -540,17 +543,27 @@ def code_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registers.code_references(refs, docs, modules, graph.dependents(e), 4)
 
 
+CLAIMS = ("complexity", "bug", "dead_code", "typescript", "complex_logic", "missing_types", "circular_dependency", "potential_bug", "security")
+
+
 @query(
-    """WITH i AS (SELECT DISTINCT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'complexity' WHEN 1 THEN 'bug' ELSE 'dead_code' END AS type, o_custkey AS path FROM orders), f AS (SELECT doc_id AS path, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, doc_id % 9 AS depth FROM documents), d AS (SELECT dst AS path, count(*) AS n FROM edges GROUP BY 1),
-    c AS (SELECT id, 'exists' AS k, CAST((lines IS NOT NULL) AS BIGINT) AS actual, lines IS NOT NULL AS ok FROM i LEFT JOIN f USING (path) UNION ALL SELECT id, 'large_file', lines, coalesce(lines > 200, false) FROM i LEFT JOIN f USING (path) WHERE type = 'complexity' UNION ALL SELECT id, 'deep_nesting', depth, coalesce(depth > 4, false) FROM i LEFT JOIN f USING (path) WHERE type = 'complexity' UNION ALL SELECT id, 'unreferenced', coalesce(n, 0), coalesce(n, 0) = 0 FROM i LEFT JOIN d USING (path) WHERE type = 'dead_code')
-    SELECT id, k AS "check", actual, ok AS passed FROM c""",
-    "edges",
+    f"""WITH RECURSIVE r(a, b) AS (SELECT src, dst FROM circles UNION SELECT r.a, e.dst FROM r JOIN circles e ON e.src = r.b), cyc AS (SELECT DISTINCT a AS path FROM r WHERE a = b), o AS (SELECT o_orderkey AS id, {list(CLAIMS)}[o_orderkey % 9 + 1] AS type, o_custkey AS c FROM orders), i AS (SELECT id, type, unnest([c, c * 5 + 1]) AS path FROM o),
+    f AS (SELECT doc_id AS path, CAST(len(string_split(text, chr(10))) AS BIGINT) + doc_id % 300 + 1 AS lines, doc_id % 9 AS depth, CAST(doc_id % 5 AS BIGINT) AS any_count FROM documents), d AS (SELECT node AS path, count(e.dst) AS n FROM (SELECT src AS node FROM circles UNION SELECT dst FROM circles) m LEFT JOIN circles e ON e.dst = m.node GROUP BY 1), n AS (SELECT id, count(*) AS n FROM i JOIN cyc USING (path) GROUP BY 1),
+    x AS (SELECT i.*, f.path IS NOT NULL AS here, lines, depth, any_count, d.n AS n_dep, coalesce(n.n, 0) AS circles FROM i LEFT JOIN f USING (path) LEFT JOIN d USING (path) LEFT JOIN n USING (id) WHERE type <> 'security')
+    SELECT id, path, 'file_exists' AS "check", CAST(here AS BIGINT) AS actual, here AS passed FROM x UNION ALL SELECT id, path, 'line_count', lines, coalesce(lines > 200, false) FROM x WHERE type IN ('complexity', 'complex_logic') UNION ALL SELECT id, path, 'nesting_depth', depth, coalesce(depth > 4, false) FROM x WHERE type IN ('complexity', 'complex_logic')
+    UNION ALL SELECT id, path, 'any_count', any_count, coalesce(any_count >= 3, false) FROM x WHERE type IN ('typescript', 'missing_types') UNION ALL SELECT id, path, 'export_references', n_dep, coalesce(n_dep = 0, false) FROM x WHERE type = 'dead_code' UNION ALL SELECT id, path, 'circular_in_graph', circles, circles > 0 FROM x WHERE type IN ('bug', 'circular_dependency')""",
+    "circles",
 )
 def content_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    i = views.table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 == 0, "complexity").when(k % 3 == 1, "bug").otherwise("dead_code").alias("type"), F.col("o_custkey").alias("path")).distinct()
-    f = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), code.line_count(F.col("text")).alias("lines"), F.regexp_count("text", F.lit(r": any\b|\bas any\b")).cast("long").alias("any_count"), code.nesting(F.concat(F.col("text"), F.lit("\n"), F.repeat(F.lit("  "), (F.col("doc_id") % 9).cast("int")), F.lit("x"))).alias("depth"))
-    return registers.content_checks(i, f, graph.dependents(views.edges(spark, sf_dir)))
+    """Issues of two files each, of every type that has checks and one that has none."""
+    k, c, d = F.col("o_orderkey"), F.col("o_custkey"), F.col("doc_id")
+    type_ = F.element_at(F.array(*map(F.lit, CLAIMS)), (k % 9 + 1).cast("int"))
+    i = views.table(spark, sf_dir, "orders").select(k.alias("id"), type_.alias("type"), F.array(c, c * 5 + 1).alias("paths"))
+    text = F.concat("text", F.repeat(F.lit("\n"), (d % 300 + 1).cast("int")), F.repeat(F.lit("  "), (d % 9).cast("int")), F.lit("x"), F.repeat(F.lit(" as  any"), (d % 5).cast("int")))
+    f = views.table(spark, sf_dir, "documents").select(d.alias("path"), text.alias("t")).select("path", code.line_count(F.col("t")).alias("lines"), code.any_count(F.col("t")).alias("any_count"), code.nesting(F.col("t")).alias("depth"))
+    e = views.circles(spark, sf_dir)
+    n = e.select(F.explode(F.array("src", "dst")).alias("source")).distinct().join(graph.dependents(e), "source", "left").na.fill(0, ["n_dependents"])
+    return registers.content_checks(i, f, n, graph.cycles(e).select(F.col("node").alias("path")))
 
 
 MD = "md AS (SELECT o_orderkey AS id, '---' || chr(10) || 'id: IS-' || o_orderkey || chr(10) || 'type: ' || (CASE o_orderkey % 2 WHEN 0 THEN 'bug' ELSE 'ux' END) || chr(10) || 'source_files: [a' || o_custkey || '.ts, b.ts]' || chr(10) || '---' || chr(10) || 'text' AS raw FROM orders)"
