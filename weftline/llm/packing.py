@@ -52,7 +52,8 @@ class Ids(dict):
 
             name = public_tokenizers.path(name)
         self.whole, self.bare = Tokenizer.from_file(name), Tokenizer.from_file(name)
-        self.whole.encode_special_tokens = self.bare.encode_special_tokens = True
+        self.bare.encode_special_tokens = True
+        self.special = sorted(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.plain, self.split, self.bound = regex.compile(r"[\x21-\x7e¡-ÿ]+"), regex.compile(PRETOKEN), bound
@@ -70,7 +71,9 @@ class Ids(dict):
         if len(self) >= self.bound:
             self.clear()
         s = word.decode()
-        if s.isascii() and s.isalpha():
+        if "<" in s and any(x in s for x in self.special):  # their strings are their ids, as the tokenizer has it
+            got = array("I", self.whole.encode(s, add_special_tokens=False).ids).tobytes()
+        elif s.isascii() and s.isalpha():
             got = self.part(s.lower())
         elif self.plain.fullmatch(s):
             got = b"".join(map(self.part, self.split.findall(s.lower())))
