@@ -70,6 +70,14 @@ def test_names_of_clusters(spark):
     cf = spark.createDataFrame(rows, "cluster string, path string, ord long, component string, is_root boolean")
     got = {r.cluster: (r.name, r.scope, r.id) for r in clusters.named(cf, ["src", "hooks", "utils"]).collect()}
     assert got == {"1": ("_al", "_al", "al"), "2": ("_al", "_al", "al-2"), "3": ("usex", "", "usex"), "4": ("q", "", "q"), "5": ("_al", "_al", "al-3"), "6": ("header", "", "header")}
+    names = ["x", "x", "x-2", "x", "y", "x-2", "x-2-2", "y-3", "y", "y"]
+    bases = spark.createDataFrame([(str(k), k, b) for k, b in enumerate(names)], "cluster string, ord long, base string")
+    used, want = set(), {}
+    for k, b in enumerate(names):
+        n = next(x for x in (b, *(f"{b}-{j}" for j in range(2, 99))) if x not in used)
+        used.add(n)
+        want[str(k)] = n
+    assert {r.cluster: r.id for r in clusters.unique_ids(bases).collect()} == want
     rows = spark.createDataFrame([("c", f"p{k}", k, 10, k < 2) for k in range(20)] + [("d", "x", 0, 1, False)], "cluster string, path string, pos int, tokens long, is_root boolean")
     part = {r.path: r.part for r in clusters.split_large(rows, 100).collect()}
     assert [part[f"p{k}"] for k in range(20)] == [0, 0, *[1] * 6, *[2] * 6, *[3] * 6] and part["x"] is None
@@ -213,7 +221,7 @@ def test_pages(spark):
     assert known == ("- IS-1", None, None)
     assert raw.select(book.issue_title(F.lit("x\n## B\n# A "))).first()[0] == "A" and raw.select(book.issue_title(F.lit("x"))).first()[0] == "Untitled"
     links = book.page_links(pages, spark.createDataFrame([("I1", ["a.ts"]), ("I2", ["z"])], "id string, source_files array<string>"))
-    assert [tuple(r) for r in links.collect()] == [("I1", ["ch/p"], "- [[ch/p]]")]
+    assert [tuple(r) for r in links.collect()] == [(["a.ts"], 0, "ch/p", "- [[ch/p]]")]
 
 
 def test_patterns(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.paths import basename, path_id
+from weftline.operators.tasks import ranked
 
 # The form of issue ids, headings of sections, words that say a section is empty.
 ISSUE_ID = r"\b(IS-\d{3,5}-(?:CRITICAL|HIGH|MEDIUM|LOW))"
@@ -83,8 +84,32 @@ def exploded(pages: DataFrame, key: str = "relpath") -> DataFrame:
     return pages.select(key, F.explode("source_files").alias("path")).filter("path <> ''").distinct()
 
 
+def file_sets(rows: DataFrame, key: str) -> DataFrame:
+    """rows: key, source_files.  (key, files): all files of a key, in order, as one value; keys without files are left out."""
+    return exploded(rows, key).groupBy(key).agg(F.array_sort(F.collect_set("path")).alias("files"))
+
+
+def _issue_sets(issues: DataFrame) -> DataFrame:
+    """(theirs, n, path): each set of files that issues have, how many have it, and each of its files."""
+    sets = file_sets(issues, "id").groupBy(F.col("files").alias("theirs")).agg(F.count(F.lit(1)).alias("n"))
+    return sets.select("theirs", "n", F.explode("theirs").alias("path"))
+
+
 def page_issues(pages: DataFrame, issues: DataFrame) -> DataFrame:
-    """pages: relpath, source_files; issues: id, source_files.  (relpath, id) once each: issues of a page's files."""
+    """pages: relpath, source_files; issues: id, source_files.  (relpath, n_issues): issues of a page's files, each once.
+
+    Pages and issues with the same files are counted as one each: only distinct sets of files are
+    joined, and the answer has a row for each page.  ``page_issue_pairs`` gives the issues themselves.
+    """
+    own = file_sets(pages, "relpath")
+    sets = own.select("files").distinct().select("files", F.explode("files").alias("path"))
+    met = sets.join(_issue_sets(issues), "path").select("files", "theirs", "n").distinct().groupBy("files").agg(F.sum("n").alias("n_issues"))
+    got = own.join(met, "files", "left").select("relpath", "n_issues")
+    return pages.select("relpath").distinct().join(got, "relpath", "left").na.fill(0, ["n_issues"])
+
+
+def page_issue_pairs(pages: DataFrame, issues: DataFrame) -> DataFrame:
+    """(relpath, id) once each, of the pages asked for: as many rows as there are pairs."""
     return exploded(pages).join(exploded(issues, "id"), "path").select("relpath", "id").distinct()
 
 
@@ -93,7 +118,7 @@ def chapter_figures(pages: DataFrame, issues: DataFrame) -> DataFrame:
     n = pages.groupBy("chapter").agg(F.count(F.lit(1)).alias("n_pages"))
     files = pages.select("chapter", F.explode("source_files").alias("path")).filter("path <> ''").distinct()
     f = files.groupBy("chapter").agg(F.count(F.lit(1)).alias("n_files"))
-    i = files.join(exploded(issues, "id"), "path").groupBy("chapter").agg(F.count_distinct("id").alias("n_issues"))
+    i = files.join(_issue_sets(issues), "path").select("chapter", "theirs", "n").distinct().groupBy("chapter").agg(F.sum("n").alias("n_issues"))
     return n.join(f, "chapter", "left").join(i, "chapter", "left").na.fill(0, ["n_files", "n_issues"])
 
 
@@ -115,12 +140,15 @@ def chapter_labels(chapters: DataFrame, clusters: DataFrame, folders: DataFrame)
 
 
 def page_links(pages: DataFrame, issues: DataFrame) -> DataFrame:
-    """pages: relpath, source_files; issues: id, source_files.  (id, links, section): the pages of an issue's
-    files, sorted, each once, and the section that lists them."""
-    target = F.concat(F.split("relpath", "/")[0], F.lit("/"), basename(F.col("relpath")))
-    rows = exploded(pages).join(exploded(issues, "id"), "path").select("id", F.regexp_replace(target, r"\.md$", "").alias("link")).distinct()
-    out = rows.groupBy("id").agg(F.array_sort(F.collect_list("link")).alias("links"))
-    return out.withColumn("section", F.array_join(F.transform("links", lambda x: F.concat(F.lit("- [["), x, F.lit("]]"))), "\n"))
+    """pages: relpath, source_files; issues: id, source_files.  (files, place, link, line): the lines of the section that
+    lists the pages of an issue's files, in order from 0, once for all issues with these files.
+
+    ``file_sets`` of issues says which section is whose: a section is neither repeated for each issue
+    nor gathered into one value.
+    """
+    target = F.regexp_replace(F.concat(F.split("relpath", "/")[0], F.lit("/"), basename(F.col("relpath"))), r"\.md$", "")
+    rows = _issue_sets(issues).join(exploded(pages), "path").select(F.col("theirs").alias("files"), target.alias("link")).distinct()
+    return ranked(rows, ["files"], ["link"], "place").select("files", "place", "link", F.concat(F.lit("- [["), "link", F.lit("]]")).alias("line"))
 
 
 def issue_ids(text: Column) -> Column:

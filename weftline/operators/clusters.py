@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.code import cluster_thresholds
 from weftline.functions.paths import ancestors, common_directory, dirname, path_id, stem
 from weftline.operators.graph import components, durable, hubs, reach_two
+from weftline.operators.tasks import ranked
 
 FALLBACK_TOKENS = 1000
 OVERLAP = 0.3
 MAJORITY = 0.3
+# What labels of clusters end in.
+LABELS = {"component": " 组件簇", "module": " 模块", "orphan": " 工具"}
 
 
 def claims(wants: DataFrame, least: int, first: list) -> DataFrame:
@@ -262,24 +266,57 @@ def scope(files: Column, name: Column, excluded: list[str]) -> Column:
 def named(cluster_files: DataFrame, excluded: list[str]) -> DataFrame:
     """cluster_files: cluster, path, ord (of the cluster), component (of the file, may be null), is_root.
 
-    (cluster, name, scope, id): the directory that most files are in (the first met of equals) if it
+    (cluster, name, scope, id, label): the directory that most files are in (the first met of equals) if it
     has 30 % of them, else the component found first there, else the root's component or name, else
-    the first file's directory; behind the scope, where there is one; -N for ids used before.
+    the first file's directory; behind the scope, where there is one; see ``unique_ids``.  The label
+    is the first component's, by path, else the common directory's, the first file's or the file's.
     """
     rows = cluster_files.withColumn("segment", best_segment(F.col("path"), excluded))
     per = rows.filter((F.col("segment") != "") & ~F.col("segment").isin(*excluded)).groupBy("cluster", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"), F.min_by("component", F.when(F.col("component").isNotNull(), F.col("path"))).alias("component"))
     best = per.groupBy("cluster").agg(F.min_by(F.struct("segment", "n", "component"), F.struct((-F.col("n")).alias("n"), "first")).alias("b"))
     root = F.struct("component", F.lower(stem(F.col("path"))).alias("stem"))
-    whole = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("ord"), F.min_by(root, F.when(F.col("is_root"), F.col("path"))).alias("root"), F.min(dirname(F.col("path"))).alias("dir"), F.array_sort(F.collect_list("path")).alias("files"))
+    whole = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("ord"), F.min_by(root, F.when(F.col("is_root"), F.col("path"))).alias("root"), F.min(dirname(F.col("path"))).alias("dir"), F.array_sort(F.collect_list("path")).alias("files"), F.min_by("component", F.when(F.col("component").isNotNull(), F.col("path"))).alias("label_name"))
     rows = whole.join(best, "cluster", "left")
     enough = F.col("b.n") >= F.greatest(F.lit(1), F.round(F.col("size") * MAJORITY))
     fallback = F.coalesce(F.lower(F.col("b.component")), F.lower(F.col("root.component")), F.col("root.stem"), F.when(F.col("dir") != ".", F.col("dir")), F.lit("cluster"))
     rows = rows.withColumn("name", F.when(enough, F.col("b.segment")).otherwise(fallback))
+    rows = rows.withColumn("common", common_directory(F.col("files")))
     rows = rows.withColumn("scope", scope(F.col("files"), F.col("name"), excluded))
     n, s = cluster_id(F.col("name")), cluster_id(F.col("scope"))
     rows = rows.withColumn("base", F.when((F.col("scope") == "") | (n == s), n).otherwise(F.concat(s, F.lit("-"), n)))
-    k = F.row_number().over(Window.partitionBy("base").orderBy("ord", "cluster"))
-    return rows.withColumn("k", k).select("cluster", "name", "scope", F.when(F.col("k") > 1, F.concat("base", F.lit("-"), F.col("k").cast("string"))).otherwise(F.col("base")).alias("id"))
+    ids = unique_ids(rows.select("cluster", "ord", "base"))
+    shown = F.coalesce(F.concat(F.col("label_name"), F.lit(LABELS["component"])), F.concat(F.coalesce(F.nullif("common", F.lit("")), F.nullif("dir", F.lit("")), F.col("files")[0]), F.lit(LABELS["module"])))
+    return rows.join(ids, "cluster").select("cluster", "name", "scope", "id", shown.alias("label"))
+
+
+def unique_ids(rows: DataFrame) -> DataFrame:
+    """rows: cluster, ord, base (wanted id).  (cluster, id): in order, the base if it is free, else the base with the
+    first number from 2 that is.
+
+    Only bases that are equal but for numbers at their ends can meet.  Where all of these are one base,
+    places in its order are the numbers; the names of the others, which are few, are settled one
+    after the other, a family a group.
+    """
+    family = F.regexp_replace("base", r"(-\d+)+$", "")
+    rows = rows.withColumn("_family", family)
+    mixed = rows.groupBy("_family").agg((F.min("base") != F.max("base")).alias("_mixed"))
+    rows = durable(rows.join(mixed, "_family"))
+    plain = ranked(rows.filter(~F.col("_mixed")).select("cluster", "ord", "base"), ["base"], ["ord", "cluster"], "_k")
+    plain = plain.select("cluster", F.when(F.col("_k") > 0, F.concat("base", F.lit("-"), (F.col("_k") + 1).cast("string"))).otherwise(F.col("base")).alias("id"))
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, tried, out = set(), {}, []
+        for base in (pdf := pdf.sort_values(["ord", "cluster"]))["base"]:
+            name, k = base, tried.get(base, 2)
+            while name in used:
+                name, k = f"{base}-{k}", k + 1
+            tried[base] = max(2, k - 1)
+            used.add(name)
+            out.append(name)
+        return pd.DataFrame({"cluster": pdf["cluster"], "id": out})
+
+    kind = rows.schema["cluster"].dataType.simpleString()
+    return plain.unionByName(rows.filter("_mixed").groupBy("_family").applyInPandas(settle, f"cluster {kind}, id string"))
 
 
 def majority_directory(cluster_files: DataFrame, excluded: list[str]) -> DataFrame:

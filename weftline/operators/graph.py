@@ -131,6 +131,40 @@ def cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     return out.join(size.select("cycle"), "cycle", "left_semi").select("node", "cycle")
 
 
+def cycle_paths(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(cycle, place, node): of each set of nodes that reach each other, a shortest circle through its smallest
+    node, from that node (place 0) back to it.  members: node, cycle (``cycles`` of the edges, if not given).
+
+    All sets walk at once, a layer a round; a node keeps the smallest node that it was met from, and
+    a set stops when it comes back, from the smallest such node.
+    """
+    members = durable(cycles(edges) if members is None else members.select("node", "cycle"))
+    of = lambda c: members.select(F.col("node").alias(c), F.col("cycle").alias(f"_{c}"))
+    inner = edges.select("src", "dst").filter("src <> dst").distinct().join(of("src"), "src").join(of("dst"), "dst").filter("_src = _dst")
+    inner = durable(inner.select(F.col("_src").alias("cycle"), "src", "dst"))
+    roots = members.filter("node = cycle").select("cycle", "node")
+    met = frontier = durable(roots.select("cycle", "node", F.lit(None).cast(edges.schema["src"].dataType).alias("parent"), F.lit(0).alias("depth")))
+    ends, depth = None, 0
+    while not frontier.isEmpty():
+        depth += 1
+        step = frontier.select("cycle", F.col("node").alias("src")).join(inner, ["cycle", "src"]).groupBy("cycle", F.col("dst").alias("node")).agg(F.min("src").alias("parent")).withColumn("depth", F.lit(depth))
+        step = durable(step)
+        back = step.filter("node = cycle")
+        ends = back if ends is None else ends.unionByName(back)
+        frontier = durable(step.join(back.select("cycle"), "cycle", "left_anti").join(met.select("cycle", "node"), ["cycle", "node"], "left_anti"))
+        met = met.unionByName(frontier)
+    if ends is None:
+        return members.select("cycle", F.lit(0).alias("place"), "node").limit(0)
+    at = durable(ends.select("cycle", "node", "parent", F.col("depth").alias("place")))
+    out = at
+    while True:
+        at = at.filter("place > 0").select("cycle", F.col("parent").alias("node"), (F.col("place") - 1).alias("place")).join(met.select("cycle", "node", "parent"), ["cycle", "node"])
+        at = durable(at.select("cycle", "node", "parent", "place"))
+        if at.isEmpty():
+            return out.select("cycle", "place", "node")
+        out = out.unionByName(at)
+
+
 def reach_two(seeds: DataFrame, edges: DataFrame, barred: DataFrame) -> DataFrame:
     """(node, seed): reached from a seed by one or two dependencies, never through barred nodes."""
     e = edges.select("src", "dst").distinct().join(barred.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")

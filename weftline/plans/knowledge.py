@@ -167,7 +167,7 @@ def cluster_meta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MD = "md AS (SELECT doc_id AS k, 'ch-' || (doc_id % 12) || '/doc_' || doc_id || '.md' AS relpath, 'ch-' || (doc_id % 12) AS chapter FROM documents)"
 FILES_OF = "pf AS (SELECT DISTINCT relpath, chapter, unnest(['f' || (k % 50) || '.ts', 'f' || (k % 77) || '.ts']) AS path FROM md)"
-ISSUE_FILES = "isf AS (SELECT DISTINCT event_id AS id, unnest(['f' || (event_id % 60) || '.ts', 'g' || (event_id % 7) || '.ts']) AS path FROM events WHERE event_id % 11 = 0)"
+ISSUE_FILES = "isf AS (SELECT DISTINCT event_id AS id, unnest(['f' || (event_id % 60) || '.ts', 'g' || (event_id % 7) || '.ts']) AS path FROM events)"
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +177,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     f = lambda a, m: F.concat(F.lit(a), (k % m).cast("string"), F.lit(".ts"))
-    return views.table(spark, sf_dir, "events").filter("event_id % 11 = 0").select(k.alias("id"), F.array(f("f", 60), f("g", 7)).alias("source_files"))
+    return views.table(spark, sf_dir, "events").select(k.alias("id"), F.array(f("f", 60), f("g", 7)).alias("source_files"))
 
 
 @query(f"WITH {MD} SELECT relpath, chapter, 'Page ' || k AS title, (CASE k % 3 WHEN 0 THEN 'hook' WHEN 1 THEN 'utils' ELSE 'other' END) || ',x' AS tags, 'f' || (k % 50) || '.ts,f' || (k % 77) || '.ts' AS source_files FROM md")
@@ -213,7 +213,7 @@ def book_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.book_figures(_pages(spark, sf_dir), book.headed_symbols(views.md(spark, sf_dir)))
 
 
-@query(f"WITH {MD}, {FILES_OF}, {ISSUE_FILES} SELECT DISTINCT relpath, id FROM pf JOIN isf USING (path)")
+@query(f"WITH {MD}, {FILES_OF}, {ISSUE_FILES} SELECT relpath, count(DISTINCT id) AS n_issues FROM pf LEFT JOIN isf USING (path) GROUP BY 1")
 def page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.page_issues(_pages(spark, sf_dir), _issues(spark, sf_dir))
 
@@ -223,9 +223,19 @@ def chapter_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.chapter_figures(_pages(spark, sf_dir), _issues(spark, sf_dir))
 
 
-@query(f"WITH {MD}, {FILES_OF}, {ISSUE_FILES} SELECT id, string_agg(DISTINCT regexp_replace(relpath, '\\.md$', ''), ',' ORDER BY regexp_replace(relpath, '\\.md$', '')) AS links FROM pf JOIN isf USING (path) GROUP BY 1")
+SETS = "st AS (SELECT id, string_agg(path, ',' ORDER BY path) AS files FROM isf GROUP BY 1)"
+
+
+@query(f"WITH {MD}, {FILES_OF}, {ISSUE_FILES}, {SETS}, l AS (SELECT DISTINCT files, regexp_replace(relpath, '\\.md$', '') AS link FROM pf JOIN isf USING (path) JOIN st USING (id)) SELECT files, row_number() OVER (PARTITION BY files ORDER BY link) - 1 AS place, link, '- [[' || link || ']]' AS line FROM l")
 def issue_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book.page_links(_pages(spark, sf_dir), _issues(spark, sf_dir)).select("id", F.array_join("links", ",").alias("links"))
+    """Sections of links, a line a row, for each set of files that issues have."""
+    return book.page_links(_pages(spark, sf_dir), _issues(spark, sf_dir)).withColumn("files", F.array_join("files", ","))
+
+
+@query(f"WITH {ISSUE_FILES}, {SETS} SELECT id, files FROM st")
+def issue_file_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set of files, and so the section, of each issue."""
+    return book.file_sets(_issues(spark, sf_dir), "id").withColumn("files", F.array_join("files", ","))
 
 
 @query(f"WITH {MD} SELECT DISTINCT chapter, CASE WHEN k % 12 < 4 THEN 'Cluster ' || (k % 12) WHEN k % 12 < 8 THEN CAST(k % 12 AS VARCHAR) ELSE CAST(k % 12 AS VARCHAR) END AS label FROM md UNION ALL SELECT 'ch-src_lib_x', 'src/lib/X' UNION ALL SELECT 'ch-a_b', 'a/b'")
@@ -613,14 +623,16 @@ def majority_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT DISTINCT l_suppkey AS cluster, 'd' || (l_partkey % 9) || '/e' || (l_partkey % 4) AS dir FROM lineitem WHERE l_partkey % 5 = 1), o AS (SELECT 'd' || k AS dir FROM range(9) r(k) UNION ALL SELECT 'd' || k || '/e1/x' FROM range(9) r(k) UNION ALL SELECT 'none'),
+    """WITH h AS (SELECT DISTINCT l_suppkey AS cluster, 'd' || (l_partkey % 9) || '/e' || (l_partkey % 4) || '/' || (l_partkey // 50) AS dir FROM lineitem), o AS (SELECT DISTINCT unnest(['d' || (p_partkey % 9), 'd' || (p_partkey % 9) || '/e1/' || (p_partkey // 50) || '/x', p_brand]) AS dir FROM part),
     p AS (SELECT o.dir, cluster, count(*) AS overlap FROM o JOIN h ON o.dir = h.dir OR starts_with(o.dir, h.dir || '/') OR starts_with(h.dir, o.dir || '/') GROUP BY 1, 2) SELECT dir, cluster, overlap FROM p QUALIFY row_number() OVER (PARTITION BY dir ORDER BY overlap DESC, cluster) = 1"""
 )
 def orphan_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("l_partkey")
-    held = views.table(spark, sf_dir, "lineitem").filter("l_partkey % 5 = 1").select(F.col("l_suppkey").alias("cluster"), F.col("l_suppkey").alias("ord"), F.concat(F.lit("d"), (k % 9).cast("string"), F.lit("/e"), (k % 4).cast("string")).alias("dir"))
-    d = spark.range(9).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("dir"))
-    return clusters.orphan_homes(d.unionAll(d.select(F.concat("dir", F.lit("/e1/x")))).unionAll(spark.createDataFrame([("none",)], "dir string")), held)
+    """Directories of parts above and below those of the suppliers' parts, and some that are nowhere."""
+    s = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    k, p = F.col("l_partkey"), F.col("p_partkey")
+    held = views.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cluster"), F.col("l_suppkey").alias("ord"), s("d", k % 9, "/e", k % 4, "/", F.expr("l_partkey div 50")).alias("dir"))
+    dirs = F.array(s("d", p % 9), s("d", p % 9, "/e1/", F.expr("p_partkey div 50"), "/x"), F.col("p_brand"))
+    return clusters.orphan_homes(views.table(spark, sf_dir, "part").select(F.explode(dirs).alias("dir")), held)
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'F' AND o_custkey % 3 = 0 AND o_custkey % 2 = 0 THEN 'completed' ELSE CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'pending' END END AS status, o_orderstatus <> 'F' AND o_custkey % 3 = 0 AND o_custkey % 2 = 1 AS blocked FROM orders")

@@ -249,6 +249,17 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(views.circles(spark, sf_dir))
 
 
+@query(
+    f"""{REACH}, m AS (SELECT x.a AS node, least(x.a, min(x.b)) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1), i AS (SELECT a.cycle AS c, src, dst FROM circles JOIN m a ON a.node = src JOIN m b ON b.node = dst AND a.cycle = b.cycle),
+    d(c, node, k) AS (SELECT DISTINCT cycle, cycle, 0 FROM m UNION SELECT d.c, i.dst, k + 1 FROM d JOIN i ON i.c = d.c AND i.src = d.node WHERE k < 40), dist AS (SELECT c, node, min(k) AS k FROM d GROUP BY 1, 2), up AS (SELECT i.c, i.dst AS node, min(i.src) AS parent FROM i JOIN dist x ON x.c = i.c AND x.node = i.src JOIN dist y ON y.c = i.c AND y.node = i.dst AND y.k = x.k + 1 GROUP BY 1, 2),
+    e AS (SELECT i.c, min({{'k': k + 1, 'u': src}}) AS x FROM i JOIN dist ON dist.c = i.c AND dist.node = i.src WHERE i.dst = i.c GROUP BY 1), p(c, node, place) AS (SELECT c, x.u, x.k - 1 FROM e UNION ALL SELECT p.c, up.parent, place - 1 FROM p JOIN up ON up.c = p.c AND up.node = p.node WHERE place > 0)
+    SELECT c AS cycle, CAST(place AS INT) AS place, node FROM p UNION ALL SELECT c, CAST(x.k AS INT), c FROM e""",
+    "circles",
+)
+def cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycle_paths(views.circles(spark, sf_dir))
+
+
 @query("WITH RECURSIVE r(node) AS (SELECT doc_id FROM documents WHERE doc_id % 97 = 5 UNION SELECT e.src FROM circles e JOIN r ON e.dst = r.node) SELECT node FROM r", "circles")
 def affected_in_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = views.table(spark, sf_dir, "documents").filter("doc_id % 97 = 5").select(F.col("doc_id").alias("node"))
