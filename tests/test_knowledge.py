@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import paths
 from weftline.operators import book, clusters, graph, planner, registers, render, runs, tasks
-from weftline.sources import projects, readers
+from weftline.sources import ignores, projects, readers
 from weftline.streaming import changes
 
 
@@ -375,3 +375,39 @@ def test_marked_issues_keep_a_history(spark):
     c = spark.createDataFrame([(1, "stale"), (3, "stale")], "id int, new_status string")
     got = {r.id: (r.status, [tuple(h) for h in r.history]) for r in registers.marked(i, c, "now").collect()}
     assert got == {1: ("stale", [("now", "detected", "stale")]), 2: ("fixed", []), 3: ("stale", [])}
+
+
+#: What git ignores of some paths, by rules of several folders: folder, rules, then paths below with git's answer.
+IGNORE_RULES = [
+    ("", "# note\n\n*.log\n!keep.log\n/root.txt\nbuild/\ndocs/*.md\n**/cache\nlib/**/gen\nall/**\n\\!odd\n\\#hash\nsp ace\ntrail   \nq?.ts\n[ab].c\n[!x]z.h\nfoo*bar\n"),
+    ("src", "!*.log\n/only.ts\ngen/\n!build/\n"),
+    ("src/deep", "*.log\n*\n!stay.ts\n"),
+]
+IGNORE_PATHS = {
+    "a.log": True, "keep.log": False, "x/keep.log": False, "x/y/a.log": True, "root.txt": True, "x/root.txt": False, "build/a.ts": True, "x/build/a.ts": True, "y/build": False, "docs/a.md": True, "docs/x/a.md": False, "x/docs/a.md": False,
+    "cache/a": True, "x/cache/a": True, "lib/gen/a": True, "lib/x/y/gen/a": True, "all/a": True, "!odd": True, "#hash": True, "sp ace/a": True, "trail": True, "q1.ts": True, "q12.ts": False, "q/.ts": False, "a.c": True, "c.c": False, "yz.h": True, "xz.h": False, "foo1bar": True, "foo/bar": False,
+    "src/a.log": False, "src/only.ts": True, "src/x/only.ts": False, "src/gen/a": True, "src/build/a.ts": False, "src/deep/a.log": True, "src/deep/stay.ts": False, "src/deep/x/stay.ts": True, "lib/gen2/a": False,
+}
+
+
+def test_ignore_rules_of_folders(spark):
+    files = spark.createDataFrame([(p,) for p in IGNORE_PATHS], "path string")
+    texts = spark.createDataFrame(IGNORE_RULES, "folder string, text string")
+    left = {r.path for r in ignores.kept(files, ignores.rules(texts)).collect()}
+    assert {p: p not in left for p in IGNORE_PATHS} == IGNORE_PATHS
+    assert ignores.kept(files, ignores.rules(texts.limit(0))).count() == len(IGNORE_PATHS)
+
+
+def test_ignore_files_are_found_below_the_root(spark, tmp_path):
+    for name, text in (("a/x.ts", "1"), ("a/y.ts", "1"), ("b/y.ts", "1"), ("a/.gitignore", "y.ts"), (".gitignore", "b/*\n!b/y.ts")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert sorted(r.path for r in readers.scan_tree(spark, str(tmp_path)).collect()) == ["a/x.ts", "b/y.ts"]
+
+
+def test_analysis_and_violations(spark):
+    text = json.dumps({"modules": [{"source": "/w/src/a.ts", "dependencies": [{"resolved": "/w/src/b.ts", "circular": True}, {"module": "./c", "resolved": ""}, {"resolved": "/w/node_modules/x/i.js", "moduleName": "x"}, {"module": "y"}]}, {"source": "/w/src/b.ts", "dependencies": []}, {"source": "/w/node_modules/x/i.js", "dependencies": []}], "summary": {"violations": [{"rule": {"name": "no-circular", "severity": "warn"}, "from": "a.ts", "to": "b.ts"}, {"rule": {"name": "other"}, "from": "a", "to": "b"}]}})
+    modules, edges, bad = readers.analysis(spark.createDataFrame([(text,)], "text string"), "/w/src")
+    assert {r.source for r in modules.collect()} == {"a.ts", "b.ts"}
+    assert {(r.src, r.dst, r.type, r.circular) for r in edges.collect()} == {("a.ts", "b.ts", "local", True), ("a.ts", "c", "local", False), ("a.ts", "x", "external", False), ("a.ts", "y", "external", False)}
+    assert [tuple(r) for r in graph.violation_cycles(bad).collect()] == [(["a.ts", "b.ts", "a.ts"], "warn")]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftline.functions import code, paths
 from weftline.operators import book, clusters, graph, planner, registers, render, tasks
 from weftline.plans.base import query
-from weftline.sources import projects, readers, views
+from weftline.sources import ignores, projects, readers, views
 
 # ---- planning ---------------------------------------------------------------------------------
 
@@ -531,6 +531,55 @@ def issue_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "events").select(k.alias("id"), place.alias("place"), line.alias("line"))
 
 
+@query(
+    """WITH p AS (SELECT doc_id AS d, 'a' || (doc_id % 3) || '/b' || (doc_id % 5) || '/' || (CASE WHEN doc_id % 11 = 0 THEN 'tmp/' ELSE '' END) || (CASE WHEN doc_id % 7 = 0 THEN 'keep' ELSE 'f' END) || doc_id || (CASE doc_id % 4 WHEN 0 THEN '.log' WHEN 1 THEN '.tmp' ELSE '.ts' END) AS path FROM documents)
+    SELECT path FROM p WHERE NOT (d % 3 = 1 AND d % 5 = 2) AND d % 5 <> 4 AND NOT (d % 11 = 0 AND d % 4 > 1) AND NOT (CASE WHEN d % 3 = 0 AND d % 4 > 1 THEN d % 7 <> 0 AND d % 10 = 7 WHEN d % 3 = 0 AND d % 4 = 0 THEN d % 7 <> 0 AND d % 5 = 1 ELSE d % 4 = 0 AND d % 7 <> 0 END)"""
+)
+def kept_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that ignore files of three folders leave: exceptions, folders, anchors and a deeper file that decides."""
+    d = F.col("doc_id")
+    s = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") if x is d else x for x in parts])
+    path = s("a", (d % 3).cast("string"), "/b", (d % 5).cast("string"), "/", F.when(d % 11 == 0, "tmp/").otherwise(""), F.when(d % 7 == 0, "keep").otherwise("f"), d, F.when(d % 4 == 0, ".log").when(d % 4 == 1, ".tmp").otherwise(".ts"))
+    texts = spark.createDataFrame([("", "# all\n*.log\n!keep*.log\n/a1/b2/\nb4/\n**/tmp/*.ts\nb9\n"), ("a0", "!*.log\nf*7.ts  \n\\#x\n"), ("a0/b1", "f*[0-9].log\n")], "folder string, text string")
+    return ignores.kept(views.table(spark, sf_dir, "documents").select(path.alias("path")), ignores.rules(texts))
+
+
+@query(
+    """WITH e AS (SELECT p.page_id // 100 AS project, 'src/p' || page_id || '.ts' AS src, page_id AS k, page_id % 100 AS m FROM pages p), n AS (SELECT *, (k // 100) * 100 + (m * 7) % 100 AS o FROM e)
+    SELECT src, CASE m % 5 WHEN 0 THEN '@/p' || o WHEN 1 THEN '@/deep/p' || o || '.x' WHEN 2 THEN 'one' WHEN 3 THEN './p' || o ELSE 'react' END AS specifier, CASE WHEN m % 5 IN (0, 3) AND o IN (SELECT k FROM e) THEN 'src/p' || o || '.ts' WHEN m % 5 = 1 AND o IN (SELECT k FROM e) THEN 'src/p' || o || '.ts' WHEN m % 5 = 2 AND project * 100 IN (SELECT k FROM e) THEN 'src/p' || (project * 100) || '.ts' END AS dst FROM n""",
+)
+def pattern_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports by patterns of their project's settings: the longest beginning, an exact name, several targets."""
+    k = F.col("page_id")
+    s = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    project, m = F.floor(k / 100), k % 100
+    other = project * 100 + (m * 7) % 100
+    pages = views.table(spark, sf_dir, "pages")
+    text = s('{"compilerOptions": {"baseUrl": "./src", "paths": {"@/*": ["gone/*", "./*"], "@/deep/*.x": ["*"], "one": ["p', F.col("project") * 100, '"], "@/dee*": ["nowhere/*"]}}}')
+    settings = pages.select(project.alias("project")).distinct().select("project", text.alias("text"))
+    spec = F.when(m % 5 == 0, s("@/p", other)).when(m % 5 == 1, s("@/deep/p", other, ".x")).when(m % 5 == 2, "one").when(m % 5 == 3, s("./p", other)).otherwise("react")
+    edges = pages.select(project.alias("project"), s("src/p", k, ".ts").alias("src"), spec.alias("specifier"))
+    return readers.resolved_imports(edges, edges.select(F.col("src").alias("path")), patterns=readers.path_patterns(settings)).select("src", "specifier", "dst")
+
+
+@query(
+    """WITH e AS (SELECT 'f' || src || '.ts' AS src, CASE WHEN dst % 4 = 0 THEN 'lib' || dst WHEN dst % 9 = 5 THEN 'pkg' || dst ELSE 'f' || dst || '.ts' END AS dst, src % 5 = 0 AS circular, dst % 4 <> 0 AND dst % 9 <> 5 AS near FROM circles), m AS (SELECT src AS source FROM e UNION SELECT dst FROM e WHERE near), c AS (SELECT src AS source FROM e WHERE circular UNION SELECT dst FROM e WHERE circular),
+    d AS (SELECT dst AS source, count(*) AS n FROM e GROUP BY 1) SELECT source, source IN (SELECT source FROM c) AS has_circular, coalesce(n, 0) AS n_dependents FROM m LEFT JOIN d USING (source)""",
+    "circles",
+)
+def analysed_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an analyser prints, a document for some modules, to a graph with dependents."""
+    t, f = F.col("dst"), lambda x: F.concat(F.lit("../work/src/f"), x.cast("string"), F.lit(".ts"))
+    s = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    dep = F.when(t % 4 == 0, s('{"resolved": "../work/node_modules/lib', t, '/i.js", "module": "lib', t, '", "moduleName": "lib', t, '"')).when(t % 9 == 5, s('{"couldNotResolve": true, "module": "pkg', t, '"')).otherwise(s('{"couldNotResolve": false, "resolved": "', f(t), '"'))
+    dep = s(dep, F.when(F.col("src") % 5 == 0, F.when(F.col("src") % 2 == 0, ', "cycle": true').otherwise(', "circular": true')).otherwise(""), "}")
+    modules = views.circles(spark, sf_dir).select("src", dep.alias("d")).groupBy("src").agg(s('{"source": "', f(F.col("src")), '", "dependencies": [', F.array_join(F.sort_array(F.collect_list("d")), ","), "]}").alias("m"))
+    more = F.lit('{"source": "../work/node_modules/x.js", "dependencies": [{"resolved": "../work/src/f1.ts"}]}')
+    raw = modules.groupBy((F.col("src") % 50).alias("g")).agg(s('{"modules": [', F.array_join(F.array_append(F.sort_array(F.collect_list("m")), more), ","), "]}").alias("text"))
+    _, edges, _ = readers.analysis(raw, "../work/src")
+    return graph.build(edges)[0].select("source", "has_circular").join(graph.dependents(edges), "source", "left").na.fill(0, ["n_dependents"])
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN bool_and(l_quantity >= 10) THEN 'verified' ELSE 'disputed' END AS verdict FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
 def issue_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_quantity") >= 10).alias("passed"))

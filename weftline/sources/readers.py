@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.code import ASSET_DIRECTORY, SOURCE_EXTENSIONS, is_styled_module
 from weftline.functions.paths import extname, normalized, relative
+from weftline.sources import ignores
 
 # Directories that a scan leaves out; keys with other names in issue files.
 IGNORED = r"(^|/)(node_modules|dist|build|coverage|\.git|\.next|\.nuxt|out|vendor)/"
@@ -24,41 +25,13 @@ TABLE_LABELS = ("ID", "Type", "Severity", "Status", "Confidence", "Detected", "S
 def scan_tree(spark: SparkSession, root: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """(path, content binary, bytes) of source files below ``root``, sorted by path later where order counts.
 
-    What the root's own ``.gitignore`` names is left out (plain names, folders, * and **; no exceptions by !).
-    A folder that is not there is an error.
+    What the ignore files of the root and of folders name is left out (see ``ignores``).  A folder that
+    is not there is an error.
     """
-    rules = ignored(spark, root)
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", "^[a-z]+:/+", "/")
     rows = rows.select(relative(path, "/" + root.split(":", 1)[-1].strip("/")).alias("path"), "content", F.col("length").alias("bytes"))
-    return source_files(rows.filter(~F.col("path").rlike(rules)) if rules else rows, extra)
-
-
-def ignore_pattern(lines: list[str]) -> str:
-    """One pattern for the paths that lines of an ignore file name; empty for none."""
-    out = []
-    for line in lines:
-        line = line.strip()
-        if not line or line[0] in "#!":
-            continue
-        body, folder = line.strip("/"), line.endswith("/")
-        text = "".join({"**/": "(.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x) or re.escape(x) for x in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", body))
-        out.append(("^" if "/" in line.rstrip("/") else "(^|/)") + text + ("/" if folder else "(/|$)"))
-    return "|".join(out)
-
-
-def ignored(spark: SparkSession, root: str) -> str:
-    """The pattern of the root's ``.gitignore``, which a scan itself would pass over as a hidden file."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root, ".gitignore")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return ""
-    stream = fs.open(path)
-    try:
-        return ignore_pattern(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines())
-    finally:
-        stream.close()
+    return ignores.kept(source_files(rows, extra), ignores.rules(ignores.read(spark, root)))
 
 
 def source_files(files: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -91,28 +64,101 @@ def import_edges(contents: DataFrame) -> DataFrame:
     return rows.select("src", spec.alias("specifier")).withColumn("type", dependency_type(F.col("specifier")))
 
 
-def resolved_imports(edges: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+def path_patterns(settings: DataFrame) -> DataFrame:
+    """settings: project, text (JSON with compilerOptions.baseUrl and .paths).  (project, head, tail, targets): patterns
+    before and behind their star (tail null without one), and the paths that they stand for, from the base."""
+    kind = "compilerOptions struct<baseUrl string, paths map<string, array<string>>>"
+    rows = settings.select("project", F.from_json("text", kind)["compilerOptions"].alias("o"))
+    base = F.regexp_replace(F.regexp_replace(F.coalesce("o.baseUrl", F.lit("")), r"^\./?", ""), "/$", "")
+    rows = rows.select("project", base.alias("base"), F.explode("o.paths").alias("pattern", "targets"))
+    star = F.col("pattern").contains("*")
+    target = F.transform("targets", lambda t: F.regexp_replace(F.concat(F.col("base"), F.lit("/"), F.regexp_replace(t, r"^\./", "")), "^/", ""))
+    return rows.select("project", F.split("pattern", r"\*")[0].alias("head"), F.when(star, F.regexp_extract("pattern", r"\*(.*)$", 1)).alias("tail"), target.alias("targets"))
+
+
+def pattern_paths(edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    """edges: project, src, specifier.  Adds paths: what the project's pattern for a specifier stands for, in order; null
+    if none fits.
+
+    A pattern without a star must be the specifier; else that with the longest beginning counts.  Each
+    specifier lists its beginnings of the lengths that patterns have, for a join on equality.
+    """
+    lengths = [r.n for r in patterns.select(F.length("head").alias("n")).distinct().collect()]  # of a project's settings: few
+    s = F.col("specifier")
+    cuts = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length(s))
+    each = edges.select("project", "specifier").distinct().withColumn("_n", F.explode(cuts)).withColumn("head", F.expr("left(specifier, _n)"))
+    met = each.join(patterns, ["project", "head"])
+    fits = (F.col("tail").isNull() & (F.length(s) == F.col("_n"))) | (s.endswith(F.coalesce("tail", F.lit(""))) & (F.length(s) >= F.col("_n") + F.length("tail")))
+    middle = F.expr("substring(specifier, _n + 1, length(specifier) - _n - length(coalesce(tail, '')))")
+    paths = F.transform("targets", lambda t: F.when(F.col("tail").isNull(), t).otherwise(F.concat(F.split_part(t, F.lit("*"), F.lit(1)), middle, F.split_part(t, F.lit("*"), F.lit(2)))))
+    best = met.filter(fits).groupBy("project", "specifier").agg(F.max_by(paths, F.struct(F.col("tail").isNull().alias("exact"), "_n")).alias("paths"))
+    return edges.join(best, ["project", "specifier"], "left")
+
+
+def resolved_imports(edges: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None, patterns: DataFrame | None = None) -> DataFrame:
     """edges: src, specifier; files: path.  (src, specifier, dst, type): the file that a specifier stands for, with an
     extension or an index file put behind it where it has none; without one it is external.
 
-    aliases: beginnings that stand for folders, such as @/ for src/.  Every way to read a specifier is a
-    row of a join on equality; the first that is a file counts.
+    aliases: beginnings that stand for folders, such as @/ for src/.  patterns: of ``path_patterns``, then
+    edges have a project; relative specifiers are not asked.  Every way to read a specifier is a row of
+    a join on equality; the first that is a file counts.
     """
     s = F.col("specifier")
     for start, folder in (aliases or {}).items():
         s = F.when(F.col("specifier").startswith(start), F.concat(F.lit(f"/{folder}"), F.substring("specifier", len(start) + 1, 1 << 16))).otherwise(s)
     own = F.when(F.col("src").contains("/"), F.regexp_extract("src", "^(.*)/[^/]*$", 1)).otherwise("")
     joined = F.when(s.startswith("."), F.concat(own, F.lit("/"), s)).when(s.startswith("/"), s)
-    parts = F.filter(F.split(joined, "/"), lambda x: (x != "") & (x != "."))
-    up = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)))
-    base = F.array_join(up, "/")
+    given = F.lit(None).cast("array<string>")
+    if patterns is not None:
+        edges, given = pattern_paths(edges, patterns), F.when(~s.startswith("."), F.col("paths"))
+    starts = F.coalesce(given, F.when(joined.isNotNull(), F.array(joined)))
+
+    def plain(x: Column) -> Column:
+        parts = F.filter(F.split(x, "/"), lambda y: (y != "") & (y != "."))
+        up = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, y: F.when(y == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, y)))
+        return F.array_join(up, "/")
+
     ways = ["", *[f".{e}" for e in SOURCE_EXTENSIONS], *[f"/index.{e}" for e in SOURCE_EXTENSIONS]]
-    rows = edges.select("src", "specifier", F.posexplode_outer(F.when(base.isNotNull(), F.array(*[F.concat(base, F.lit(w)) for w in ways]))).alias("way", "path"))
+    tries = F.flatten(F.transform(starts, lambda x: F.array(*[F.concat(plain(x), F.lit(w)) for w in ways])))
+    rows = edges.select("src", "specifier", F.posexplode_outer(tries).alias("way", "path"))
     found = rows.join(files.select("path").distinct().withColumn("there", F.lit(True)), "path", "left")
     out = found.groupBy("src", "specifier").agg(F.min_by("path", F.when(F.col("there"), F.col("way"))).alias("dst"))
     return out.withColumn("type", F.when(F.col("dst").isNotNull(), "local").otherwise("external"))
 
 
+ANALYSIS = """modules array<struct<source string, dependencies array<struct<resolved string, module string, moduleName string, couldNotResolve string, circular boolean, cycle boolean>>>>,
+    summary struct<violations array<struct<rule struct<name string, severity string>, `from` string, `to` string, cycle array<string>>>>"""
+
+
+def analysis(raw: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """raw: text, what a dependency analyser prints, a document a row.  (modules source, ord; edges src, dst, type,
+    circular, ord for ``graph.build``; violations for ``graph.violation_cycles``).
+
+    Paths are from ``root``; what is not below it has no leading steps up and no package folder.  Modules
+    of packages are left out.  Values that are no text count as they are printed, false as none.
+    """
+    rows = raw.select(F.monotonically_increasing_id().alias("doc"), F.from_json("text", ANALYSIS).alias("a"))
+    modules = rows.select("doc", F.posexplode("a.modules").alias("at", "m")).filter(~F.col("m.source").contains("node_modules"))
+    bare = lambda c: F.when(c == "false", "").otherwise(F.coalesce(c, F.lit("")))
+
+    def below(path: Column) -> Column:
+        inside = path.startswith(f"{root.rstrip('/')}/")
+        outside = F.regexp_replace(F.regexp_replace(path, r"^(\.\./)+", ""), "^.*?node_modules/", "")
+        return normalized(F.when(inside, F.substring(path, len(root.rstrip("/")) + 2, 1 << 16)).otherwise(F.coalesce(F.nullif(outside, F.lit("")), path)))
+
+    named = modules.select("doc", "at", below(F.col("m.source")).alias("src"), "m.dependencies")
+    each = named.select("doc", "at", "src", F.posexplode("dependencies").alias("k", "d"))
+    d = {k: bare(F.col(f"d.{k}")) for k in ("resolved", "couldNotResolve", "moduleName", "module")}
+    t = dependency_target(d["resolved"], d["couldNotResolve"], d["moduleName"], d["module"])
+    edges = each.withColumn("t", t).withColumn("near", below(F.col("t.target")))
+    dst = F.when(F.col("t.type") == "local", F.col("near")).otherwise(F.col("t.target"))
+    circular = F.coalesce("d.circular", F.lit(False)) | F.coalesce("d.cycle", F.lit(False))
+    ord_ = F.struct("doc", "at", "k")
+    edges = edges.select("src", dst.alias("dst"), F.col("t.type").alias("type"), circular.alias("circular"), ord_.alias("ord"))
+    violations = rows.select(F.explode("a.summary.violations").alias("v")).select(F.col("v.rule.name").alias("rule"), normalized(F.coalesce("v.from", F.lit(""))).alias("from"), normalized(F.coalesce("v.to", F.lit(""))).alias("to"), F.col("v.cycle").alias("cycle"), F.col("v.rule.severity").alias("severity"))
+    return named.select(F.col("src").alias("source"), F.struct("doc", "at").alias("ord")), edges, violations
+
+
 def dependency_target(resolved: Column, unresolved: Column, name: Column, specifier: Column) -> Column:
     """struct<type, target> of a raw dependency: what is not resolved, or is a package, is external under its name;
     else the path, normalised; without a path a relative specifier is local."""
@@ -208,11 +254,6 @@ def page_source(raw: DataFrame) -> DataFrame:
     )
 
 
-def packages(files: DataFrame) -> DataFrame:
-    """(package, n_files): source folders of a repository of several packages."""
-    return files.select(F.regexp_extract("path", r"^((?:packages|apps|libs|modules)/[^/]+)/src/", 1).alias("package")).filter("package <> ''").groupBy("package").agg(F.count(F.lit(1)).alias("n_files"))
-
-
 def csv_text(c: Column) -> Column:
     """RFC 4180 quoting."""
     s = F.coalesce(c.cast("string"), F.lit(""))
