@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from weftline.functions import paths
 from weftline.operators import book, clusters, graph, planner, registers, render, runs, tasks
-from weftline.sources import ignores, projects, readers
+from weftline.sources import ignores, projects, readers, sinks
 from weftline.streaming import changes
 
 
+shown = render.text
+
+
 def join_in_order(sets):
     """The first pair that overlaps is joined, then all pairs are looked at anew."""
     sets = [(c, set(x), 1) for c, x in sets]
@@ -256,22 +259,22 @@ def test_reports(spark):
     pages = spark.createDataFrame([("ch-a", "one.md", "One", 2), ("ch-a", "two.md", None, 0)], "chapter string, section string, title string, n_files int")
     labels, figures = spark.createDataFrame([("ch-a", "A")], "chapter string, label string"), spark.createDataFrame([(1, 2, 3, 2)], "n_chapters int, n_pages int, n_symbols int, n_files int")
     counted, links = spark.createDataFrame([("ch-a", 2, 2, 1)], "chapter string, n_pages int, n_files int, n_issues int"), spark.createDataFrame([("ch-a", "one.md", "IS-1", "high")], "chapter string, section string, id string, severity string")
-    text = render.book(pages, labels, figures, counted, links)
+    text = shown(render.book(pages, labels, figures, counted, links))
     assert "chapters: 1\npages: 2\nsymbols: 3" in text and "- [One](volume-1-code/ch-a/one.md)" in text and "| [two.md](volume-1-code/ch-a/two.md) | - | 0 | - |" in text and "🔴 [[IS-1]]" in text
-    text = render.glossary(spark.createDataFrame([("b", "hook", "x/p.md"), ("a", "odd", "q.md"), ("C", "component", "q.md")], "name string, type string, relpath string"))
+    text = shown(render.glossary(spark.createDataFrame([("b", "hook", "x/p.md"), ("a", "odd", "q.md"), ("C", "component", "q.md")], "name string, type string, relpath string")))
     assert text.index("## component") < text.index("## hook") < text.index("## odd") and "| `b` | [[x/p]] |" in text
     i = spark.createDataFrame([("1", "bug", "low", "detected", "2024", "high"), ("2", "bug", "critical", "verified", "2023", None), ("3", "ux", "critical", "fixing", "2024", None)], "id string, type string, severity string, status string, detected_at string, confidence string")
-    text = render.issue_dashboard(registers.dashboard(i.withColumn("is_pending", F.lit(True))), registers.pending_list(i))
+    text = shown(render.issue_dashboard(registers.dashboard(i.withColumn("is_pending", F.lit(True))), registers.pending_list(i)))
     assert "**3**" in text and text.index("[[3]]") < text.index("[[2]]") and "[[1]]" not in text
     index = registers.file_index(i.withColumn("source_files", F.array(F.lit("a.ts")))).withColumn("title", F.lit("t"))
-    assert "### `a.ts`" in render.file_issues(index, i.groupBy("severity").agg(F.count("*").alias("n"))) and "| ⛔ critical | 2 |" in render.file_issues(index, i.groupBy("severity").agg(F.count("*").alias("n")))
+    assert "### `a.ts`" in (text := shown(render.file_issues(index, i.groupBy("severity").agg(F.count("*").alias("n"))))) and "| ⛔ critical | 2 |" in text
     p = spark.createDataFrame([("E1", "hook", "active", "T", "S", ["a", "b", "c", "d"]), ("E2", "hook", "candidate", "T", "", []), ("E3", None, "stale", "T", "", [])], "id string, category string, status string, title string, summary string, clusters array<string>")
-    text = render.experience(p, registers.pattern_counts(p), True)
+    text = shown(render.experience(p, registers.pattern_counts(p), True))
     assert "total_patterns: 2\nactive: 1\nstale: 1\norphaned: 0\ncandidate: 1" in text and "a, b, c..." in text and "E2" not in text and "⚠️" in text
-    assert render.experience(p.filter("id = 'E2'"), registers.pattern_counts(p)) == ""
+    assert shown(render.experience(p.filter("id = 'E2'"), registers.pattern_counts(p.filter("id = 'E2'")))) == "\n"
     assert "| [[book]] | 3 pages |" in render.master_index({"book": {"pages": 3, "symbols": 0}, "issues": None}) and "issues: not built" in render.master_index({"issues": None})
     rows = tasks.status_counts(spark.createDataFrame([("x" * 50, "completed"), ("x" * 50, "failed"), ("y", "odd")], "folder string, status string"), ["folder"]).withColumns({"n_files": F.lit(3), "tokens": F.lit(12345)})
-    text = render.progress(rows)
+    text = shown(render.progress(rows))
     assert "12,345" in text and "..." + "x" * 37 in text and "33.3%" in text and text.index("failed (1)") < text.index("pending (1)")
     assert render.percent(1, 3) == "33.3%" and render.percent(0, 0) == "—"
     assert "IS-0011 to IS-0020" in render.prompt({"id": "t", "budget": 15000, "issue_from": 11}, ["a"], feedback="f") and "15,000" in render.prompt({"id": "t", "budget": 15000}, [])
@@ -411,3 +414,41 @@ def test_analysis_and_violations(spark):
     assert {r.source for r in modules.collect()} == {"a.ts", "b.ts"}
     assert {(r.src, r.dst, r.type, r.circular) for r in edges.collect()} == {("a.ts", "b.ts", "local", True), ("a.ts", "c", "local", False), ("a.ts", "x", "external", False), ("a.ts", "y", "external", False)}
     assert [tuple(r) for r in graph.violation_cycles(bad).collect()] == [(["a.ts", "b.ts", "a.ts"], "warn")]
+
+
+def test_file_rows_are_written_all_or_none(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    names = lambda: {str(p.relative_to(folder)): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    one = spark.createDataFrame([(f"a/p{k}.md", f"old {k}") for k in range(20)] + [("top.md", None)], "path string, text string").repartition(4)
+    sinks.write_files(one, folder)
+    old = {**{f"a/p{k}.md": f"old {k}" for k in range(20)}, "top.md": ""}
+    assert names() == old
+    for bad in ("../x.md", "/etc/x", "_staged-1/x"):
+        with pytest.raises(Exception, match="(?i)below the folder"):
+            sinks.write_files(spark.createDataFrame([("a/p1.md", "new"), (bad, "x")], "path string, text string").repartition(2), folder)
+        assert names() == old  # the old files are whole
+    with pytest.raises(Exception, match="path of another row"):
+        sinks.write_files(spark.createDataFrame([("a/p1.md", "x"), ("a/p1.md", "y")], "path string, text string"), folder)
+    assert names() == old
+    sinks.write_files(spark.createDataFrame([("a/p1.md", "new"), ("b/c/q.md", "é")], "path string, text string"), folder)
+    assert names() == {**old, "a/p1.md": "new", "b/c/q.md": "é"}
+    # a job that died after its manifest, with one file renamed
+    (tmp_path / "out/_staged-j/t").mkdir(parents=True)
+    (tmp_path / "out/_staged-j/t/1").write_text("two")
+    (tmp_path / "out/_manifest-j.json").write_text(json.dumps({"staged": "_staged-j", "files": [["_staged-j/t/0", "a/p1.md"], ["_staged-j/t/1", "a/p2.md"]]}))
+    assert sinks.recover(folder) == 2 and names() == {**old, "a/p1.md": "new", "a/p2.md": "two", "b/c/q.md": "é"}
+
+
+def test_prompts_and_reports_reach_the_disk(spark, tmp_path):
+    schedule = spark.createDataFrame([("t1", "run", 15000, 1, "ch-a/"), ("t2", "skip", 1, None, "x")], "id string, action string, budget long, issue_from long, chapter string")
+    text = render.prompts(schedule, spark.createDataFrame([("t1", "a.ts")], "id string, path string"))
+    sinks.write_files(text.select(F.concat("id", F.lit(".md")).alias("path"), "text"), str(tmp_path / "prompts"))
+    assert [p.name for p in (tmp_path / "prompts").iterdir()] == ["t1.md"] and "- `a.ts`" in (tmp_path / "prompts/t1.md").read_text()
+    lines = render.glossary(spark.createDataFrame([(f"n{k:04}", "hook", "x/p.md") for k in range(500)], "name string, type string, relpath string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        render.write(lines, str(tmp_path / "glossary"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "glossary").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == render.text(lines) and len(parts) > 1

@@ -1,11 +1,13 @@
-"""Reports from small result tables: the only place where rows come to the driver to be shown."""
+"""Reports as tables of lines: each line has its place in the order of the report, so that reports of any size are
+written by the tasks; only ``text``, ``table`` and the index of reports bring what they show to the driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.paths import padded
+from weftline.operators.tasks import ranked
 
 
 def table(df: DataFrame, columns: list[str] | None = None, limit: int = 1000) -> str:
@@ -39,80 +41,155 @@ STATUS_MARKS = {"completed": "✅", "in_progress": "🔄", "pending": "⏳", "fa
 PATTERN_MARKS = {"stale": " ⚠️", "orphaned": " 🗑️", "deprecated": " ❌"}
 
 
-def book(pages: DataFrame, labels: DataFrame, figures: DataFrame, chapters: DataFrame, links: DataFrame | None = None) -> str:
-    """pages: chapter, section, title, n_files; labels: chapter, label; figures: one row (``book.book_figures``);
-    chapters: chapter, n_pages, n_files, n_issues; links: chapter, section, id, severity of issues."""
-    f = figures.first().asDict()
-    label = {r["chapter"]: r["label"] for r in labels.collect()}
-    of: dict[str, list] = {}
-    for r in pages.orderBy("chapter", "section").collect():
-        of.setdefault(r["chapter"], []).append(r)
-    issues: dict[tuple, list[str]] = {}
-    for r in links.orderBy("id").collect() if links is not None else []:
-        issues.setdefault((r["chapter"], r["section"]), []).append(f"{SEVERITY_MARKS.get(r['severity'], '⚪')} [[{r['id']}]]")
-    counted = {r["chapter"]: r for r in chapters.collect()}
-    contents, details = [], []
-    for c, rows in of.items():
-        contents += [f"### {label.get(c, c)}", "", *[f"- [{r['title'] or r['section']}](volume-1-code/{c}/{r['section']})" for r in rows], ""]
-        n = counted[c]
-        said = f"- **{n['n_pages']}** pages, **{n['n_files']}** files" + (f", **{n['n_issues']}** issues" if n["n_issues"] else "")
-        cells = ["page", "title", "files", *(["issues"] if links is not None else [])]
-        lines = [[f"[{r['section']}](volume-1-code/{c}/{r['section']})", r["title"] or "-", str(r["n_files"]), *([" ".join(issues.get((c, r["section"]), [])) or "-"] if links is not None else [])] for r in rows]
-        details += [f"### {label.get(c, c)}", "", said, "", "| " + " | ".join(cells) + " |", "|" + "---|" * len(cells), *["| " + " | ".join(x) + " |" for x in lines], ""]
-    front = {"chapters": f["n_chapters"], "pages": f["n_pages"], "symbols": f["n_symbols"]}
-    return report("Book", [("Contents", "\n".join(contents).strip()), ("Chapters", "\n".join(details).strip())], front)
-
-
-def glossary(symbols: DataFrame) -> str:
-    """symbols: name, type, relpath: by type in a fixed order, names in order."""
-    order = {t: k for k, t in enumerate(("component", "hook", "function", "symbol"))}
-    of: dict[str, list] = {}
-    for r in symbols.orderBy("name", "relpath").collect():
-        of.setdefault(r["type"], []).append(r)
-    kinds = sorted(of, key=lambda t: (order.get(t, 99), t))
-    counts = "\n".join(["| type | n |", "|---|---|", *[f"| {t} | {len(of[t])} |" for t in kinds]])
-    body = [(t, "\n".join(["| name | page |", "|---|---|", *[f"| `{r['name']}` | [[{r['relpath'].removesuffix('.md')}]] |" for r in of[t]]])) for t in kinds]
-    return report("Glossary", [("Types", counts), *body], {"total_symbols": sum(map(len, of.values()))})
-
-
-def issue_dashboard(counts: DataFrame, pending: DataFrame) -> str:
-    """counts: dimension, value, n, pending; pending: id, severity, detected_at: most severe first, latest first."""
-    place = {s: k for k, s in enumerate(SEVERITY_MARKS)}
-    rows = counts.orderBy("dimension", "value").collect()
-    total = sum(r["n"] for r in rows if r["dimension"] == "status")
-    tables = [(d, "\n".join(["| value | n | pending |", "|---|---|---|", *[f"| {r['value']} | {r['n']} | {r['pending']} |" for r in rows if r["dimension"] == d], *([f"| **total** | **{total}** | |"] if d == "status" else [])])) for d in ("status", "severity", "type", "confidence")]
-    listed = sorted(pending.collect(), key=lambda r: str(r["id"]))
-    listed = sorted(sorted(listed, key=lambda r: r["detected_at"], reverse=True), key=lambda r: place.get(r["severity"], 99))
-    return report("Issues", [*tables, ("Pending", "\n".join(f"- {SEVERITY_MARKS.get(r['severity'], '⚪')} [[{r['id']}]] {r['detected_at']}" for r in listed))], {"total": total})
-
-
-def file_issues(index: DataFrame, by_severity: DataFrame) -> str:
-    """index: path, id, type, severity, title; by_severity: severity, n."""
-    n = {r["severity"]: r["n"] for r in by_severity.collect()}
-    of: dict[str, list] = {}
-    for r in index.orderBy("path", "id").collect():
-        of.setdefault(r["path"], []).append(r)
-    severe = "\n".join(["| severity | n |", "|---|---|", *[f"| {SEVERITY_MARKS[s]} {s} | {n[s]} |" for s in SEVERITY_MARKS if n.get(s)]])
-    body = "\n\n".join("\n".join([f"### `{p}`", "", *[f"- {SEVERITY_MARKS.get(r['severity'], '⚪')} [[{r['id']}]] — {r['title']} _( {r['type']} )_" for r in rows]]) for p, rows in of.items())
-    return report("Files and issues", [("Severity", severe), ("Files", body)], {"issues": sum(n.values()), "files": len(of)})
-
-
-def experience(patterns: DataFrame, counts: DataFrame, whole: bool = False) -> str:
-    """patterns: id, category, status, title, summary, clusters; counts: ``registers.pattern_counts``.
-    Candidates are counted, not shown; ``whole``: with the figures in front."""
-    rows = patterns.orderBy("category", "id").collect()
-    shown = [r for r in rows if r["status"] != "candidate"]
-    figures = {"total_patterns": len(shown), **{s: sum(r["status"] == s for r in shown) for s in ("active", "stale")}, "orphaned": sum(r["status"] in ("orphaned", "deprecated") for r in shown), "candidate": len(rows) - len(shown), "categories": len({r["category"] or "uncategorized" for r in rows})}
-    if not shown:
-        return report("Experience", [], figures) if whole else ""
-    of: dict[str, list[str]] = {}
-    for r in shown:
-        c = r["category"] or "uncategorized"
-        some = r["clusters"] or []
-        origin = f" | {', '.join(some[:3])}{'...' if len(some) > 3 else ''}" if some else ""
-        of.setdefault(c, []).append(f"- [{r['id']}](volume-3-experience/{c}/{r['id']}.md){PATTERN_MARKS.get(r['status'], '')} — {r['summary'] or r['title'] or r['id']}{origin}")
-    body = [("Categories", table(counts.orderBy("category"), ["category", "active", "stale", "orphaned"])), *[(c, "\n".join(x)) for c, x in of.items()]]
-    return report("Experience", body, figures if whole else None)
+#: The order of a report's lines: section, group, kind in a group, place, name, line of a row.
+ORDER = ("s", "a", "g", "p", "b", "n")
+
+
+def _some(df: DataFrame, s: int, lines: list, a: Column | str = "", g: int = 0, p: Column | int = 0, b: Column | str = "") -> DataFrame:
+    """Lines of each row of a table, with their place in the report; null lines are left out."""
+    text = lambda x: F.lit(x) if isinstance(x, str) else x.cast("string")
+    place = p if isinstance(p, Column) else F.lit(p)
+    rows = df.select(F.lit(s).alias("s"), text(a).alias("a"), F.lit(g).alias("g"), place.cast("long").alias("p"), text(b).alias("b"), F.posexplode(F.array(*map(text, lines))).alias("n", "line"))
+    return rows.filter("line is not null")
+
+
+def _all(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _front(figures: DataFrame, title: str, values: dict[str, Column]) -> DataFrame:
+    """The head of a report, from a table of one row."""
+    return _some(figures, 0, ["---", *[said(f"{k}: ", v) for k, v in values.items()], "---", "", f"# {title}"])
+
+
+def said(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("")) for x in parts])
+
+
+def _mark(marks: dict[str, str], c: Column, other: str) -> Column:
+    out = F.lit(other)
+    for k, m in marks.items():
+        out = F.when(c == k, m).otherwise(out)
+    return out
+
+
+def _place(names: dict | tuple, c: Column) -> Column:
+    out = F.lit(99)
+    for k, x in enumerate(names):
+        out = F.when(c == x, k).otherwise(out)
+    return out
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """(place, line): lines in the order of the report, from 0."""
+    return ranked(lines, [], list(ORDER), "place").select("place", "line")
+
+
+def write(lines: DataFrame, path: str) -> None:
+    """The report as text: lines are dealt into ranges and written by the tasks, files in their order."""
+    lines.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select("line").write.mode("overwrite").text(path)
+
+
+def text(lines: DataFrame) -> str:
+    """A small report as one text, for showing."""
+    return "\n".join(r.line for r in lines.orderBy(*ORDER).collect()) + "\n"
+
+
+def book(pages: DataFrame, labels: DataFrame, figures: DataFrame, chapters: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Lines of the book.  pages: chapter, section, title, n_files; labels: chapter, label; figures: one row
+    (``book.book_figures``); chapters: chapter, n_pages, n_files, n_issues; links: chapter, section, id, severity of issues."""
+    c, sec = F.col("chapter"), F.col("section")
+    label = pages.select("chapter").distinct().join(labels, "chapter", "left").join(chapters, "chapter", "left").withColumn("label", F.coalesce("label", "chapter"))
+    url = said("(volume-1-code/", c, "/", sec, ")")
+    about = said("- **", F.col("n_pages"), "** pages, **", F.col("n_files"), "** files", F.when(F.col("n_issues") > 0, said(", **", F.col("n_issues"), "** issues")).otherwise(""))
+    cells, rows = ["page", "title", "files"], pages
+    tail = F.lit("")
+    if links is not None:
+        cells.append("issues")
+        shown = F.transform(F.array_sort(F.collect_list(F.struct("id", "severity"))), lambda x: said(_mark(SEVERITY_MARKS, x["severity"], "⚪"), " [[", x["id"], "]]"))
+        rows = pages.join(links.groupBy("chapter", "section").agg(F.array_join(shown, " ").alias("shown")), ["chapter", "section"], "left")  # of a page
+        tail = said(" ", F.coalesce("shown", F.lit("-")), " |")
+    row = said("| [", sec, "]", url, " | ", F.coalesce(F.nullif("title", F.lit("")), F.lit("-")), " | ", F.col("n_files"), " |", tail)
+    return _all(
+        _front(figures, "Book", {"chapters": F.col("n_chapters"), "pages": F.col("n_pages"), "symbols": F.col("n_symbols")}),
+        _some(figures, 1, ["", "## Contents"]), _some(label, 2, ["", said("### ", F.col("label")), ""], c),
+        _some(pages, 2, [said("- [", F.coalesce(F.nullif("title", F.lit("")), sec), "]", url)], c, 1, 0, sec), _some(figures, 3, ["", "## Chapters"]),
+        _some(label, 4, ["", said("### ", F.col("label")), "", about, "", "| " + " | ".join(cells) + " |", "|" + "---|" * len(cells)], c), _some(rows, 4, [row], c, 1, 0, sec),
+    )
+
+
+KINDS = ("component", "hook", "function", "symbol")
+
+
+def glossary(symbols: DataFrame) -> DataFrame:
+    """Lines of the glossary.  symbols: name, type, relpath: by type in a fixed order, names in order."""
+    t = F.col("type")
+    kinds = symbols.groupBy("type").agg(F.count(F.lit(1)).alias("n")).withColumn("k", said(F.lpad(_place(KINDS, t).cast("string"), 2, "0"), t))
+    rows = symbols.withColumn("k", said(F.lpad(_place(KINDS, t).cast("string"), 2, "0"), t))
+    total = symbols.agg(F.count(F.lit(1)).alias("n"))
+    page = F.regexp_replace("relpath", r"\.md$", "")
+    return _all(
+        _front(total, "Glossary", {"total_symbols": F.col("n")}), _some(total, 1, ["", "## Types", "", "| type | n |", "|---|---|"]), _some(kinds, 2, [said("| ", t, " | ", F.col("n"), " |")], F.col("k")),
+        _some(kinds, 3, ["", said("## ", t), "", "| name | page |", "|---|---|"], F.col("k")), _some(rows, 3, [said("| `", F.col("name"), "` | [[", page, "]] |")], F.col("k"), 1, 0, said(F.col("name"), "\x01", F.col("relpath"))),
+    )
+
+
+DIMENSIONS = ("status", "severity", "type", "confidence")
+
+
+def issue_dashboard(counts: DataFrame, pending: DataFrame) -> DataFrame:
+    """Lines of the dashboard.  counts: dimension, value, n, pending; pending: id, severity, detected_at: most severe
+    first, latest first."""
+    d, v = F.col("dimension"), F.col("value")
+    total = counts.filter("dimension = 'status'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    heads = total.select("n", F.explode(F.array(*map(F.lit, DIMENSIONS))).alias("dimension"))
+    s = said(_place(DIMENSIONS, d))
+    listed = ranked(pending.select("id", "severity", "detected_at").withColumn("_s", _place(SEVERITY_MARKS, F.col("severity"))), ["_s"], ["detected_at", "id"], "_up")
+    same = listed.groupBy("_s", "detected_at").agg(F.min("_up").alias("_first"), F.max("_up").alias("_last"))  # latest first, ids of a time in order
+    listed = listed.join(same, ["_s", "detected_at"]).withColumn("p", F.col("_up") - F.col("_first") - F.col("_last"))
+    return _all(
+        _front(total, "Issues", {"total": F.col("n")}), _some(heads, 1, ["", said("## ", d), "", "| value | n | pending |", "|---|---|---|"], s),
+        _some(counts.filter(d.isin(*DIMENSIONS)), 1, [said("| ", F.coalesce(v, F.lit("None")), " | ", F.col("n"), " | ", F.col("pending"), " |")], s, 1, F.when(v.isNull(), 0).otherwise(1), F.coalesce(v, F.lit(""))),
+        _some(total, 1, [said("| **total** | **", F.col("n"), "** | |")], "0", 2), _some(total, 2, ["", "## Pending", ""]),
+        _some(listed, 3, [said("- ", _mark(SEVERITY_MARKS, F.col("severity"), "⚪"), " [[", F.col("id"), "]] ", F.col("detected_at"))], F.lpad(F.col("_s").cast("string"), 2, "0"), 0, F.col("p"), ""),
+    )
+
+
+def file_issues(index: DataFrame, by_severity: DataFrame) -> DataFrame:
+    """Lines of the issues of each file.  index: path, id, type, severity, title; by_severity: severity, n."""
+    sev, path = F.col("severity"), F.col("path")
+    one = index.agg(F.count_distinct("path").alias("files")).join(by_severity.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("issues")))  # one row each
+    row = said("- ", _mark(SEVERITY_MARKS, sev, "⚪"), " [[", F.col("id"), "]] — ", F.col("title"), " _( ", F.col("type"), " )_")
+    return _all(
+        _front(one, "Files and issues", {"issues": F.col("issues"), "files": F.col("files")}), _some(one, 1, ["", "## Severity", "", "| severity | n |", "|---|---|"]),
+        _some(by_severity.filter(sev.isin(*SEVERITY_MARKS) & (F.col("n") > 0)), 2, [said("| ", _mark(SEVERITY_MARKS, sev, ""), " ", sev, " | ", F.col("n"), " |")], "", 0, _place(SEVERITY_MARKS, sev)),
+        _some(one, 3, ["", "## Files"]), _some(index.select("path").distinct(), 4, ["", said("### `", path, "`"), ""], path), _some(ranked(index, ["path"], ["id"], "_place"), 4, [row], path, 1, F.col("_place")),
+    )
+
+
+def experience(patterns: DataFrame, counts: DataFrame, whole: bool = False) -> DataFrame:
+    """Lines of the patterns.  patterns: id, category, status, title, summary, clusters; counts: ``registers.pattern_counts``.
+
+    Candidates are counted, not shown; ``whole``: with the figures in front; without, nothing is said of nothing.
+    """
+    status, cat = F.col("status"), F.coalesce(F.nullif("category", F.lit("")), F.lit("uncategorized"))
+    n = lambda *names: F.count_if(status.isin(*names))
+    one = patterns.agg(F.count_if(status != "candidate").alias("total_patterns"), n("active").alias("active"), n("stale").alias("stale"), n("orphaned", "deprecated").alias("orphaned"), n("candidate").alias("candidate"), F.count_distinct(cat).alias("categories"))
+    some = one.filter("total_patterns > 0")
+    shown = patterns.filter(status != "candidate").withColumn("category", cat)
+    first = F.array_join(F.slice("clusters", 1, 3), ", ")
+    origin = F.when(F.size("clusters") > 0, said(" | ", first, F.when(F.size("clusters") > 3, "...").otherwise(""))).otherwise("")
+    text_ = F.coalesce(F.nullif("summary", F.lit("")), F.nullif("title", F.lit("")), F.col("id"))
+    row = said("- [", F.col("id"), "](volume-3-experience/", F.col("category"), "/", F.col("id"), ".md)", _mark(PATTERN_MARKS, status, ""), " — ", text_, origin)
+    head = _front(one, "Experience", {c: F.col(c) for c in one.columns}) if whole else _some(some, 0, ["# Experience"])
+    return _all(
+        head, _some(some, 1, ["", "## Categories", "", "| category | active | stale | orphaned |", "| --- | --- | --- | --- |"]),
+        _some(counts, 2, [said("| ", F.replace(F.col("category"), F.lit("|"), F.lit("\\|")), " | ", F.col("active"), " | ", F.col("stale"), " | ", F.col("orphaned"), " |")], F.col("category")),
+        _some(shown.select("category").distinct(), 3, ["", said("## ", F.col("category")), ""], F.col("category")), _some(shown, 3, [row], F.col("category"), 1, 0, F.col("id")),
+    )
 
 
 def master_index(figures: dict[str, dict[str, object] | None]) -> str:
@@ -124,15 +201,24 @@ def master_index(figures: dict[str, dict[str, object] | None]) -> str:
     return report("Knowledge base", [("Overview", "\n".join(["| part | figures |", "|---|---|", *rows])), *([("Missing", "\n".join(missing))] if missing else []), ("Navigation", "\n".join(links))], {"type": "master_index"})
 
 
-def progress(rows: DataFrame, phase: str = "GEN") -> str:
-    """rows: folder, n_files, tokens, total, completed, status (``tasks.status_counts``): by state, failed first."""
-    got = rows.orderBy("folder").collect()
-    total, done = sum(r["total"] for r in got), sum(r["completed"] for r in got)
-    of = {s: [r for r in got if r["status"] == s] for s in ("failed", "in_progress", "pending", "completed")}
-    shares = "\n".join(["| state | n | share |", "|---|---|---|", *[f"| {STATUS_MARKS[s]} {s} | {sum(r[s] for r in got)} | {percent(sum(r[s] for r in got), total)} |" for s in STATUS_MARKS]])
-    line = lambda r: f"| `{short(str(r['folder']))}` | {r['n_files']} | {r['tokens']:,} | {r['total']} | {r['completed']} | {STATUS_MARKS[r['status']]} {progress_bar(r['completed'], r['total'], 10)} |"
-    tables = [(f"{STATUS_MARKS[s]} {s} ({len(x)})", "\n".join(["| folder | files | tokens | tasks | done | state |", "|---|---|---|---|---|---|", *map(line, x)])) for s, x in of.items() if x]
-    return report("Progress", [("Total", f"{shares}\n\n{progress_bar(done, total, 40)} {percent(done, total)}"), *tables], {"phase": phase})
+def progress(rows: DataFrame, phase: str = "GEN") -> DataFrame:
+    """Lines of the progress.  rows: folder, n_files, tokens, total, completed, status and a count of each state
+    (``tasks.status_counts``): by state, failed first."""
+    st, states = F.col("status"), ("failed", "in_progress", "pending", "completed")
+    sums = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", *STATUS_MARKS)])
+    share = lambda x, y: F.when(y == 0, "—").otherwise(F.concat(F.regexp_replace((F.floor(x * 1000 / y + 0.5) / 10).cast("string"), r"\.0$", ""), F.lit("%")))
+    bar = lambda x, y, n: F.when(y == 0, "░" * n).otherwise(F.concat(F.repeat(F.lit("█"), F.bround(n * x / y, 0).cast("int")), F.repeat(F.lit("░"), n - F.bround(n * x / y, 0).cast("int"))))
+    name = F.col("folder").cast("string")
+    name = F.when(F.length(name) <= 40, name).otherwise(F.concat(F.lit("..."), F.expr("right(cast(folder as string), 37)")))
+    line = said("| `", name, "` | ", F.col("n_files"), " | ", F.format_number("tokens", 0), " | ", F.col("total"), " | ", F.col("completed"), " | ", _mark(STATUS_MARKS, st, ""), " ", bar(F.col("completed"), F.col("total"), 10), " |")
+    kinds = rows.filter(st.isin(*states)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    each = [said("| ", f"{m} {k}", " | ", F.col(k), " | ", share(F.col(k), F.col("total")), " |") for k, m in STATUS_MARKS.items()]
+    place = said(_place(states, st))
+    return _all(
+        _front(sums, "Progress", {"phase": F.lit(phase)}), _some(sums, 1, ["", "## Total", "", "| state | n | share |", "|---|---|---|", *each, "", said(bar(F.col("completed"), F.col("total"), 40), " ", share(F.col("completed"), F.col("total")))]),
+        _some(kinds, 2, ["", said("## ", _mark(STATUS_MARKS, st, ""), " ", st, " (", F.col("n"), ")"), "", "| folder | files | tokens | tasks | done | state |", "|---|---|---|---|---|---|"], place),
+        _some(ranked(rows.filter(st.isin(*states)), ["status"], ["folder"], "_place"), 2, [line], place, 1, F.col("_place")),
+    )
 
 
 def prompt(task: dict, files: list[str], meta: str = "", feedback: str = "") -> str:

@@ -692,3 +692,125 @@ def synced_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("pending").alias("status"), c.alias("chapter"))
     found = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 3 == 0, c).alias("found"))
     return tasks.synced(t, found, o.filter("o_custkey % 2 = 1").select(c.alias("chapter"))).select("id", "status", "blocked")
+
+
+# ---- reports, a line a row --------------------------------------------------------------------
+
+SEV = "CASE severity WHEN 'critical' THEN '⛔' WHEN 'high' THEN '🔴' WHEN 'medium' THEN '🟡' WHEN 'low' THEN '🟢' ELSE '⚪' END"
+SEV_PLACE = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 99 END"
+
+
+def _lines(*parts: tuple[str, str, str, str, str, str, list[str]]) -> str:
+    """SQL of numbered lines: for each part its table, section, group, kind, place and name, and the lines of a row."""
+    each = [f"SELECT {s} AS s, CAST({a} AS VARCHAR) AS a, {g} AS g, {p} AS p, CAST({b} AS VARCHAR) AS b, unnest(range({len(lines)})) AS n, unnest([{', '.join(lines)}]) AS line FROM {t}" for t, s, a, g, p, b, lines in parts]
+    return f"SELECT row_number() OVER (ORDER BY s, a, g, p, b, n) - 1 AS place, line FROM ({' UNION ALL '.join(each)})"
+
+
+def _q(*lines: str) -> list[str]:
+    return [f"'{x}'" for x in lines]
+
+
+SHARE = "CASE WHEN total = 0 THEN '—' ELSE regexp_replace(CAST(floor({0} * 1000 / total + 0.5) / 10 AS VARCHAR), '\\.0$', '') || '%' END"
+BAR = "repeat('█', CAST(round_even({1} * {0} / total, 0) AS INT)) || repeat('░', {1} - CAST(round_even({1} * {0} / total, 0) AS INT))"
+STATES = {"completed": "✅", "in_progress": "🔄", "pending": "⏳", "failed": "❌"}
+STATE_MARK = f"CASE status {' '.join(f"WHEN '{k}' THEN '{m}'" for k, m in STATES.items())} END"
+STATE_PLACE = "CASE status WHEN 'failed' THEN '0' WHEN 'in_progress' THEN '1' WHEN 'pending' THEN '2' ELSE '3' END"
+
+
+@query(
+    f"""WITH f AS (SELECT folder, count(*) AS total, CAST(sum(tokens) AS BIGINT) AS tokens, {', '.join(f"count(*) FILTER (status = '{k}') AS {k}" for k in STATES)} FROM tasks GROUP BY 1), r AS (SELECT *, total AS n_files, CASE WHEN failed > 0 THEN 'failed' WHEN in_progress > 0 THEN 'in_progress' WHEN pending > 0 THEN 'pending' ELSE 'completed' END AS status FROM f),
+    one AS (SELECT CAST(sum(total) AS BIGINT) AS total, {', '.join(f"CAST(sum({k}) AS BIGINT) AS {k}" for k in STATES)} FROM r), kinds AS (SELECT status, count(*) AS n FROM r GROUP BY 1)
+    """ + _lines(
+        ("one", "0", "''", "0", "0", "''", _q("---", "phase: GEN", "---", "", "# Progress")),
+        ("one", "1", "''", "0", "0", "''", [*_q("", "## Total", "", "| state | n | share |", "|---|---|---|"), *[f"'| {m} {k} | ' || {k} || ' | ' || {SHARE.format(k)} || ' |'" for k, m in STATES.items()], "''", f"{BAR.format('completed', 40)} || ' ' || {SHARE.format('completed')}"]),
+        ("kinds", "2", STATE_PLACE, "0", "0", "''", ["''", f"'## ' || {STATE_MARK} || ' ' || status || ' (' || n || ')'", *_q("", "| folder | files | tokens | tasks | done | state |", "|---|---|---|---|---|---|")]),
+        ("r", "2", STATE_PLACE, "1", "folder", "''", [f"'| `' || folder || '` | ' || n_files || ' | ' || format('{{:,}}', tokens) || ' | ' || total || ' | ' || completed || ' | ' || {STATE_MARK} || ' ' || {BAR.format('completed', 10)} || ' |'"]),
+    ),
+    "tasks",
+)
+def report_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = views.tasks(spark, sf_dir)
+    more = t.groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"), F.sum("tokens").alias("tokens"))
+    return render.numbered(render.progress(tasks.status_counts(t, ["folder"]).join(more, "folder")))
+
+
+@query(
+    f"""WITH {HEADED}, k AS (SELECT *, CASE type WHEN 'component' THEN '00' WHEN 'hook' THEN '01' ELSE '99' END || type AS k FROM hd), c AS (SELECT k, type, count(*) AS n FROM k GROUP BY 1, 2), one AS (SELECT count(*) AS n FROM hd) """ + _lines(
+        ("one", "0", "''", "0", "0", "''", ["'---'", "'total_symbols: ' || n", *_q("---", "", "# Glossary")]), ("one", "1", "''", "0", "0", "''", _q("", "## Types", "", "| type | n |", "|---|---|")),
+        ("c", "2", "k", "0", "0", "''", ["'| ' || type || ' | ' || n || ' |'"]), ("c", "3", "k", "0", "0", "''", ["''", "'## ' || type", *_q("", "| name | page |", "|---|---|")]),
+        ("k", "3", "k", "1", "0", "name || chr(1) || relpath", ["'| `' || name || '` | [[' || regexp_replace(relpath, '\\.md$', '') || ']] |'"]),
+    )
+)
+def report_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.numbered(render.glossary(book.headed_symbols(views.md(spark, sf_dir))))
+
+
+@query(
+    f"""WITH i AS (SELECT f AS path, id, type, severity FROM (SELECT id, type, severity, unnest([coalesce(source_file, 'none'), 'all-' || (id % 5)]) AS f FROM issues WHERE type IS NOT NULL)), sv AS (SELECT severity, count(*) AS n FROM issues GROUP BY 1), one AS (SELECT (SELECT count(*) FROM issues) AS n, count(DISTINCT path) AS files FROM i) """ + _lines(
+        ("one", "0", "''", "0", "0", "''", ["'---'", "'issues: ' || n", "'files: ' || files", *_q("---", "", "# Files and issues")]), ("one", "1", "''", "0", "0", "''", _q("", "## Severity", "", "| severity | n |", "|---|---|")),
+        ("sv", "2", "''", "0", SEV_PLACE, "''", [f"'| ' || {SEV} || ' ' || severity || ' | ' || n || ' |'"]), ("one", "3", "''", "0", "0", "''", _q("", "## Files")), ("(SELECT DISTINCT path FROM i)", "4", "path", "0", "0", "''", ["''", "'### `' || path || '`'", "''"]),
+        ("i", "4", "path", "1", "id", "''", [f"'- ' || {SEV} || ' [[' || id || ']] — t' || id || ' _( ' || type || ' )_'"]),
+    ),
+    "issues",
+)
+def report_file_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = views.issues(spark, sf_dir)
+    files = i.withColumn("source_files", F.array(F.coalesce("source_file", F.lit("none")), F.concat(F.lit("all-"), (F.col("id") % 5).cast("string"))))
+    index = registers.file_index(files).withColumn("title", F.concat(F.lit("t"), F.col("id").cast("string")))
+    return render.numbered(render.file_issues(index, i.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))))
+
+
+PEND = "status IN ('detected', 'verified', 'fixing')"
+
+
+@query(
+    f"""WITH c AS (SELECT 0 AS k, status AS v, count(*) AS n, count(*) FILTER ({PEND}) AS pending FROM issues GROUP BY 2 UNION ALL SELECT 1, severity, count(*), count(*) FILTER ({PEND}) FROM issues GROUP BY 2 UNION ALL SELECT 2, type, count(*), count(*) FILTER ({PEND}) FROM issues GROUP BY 2 UNION ALL SELECT 3, coalesce(confidence, 'unknown'), count(*), count(*) FILTER ({PEND}) FROM issues GROUP BY 2),
+    l AS (SELECT id, severity, detected_at FROM issues WHERE {PEND} AND severity IN ('critical', 'high') UNION ALL SELECT * FROM (SELECT id, severity, detected_at FROM issues WHERE {PEND} AND severity = 'medium' ORDER BY detected_at DESC, id LIMIT 10)), o AS (SELECT *, row_number() OVER (ORDER BY detected_at DESC, id) AS r FROM l), one AS (SELECT count(*) AS n FROM issues), d AS (SELECT unnest(range(4)) AS k) """ + _lines(
+        ("one", "0", "''", "0", "0", "''", ["'---'", "'total: ' || n", *_q("---", "", "# Issues")]), ("d", "1", "k", "0", "0", "''", ["''", "'## ' || ['status', 'severity', 'type', 'confidence'][k + 1]", *_q("", "| value | n | pending |", "|---|---|---|")]),
+        ("c", "1", "k", "1", "CASE WHEN v IS NULL THEN 0 ELSE 1 END", "coalesce(v, '')", ["'| ' || coalesce(v, 'None') || ' | ' || n || ' | ' || pending || ' |'"]), ("one", "1", "0", "2", "0", "''", ["'| **total** | **' || n || '** | |'"]),
+        ("one", "2", "''", "0", "0", "''", _q("", "## Pending", "")), ("o", "3", f"lpad(CAST({SEV_PLACE} AS VARCHAR), 2, '0')", "0", "r", "''", [f"'- ' || {SEV} || ' [[' || id || ']] ' || detected_at"]),
+    ),
+    "issues",
+)
+def report_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = views.issues(spark, sf_dir)
+    return render.numbered(render.issue_dashboard(registers.dashboard(i.withColumn("is_pending", F.col("status").isin(*registers.PENDING))), registers.pending_list(i)))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, 'EXP-' || lpad(p_partkey::VARCHAR, 9, '0') AS id, CASE WHEN p_size % 10 = 0 THEN 'uncategorized' ELSE p_type END AS c, CASE p_size % 5 WHEN 0 THEN 'active' WHEN 1 THEN 'stale' WHEN 2 THEN 'orphaned' WHEN 3 THEN 'deprecated' ELSE 'candidate' END AS st, p_name, p_size, p_brand FROM part), sh AS (SELECT * FROM p WHERE st <> 'candidate'),
+    k AS (SELECT c, count(*) FILTER (st = 'active') AS a, count(*) FILTER (st = 'stale') AS s, count(*) FILTER (st IN ('orphaned', 'deprecated')) AS o FROM sh GROUP BY 1), one AS (SELECT count(*) FILTER (st <> 'candidate') AS total, count(*) FILTER (st = 'active') AS active, count(*) FILTER (st = 'stale') AS stale, count(*) FILTER (st IN ('orphaned', 'deprecated')) AS orphaned, count(*) FILTER (st = 'candidate') AS candidate, count(DISTINCT c) AS categories FROM p) """ + _lines(
+        ("one", "0", "''", "0", "0", "''", ["'---'", "'total_patterns: ' || total", *[f"'{k}: ' || {k}" for k in ("active", "stale", "orphaned", "candidate", "categories")], *_q("---", "", "# Experience")]),
+        ("one", "1", "''", "0", "0", "''", _q("", "## Categories", "", "| category | active | stale | orphaned |", "| --- | --- | --- | --- |")), ("k", "2", "c", "0", "0", "''", ["'| ' || c || ' | ' || a || ' | ' || s || ' | ' || o || ' |'"]), ("(SELECT DISTINCT c FROM sh)", "3", "c", "0", "0", "''", ["''", "'## ' || c", "''"]),
+        ("sh", "3", "c", "1", "0", "id", ["""'- [' || id || '](volume-3-experience/' || c || '/' || id || '.md)' || CASE st WHEN 'stale' THEN ' ⚠️' WHEN 'orphaned' THEN ' 🗑️' WHEN 'deprecated' THEN ' ❌' ELSE '' END || ' — ' || CASE WHEN p_size % 3 = 0 THEN 'S' || p_size WHEN p_size % 3 = 1 THEN p_name ELSE id END || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN ' | ' || p_brand ELSE ' | ' || p_brand || ', a, b...' END"""]),
+    )
+)
+def report_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, brand = F.col("p_size"), F.col("p_brand")
+    status = F.when(n % 5 == 0, "active").when(n % 5 == 1, "stale").when(n % 5 == 2, "orphaned").when(n % 5 == 3, "deprecated").otherwise("candidate")
+    some = F.when(n % 4 == 0, F.array().cast("array<string>")).when(n % 4 == 1, F.array(brand)).otherwise(F.array(brand, F.lit("a"), F.lit("b"), F.lit("c")))
+    p = views.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("EXP-"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("id"), F.when(n % 10 == 0, F.when(n % 20 == 0, "")).otherwise(F.col("p_type")).alias("category"), status.alias("status"),
+        F.when(n % 3 == 1, F.col("p_name")).otherwise("").alias("title"), F.when(n % 3 == 0, F.concat(F.lit("S"), n.cast("string"))).alias("summary"), some.alias("clusters"),
+    )
+    return render.numbered(render.experience(p, registers.pattern_counts(p), True))
+
+
+BOOKED = "'(volume-1-code/' || chapter || '/doc_' || k || '.md)'"
+
+
+@query(
+    f"""WITH {HEADED}, {FILES_OF}, {ISSUE_FILES}, nf AS (SELECT relpath, count(*) AS nf FROM pf GROUP BY 1), pg AS (SELECT md.*, nf FROM md JOIN nf USING (relpath)), ch AS (SELECT chapter, CASE WHEN min(k % 12) < 6 THEN 'Label ' || min(k % 12) ELSE chapter END AS label, count(DISTINCT relpath) AS np, count(DISTINCT path) AS nf, count(DISTINCT id) AS ni FROM pf JOIN md USING (relpath, chapter) LEFT JOIN isf USING (path) GROUP BY 1),
+    one AS (SELECT (SELECT count(DISTINCT chapter) FROM md) AS c, (SELECT count(*) FROM md) AS p, (SELECT count(*) FROM hd) AS s) """ + _lines(
+        ("one", "0", "''", "0", "0", "''", ["'---'", "'chapters: ' || c", "'pages: ' || p", "'symbols: ' || s", *_q("---", "", "# Book")]), ("one", "1", "''", "0", "0", "''", _q("", "## Contents")), ("ch", "2", "chapter", "0", "0", "''", ["''", "'### ' || label", "''"]),
+        ("pg", "2", "chapter", "1", "0", "'doc_' || k || '.md'", [f"'- [Page ' || k || ']' || {BOOKED}"]), ("one", "3", "''", "0", "0", "''", _q("", "## Chapters")),
+        ("ch", "4", "chapter", "0", "0", "''", ["''", "'### ' || label", "''", "'- **' || np || '** pages, **' || nf || '** files' || CASE WHEN ni > 0 THEN ', **' || ni || '** issues' ELSE '' END", *_q("", "| page | title | files |", "|---|---|---|")]),
+        ("pg", "4", "chapter", "1", "0", "'doc_' || k || '.md'", [f"'| [doc_' || k || '.md]' || {BOOKED} || ' | Page ' || k || ' | ' || nf || ' |'"]),
+    )
+)
+def report_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, md = _pages(spark, sf_dir), views.md(spark, sf_dir)
+    k = F.col("k") % 12
+    labels = md.filter(k < 6).select(F.concat(F.lit("ch-"), k.cast("string")).alias("chapter"), F.concat(F.lit("Label "), k.cast("string")).alias("label")).distinct()
+    rows = pages.select("chapter", paths.basename(F.col("relpath")).alias("section"), "title", F.size(F.array_distinct("source_files")).alias("n_files"))
+    return render.numbered(render.book(rows, labels, book.book_figures(pages, book.headed_symbols(md)), book.chapter_figures(pages, _issues(spark, sf_dir))))
