@@ -89,12 +89,14 @@ def shared(files: DataFrame, edges: DataFrame) -> DataFrame:
 def overlaps(cluster_files: DataFrame) -> DataFrame:
     """(a, b, shared, ratio): pairs that share at least ``OVERLAP`` of the smaller one.
 
-    The join on the file counts shared files; pairs without a common file never arise.
+    The join on the file counts shared files; pairs without a common file never arise.  Files of one
+    cluster alone make no pair and stay out of the join.
     """
-    size = cluster_files.groupBy("cluster").agg(F.count_distinct("path").alias("n"))
-    x = cluster_files.select(F.col("cluster").alias("a"), "path").distinct()
-    y = cluster_files.select(F.col("cluster").alias("b"), "path").distinct()
-    both = x.join(y, "path").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    rows = durable(cluster_files.select("cluster", "path").distinct())
+    size = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    common = rows.groupBy("path").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("path")
+    held = rows.join(common, "path").withColumnRenamed("cluster", "c")
+    both = held.select(F.col("c").alias("a"), "path").join(held.select(F.col("c").alias("b"), "path"), "path").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     out = both.join(size.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
     return out.select("a", "b", "shared", (F.col("shared") / F.least("na", "nb")).alias("ratio")).filter(F.col("ratio") >= OVERLAP)
 

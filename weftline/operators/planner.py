@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.code import is_entry_stem, split_thresholds
 from weftline.functions.paths import chapter_path, subtask_id
+from weftline.operators.graph import durable
 from weftline.operators.runs import next_fit_rows
 
 # Roles in the order in which a folder's subtasks are numbered.
@@ -65,7 +66,8 @@ def members(files: DataFrame, bounds: dict[str, int] | None = None) -> DataFrame
     what is small in several folders and too little altogether is in ``dropped``.
     """
     bounds = bounds or limits(files)
-    rows = grouped(files, bounds)
+    rows = durable(grouped(files, bounds))  # read for the large, the rest and the small groups
+    small = rows.filter("small")
     whole = rows.filter(~F.col("small"))
     order = ["moved", "priority", "down", "path"]
     large = whole.filter(F.col("role_tokens") > bounds["split"]).withColumn("down", -F.col("n_dep"))
@@ -77,7 +79,6 @@ def members(files: DataFrame, bounds: dict[str, int] | None = None) -> DataFrame
     tasks = tasks.withColumn("id", F.when(F.col("cut"), subtask_id(F.col("folder"), F.col("role"), F.col("task_no"))).otherwise(subtask_id(F.col("folder"), F.col("role"), F.lit(1))))
     tasks = tasks.withColumn("chapter", chapter_path(F.col("folder"), F.col("role"), F.col("task_no")))
     own = rows.join(tasks.drop("role", "cut"), ["folder", "ro", "chunk"]).select("folder", "path", "tokens", "priority", "role", "task_no", "id", "chapter", F.lit(None).cast("string").alias("merge"))
-    small = grouped(files, bounds).filter("small")
     sole = _cross(small).filter("n_folders = 1").select("folder", "role")
     last = tasks.groupBy("folder").agg(F.max_by(F.struct("role", "task_no", "id", "chapter"), "task_no").alias("t"))
     back = small.join(sole, ["folder", "role"]).join(last, "folder").select("folder", "path", "tokens", "priority", "t.role", "t.task_no", "t.id", "t.chapter", F.concat(F.lit("cross-"), "role").alias("merge"))
