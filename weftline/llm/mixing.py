@@ -12,7 +12,9 @@ Targets default to shares raised to ``flatten`` and normalised, so that rare sou
 are read once: what a document adds to its cell is written down in the shared folder, with the
 columns asked for.  Cells number sources x languages x topics, not documents; up to ``CELLS`` of
 them are raked in one partition, so that a sweep is sorts without a shuffle, more stay distributed.
-The arithmetic is the same.  Raking that has not settled after its sweeps says so in a warning.
+The arithmetic is the same.  Raking goes on until no weight, or probability, changes by the tolerance
+in a sweep; targets that contradict each other may never settle, and end after ``sweeps`` (twice as
+many for probabilities) with a warning, or with an error if ``strict``.
 
 Cases: null source or language is a category of its own (the empty string); a null text has no
 tokens, topic "empty" and is never counted but can be sampled; repeated rows have one fate, being
@@ -73,7 +75,8 @@ def weigh(
     flatten: float = 0.5,
     targets: dict[str, dict[str, float]] | None = None,
     tolerance: float = 1e-4,
-    sweeps: int = 25,
+    sweeps: int = 200,
+    strict: bool = False,
     seed: int = 7,
     source_col: str = "source",
     lang_col: str = "lang",
@@ -140,7 +143,10 @@ def weigh(
             left = c.agg(F.max(F.abs(value - F.col("_was")))).first()[0]
             if left < tolerance:
                 return c
-        warnings.warn(f"raking of {what} ends at {most} sweeps with a last change of {left:.2g}", stacklevel=3)
+        said = f"raking of {what} ends at {most} sweeps with a last change of {left:.2g}"
+        if strict:
+            raise RuntimeError(said)
+        warnings.warn(said, stacklevel=3)
         return c
 
     fitted = settled(cells.withColumn("_w", F.lit(1.0)), sweep, F.col("_w"), sweeps, "weights").withColumn("_weight", F.col("_w"))
