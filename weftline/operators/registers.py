@@ -81,9 +81,13 @@ def chapter_of(type_: Column) -> Column:
     return F.coalesce(looked_up(CHAPTER, type_), F.lit(ARCHIVE))
 
 
-def latest_first(issues: DataFrame) -> DataFrame:
+def latest_order() -> list[Column]:
     """Issues by severity, then the latest (by the order of words where dates are equal in form), then id."""
-    return issues.orderBy(severity_order(F.col("severity")), F.desc("detected_at"), "id")
+    return [severity_order(F.col("severity")), F.desc("detected_at"), F.col("id")]
+
+
+def latest_first(issues: DataFrame) -> DataFrame:
+    return issues.orderBy(*latest_order())
 
 
 def severity_order(s: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.code import token_budget
 from weftline.operators.graph import durable
-from weftline.operators.runs import next_fit_rows
+from weftline.operators.runs import next_fit_rows, running
 
 # Phases in their order, and the gap between ranges of issue numbers.
 PHASES = ("INIT", "SCAN", "DEPENDENCY", "GEN", "ASSEMBLE", "VALIDATE")
@@ -156,29 +156,42 @@ def file_task_index(cluster_files: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def phase_range(start: str | None, end: str | None, done: bool = False) -> list[str]:
-    """Phases from start to end; after everything is done, assembly and validation only."""
-    if done:
-        return ["ASSEMBLE", "VALIDATE"]
-    a = PHASES.index(start) if start in PHASES else 0
-    b = PHASES.index(end) if end in PHASES else len(PHASES) - 1
-    if a > b:
-        raise ValueError(f"{start} comes after {end}")
-    return list(PHASES[a : b + 1])
-
-
-def advance(state: dict, phase: str, now: str, failed: bool = False) -> dict:
-    """The state after a phase: its record is replaced, the next one begins; three failures end the run."""
-    history = [h for h in state.get("phaseHistory", []) if h["phase"] != phase]
-    tries = state.get("retries", {}).get(phase, 0) + failed
-    history.append({"phase": phase, "status": "failed" if failed else "completed", "at": now})
-    after = PHASES.index(phase) + 1
-    current = "DONE" if tries >= RETRIES or (not failed and after == len(PHASES)) else phase if failed else PHASES[after]
-    if current not in ("DONE", phase):
-        history.append({"phase": current, "status": "in_progress", "at": now})
-    return {**state, "phaseHistory": history, "currentPhase": current, "retries": {**state.get("retries", {}), phase: tries}}
-
-
-def append_feedback(log: list[str], entry: str, window: int = 10) -> list[str]:
-    """The log with the entry, unless it is among the last ``window``."""
-    return log if entry in log[-window:] else [*log, entry]
+def phase_range(start: str | None, target: str | None) -> list[str]:
+    """Phases from the start to the target, in their order: nothing without either, up to the last one for the target
+    DONE (or none), which always ends with assembly and validation."""
+    if not start and not target:
+        return []
+    start, target = start or PHASES[0], target or "DONE"
+    a, b = (PHASES.index(x) if x in PHASES else len(PHASES) for x in (start, target))
+    return [x for k, x in enumerate(PHASES) if a <= k <= b or (target == "DONE" and x in ("ASSEMBLE", "VALIDATE"))]
+
+
+def transitions(events: DataFrame, most: int = RETRIES) -> DataFrame:
+    """events: run, ord, phase, status, next (null: none).  Adds retries, current and last_success: a run's state after each
+    event.
+
+    Each entry into FEEDBACK is a retry; more than ``most`` end the run.  The current phase is else the
+    last one entered, the last success the last phase completed.  Runs may be of any length.
+    """
+    entered, ok = F.when(F.col("next").isNotNull(), F.struct("ord", "next")), F.when(F.col("status") == "completed", F.struct("ord", "phase"))
+    again = (F.coalesce(F.col("next"), F.lit("")) == "FEEDBACK").cast("long")
+    rows = running(events, ["run"], ["ord"], {"_r": ("sum", again), "_n": ("max", entered), "_s": ("max", ok)})
+    rows = rows.withColumn("retries", F.coalesce("_r", F.lit(0)) + again)
+    return rows.select(*events.columns, "retries", F.when(F.col("retries") > most, "DONE").otherwise(F.coalesce(F.col("next"), F.col("_n.next"))).alias("current"), F.coalesce(F.when(F.col("status") == "completed", F.col("phase")), F.col("_s.phase")).alias("last_success"))
+
+
+def phase_records(events: DataFrame) -> DataFrame:
+    """events: run, ord, phase, status, next, at.  (run, phase, status, started, ended): a run's record of each phase, after
+    all events: the status last told, or in_progress where it was entered later."""
+    told = events.select("run", "ord", "phase", "status", F.lit(0).alias("k"), "at")
+    entered = events.filter("next is not null").select("run", "ord", F.col("next").alias("phase"), F.lit("in_progress").alias("status"), F.lit(1).alias("k"), "at")
+    rows = told.unionByName(entered).groupBy("run", "phase")
+    last = F.struct("ord", "k")
+    return rows.agg(F.max_by("status", last).alias("status"), F.min_by("at", last).alias("started"), F.max_by("at", F.when(F.col("k") == 0, F.col("ord"))).alias("ended"))
+
+
+def append_feedback(log: list[tuple[str, str]], phase: str, message: str, window: int = 10) -> list[tuple[str, str]]:
+    """The log of (phase, message) with the entry, unless one of the last ``window`` is of the phase and has the message's
+    first line."""
+    first = message.split("\n")[0].strip()
+    return log if any(p == phase and first in m for p, m in log[-window:]) else [*log, (phase, message)]

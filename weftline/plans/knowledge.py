@@ -67,15 +67,15 @@ def largest_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH ft AS (SELECT o_orderkey AS id, 's' || (o_custkey % 40) AS folder, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'in_progress' END AS status FROM orders), a AS (SELECT 's' || k AS folder FROM range(40) x(k) WHERE k % 9 = 4),
-    m1 AS (SELECT 's' || k AS folder FROM range(40) x(k) WHERE k % 4 = 1), m2 AS (SELECT 's' || k AS folder FROM range(40) x(k) WHERE k IN (2, 6, 38)), m3 AS (SELECT 's' || k AS folder FROM range(40) x(k) WHERE k IN (1, 30)),
+    """WITH ft AS (SELECT o_orderkey AS id, 's' || (o_custkey % 40) AS folder, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'in_progress' END AS status FROM orders), a AS (SELECT 's' || k AS folder FROM (SELECT DISTINCT o_custkey % 40 AS k FROM orders) WHERE k % 9 = 4),
+    m1 AS (SELECT 's' || k AS folder FROM (SELECT DISTINCT o_custkey % 40 AS k FROM orders) WHERE k % 4 = 1), m2 AS (SELECT 's' || k AS folder FROM (SELECT DISTINCT o_custkey % 40 AS k FROM orders) WHERE k IN (2, 6, 38)), m3 AS (SELECT 's' || k AS folder FROM (SELECT DISTINCT o_custkey % 40 AS k FROM orders) WHERE k IN (1, 30)),
     w1 AS (SELECT folder FROM a UNION SELECT folder FROM m1 WHERE EXISTS (SELECT 1 FROM a JOIN m1 USING (folder))), w2 AS (SELECT folder FROM w1 UNION SELECT folder FROM m2 WHERE EXISTS (SELECT 1 FROM w1 JOIN m2 USING (folder))), w3 AS (SELECT folder FROM w2 UNION SELECT folder FROM m3 WHERE EXISTS (SELECT 1 FROM w2 JOIN m3 USING (folder)))
     SELECT id, CASE WHEN folder IN (SELECT folder FROM w3) AND status <> 'in_progress' THEN 'pending' ELSE status END AS status FROM ft"""
 )
 def reset_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folders s0 to s39; every ninth is affected, and merges of some widen that in their order."""
+    """Folders of the customers' last numbers; every ninth is affected, and merges of some widen that in their order."""
     t = views.tasks(spark, sf_dir).select("id", F.concat(F.lit("s"), (F.col("folder") % 40).cast("string")).alias("folder"), "status")
-    k = spark.range(40).select("id", F.concat(F.lit("s"), F.col("id").cast("string")).alias("folder"))
+    k = views.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("id")).distinct().select("id", F.concat(F.lit("s"), F.col("id").cast("string")).alias("folder"))
     merges = k.filter("id % 4 = 1").select(F.lit("m1").alias("id"), "folder").unionAll(k.filter("id in (2, 6, 38)").select(F.lit("m2"), "folder")).unionAll(k.filter("id in (1, 30)").select(F.lit("m3"), "folder"))
     plan = k.select("folder", F.concat("folder", F.lit("/a.ts")).alias("path"))
     hit = k.filter("id % 9 = 4").select(F.concat("folder", F.lit("/a.ts")).alias("path"))

@@ -346,9 +346,62 @@ def next_fit_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUDGET = "CAST(least(300000, greatest(15000, round(CASE WHEN tokens <= 10000 THEN tokens * 2.5::DOUBLE + 8000 WHEN tokens <= 50000 THEN tokens * 2.0::DOUBLE + 10000 ELSE tokens * 1.5::DOUBLE + 15000 END))) AS BIGINT)"
 
 
-@query(f"SELECT id, {BUDGET} AS budget FROM tasks", "tasks")
+CAPPED = BUDGET.replace("greatest(15000, round(", "greatest(15000, least(round(").replace("END))) AS", "END), CASE WHEN project > 0 THEN round(project * 0.3::DOUBLE) ELSE 1e9 END))) AS")
+
+
+@query(f"WITH p AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY folder) * (folder % 3) AS BIGINT) AS project FROM tasks) SELECT id, {BUDGET} AS budget, {CAPPED} AS capped FROM p", "tasks")
 def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.tasks(spark, sf_dir).select("id", code.token_budget(F.col("tokens")).alias("budget"))
+    """Budgets alone, and under the cap of a project's tokens: none for every third folder."""
+    t = views.tasks(spark, sf_dir)
+    whole = t.groupBy("folder").agg((F.sum("tokens") * (F.first("folder") % 3)).alias("project"))
+    return t.join(whole, "folder").select("id", code.token_budget(F.col("tokens")).alias("budget"), code.token_budget(F.col("tokens"), F.col("project")).alias("capped"))
+
+
+PHASES_OF = """e AS (SELECT user_id AS run, event_id AS ord, ['INIT', 'SCAN', 'DEPENDENCY', 'GEN', 'ASSEMBLE', 'VALIDATE'][event_id % 6 + 1] AS phase, CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'completed' END AS status, CASE event_id % 7 WHEN 0 THEN 'FEEDBACK' WHEN 1 THEN NULL ELSE ['INIT', 'SCAN', 'DEPENDENCY', 'GEN', 'ASSEMBLE', 'VALIDATE'][event_id % 4 + 1] END AS next FROM events)"""
+
+
+def _phase_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, names = F.col("event_id"), F.array(*map(F.lit, tasks.PHASES))
+    pick = lambda n: F.element_at(names, (k % n + 1).cast("int"))
+    status = F.when(k % 5 == 0, "failed").when(k % 5 == 1, "skipped").otherwise("completed")
+    return views.table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), k.alias("ord"), pick(6).alias("phase"), status.alias("status"), F.when(k % 7 == 0, "FEEDBACK").when(k % 7 != 1, pick(4)).alias("next"), k.alias("at"))
+
+
+@query(
+    f"""WITH {PHASES_OF}, r AS (SELECT *, CAST(sum(CASE WHEN next = 'FEEDBACK' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS retries, max(CASE WHEN next IS NOT NULL THEN {{'o': ord, 'n': next}} END) OVER w AS n, max(CASE WHEN status = 'completed' THEN {{'o': ord, 'p': phase}} END) OVER w AS s FROM e WINDOW w AS (PARTITION BY run ORDER BY ord))
+    SELECT run, ord, phase, status, next, retries, CASE WHEN retries > 3 THEN 'DONE' ELSE n.n END AS current, s.p AS last_success FROM r"""
+)
+def phase_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.transitions(_phase_events(spark, sf_dir)).drop("at")
+
+
+@query(
+    f"""WITH {PHASES_OF}, a AS (SELECT run, ord, phase, status, 0 AS k FROM e UNION ALL SELECT run, ord, next, 'in_progress', 1 FROM e WHERE next IS NOT NULL) SELECT run, phase, arg_max(status, ord * 2 + k) AS status, arg_min(ord, ord * 2 + k) AS started, max(CASE WHEN k = 0 THEN ord END) AS ended FROM a GROUP BY 1, 2"""
+)
+def phase_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.phase_records(_phase_events(spark, sf_dir))
+
+
+@query("SELECT path, row_number() OVER (ORDER BY path) - 1 AS place FROM files", "files")
+def ordered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.ranked(views.files(spark, sf_dir).select("path"), [], ["path"], "place")
+
+
+@query("SELECT id, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, detected_at DESC, id) - 1 AS place FROM issues", "issues")
+def issue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.ranked(views.issues(spark, sf_dir).select("id", "severity", "detected_at"), [], registers.latest_order(), "place").select("id", "place")
+
+
+@query(
+    """WITH a AS (SELECT id, status, CASE status WHEN 'completed' THEN 'skip' WHEN 'pending' THEN 'run' ELSE 'retry' END AS action FROM tasks) SELECT id, row_number() OVER (ORDER BY CASE status WHEN 'failed' THEN 0 WHEN 'in_progress' THEN 1 WHEN 'pending' THEN 2 ELSE 3 END, id) - 1 AS by_status,
+    row_number() OVER (ORDER BY CASE action WHEN 'retry' THEN 0 WHEN 'run' THEN 1 ELSE 2 END, id) - 1 AS by_action FROM a""",
+    "tasks",
+)
+def task_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of tasks by state (failed first) and by what is to be done (retries first)."""
+    t = views.tasks(spark, sf_dir).select("id", "status").withColumn("action", tasks.action(F.col("status"), F.lit(False), True))
+    one = tasks.ranked(t, [], [tasks.status_order(F.col("status")), F.col("id")], "by_status")
+    return tasks.ranked(one, [], [tasks.action_order(F.col("action")), F.col("id")], "by_action").select("id", "by_status", "by_action")
 
 
 @query(
