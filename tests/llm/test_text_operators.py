@@ -281,6 +281,21 @@ def test_sharding_against_a_plain_propagation(spark):
     assert len(moved) > 100 and sum(got[d] != k for d, k in plain.items()) <= over
 
 
+def test_sharding_of_a_hot_text_in_small_buckets(spark, monkeypatch):
+    """One text in half of all rows: no bucket of the ranking, and no key of the join, holds much more than RANK_ROWS."""
+    monkeypatch.setattr(sharding, "RANK_ROWS", 100)
+    n, shards = 12_000, 6
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "same").otherwise(F.concat(F.lit("t"), (F.col("id") % 4001).cast("string"))).alias("text"))
+    got = sharding.shard_documents(rows, shards).cache()
+    count = {r["shard"]: r["n"] for r in got.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    assert sorted(count.values()) == [n // shards] * shards
+    assert all(sorted(r.slot for r in part) == list(range(len(part))) for part in ([r for r in got.select("shard", "slot").collect() if r.shard == k] for k in range(shards)))
+    most, buckets = n // shards // 4, math.ceil(n / shards / 100)
+    parts = rows.filter("text = 'same'").withColumns({"g": F.xxhash64("text"), "group_size": F.lit(n // 2).cast("long")}).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("group_size") / most)).cast("int"))
+    pieces = parts.groupBy("part", sharding.rank_bucket(1 << 40, most).alias("b")).agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert pieces[0] <= 2 * 100 and buckets > 1
+
+
 def test_packing_round_trip(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer

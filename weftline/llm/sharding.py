@@ -20,13 +20,22 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import durable, exact_rank, utf8
 
 #: Rows that one task ranks at a time.
 RANK_ROWS = 50_000
+#: Groups whose counts may be broadcast, at most.
+HOT_GROUPS = 100_000
+
+
+def rank_bucket(buckets: int, most: int) -> Column:
+    """The bucket in which a row of a group's part is ranked: a part's rows stay together, in pieces of some RANK_ROWS."""
+    part_rows = F.col("group_size") / F.ceil(F.col("group_size") / most)
+    piece = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.lit(1), F.ceil(part_rows / RANK_ROWS)))
+    return F.pmod(F.xxhash64("g", "part", piece), F.lit(buckets))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,10 +55,12 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int | None = None
     most = max(1, total // shards // 4)
     group = ["g", "text_crc32", "size"]
 
-    # a group's count comes back to its members by a join; groups that fill a quarter of a shard, of
-    # which there are fewer than 4 * shards + 1, are broadcast, so that no key of the other join is larger
+    # a group's count comes back to its members by a join; groups of more than RANK_ROWS rows, or than
+    # their share of all rows if there could be over HOT_GROUPS of these, are broadcast, so that no key
+    # of the other join is larger
+    large = min(most, max(RANK_ROWS, total // HOT_GROUPS))
     sizes = durable(base.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"))
-    hot, cold = F.broadcast(sizes.filter(F.col("group_size") > most)), sizes.filter(F.col("group_size") <= most)
+    hot, cold = F.broadcast(sizes.filter(F.col("group_size") > large)), sizes.filter(F.col("group_size") <= large)
     rest = durable(base.join(hot, group, "left_anti"))  # read several times below
     linked = (
         base.join(hot, group).unionByName(rest.join(cold, group))
@@ -104,7 +115,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int | None = None
 
     b = max(1, math.ceil(total / shards / RANK_ROWS))
     tie = [F.col("g"), F.col("part"), F.col("doc_id")]
-    ranked = exact_rank(out, ["shard"], tie, F.pmod(F.xxhash64("g", "part"), F.lit(b)), b, "slot")
+    ranked = exact_rank(out, ["shard"], tie, rank_bucket(b, most), b, "slot")
     kept = durable(ranked.filter(F.col("slot") < quota))
     over = ranked.filter(F.col("slot") >= quota).select(*alone.columns)
     # what is left of each shard is filled in order by the documents without a place
