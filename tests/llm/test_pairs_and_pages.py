@@ -226,6 +226,13 @@ def test_pages_against_their_articles(spark):
     assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
 
 
+def test_names_and_figures_inside_an_article():
+    """Classes of several words, formulas and drawings belong to the article; furniture in it does not."""
+    page = """<body><svg><text>Logo</text></svg><div class="share-price">Out</div><article><p>One <math><mi>x</mi><mo>=</mo><mn>2</mn></math> two</p><div class="share-price">Price 12</div><p class="notice-board">Board</p>
+    <svg><title>t</title><text>Drawn</text></svg><div class="social-share">S</div><div id="related_posts">R</div><ul class="x share">U</ul><div class="ad-slot-3">A</div><select><option>O</option></select><p class="headers">Last</p></article></body>"""
+    assert [t for t, own in html.blocks(page) if own] == ["One x=2 two", "Price 12", "Board", "Drawn", "Last"]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 

@@ -40,14 +40,17 @@ RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "title",
 FURNITURE = {"nav", "footer", "aside", "form", "dialog", "menu", "button", "head"}
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "math", "mrow", "mi", "mo", "mn", "msub", "msup", "mtext"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 MAIN_ROLES = {"article", "main"}
-#: Words of class and id that name furniture.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|banner|breadcrumbs?|comments?|comment-list|respond|disqus|cookies?|consent|gdpr|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|popup|modal|promo(?:tion)?|related|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
-)
+#: Words of class and id that name furniture, and words that go with them without another meaning.
+NAMED = r"ads?|advert(?:s|isement|ising)?|banner|breadcrumbs?|comments?|comment-list|respond|disqus|cookies?|consent|gdpr|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|popup|modal|promo(?:tion)?|related|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget"
+NAMES = re.compile(rf"(?:^|[\s_-])(?:{NAMED})(?:$|[\s_-])", re.I)
+WITH_NAMES = r"area|articles?|bar|block|bottom|box|buttons?|container|form|icons?|inline|inner|items?|left|links?|lists?|outer|posts?|right|section|signup|slot|stories|top|unit|wrap(?:per)?"
+#: Inside an article a class or id names furniture only if all its words do.
+WHOLE_NAMES = re.compile(rf"(?:^|\s)(?:(?:{WITH_NAMES})[_-])*(?:{NAMED})(?:[_-](?:{NAMED}|{WITH_NAMES}|\d+))*(?:$|\s)", re.I)
+#: Drawings and formulas: in an article their text is the article's.
+FIGURES = {"svg", "math"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>?", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 SPACE = re.compile(r"\s+")
@@ -67,7 +70,7 @@ def _kind(name: str, tag: str, in_main: bool) -> str:
             return "drop"
         if role in MAIN_ROLES:
             return "main"
-        if name not in ("html", "body", *MAIN) and any(NAMES.search(found.get(k, "")) for k in ("class", "id")):
+        if name not in ("html", "body", *MAIN) and any((WHOLE_NAMES if in_main else NAMES).search(found.get(k, "")) for k in ("class", "id")):
             return "drop"
     return "main" if name in MAIN else "plain"
 
@@ -107,7 +110,7 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
         if name not in INLINE and not dropped:
             close()
         if not ending:
-            if name in RAW:
+            if name in RAW and not (mains and name in FIGURES):
                 if not tag.endswith("/>"):
                     end = re.compile(rf"</{re.escape(name)}(?:[\s/>]|$)", re.I).search(page, at)
                     at = len(page) if not end else page.find(">", end.start()) + 1 or len(page)
