@@ -127,7 +127,7 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
 
     tokens = {r["doc_id"]: len(r["text"].encode().split()) for r in rows}
     cells = pd.DataFrame([(r["source"] or "", r["lang"] or "", form(r["text"], tokens[r["doc_id"]]), tokens[r["doc_id"]]) for r in rows], columns=[*mixing.DIMENSIONS, "_tokens"])
-    chance = dict(zip([r["doc_id"] for r in rows], cells.merge(plain_raking(cells, 0.5, 20_000), on=list(mixing.DIMENSIONS), how="left")["probability"]))
+    chance = dict(zip([r["doc_id"] for r in rows], cells.merge(plain_raking(cells, 0.5, 8_000), on=list(mixing.DIMENSIONS), how="left")["probability"]))
     drawn = {r.doc_id: r.u for r in made.select("doc_id", unit_interval(F.col("doc_id"), F.lit(7)).alias("u")).collect()}
     near = {d for d, x in chance.items() if abs(drawn[d] - x) < 5e-3}  # as near as raking settles
     taken = {d for d, x in chance.items() if drawn[d] < x}

@@ -44,7 +44,7 @@ class Ids(dict):
     tokenizer; any other word goes to it whole.  Both are kept up to ``bound`` entries.
     """
 
-    def __init__(self, name: str, bound: int = 500_000):
+    def __init__(self, name: str, bound: int = 300_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         if not os.path.isabs(name):
