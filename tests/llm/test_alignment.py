@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,18 @@ def test_random_strings(tools):
         assert not fine or [int(tool.sums(k, numbers, firsts)[0]) for k in ("a", "b", "groups", "links")] == [a, b, groups, len(links)]
 
 
+def test_chunks_kept_of_other_texts():
+    tool = alignment.Aligned(alignment.TOKENIZER_A, alignment.TOKENIZER_B)
+    for t in (b"zebra quilts", b"Aardvark"):
+        tool.numbers([t])
+    numbers, _ = tool.numbers([b"a b a"])
+    pairs, n = tool.links(*np.unique(numbers, return_counts=True))
+    n_best, n_sum = tool.weighted("run", (pairs, n, np.ones(len(n), bool)))
+    assert (n_best[numbers].sum(), n_sum[numbers].sum()) == (n.sum(), (n * n).sum())
+    none = np.zeros(0, "i8")
+    assert [x.sum() for x in tool.weighted("none", (none, none, none.astype(bool)))] == [0, 0]
+
+
 def test_empty(spark):
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
