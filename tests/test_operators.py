@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,15 @@ def test_patterns_links_and_gates(spark):
     assert {r.name: (r.problem, r.severity) for r in registers.artifact_gate(art).collect()} == {"a.json": ("empty", "error"), "b.json": ("invalid", "error"), "c.json": (None, None), "d.json": ("ghost", "warning"), "state.json": (None, None), "notes.md": (None, None), "e.json": ("missing", "warning")}
     bars = spark.createDataFrame([("p", "A | b"), ("p", " gone|x")], "page string, target string")
     assert {r.target for r in registers.broken_links(bars, pages).collect()} == {"gone"}
+
+
+def test_symbols_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(registers, "SYMBOLS_A_TEXT", 3)  # several lists of one file
+    words = [f"w{k}" for k in range(4000)]
+    text = spark.createDataFrame([("f.ts", " ".join(words) + r" a\Eb"), ("f.ts", "of the second row"), ("g.ts", None)], "path string, content string")
+    asked = ["w7", "w39", "w3999", "w4000", "w1 w2", "w1 w3", "1 w2", r"a\Eb", r"\E", "second", ""]
+    refs = spark.createDataFrame([("p", f, x) for x in asked for f in ("f.ts", "g.ts")], "page string, path string, symbol string")
+    began = time.perf_counter()
+    got = {r.symbol for r in registers.symbol_checks(refs, text).collect() if r.found}
+    assert got == {"w7", "w39", "w3999", "w1 w2", r"a\Eb", "second"}
+    assert time.perf_counter() - began < 30  # windows of every place were as many as the square of the text

@@ -299,42 +299,28 @@ def code_references(refs: DataFrame, files: DataFrame, modules: DataFrame, degre
     return rows.select("page", "path", F.explode(found).alias("check"))
 
 
-TOKEN = "[A-Za-z0-9_]+|[^A-Za-z0-9_]"
-
-
-def symbol_places(contents: DataFrame, sizes: list[int]) -> DataFrame:
-    """contents: path, content.  (path, symbol): what stands between word boundaries, as runs of word characters
-    and single other characters, in each of the sizes (numbers of these) asked for."""
-    is_word = lambda x: x.rlike("^[A-Za-z0-9_]")
-    tokens = F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))
-    out = None
-    for n in sizes:
-        if n == 1:
-            got = F.regexp_extract_all("content", F.lit("[A-Za-z0-9_]+"), F.lit(0))
-            out = contents.select("path", F.explode(F.array_distinct(got)).alias("symbol"))
-        at = F.sequence(F.lit(1), F.size("t") - n + 1)
-        edge = lambda i, inner, outer: is_word(F.element_at("t", i + inner)) | F.coalesce(is_word(F.try_element_at("t", F.nullif(i + outer, F.lit(0)))), F.lit(False))
-        here = F.filter(at, lambda i: edge(i, 0, -1) & edge(i, n - 1, n))  # noqa: B023
-        grams = contents.select("path", tokens.alias("t")).filter(F.size("t") >= n).select("path", F.explode(F.array_distinct(F.transform(here, lambda i: F.concat_ws("", F.slice("t", i, n))))).alias("symbol"))  # noqa: B023
-        grams = grams.filter(~is_word(F.col("symbol"))) if n == 1 else grams
-        out = grams if out is None else out.unionAll(grams)
-    return out
+#: A word boundary (of A-Z, a-z, 0-9 and _), as a regular expression.
+BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: Symbols that go to a text together.
+SYMBOLS_A_TEXT = 1000
 
 
 def symbol_checks(refs: DataFrame, contents: DataFrame) -> DataFrame:
     """refs: page, path, symbol.  (page, path, symbol, found): the symbol stands in the file between word boundaries
     (of A-Z, a-z, 0-9 and _).
 
-    Files become an index of (path, symbol) once, for the sizes that symbols have, and references are
-    joined with it by equality: texts are neither multiplied by symbols nor sent through the join.
+    The distinct symbols of a file go to its text as lists of some ``SYMBOLS_A_TEXT`` at most, so that a
+    text is sent once for each list, and each symbol is searched in it; what is found is joined with
+    the references by equality.
     """
-    size = F.size(F.regexp_extract_all("symbol", F.lit(TOKEN), F.lit(0)))
-    sizes = sorted(r.n for r in refs.select(size.alias("n")).distinct().collect() if r.n)  # numbers up to the longest symbol
-    if not sizes:
-        return refs.select("page", "path", "symbol", F.lit(False).alias("found"))
-    wanted = refs.select("symbol").distinct()
-    index = symbol_places(contents, sizes).join(wanted, "symbol", "left_semi").distinct().withColumn("found", F.lit(True))
-    return refs.join(index, ["path", "symbol"], "left").select("page", "path", "symbol", F.coalesce("found", F.lit(False)).alias("found"))
+    asked = refs.filter("symbol <> ''").select("path", "symbol").distinct()
+    lists = asked.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / SYMBOLS_A_TEXT).alias("_n"))
+    lists = asked.join(lists.hint("merge"), "path").groupBy("path", F.pmod(F.xxhash64("symbol"), "_n").alias("_list")).agg(F.collect_list("symbol").alias("_symbols"))
+    text = F.col("content")
+    pattern = lambda x: F.concat(F.lit(BOUNDARY + r"\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E" + BOUNDARY))
+    there = F.filter("_symbols", lambda x: F.when(F.contains(text, x), F.rlike(text, pattern(x))).otherwise(False))
+    found = contents.join(lists.hint("merge"), "path").select("path", F.explode(there).alias("symbol")).distinct().withColumn("found", F.lit(True))
+    return refs.join(found.hint("merge"), ["path", "symbol"], "left").select("page", "path", "symbol", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def missing_fields(pages: DataFrame, fields: dict[str, str]) -> DataFrame:
