@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import paths
 from weftline.operators import book, clusters, graph, planner, registers, render, runs, tasks
+from weftline.plans import registry
 from weftline.sources import ignores, projects, readers, sinks
 from weftline.streaming import changes
 
@@ -452,3 +453,16 @@ def test_prompts_and_reports_reach_the_disk(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     parts = sorted((tmp_path / "glossary").glob("part-*"))
     assert "".join(p.read_text() for p in parts) == render.text(lines) and len(parts) > 1
+
+
+def test_whole_answers_of_pages_and_issues(spark):
+    sf = "/root/testdata/sf0.001"
+    q = registry.queries()
+    counts = {r.relpath: r.n_issues for r in q["page_issue_counts"](spark, sf).collect()}
+    pairs = q["page_issues"](spark, sf).collect()
+    assert len(pairs) == len(set(pairs)) == sum(counts.values())
+    issues, links = spark.read.parquet(f"{sf}/events.parquet").count(), q["issue_page_links"](spark, sf).collect()
+    assert len(links) == len(pairs) and len({r.id for r in links}) == issues
+    docs = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()]
+    got = {(r.relpath, r.field) for r in q["missing_fields"](spark, sf).collect()}
+    assert got == {(f"p{k}", f) for k in docs for f, m in (("tags", 3), ("updated", 4), ("source", 5)) if k % m == 0}
