@@ -196,3 +196,12 @@ def test_symbols_of_long_texts(spark, monkeypatch):
     got = {r.symbol for r in registers.symbol_checks(refs, text).collect() if r.found}
     assert got == {"w7", "w39", "w3999", "w1 w2", r"a\Eb", "second"}
     assert time.perf_counter() - began < 30  # windows of every place were as many as the square of the text
+
+
+def test_rounds_of_circles_send_nothing_to_the_driver(spark):
+    edges = spark.createDataFrame([(k, (k + 1) % 5 + 10 * (k // 10)) for x in range(6) for k in range(10 * x, 10 * x + 5)], "src long, dst long")
+    for df in (graph.cycles(edges), graph.cycle_paths(edges, graph.cycles(edges))):
+        assert df.count() and "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    with_join = lambda df: "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+    assert before != "-1" and not with_join(graph.met(edges.withColumnRenamed("dst", "x")).join(edges, "src"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.paths import basename, padded, slug, yaml_text
+from weftline.operators.graph import met
 from weftline.operators.runs import running
 from weftline.operators.tasks import ranked
 
@@ -237,8 +238,8 @@ def content_checks(issues: DataFrame, files: DataFrame, in_degree: DataFrame, in
     """
     applies = F.create_map(*[x for t, cs in CHECKS_OF.items() for x in (F.lit(t), F.array(*map(F.lit, cs)))])
     each = issues.select("id", "type", F.posexplode("paths").alias("pos", "path"))
-    circles = each.join(in_cycles.select("path").distinct(), "path", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("_circles"))
-    rows = each.join(files.withColumn("_f", F.lit(True)), "path", "left").join(in_degree.select(F.col("source").alias("path"), "n_dependents"), "path", "left").join(circles, "id", "left")
+    circles = each.join(met(in_cycles.select("path").distinct()), "path", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("_circles"))
+    rows = each.join(met(files.withColumn("_f", F.lit(True))), "path", "left").join(met(in_degree.select(F.col("source").alias("path"), "n_dependents")), "path", "left").join(met(circles), "id", "left")
     rows = rows.withColumn("check", F.explode(applies[F.col("type")]))
     value = {"file_exists": F.coalesce("_f", F.lit(False)).cast("long"), "line_count": F.col("lines"), "any_count": F.col("any_count"), "nesting_depth": F.col("depth"), "export_references": F.col("n_dependents"), "circular_in_graph": F.coalesce("_circles", F.lit(0))}
     actual = F.coalesce(*[F.when(F.col("check") == k, v.cast("long")) for k, v in value.items()])
