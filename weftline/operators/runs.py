@@ -21,12 +21,15 @@ from weftline.operators.graph import durable
 
 #: Weights that are no whole numbers count in millionths.
 UNIT = 1_000_000
+#: Rows of a range, which a task may hold as a whole.
+RANGE_ROWS = 250_000
 PART_BITS = 33  # of ``monotonically_increasing_id``: the partition is above them
 
 
 def ranged(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The rows in ranges of (key, order), with their place ``_at``."""
-    return durable(df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).withColumn("_at", F.monotonically_increasing_id()))
+    """The rows in ranges of (key, order) of some ``RANGE_ROWS``, with their place ``_at``."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // RANGE_ROWS))
+    return durable(df.repartitionByRange(n, *key, *order).sortWithinPartitions(*key, *order).withColumn("_at", F.monotonically_increasing_id()))
 
 
 def running(df: DataFrame, key: list[str], order: list[str], folds: dict[str, tuple[str, Column]], behind: bool = False) -> DataFrame:
