@@ -466,3 +466,51 @@ def test_whole_answers_of_pages_and_issues(spark):
     docs = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()]
     got = {(r.relpath, r.field) for r in q["missing_fields"](spark, sf).collect()}
     assert got == {(f"p{k}", f) for k in docs for f, m in (("tags", 3), ("updated", 4), ("source", 5)) if k % m == 0}
+
+
+def test_ranges_hold_some_rows_each(spark, monkeypatch):
+    monkeypatch.setattr(runs, "RANGE_ROWS", 100)
+    rows = spark.range(3000).select(F.lit(1).alias("k"), "id", (F.col("id") % 7).alias("w"))
+    assert runs.ranged(rows, ["k"], ["id"]).rdd.getNumPartitions() >= 25
+    want, chunk, total = {}, 0, 0
+    for k in range(3000):
+        chunk, total = (chunk + 1, k % 7) if total + k % 7 > 20 else (chunk, total + k % 7)
+        want[k] = chunk
+    assert {r.id: r.chunk for r in runs.next_fit_rows(rows, ["k"], ["id"], "w", 20).collect()} == want
+
+
+def test_tasks_without_output_are_not_dealt_by_their_chapter(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = spark.range(4000).select("id", F.lit("pending").alias("status"), F.lit("").alias("chapter"))
+        found = spark.range(4000).select("id", F.when(F.col("id") % 100 == 0, F.concat(F.lit("c"), (F.col("id") % 3).cast("string"))).alias("found"))
+        got = tasks.synced(t, found, spark.createDataFrame([("c1",), ("c1",)], "chapter string"))
+        assert max(got.rdd.glom().map(len).collect()) < 2000
+        assert {(r.id, r.status, r.chapter, r.blocked) for r in got.collect()} == {(k, "pending", "", k % 100 == 0) if k % 100 or k % 3 == 1 else (k, "completed", f"c{k % 3}", False) for k in range(4000)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_overlaps_of_large_and_small_clusters(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "PAIRS", 500)  # several runs of clusters in a part
+    rng = random.Random(4)
+    sets = {f"k{k}": set(rng.sample(range(900), rng.choice((1, 3, 8, 120, 300, 420)))) for k in range(40)}
+    sets["k5"] = set(sorted(sets["k9"])[: len(sets["k9"]) // 2]) | {5000 + x for x in range(100)}
+    want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) >= 0.3 and sets[a] & sets[b]}
+    rows = spark.createDataFrame([(c, f) for c, x in sets.items() for f in x] * 2 + [("k1", None)], "cluster string, path long")
+    sizes = {c: len(x) + (c == "k1") for c, x in sets.items()}
+    want = {w for w in want if w[2] / min(sizes[w[0]], sizes[w[1]]) >= 0.3}
+    got = clusters.overlaps(rows)
+    assert {(r.a, r.b, r.shared) for r in got.collect()} == want and want
+    some = spark.createDataFrame([(f"s{k}", x) for k in range(60) for x in range(1000 * (k % 30), 1000 * (k % 30) + 200)], "cluster string, path int")
+    held = some.withColumnRenamed("cluster", "c")
+    assert clusters.overlapping(held, held.groupBy("c").agg(F.count("*").alias("size"))).count() == 30
+
+
+def test_homes_of_directories_are_counted_once(spark):
+    rows = [(c, d, c) for c in range(3) for d in ("a", "a/b", "a/b/c", "x")] + [(2, "a/z", 2)]
+    held = spark.createDataFrame(rows * 2, "cluster int, dir string, ord int")
+    got = clusters.orphan_homes(spark.createDataFrame([("a",), ("a/b",), ("a/b/q",), ("y",), ("a",)], "dir string"), held)
+    assert {tuple(r) for r in got.collect()} == {("a", 2, 4), ("a/b", 0, 3), ("a/b/q", 0, 2)}
+    assert graph.spread(spark.range(1000), "id", rows=10).rdd.getNumPartitions() == 100

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.code import cluster_thresholds
 from weftline.functions.paths import ancestors, common_directory, dirname, path_id, stem
-from weftline.operators.graph import components, durable, hubs, reach_two
+from weftline.operators.graph import components, durable, hubs, met, reach_two, spread
 from weftline.operators.tasks import ranked
 
 FALLBACK_TOKENS = 1000
@@ -86,19 +90,70 @@ def shared(files: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select(F.lit("shared-utilities").alias("cluster"), "path", F.coalesce("tokens", F.lit(FALLBACK_TOKENS)).cast("long").alias("tokens"))
 
 
-def overlaps(cluster_files: DataFrame) -> DataFrame:
-    """(a, b, shared, ratio): pairs that share at least ``OVERLAP`` of the smaller one.
-
-    The join on the file counts shared files; pairs without a common file never arise.  Files of one
-    cluster alone make no pair and stay out of the join.
+#: Parts that files are dealt into for ``overlapping``, and pairs that a task counts at a time.
+PARTS, PAIRS = 32, 2_000_000
+
+
+def _met_in_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows (c, path, n: files of c) of a part: the pairs of clusters that may overlap; with the files that they share
+    here, where the least number is so small that every shared file counts, else null."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    table = pa.Table.from_batches(got).combine_chunks()
+    cluster, path = (table.column(c).combine_chunks().dictionary_encode() for c in ("c", "path"))
+    c, p = (x.indices.to_numpy(zero_copy_only=False).astype("i8") for x in (cluster, path))
+    size = np.zeros(len(cluster.dictionary), "i8")
+    size[c] = table.column("n").to_numpy()
+    del table, got
+    order = np.lexsort((c, p))
+    c, p = c[order], p[order]
+    m = np.searchsorted(p, p, "right") - np.arange(len(p)) - 1  # rows behind, of the same file and later clusters
+    rows = np.argsort(c, kind="stable")
+    rows = rows[m[rows] > 0]
+    upto, firsts = np.cumsum(m[rows]), np.flatnonzero(np.diff(c[rows], prepend=-1))
+    at = 0
+    while at < len(rows):  # whole clusters, of some ``PAIRS`` pairs
+        done = int(upto[at - 1]) if at else 0
+        k = int(np.searchsorted(firsts, max(at + 1, np.searchsorted(upto, done + PAIRS, "right"))))
+        stop = int(firsts[k]) if k < len(firsts) else len(rows)
+        own = rows[at:stop]
+        n = m[own]
+        other = c[np.repeat(own + 1 - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        pairs, shared = np.unique(np.repeat(c[own], n) * len(size) + other, return_counts=True)
+        x, y = pairs // len(size), pairs % len(size)
+        least = np.floor(OVERLAP * np.minimum(size[x], size[y])).astype("i8")
+        keep = shared * PARTS >= least
+        told = pa.array(shared[keep].astype("i8"), mask=least[keep] > PARTS)
+        yield pa.RecordBatch.from_arrays([cluster.dictionary.take(pa.array(x[keep])), cluster.dictionary.take(pa.array(y[keep])), told], names=["x", "y", "shared"])
+        at = stop
+
+
+def overlapping(held: DataFrame, size: DataFrame) -> DataFrame:
+    """held: c, path (once each); size: c, size.  (a, b, shared): pairs that share at least ``OVERLAP`` of the smaller one.
+
+    Files are dealt into ``PARTS`` parts.  Of t files that a pair shares some part holds t / ``PARTS`` or
+    more, so that a part tells only the pairs that share as many in it; these few are counted by a
+    join.  Pairs for which one file would be enough are told with their counts, which are added up.
     """
-    rows = durable(cluster_files.select("cluster", "path").distinct())
-    size = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    common = rows.groupBy("path").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("path")
-    held = rows.join(common, "path").withColumnRenamed("cluster", "c")
-    both = held.select(F.col("c").alias("a"), "path").join(held.select(F.col("c").alias("b"), "path"), "path").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    out = both.join(size.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
-    return out.select("a", "b", "shared", (F.col("shared") / F.least("na", "nb")).alias("ratio")).filter(F.col("ratio") >= OVERLAP)
+    kind = held.schema["c"].dataType.simpleString()
+    told = held.filter("path is not null").join(met(size.select("c", F.col("size").alias("n"))), "c").select("c", "path", "n").repartition(PARTS, "path").mapInArrow(_met_in_part, f"x {kind}, y {kind}, shared long")
+    told = durable(told.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared"))
+    added = spread(told.filter("shared is not null"), "a", "b").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    few = spread(told.filter("shared is null").select("a", "b"), "a", "b").distinct()
+    few = few.join(size.select(F.col("c").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("c").alias("b"), F.col("size").alias("nb")), "b")
+    less = F.col("na") <= F.col("nb")
+    few = few.select("a", "b", F.when(less, F.col("a")).otherwise(F.col("b")).alias("c"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("d"))
+    both = few.join(held, "c").select("a", "b", F.col("d").alias("c"), "path").join(held, ["c", "path"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    out = added.unionByName(both).join(size.select(F.col("c").alias("a"), F.col("size").alias("na")), "a").join(size.select(F.col("c").alias("b"), F.col("size").alias("nb")), "b")
+    return out.filter(_enough(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b", "shared", "na", "nb")
+
+
+def overlaps(cluster_files: DataFrame) -> DataFrame:
+    """(a, b, shared, ratio): pairs that share at least ``OVERLAP`` of the smaller one (see ``overlapping``)."""
+    held = durable(spread(cluster_files.select(F.col("cluster").alias("c"), "path"), "c", "path").distinct())
+    size = durable(held.groupBy("c").agg(F.count(F.lit(1)).alias("size")))
+    return overlapping(held, size).select("a", "b", "shared", (F.col("shared") / F.least("na", "nb")).alias("ratio"))
 
 
 def _common(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -121,14 +176,14 @@ def merged(cluster_files: DataFrame) -> DataFrame:
     own first pair (i, j) in the same round.  With it goes all that i would take next: clusters behind
     i, not larger than i and j together, that overlap with what is gathered.  Such a cluster's overlap
     never falls as more is gathered, so that their order does not matter, unless an earlier or a larger
-    cluster could overlap on the way; then the pair alone is joined.  Counts of shared files are kept,
-    and only those of joined clusters are made anew.
+    cluster could overlap on the way; then the pair alone is joined.  Counts of overlapping
+    pairs are kept, and only those of joined clusters are made anew.
     """
-    rows = durable(cluster_files.select("cluster", "path", "ord").distinct())
+    rows = durable(spread(cluster_files.select("cluster", "path", "ord"), "ord", "path").distinct())
     roots = rows.select(F.col("ord").alias("member"), F.col("ord").alias("root")).distinct()
-    held = rows.select(F.col("ord").alias("c"), "path")
+    held = rows.select(F.col("ord").alias("c"), "path").distinct()
     size = durable(held.groupBy("c").agg(F.count(F.lit(1)).alias("size")))
-    share = durable(_common(held, held))
+    share = durable(overlapping(held, size).select("a", "b", "shared"))  # others matter only once one of them is joined
     group: DataFrame | None = None
     of = lambda name, size_name: size.select(F.col("c").alias(name), F.col("size").alias(size_name))
     while True:
@@ -237,11 +292,14 @@ def orphan_homes(orphans: DataFrame, cluster_dirs: DataFrame) -> DataFrame:
     directories equal to, below or above the directory, the first of equals; ancestors are listed and
     joined on equality."""
     up = lambda d: F.array_union(F.array(d), ancestors(d))
-    held = cluster_dirs.select("cluster", "ord", "dir").distinct()
+    rows = cluster_dirs.select("cluster", "ord", "dir")
+    count = rows.count()
+    held = spread(rows, "cluster", "dir", count=count).distinct()
     o = orphans.select("dir").distinct()
+    # as rows of both are distinct, and ``above`` are those above only, none arises twice
     below = held.select("cluster", "ord", F.col("dir").alias("own"), F.explode(up(F.col("dir"))).alias("dir")).join(o, "dir").select("dir", "cluster", "ord", "own")
     above = o.select("dir", F.explode(ancestors(F.col("dir"))).alias("up")).join(held.withColumnRenamed("dir", "up"), "up").select("dir", "cluster", "ord", F.col("up").alias("own"))
-    n = below.unionAll(above).distinct().groupBy("dir", "cluster", "ord").agg(F.count(F.lit(1)).alias("overlap"))
+    n = spread(below.unionAll(above), "dir", "cluster", count=3 * count).groupBy("dir", "cluster", "ord").agg(F.count(F.lit(1)).alias("overlap"))
     return n.groupBy("dir").agg(F.max_by(F.struct("cluster", "overlap"), F.struct("overlap", -F.col("ord"))).alias("x")).select("dir", "x.cluster", "x.overlap")
 
 
