@@ -316,6 +316,59 @@ def test_packing_round_trip(spark, docs):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_each_plain_word_of_a_batch_is_merged_once_and_without_the_tokenizer():
+    """Words that no worker has seen cost no call of the tokenizer each (op8's seconds went there), and repeated ones nothing."""
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("aeinrstéß'.,-7", k=rng.randint(1, 14))) for _ in range(300)) for _ in range(20)]
+    tok, ids = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY)), packing.Ids(packing.VOCABULARY)
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    ids.whole, merged, calls = None, ids.merged, []
+    ids.merged = lambda s: calls.append(s.count("\n")) or merged(s)
+    got, ends = ids.encode(pa.array(texts * 3), 1)
+    assert [x.tolist() for x in np.split(got, ends[:-1])] == want * 3 and ends[-1] == len(got)
+    assert calls == [len({w for t in texts for w in t.split()}) + 1]
+
+
+def test_ids_of_odd_texts_are_the_tokenizers():
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    tok, ids = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY)), packing.Ids(packing.VOCABULARY)
+    latin, parts = [chr(x) for x in [*range(33, 127), *range(161, 256)]], ["<|endoftext|>", "<|startoftext|>", "<|", "ab", "'S", "é", "e\u0301", "中", "ΣΑΣ", "İ", "’", "\xa0", "\x85", "\xad", "\x1c", "\0", "\n", " ", "  ", "½", "12"]
+    texts = [None, "", " \n", *("".join(rng.choices(alphabet, k=rng.randint(0, 40))) for alphabet in (latin, parts, "aeinrst'", latin + [" "]) for _ in range(1500))]
+    rng.shuffle(texts)
+    for some in (texts, [None], ["", ""], ["中 ж", "ж"]):
+        got, ends = ids.encode(pa.array(some, pa.string()), 1)
+        assert [x.tolist() for x in np.split(got, ends[:-1])] == [[*tok.encode(t or "", add_special_tokens=False).ids, 1] for t in some]
+
+
+def test_merges_give_back_every_token_of_the_file():
+    """What lets tiktoken's merges stand for the file's (see ``packing.Ids``)."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path(packing.VOCABULARY), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    rank = {tuple(pair): k for k, pair in enumerate(model["merges"])}
+    assert all(model["vocab"][a + b] == 512 + k for (a, b), k in rank.items()) and len(model["vocab"]) == 512 + len(rank)
+    for token in model["vocab"]:
+        symbols = [*token.removesuffix("</w>")]
+        symbols[-1] += "</w>" * token.endswith("</w>")
+        while len(symbols) > 1:
+            best, at = min((rank.get(pair, len(rank)), k) for k, pair in enumerate(zip(symbols, symbols[1:])))
+            assert best < len(rank), token
+            symbols[at : at + 2] = ["".join(symbols[at : at + 2])]
+        assert symbols == [token]
+    assert len(packing.ranks(public_tokenizers.path(packing.VOCABULARY))) == len(model["vocab"])
+
+
 @pytest.mark.parametrize("bins", [1, 3, 64])
 def test_best_fit_against_a_plain_loop(bins):
     """Every place of every piece; of bins with equal space the one used last."""
