@@ -497,3 +497,28 @@ def test_words_outside_the_numbers_have_their_own_probability(spark):
     model = pseudolikelihood.train(df)
     got = {r.n_tokens * 100 + r.doc_id: r.log_prob for r in pseudolikelihood.score(spark.createDataFrame([(1, "often"), (2, "seften"), (3, "never seen")], "doc_id long, text string"), model).collect()}
     assert math.isclose(got[101] - got[102], math.log(10), abs_tol=0.1)
+
+
+def test_a_quality_worker_holds_little():
+    """A whole Arrow batch of texts must not multiply in a worker, and what it freed must not stay with it."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from weftline.llm import common, quality
+
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 700)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    assert batch.nbytes > 10_000_000
+    hashes, weights, n = common.WordHashes(), np.zeros(4 << quality.BITS, np.float32), 0
+    tracemalloc.start()
+    try:
+        for part in common.chunks([batch], quality.CHUNK):
+            got = quality._texts(part, 0, hashes)
+            n += len(got.margins(weights, 0.0)) + 0 * len(got.counts())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == len(texts) and peak < 120_000_000
+    common.give_back()
