@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -76,6 +77,58 @@ def test_jaccard_against_all_pairs(spark, corpus, monkeypatch):
     assert jaccard.resolve(df.limit(0)).count() == 0
 
 
+def test_shingle_sets_of_odd_texts():
+    import pyarrow as pa
+    import xxhash
+
+    def plain(text):
+        w = [xxhash.xxh3_64_intdigest(x) for x in (text or "").encode().lower().split()]
+        runs = [w[k : k + 5] for k in range(len(w) - 4)] if len(w) >= 5 else [w] if w else []
+        out = set()
+        for run in runs:
+            h = len(run)
+            for x in run:
+                h = (h * 0x9E3779B97F4A7C15 + x) % 2**64
+            out.add(h)
+        return sorted(common.mixed(np.array(sorted(out), np.uint64)).tolist())
+
+    texts = [None, "", " \n", "a", "a b c d", " A  b\x0bc\td e\x0cf\r", "\x1c\x1d a\x85b c \xc0B \xc9", "a b c d e f a b c d e f", "\x00 x", "x\x1fy z \u2003 v \xa0 w u", "a b c d e"]
+    assert [s.tolist() for s in jaccard.shingle_sets(pa.array(texts))] == [plain(t) for t in texts]
+    assert jaccard.shingle_sets(pa.array([], pa.string())) == [] and [s.tolist() for s in jaccard.shingle_sets(pa.array(["", None]))] == [[], []]
+
+
+def test_checkpoints_give_their_shuffle_files_back(spark):
+    """What an operator shuffled for a step must not stay on disk until the driver collects its garbage."""
+    def shuffled():
+        return {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+
+    before = shuffled()
+    df = spark.range(20_000).groupBy((F.col("id") % 1000).alias("k")).count()
+    kept = [common.durable(df) for _ in range(2)]
+    until = time.time() + 20
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and [k.count() for k in kept] == [1000, 1000] and df.count() == 1000
+    assert spark.conf.get(common.FREED) == "false"
+
+
+def test_bags_much_alike_are_joined(spark):
+    """Of 300 bags of the same 40 documents but one or two, each document goes a few times, not 300 times."""
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 2**62, 60, np.uint64) for _ in range(40)]
+    sets[7] = np.concatenate([sets[3][:57], sets[7][:2]])
+    rows = [(t, d) for t in range(300) for d in range(40) if d not in {8 + t % 32, 8 + t // 32}]
+    bags = spark.createDataFrame(rows, "t long, doc_id long")
+    table = spark.createDataFrame([(d, len(s), bytearray(np.sort(s).tobytes())) for d, s in enumerate(sets)], "doc_id long, n long, shingles binary")
+    assert {tuple(sorted(r)) for r in jaccard.settle(bags, spark.createDataFrame([], "a long, b long"), table).collect()} == {(3, 7)}
+    rows = spark.createDataFrame([(t, d, d, 38) for t, d in rows], "t long, doc_id long, c long, m long")
+    joined = jaccard.joined_bags(rows)
+    assert 40 <= joined.count() <= 400 and joined.select("doc_id").distinct().count() == 40
+    # every pair of a bag is in a joined one
+    pairs = lambda x: {(r.a, r.b) for r in x.alias("x").join(x.alias("y"), "t").selectExpr("x.doc_id a", "y.doc_id b").distinct().collect()}
+    assert pairs(rows) == pairs(joined)
+
+
 def test_prefix_length_is_the_bound():
     for n in range(1, 200):
         least = next(k for k in range(n + 1) if 100 * k >= 80 * n)
