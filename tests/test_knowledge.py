@@ -468,6 +468,31 @@ def test_whole_answers_of_pages_and_issues(spark):
     assert got == {(f"p{k}", f) for k in docs for f, m in (("tags", 3), ("updated", 4), ("source", 5)) if k % m == 0}
 
 
+def _pages_and_issues(spark):
+    """Pages and issues of two sets of files, with empty names, repeated rows and an issue without an id."""
+    pages = [(f"ch-{k % 3}/p{k}.md", ["a", "", "a"] if k % 5 else ["b", None]) for k in range(400)] + [("ch-0/none.md", []), ("ch-0/null.md", None), ("ch-0/p3.md", ["b"])]
+    issues = [(k, ["a", "x"] if k % 3 else ["b"]) for k in range(4000)] + [(None, ["a"]), (7, ["", "x"]), (8, None)]
+    own, theirs = {}, {}
+    for rows, out in ((pages, own), (issues, theirs)):
+        for k, files in rows:
+            out.setdefault(k, set()).update(f for f in files or [] if f)
+    want = {(p, i) for p, a in own.items() for i, b in theirs.items() if a & b}
+    return spark.createDataFrame(pages, "relpath string, source_files array<string>"), spark.createDataFrame(issues, "id long, source_files array<string>"), want
+
+
+def test_lines_of_issues_are_told_in_blocks(spark):
+    pages, issues, want = _pages_and_issues(spark)
+    parts = book.issue_links(pages, issues).rdd.glom().collect()
+    rows = [r for p in parts for r in p]
+    assert len(rows) == len(want) and {(r.link + ".md", r.id) for r in rows} == want
+    places = {}
+    for r in rows:
+        places.setdefault(r.id, []).append((r.link, r.place, r.line))
+    assert all(sorted(x) == [(k, n, f"- [[{k}]]") for n, k in enumerate(sorted(k for k, _, _ in x))] for x in places.values())
+    changes = sum(a.link != b.link for p in parts for a, b in zip(p, p[1:]))  # a line changes once a block, not at each row
+    assert changes < len(rows) / 50
+
+
 def test_ranges_hold_some_rows_each(spark, monkeypatch):
     monkeypatch.setattr(runs, "RANGE_ROWS", 100)
     rows = spark.range(3000).select(F.lit(1).alias("k"), "id", (F.col("id") % 7).alias("w"))
