@@ -493,6 +493,16 @@ def test_lines_of_issues_are_told_in_blocks(spark):
     assert changes < len(rows) / 50
 
 
+def test_pages_meet_issues_in_blocks(spark):
+    pages, issues, want = _pages_and_issues(spark)
+    parts = book.page_issue_pairs(pages, issues).rdd.glom().collect()
+    rows = [r for p in parts for r in p]
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    long = max(parts, key=len)  # the ids of a block come again for the next page
+    assert len(long) > 20 * book.BLOCK
+    assert all(len({r.id for r in long[k : k + 5 * book.BLOCK]}) <= 2.5 * book.BLOCK for k in range(0, len(long), 5 * book.BLOCK))
+
+
 def test_ranges_hold_some_rows_each(spark, monkeypatch):
     monkeypatch.setattr(runs, "RANGE_ROWS", 100)
     rows = spark.range(3000).select(F.lit(1).alias("k"), "id", (F.col("id") % 7).alias("w"))
